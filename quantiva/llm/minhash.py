@@ -6,9 +6,11 @@ the XOR of two sketches estimates a high similarity closely, so most candidates
 their sets. What is left is confirmed on the full sets.
 
 Texts of equal sets are one class from the start, represented by the least id. In a bucket each member is
-first compared with one pivot, and confirmed links are joined to components. Only buckets that still hold
-several components are looked at again: their members are compared sketch by sketch across components, in
-blocks of bounded size, so a bucket of any size is many small tasks and no link is lost by the pivots.
+first compared with one pivot, the member whose buckets are largest (of near copies usually the original), and
+confirmed links are joined to components. Only buckets that still hold several components are looked at again:
+their members are compared sketch by sketch across components, in blocks of bounded size, so a bucket of any
+size is many small tasks. The likeliest pairs are confirmed first and then all others that still matter, so no
+link is lost by the pivots.
 
 A link at the threshold of 0.85 shares no band with a probability of 6e-11, at 0.8 of 5e-8; its sketch is
 refused if the estimate is more than MARGIN too low, over four standard deviations.
@@ -32,9 +34,10 @@ from . import textnum as T
 from .components import components
 from .scratch import materialize
 
-MINHASHES, BAND = 128, 4
-SKETCH_BITS = 512
-MARGIN = 0.16
+MINHASHES, BANDED, BAND = 256, 128, 4  # all minima go into the sketch, the first half also into bands
+SKETCH_BITS = 1024
+MARGIN = 0.1
+FIRST = 4  # of a member's likely partners in another component, those confirmed before all others
 BLOCK = 1024  # members of a bucket compared at once
 
 _rng = np.random.default_rng(7_310_433)
@@ -66,10 +69,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for p in range(MINHASHES):
             least[p] = np.minimum.reduceat((flat ^ _XOR[p]) * _MUL[p], first)
         mixed = T.mix(least + _XOR[:, None])
-        keys = np.zeros((MINHASHES // BAND, len(sets)), T.U64)
+        keys = np.zeros((BANDED // BAND, len(sets)), T.U64)
         for i in range(BAND):
-            keys = T.mix(keys * T.U64(0x9E3779B97F4A7C15) + mixed[i::BAND])
-        keys = T.mix(keys ^ np.arange(1, MINHASHES // BAND + 1, dtype=T.U64)[:, None])
+            keys = T.mix(keys * T.U64(0x9E3779B97F4A7C15) + mixed[i:BANDED:BAND])
+        keys = T.mix(keys ^ np.arange(1, BANDED // BAND + 1, dtype=T.U64)[:, None])
     bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
     place = (mixed >> T.U64(64 - (SKETCH_BITS - 1).bit_length())).astype(np.int64)
     for p in range(MINHASHES):
@@ -153,9 +156,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return joined.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Pairs of different components within the buckets of ``key, id, component, n_shingles, sketch`` that pass.
 
+    With ``most``, of each member's pairs with one component in a unit the ``most`` likeliest ones.
+
     A bucket of m members is cut into g blocks; each two blocks are a unit of work of their own, so that a row
     is copied g times and nothing but passing pairs is emitted.
     """
@@ -180,7 +185,13 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             b = np.flatnonzero(far)
             if len(b):
                 ones = np.minimum(np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1).astype(np.int64), SKETCH_BITS // 2 - 1)
-                b = b[estimate(ones, np.log) >= floor]
+                like = estimate(ones, np.log)
+                b, like = b[like >= floor], like[like >= floor]
+                if most and len(b) > most:
+                    by = np.lexsort((-like, comp[b]))
+                    b = b[by]
+                    head = np.flatnonzero(np.diff(comp[b], prepend=-1))
+                    b = b[np.arange(len(b)) - np.repeat(head, np.diff(np.append(head, len(b)))) < most]
                 us.append(np.full(len(b), ids[a]))
                 vs.append(ids[b])
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -220,21 +231,26 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = reps.join(same.select(F.col("doc_id").alias("id")), "id", "left_anti").unionByName(extra)
 
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
-    shared = materialize(keyed.join(buckets, "key"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = materialize(keyed.join(sizes, "key"), "buckets")
+    central = shared.groupBy("id").agg(F.sum("m").alias("weight"))
+    pivots = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
     known = reps.select("id", "n_shingles", "sketch")
-    stars = shared.filter("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = materialize(_confirm(materialize(_near(stars, known, percent), "near"), docs, width, percent), "links").unionByName(tied)
+    star = shared.join(pivots, "key").filter("id <> pivot")
+    stars = star.select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct()
+    tried = materialize(_near(stars, known, percent), "near")
+    links = materialize(_confirm(tried, docs, width, percent).unionByName(tied), "links")
     found = materialize(components(links), "components")
 
-    own = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = own.join(mixed, "key", "left_semi").join(known, "id").select("key", "id", "component", "n_shingles", "sketch")
-    pairs = materialize(_across(open_, percent), "across")
-    if not pairs.isEmpty():
-        tried = materialize(_near(stars, known, percent), "near")
-        more = _confirm(materialize(pairs.join(tried, ["u", "v"], "left_anti"), "near"), docs, width, percent)
-        links = materialize(links.unionByName(more), "links")
+    for most in (FIRST, None):
+        own = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        open_ = own.join(mixed, "key", "left_semi").join(known, "id").select("key", "id", "component", "n_shingles", "sketch")
+        pairs = materialize(_across(open_, percent, most).join(tried, ["u", "v"], "left_anti"), "across")
+        if pairs.isEmpty() and most is None:
+            break
+        tried = tried.unionByName(pairs)
+        links = materialize(links.unionByName(_confirm(pairs, docs, width, percent)), "links")
         found = materialize(components(links), "components")
 
     final = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

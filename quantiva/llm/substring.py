@@ -35,7 +35,7 @@ WINDOW, ANCHOR = 13, 5
 MAX_CELLS, DEPTH = 1 << 28, 2
 RANGE_BITS = 20  # cells of one range of the sketch
 FLUSH = 1_500_000  # windows held by a task before their least documents are sent on
-SHARD_BYTES = 24 << 20  # of text to one shard of the second pass
+SHARD_BYTES = 48 << 20  # of text to one shard of the exact pass; a document is told of by each shard once
 
 
 def _anchored(t: T.Texts, window: int) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +113,11 @@ def sketch(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     return whole
 
 
+def _shards(docs: DataFrame, size: int) -> int:
+    """As many shards as the text asks for, and as there are cores."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+
+
 def _text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
 
@@ -137,8 +142,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     size = _text_bytes(src)
     bits = min((max_cells - 1).bit_length(), max(16, (4 * DEPTH * size // 30 + 1).bit_length()))
-    conf = docs.sparkSession.conf
-    shards = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards = _shards(src, size)
     filled = docs.sparkSession.sparkContext.broadcast(sketch(src, window, bits))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +168,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -
             where = where[np.lexsort((at[where], doc[where]))]
             first, n = T.ranges(doc[where].astype(np.int64) * (1 << 33) + at[where])
             known = _pack(_KNOWN, doc=first >> 33, at=first & 0xFFFFFFFF, n=n)
-            home = int(h[0] % T.U64(shards)) if len(h) else 0
+            home = known["doc"] % shards  # what is known already is dealt out by document
             for p in range(shards):
-                mine, own = sent[cut[p] : cut[p + 1]], known if p == home else known[:0]
+                mine, own = sent[cut[p] : cut[p + 1]], known[home == p]
                 if len(mine) or len(own):
                     used = np.unique(np.concatenate([mine["doc"], own["doc"]]))
                     mine, own = mine.copy(), own.copy()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as T
 from .scratch import materialize
-from .substring import SHARD_BYTES, _text_bytes, covered
+from .substring import _shards, _text_bytes, covered
 
 LENGTH, GRAM = 100, 32
 FLUSH = 400_000  # suffixes held by a task before they are sent on
@@ -147,10 +147,10 @@ def _rows(shards: int, name: np.ndarray, shard: np.ndarray, items: np.ndarray, k
     """One row per shard that gets anything: its documents, suffixes, spans already known, and blocks' bytes."""
     by = np.argsort(shard, kind="stable")
     items, cut = items[by], np.searchsorted(shard[by], np.arange(shards + 1))
-    home = int(items["g"][0] % T.U64(shards)) if len(items) else 0
+    home = known["doc"] % shards  # what is known already is dealt out by document
     rows = []
     for p in range(shards):
-        mine, own = items[cut[p] : cut[p + 1]].copy(), (known if p == home else known[:0]).copy()
+        mine, own = items[cut[p] : cut[p + 1]].copy(), known[home == p]
         if len(mine) or len(own):
             used = np.unique(np.concatenate([mine["doc"], own["doc"]]))
             mine["doc"], own["doc"] = np.searchsorted(used, mine["doc"]), np.searchsorted(used, own["doc"])
@@ -333,8 +333,7 @@ def _anchor_hashes(data: np.ndarray, s: np.ndarray, length: int, gram: int) -> n
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, key, spans``: starts of repeated strings as (first, number) pairs; key is the text's xxhash64."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    size = _text_bytes(src)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    shards = _shards(src, _text_bytes(src))
     one = materialize(_first_round(src, length, gram, shards), "suffix-blocks")
     open_ = one.filter(F.length("open") > 0).groupBy("doc_id", "key").agg(F.collect_list("open").alias("open"))
     asked = src.join(open_, ["doc_id", "key"]).select("doc_id", "key", "text", "open")
