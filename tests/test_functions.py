@@ -40,4 +40,4 @@ def test_labels(spark):
     assert one(spark, P.section_values(F.lit("P1(2x40)"))) is None
     assert [tuple(g) for g in one(spark, P.rebar_groups(F.lit("6HA14+4T12")))] == [(6, 14), (4, 12)]
     assert one(spark, K.nearest_diameter(F.lit(18))) == 16
-    assert one(spark, P.reverse_text(F.lit(")53X52(-02N"))) == "N20-(25X35)"
+    assert one(spark, P.reverse_text(F.lit("(53X52)-02N"))) == "N20-(25X35)"
