@@ -303,5 +303,5 @@ def m1_ffd_inputs(spark, sf):
 
 @query("m1_ffd")
 def m1_ffd(spark, sf):
-    pieces = lines(spark, sf).select("project", "phi", (F.col("hm") * 10_000).cast("int").alias("mm"), F.lit(1).alias("one"))
-    return packing.pack(pieces, ["project", "phi"], "mm", "one")
+    pieces = lines(spark, sf).select((F.col("project") % 100).alias("lot"), "phi", (F.col("hm") * 10_000).cast("int").alias("mm"), F.lit(1).alias("one"))
+    return packing.pack(pieces, ["lot", "phi"], "mm", "one")
