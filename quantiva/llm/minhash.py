@@ -156,30 +156,43 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return joined.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _rank(of: np.ndarray, group: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """The place of each pair, by likelihood, among those with the same ``of`` and ``group``."""
+    by = np.lexsort((-like, group, of))
+    new = np.ones(len(by), bool)
+    new[1:] = (of[by][1:] != of[by][:-1]) | (group[by][1:] != group[by][:-1])
+    head = np.flatnonzero(new)
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by)) - np.repeat(head, np.diff(np.append(head, len(by))))
+    return out
+
+
 def _across(rows: DataFrame, percent: int, most: int | None = None) -> DataFrame:
-    """Pairs of different components within the buckets of ``key, id, component, n_shingles, sketch`` that pass.
+    """Pairs of different components within the buckets of ``key, id, component, n_shingles, sketch, bands`` that pass.
 
-    With ``most``, of each member's pairs with one component in a unit the ``most`` likeliest ones.
+    With ``most``, a pair only comes if it is among the ``most`` likeliest of both its members with the other's
+    component in a unit.
 
     A bucket of m members is cut into g blocks; each two blocks are a unit of work of their own, so that a row
-    is copied g times and nothing but passing pairs is emitted.
+    is copied g times and nothing but passing pairs is emitted. A pair comes from the first band that it shares
+    and from no other: that bucket holds two components too, so it is among those looked at.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
     cut = rows.join(sizes, "key").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
-    units = cut.withColumn("unit", F.explode(unit)).select(F.xxhash64("key", "unit.lo", "unit.hi").alias("at"), "key", F.col("unit.lo").alias("lo"), F.col("unit.hi").alias("hi"), "i", "id", "component", "n_shingles", "sketch")
-    words = SKETCH_BITS // 64
+    units = cut.withColumn("unit", F.explode(unit)).select(F.xxhash64("key", "unit.lo", "unit.hi").alias("at"), "key", F.col("unit.lo").alias("lo"), F.col("unit.hi").alias("hi"), "i", "id", "component", "n_shingles", "sketch", "bands")
     floor = percent / 100 - MARGIN
 
-    def compare(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        side = np.array([r[3] for r in rows])
-        odd = np.array([r[4] for r in rows], np.int64).reshape(len(rows), words)
-        us, vs = [], []
+    def compare(key: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, size, side = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        odd, bands = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        earlier = np.cumprod(bands != key, axis=1).astype(bool)  # the bands before this bucket's
+        two = side.max() != side.min()
+        us, vs, likes = [], [], []
         for a in range(len(rows)):
             far = comp != comp[a]
             far[: a + 1] = False
-            if side.max() != side.min():
+            if two:
                 far &= side != side[a]
             far &= 100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])
             b = np.flatnonzero(far)
@@ -187,30 +200,35 @@ def _across(rows: DataFrame, percent: int, most: int | None = None) -> DataFrame
                 ones = np.minimum(np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1).astype(np.int64), SKETCH_BITS // 2 - 1)
                 like = estimate(ones, np.log)
                 b, like = b[like >= floor], like[like >= floor]
-                if most and len(b) > most:
-                    by = np.lexsort((-like, comp[b]))
-                    b = b[by]
-                    head = np.flatnonzero(np.diff(comp[b], prepend=-1))
-                    b = b[np.arange(len(b)) - np.repeat(head, np.diff(np.append(head, len(b)))) < most]
-                us.append(np.full(len(b), ids[a]))
-                vs.append(ids[b])
-        return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                here = ~((bands[b] == bands[a]) & earlier[a]).any(axis=1)
+                b, like = b[here], like[here]
+                us.append(np.full(len(b), a))
+                vs.append(b)
+                likes.append(like)
+        if not us:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        u, v, like = np.concatenate(us), np.concatenate(vs), np.concatenate(likes)
+        if most and len(u):
+            top = _rank(u, comp[v], like) < most
+            top &= _rank(v, comp[u], like) < most
+            u, v = u[top], v[top]
+        return ids[u], ids[v]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
 
         def out():
-            u, v = compare(held)
+            u, v = compare(unit[0], held)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for key, lo, hi, i, ident, comp, size, odd in zip(*cols, strict=True):
+            cols = [batch.column(k).to_pylist() for k in range(9)]
+            for key, lo, hi, i, ident, comp, size, odd, bands in zip(*cols, strict=True):
                 if (key, lo, hi) != unit:
                     if len(held) > 1:
                         yield out()
                     held, unit = [], (key, lo, hi)
-                held.append((ident, comp, size, i, odd))
+                held.append((ident, comp, size, i, odd, bands))
         if len(held) > 1:
             yield out()
 
@@ -245,7 +263,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     for most in (FIRST, None):
         own = shared.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        open_ = own.join(mixed, "key", "left_semi").join(known, "id").select("key", "id", "component", "n_shingles", "sketch")
+        open_ = own.join(mixed, "key", "left_semi").join(reps, "id").select("key", "id", "component", "n_shingles", "sketch", "bands")
         pairs = materialize(_across(open_, percent, most).join(tried, ["u", "v"], "left_anti"), "across")
         if pairs.isEmpty() and most is None:
             break
