@@ -88,3 +88,15 @@ def level_name(text: Column) -> Column:
     t = norm_text(text)
     floor = F.regexp_extract(t, r"(?:etage|r\+)\s*([0-9]+)", 1)
     return F.when(t.rlike(r"fondation"), "FONDATION").when(t.rlike(r"rdc|rez"), "RDC").when(floor != "", F.concat(F.lit("R+"), floor)).when(t.rlike("terrasse"), "TERRASSE")
+
+
+def explicit_length(spec: Column) -> Column:
+    """Metres of a bar noted L=4.20; above 25 the note is in cm."""
+    v = number(F.regexp_extract(spec, r"(?i)\bL\s*=\s*([0-9]+(?:[.,][0-9]+)?)", 1))
+    return F.when(v > 25, v / 100).otherwise(v)
+
+
+def room_dims(text: Column, low: float = 0.5, high: float = 40) -> Column:
+    """array<double> of both sides of a room noted L x l in metres, NULL unless both are plausible."""
+    sides = F.array(*(number(F.regexp_extract(text, SECTION, i)) for i in (1, 2)))
+    return F.when(F.forall(sides, lambda v: v.between(low, high)), sides)
