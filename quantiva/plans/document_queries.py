@@ -54,13 +54,13 @@ def j3_legend_lookup(spark, sf):
     return placements(spark, sf).join(known, "type").select("project", "inst", F.coalesce("meaning", F.lit("inconnu")).alias("meaning"))
 
 
-_GROUPED = W + ", g as (select a_cm, b_cm, level, count(*) n, arg_min(family, struct_pack(project, inst)) family from placements p join catalogue c using (type) group by a_cm, b_cm, level) "
+_GROUPED = W + ", g as (select a_cm, b_cm, level, count(*) n, arg_min(family, struct_pack(project, inst, family)) family from placements p join catalogue c using (type) group by a_cm, b_cm, level) "
 
 
 @query("a9_linear_by_type", _GROUPED + "select a_cm::int a_cm, b_cm::int b_cm, level, n, family from g")
 def a9_linear_by_type(spark, sf):
     placed = placements(spark, sf).join(catalogue(spark, sf).select("type", "a_cm", "b_cm", "family"), "type")
-    return placed.groupBy("a_cm", "b_cm", "level").agg(F.count("*").alias("n"), F.min_by("family", F.struct("project", "inst")).alias("family"))
+    return placed.groupBy("a_cm", "b_cm", "level").agg(F.count("*").alias("n"), F.min_by("family", F.struct("project", "inst", "family")).alias("family"))
 
 
 _VOLUMES = W + ", n as (select type, count(*) n from placements group by type), v as (select type, cast(coalesce(vol * cast(n as decimal(9,0)), 0) as decimal(28,9)) v from catalogue left join n using (type)) "
