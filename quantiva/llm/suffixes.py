@@ -79,14 +79,20 @@ class LevelFamily:
         same_id, same_key = a["id"] == b["id"], a["key"] == b["key"]
         return (a["id"] < b["id"]) | same_id & (a["key"] < b["key"]) | same_id & same_key & (a["at"] < b["at"])
 
+    @staticmethod
+    def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes a and b are one: rows that repeat an id and text send it several times."""
+        return (a["id"] == b["id"]) & (a["key"] == b["key"]) & (a["at"] == b["at"])
+
     @staticmethod
     def _array(fp: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A batch's suffix array without repeats, and the repeats."""
+        """A batch's suffix array without repeats, and the repeats that are other suffixes."""
         by = np.lexsort((order["at"], order["key"], order["id"], fp))
         fp, order = fp[by], order[by]
         new = np.ones(len(fp), bool)
         new[1:] = fp[1:] != fp[:-1]
-        return fp[new], order[new], order[~new]
+        fresh, late = order[new], order[~new]
+        return fp[new], fresh, late[~LevelFamily._same(late, fresh[np.cumsum(new)[~new] - 1])]
 
     def add(self, fp: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Put in a batch; the suffixes that are now known to repeat an earlier one."""
@@ -100,7 +106,7 @@ class LevelFamily:
             match = np.flatnonzero(have[slot] == fp)
             mine, theirs = order[match], owner[slot[match]]
             ahead = self._before(mine, theirs)
-            out += [mine[~ahead], theirs[ahead]]
+            out += [mine[~ahead & ~self._same(mine, theirs)], theirs[ahead]]
             owner[slot[match[ahead]]] = mine[ahead]
             self.levels[k] = have, owner
             stay = np.ones(len(fp), bool)
@@ -177,7 +183,8 @@ def _first_round(src: DataFrame, length: int, gram: int, shards: int) -> DataFra
             x = x[by]
             new = np.ones(len(x), bool)
             new[1:] = x["h"][1:] != x["h"][:-1]
-            late, x = x[~new], x[new]
+            late, first, x = x[~new], x[new][np.cumsum(new)[~new] - 1], x[new]
+            late = late[~LevelFamily._same(_order(name, late), _order(name, first))]
             known = np.empty(len(late), _SPAN)
             for k in ("doc", "at", "n"):
                 known[k] = late[k]
@@ -261,7 +268,8 @@ def _second_round(texts: DataFrame, length: int, gram: int, shards: int) -> Data
         n_held = 0
 
         def put():
-            late.append(family.add(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])))
+            found = family.add(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            late.append(_joined(found[np.lexsort((found["at"], found["key"], found["id"]))]))  # spans, so few are held
 
         for batch in batches:
             for d, s, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
@@ -284,9 +292,7 @@ def _second_round(texts: DataFrame, length: int, gram: int, shards: int) -> Data
         if held:
             put()
         if late:
-            found = np.concatenate(late)
-            found = found[np.lexsort((found["at"], found["key"], found["id"]))]
-            yield from _say(_joined(found), np.zeros(0, _ORDER))
+            yield from _say(np.concatenate(late), np.zeros(0, _ORDER))
 
     sent = texts.mapInArrow(send, _SENT)
     return sent.repartition(shards, "shard").mapInArrow(receive, _SAID)

@@ -96,6 +96,31 @@ def test_suffixes(tiny, empty):
     assert suffixes.remove(empty).count() == 0
 
 
+def brute_repeats(docs, length=100):
+    seen, want = set(), {}
+    for i, b in docs:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if b[k : k + length] in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(b[k : k + length])
+        want[i] = len(b), sum(gone), sha(bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return want
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_suffixes_repeated_rows(spark, parts):
+    """Rows that repeat an id and text of over 100 bytes keep it; what other documents or the text itself repeat goes."""
+    words = lambda a, n: " ".join(f"word{(a * 7919 + j * 31) % 99_991}" for j in range(n))
+    own, shared, twice = words(1, 60), words(2, 60), words(3, 40)
+    docs = [(1, own), (2, f"{words(4, 9)} {shared} {words(5, 9)}"), (3, f"{words(6, 9)} {shared} {words(7, 9)}"), (4, f"{twice} {words(8, 30)} {twice}"), (5, own[50:])]
+    want = brute_repeats([(i, t.encode()) for i, t in docs])
+    assert want[1][1] == want[2][1] == 0 < min(want[3][1], want[4][1], want[5][1])
+    df = spark.createDataFrame([d for d in docs for _ in range(3)], "doc_id bigint, text string").repartition(parts)
+    got = rows(suffixes.remove(df))
+    assert len(got) == 15 and all((r["n_bytes"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in got)
+
+
 def test_decontamination(spark, tiny, empty):
     items = [(1, "the lazy dog and runs far away from here today my friend indeed"), (2, "WORD"), (3, None), (4, "  "), (2, "WORD")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
