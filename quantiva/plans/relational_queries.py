@@ -236,6 +236,14 @@ def h3_cells_pivot(spark, sf):
     return placements(spark, sf).groupBy("project").pivot("inst", [1, 2, 3, 4]).agg(F.max("type")).withColumnsRenamed({str(i): f"c{i}" for i in range(1, 5)})
 
 
+@query("h3_cells_pivot_all", W + "select project, " + ", ".join(f"max(type) filter (inst = {i}) c{i}" for i in range(1, 8)) + ", count(*) - count(distinct inst) filter (inst between 1 and 7) left_out from placements group by project")
+def h3_cells_pivot_all(spark, sf):
+    """All seven columns; ``left_out`` counts cells that share a row and column with another, of which one has room."""
+    cells = placements(spark, sf).groupBy("project", "inst").agg(F.max("type").alias("v"), F.count("*").alias("n"))
+    at = [F.max(F.when(F.col("inst") == i, F.col("v"))).alias(f"c{i}") for i in range(1, 8)]
+    return cells.groupBy("project").agg(*at, (F.sum("n") - F.count_if(F.col("inst").between(1, 7))).alias("left_out"))
+
+
 @query("h1_unpivot_transposed", W + "select type, k as dim, v::double val from (select type, am a, bm b, hm h from catalogue) unpivot (v for k in (a, b, h))")
 def h1_unpivot_transposed(spark, sf):
     g = gated(spark, sf).select("type", F.col("am").cast("double").alias("a"), F.col("bm").cast("double").alias("b"), F.col("hm").cast("double").alias("h"))
