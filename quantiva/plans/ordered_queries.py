@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ordered, spatial
+from ..operators import ordered, search, spatial
 from .carriers import CTE, placements, points, read
 from .registry import query
 
@@ -119,6 +119,14 @@ def r3_cosine_topk(spark, sf):
     return e.filter("label = 1").join(q).select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(3)
 
 
+@query("r3_cosine_topk_all", "with s as (select q.vec_id query, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 4) score from embeddings e, embeddings q where q.vec_id % 50 = 0 and (e.label = 1 or (select count(*) from embeddings) <= 10)), r as (select *, row_number() over (partition by query order by score desc, vec_id) k from s) select query, vec_id, score from r where k <= 3")
+def r3_cosine_topk_all(spark, sf):
+    """Every vector whose id is divisible by 50 is a query; the filter holds for more than ten vectors."""
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    n = F.broadcast(e.agg(F.count("*").alias("n")))  # one row
+    return search.cosine_topk(e.join(n).filter("label = 1 or n <= 10"), e.filter("vec_id % 50 = 0"), 3)
+
+
 @query("w11_words_to_lines", W + "select page, y // 600 line, string_agg(cast(ref as varchar), ' ' order by x, id) words from points group by page, y // 600")
 def w11_words_to_lines(spark, sf):
     p = points(spark, sf).groupBy("page", F.floor(F.col("y") / 600).alias("line")).agg(F.array_sort(F.collect_list(F.struct("x", "id", "ref"))).alias("ws"))

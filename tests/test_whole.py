@@ -29,3 +29,16 @@ def test_pivot_keeps_all_columns(spark, tables):
     assert [rows[k]["left_out"] for k in (1, 2, 3)] == [1, 0, 0] and rows[3]["c5"] == 10
     seen = sum(1 for r in registry.QUERIES["h3_cells_pivot_all"](spark, SMALL).collect() for v in r[1:8] if v is not None)
     assert seen == spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_every_search_is_answered(spark, tmp_path):
+    vectors = [(i, [float(i % 7 - 3), float(i % 11), 1.0], i % 3) for i in range(1, 201)] + [(250, [0.0, 0.0, 0.0], 1)]  # none with id 0
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = got(spark, "r3_cosine_topk_all", str(tmp_path), "query", "score", "vec_id")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    by = {i: v for i, v, _ in vectors}
+    want = [(q, *x) for q in (50, 100, 150, 200) for x in sorted(((round(cos(by[q], v), 4), i) for i, v, label in vectors if label == 1 and any(v)), key=lambda x: (-x[0], x[1]))[:3]]
+    assert rows == sorted(want)
+    few = [(50, [1.0, 0.0], 0), (51, [1.0, 0.1], 0)]
+    spark.createDataFrame(few, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/few/embeddings.parquet")
+    assert [r[2] for r in got(spark, "r3_cosine_topk_all", f"{tmp_path}/few", "query", "score", "vec_id")] == [51, 50]
