@@ -273,6 +273,57 @@ def u3_union(spark, sf):
     return p.select("type", F.when(F.col("src") == "F", "plan").otherwise("table").alias("origin")).distinct()
 
 
+# References of plan and table in their project, over all placements: the data has refs of one side and of both.
+_REFS = W + ", f as (select distinct project, type from placements where src = 'F'), o as (select distinct project, type from placements where src = 'O') "
+
+
+def refs(spark, sf):
+    p = placements(spark, sf)
+    return tuple(p.filter(F.col("src") == s).select("project", "type") for s in ("F", "O"))
+
+
+@query("u1_set_difference_all", _REFS + "select *, 'plan_only' side from (select * from f except select * from o) union all select *, 'table_only' from (select * from o except select * from f)")
+def u1_set_difference_all(spark, sf):
+    plan, table = refs(spark, sf)
+    return plan.subtract(table).withColumn("side", F.lit("plan_only")).unionByName(table.subtract(plan).withColumn("side", F.lit("table_only")))
+
+
+@query("u2_intersect_all", _REFS + "select * from f intersect select * from o")
+def u2_intersect_all(spark, sf):
+    plan, table = refs(spark, sf)
+    return plan.intersect(table)
+
+
+@query("u3_union_all", _REFS + "select *, 'plan' origin from f union select *, 'table' from o")
+def u3_union_all(spark, sf):
+    plan, table = refs(spark, sf)
+    return plan.withColumn("origin", F.lit("plan")).unionByName(table.withColumn("origin", F.lit("table"))).distinct()
+
+
+@query("j22_plan_table_discrepancy_all", _REFS + "select project, type, case when b.t is null then 'plan_only' when a.t is null then 'table_only' else 'both' end side from (select *, type t from f) a full join (select *, type t from o) b using (project, type)")
+def j22_plan_table_discrepancy_all(spark, sf):
+    return records.discrepancies(*refs(spark, sf), ["project", "type"])
+
+
+@query("j23_orphans_all", W + "select type, 'unplaced' side from catalogue where type not in (select type from placements where type is not null) union all select distinct type, 'unknown' from placements where type not in (select type from catalogue where type is not null)")
+def j23_orphans_all(spark, sf):
+    """Types of the catalogue that nothing places, and placed types that it lacks."""
+    c, p = catalogue(spark, sf).select("type"), placements(spark, sf).select("type").distinct()
+    return c.join(p, "type", "left_anti").withColumn("side", F.lit("unplaced")).unionByName(p.join(c, "type", "left_anti").withColumn("side", F.lit("unknown")))
+
+
+@query("j11_costing_all", W + "select project, cast(sum(cast(price * qty as decimal(18,2))) as decimal(18,2))::double total from placements join catalogue using (type) group by project")
+def j11_costing_all(spark, sf):
+    priced = placements(spark, sf).join(catalogue(spark, sf).select("type", "price"), "type")
+    return priced.groupBy("project").agg(_D(F.sum(K.dec(F.col("price") * F.col("qty"), 2)), 2).alias("total"))
+
+
+@query("j1_placement_catalogue_all", W + "select project, inst, p.type, coalesce(family, 'inconnu') family, vol::double vol from placements p left join catalogue c on c.type = p.type")
+def j1_placement_catalogue_all(spark, sf):
+    known = gated(spark, sf).select("type", "family", F.col("vol").cast("double").alias("vol"))
+    return placements(spark, sf).select("project", "inst", "type").join(known, "type", "left").select("project", "inst", "type", F.coalesce("family", F.lit("inconnu")).alias("family"), "vol")
+
+
 @query("t1_family_rank", _LINES + "select family, sum(qty)::bigint qty, row_number() over (order by sum(qty) desc, family)::int pos from l group by family having sum(qty) > 0")
 def t1_family_rank(spark, sf):
     # six rows at most reach the window

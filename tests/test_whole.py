@@ -42,3 +42,18 @@ def test_every_search_is_answered(spark, tmp_path):
     few = [(50, [1.0, 0.0], 0), (51, [1.0, 0.1], 0)]
     spark.createDataFrame(few, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/few/embeddings.parquet")
     assert [r[2] for r in got(spark, "r3_cosine_topk_all", f"{tmp_path}/few", "query", "score", "vec_id")] == [51, 50]
+
+
+def test_all_placements_and_catalogue(spark, tables):
+    plan, table = {(1, 1), (1, 2), (2, 9), (3, 10), (3, 1)}, {(1, 7), (1, 2), (2, 3)}
+    ref = ("project", "type")
+    assert got(spark, "u1_set_difference_all", tables, *ref, "side") == sorted([(*x, "plan_only") for x in plan - table] + [(*x, "table_only") for x in table - plan])
+    assert got(spark, "u2_intersect_all", tables, *ref) == [(1, 2)]
+    assert got(spark, "u3_union_all", tables, *ref, "origin") == sorted([(*x, "plan") for x in plan] + [(*x, "table") for x in table])
+    side = lambda x: "both" if x in plan & table else "plan_only" if x in plan else "table_only"
+    assert got(spark, "j22_plan_table_discrepancy_all", tables, *ref, "side") == sorted((*x, side(x)) for x in plan | table)
+    assert got(spark, "j23_orphans_all", tables, "type", "side") == [(5, "unplaced"), (9, "unknown")]
+    total = {1: 7 * 101 + 80 * 102 + 2 * 107, 2: 103, 3: 4 * 110 + 4 * 101}  # 7 is in, 9 is unknown
+    assert got(spark, "j11_costing_all", tables, "project", "total") == sorted((k, float(v)) for k, v in total.items())
+    families = got(spark, "j1_placement_catalogue_all", tables, "type", "family")
+    assert len(families) == 8 and {t for t, f in families if f == "inconnu"} == {9} and (10, "chainage") in families
