@@ -64,6 +64,24 @@ def test_minhash_chain(spark):
     assert got == {i: c for i, (_, c) in brute_links(docs, 5, 80).items()}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_sketch_loses_no_more_than_bands(similarity):
+    """Exact: each minimum that differs turns two random bits of the XOR of two sketches over."""
+    import math
+
+    import numpy as np
+
+    bits, minima = minhash.SKETCH_BITS, minhash.MINHASHES
+    ones = np.arange(bits + 1)
+    at, lost = np.eye(1, bits + 1)[0], 0.0
+    low = minhash.estimate(np.minimum(ones, bits // 2 - 1), np.log) < similarity - minhash.MARGIN
+    for differ in range(minima + 1):
+        lost += math.comb(minima, differ) * (1 - similarity) ** differ * similarity ** (minima - differ) * at[low | (2 * ones >= bits)].sum()
+        for _ in range(2):
+            at = np.concatenate([[0], at[:-1] * (bits - ones[:-1]) / bits]) + np.concatenate([at[1:] * ones[1:] / bits, [0]])
+    assert lost <= (1 - similarity**minhash.BAND) ** (minhash.BANDED // minhash.BAND)
+
+
 def test_substring(tiny, empty):
     docs = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in tiny.collect()]
     least = {}
