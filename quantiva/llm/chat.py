@@ -140,7 +140,8 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
     """One row per message, call or result, with its link, validity, order and canonical JSON.
 
     Within a conversation the order is that of ``topo_turn, topo_level, turn, place``: a linked result follows
-    its call in the call's turn, and a call follows the calls of its turn whose results it uses.
+    its call in the call's turn, and a call follows the calls whose results it uses: if one of those is of a later
+    turn, ``topo_turn`` is that turn.
     """
     tools = TOOLS if tools is None else tools
     src = conversations.select("conv_id", "turn", "role", "text")
@@ -162,14 +163,14 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
     calls = rows.filter("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(0)).alias("t"), "place")).alias("at"), F.first("refs").alias("refs0"))
     firsts = calls.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("at.t").alias("c_turn"), F.col("at.place").alias("c_place"))
     levels = _levels(rows, firsts)
-    known = firsts.join(levels, ["c_conv", "c_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    known = firsts.join(levels, ["c_conv", "c_id"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "reach": F.coalesce("reach", "c_turn")})
     results = rows.filter("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results")).select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), "n_results")
     known = known.join(results, ["c_conv", "c_id"], "left")
 
     own = (F.col("conv_id") == F.col("c_conv")) & (F.col("call_id") == F.col("c_id"))
     # Messages that are neither calls nor results have no identifier and need no join.
     linked = rows.filter("call_id is not null").join(known, own, "left")
-    plain = rows.filter("call_id is null").select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("c_conv", kinds["conv_id"]), ("c_id", "string"), ("c_turn", kinds["turn"]), ("c_place", "int"), ("level", "int"), ("n_results", "bigint"))))
+    plain = rows.filter("call_id is null").select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("c_conv", kinds["conv_id"]), ("c_id", "string"), ("c_turn", kinds["turn"]), ("c_place", "int"), ("level", "int"), ("reach", kinds["turn"]), ("n_results", "bigint"))))
     first = (F.coalesce("turn", F.lit(0)) == F.col("c_turn")) & (F.col("place") == F.col("c_place"))
     link = (
         F.when(F.col("kind") == "message", "none")
@@ -184,30 +185,31 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
     depth = F.coalesce(F.when(F.col("level") < 0, F.lit(1_000_000)).otherwise(F.col("level")), F.lit(0))
     return joined.select(
         "conv_id", "turn", "place", "role", "kind", "call_id", "name", link.alias("link"), "valid", "problem",
-        F.when(F.col("kind") == "result", F.coalesce("c_turn", "turn")).otherwise(F.col("turn")).alias("topo_turn"),
+        F.when(F.col("kind") == "result", F.coalesce("reach", "turn")).when((F.col("kind") == "call") & first & (F.col("reach") > F.col("c_turn")), F.col("reach")).otherwise(F.col("turn")).alias("topo_turn"),
         (2 * depth + F.when(F.col("kind") == "result", 1).otherwise(0)).cast("int").alias("topo_level"),
         F.col("body").alias("json"),
     )
 
 
 def _levels(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``c_conv, c_id, level``: the longest chain of references below each call that has any; -1 in circles.
+    """``c_conv, c_id, level, reach``: the longest chain of references below each call that has any, and the latest
+    turn of the chain; -1 and null in circles.
 
     Kahn's peeling: in each round the calls whose needs are all settled get their level. A round is a join over
     what is still open; there are as many as the longest chain.
     """
     needs = rows.filter("kind = 'call' and call_id is not null and size(refs) > 0").select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("turn"), "place", F.explode("refs").alias("need"))
-    needs = needs.join(firsts, ["c_conv", "c_id"]).filter("coalesce(turn, 0) = c_turn and place = c_place").select("c_conv", "c_id", "need")
-    targets = firsts.select("c_conv", F.col("c_id").alias("need"))
-    open_ = materialize(needs.join(targets, ["c_conv", "need"], "left_semi").distinct(), "chat-needs")
-    done = open_.sparkSession.createDataFrame([], open_.select("c_conv", "c_id").schema.add("level", "integer"))
+    needs = needs.join(firsts, ["c_conv", "c_id"]).filter("coalesce(turn, 0) = c_turn and place = c_place").select("c_conv", "c_id", "c_turn", "need")
+    targets = firsts.select("c_conv", F.col("c_id").alias("need"), F.col("c_turn").alias("need_turn"))
+    open_ = materialize(needs.join(targets, ["c_conv", "need"]).distinct(), "chat-needs")
+    done = open_.sparkSession.createDataFrame([], open_.select("c_conv", "c_id").schema.add("level", "integer").add("reach", open_.schema["c_turn"].dataType))
     while not open_.isEmpty():
         waiting = open_.select("c_conv", F.col("c_id").alias("need")).distinct().withColumn("waits", F.lit(1))
-        state = open_.join(waiting, ["c_conv", "need"], "left").join(done.select("c_conv", F.col("c_id").alias("need"), "level"), ["c_conv", "need"], "left")
-        ready = state.groupBy("c_conv", "c_id").agg(F.max("waits").alias("w"), (F.max(F.coalesce("level", F.lit(0))) + 1).alias("level")).filter("w is null").select("c_conv", "c_id", "level")
+        state = open_.join(waiting, ["c_conv", "need"], "left").join(done.select("c_conv", F.col("c_id").alias("need"), "level", "reach"), ["c_conv", "need"], "left")
+        ready = state.groupBy("c_conv", "c_id").agg(F.max("waits").alias("w"), (F.max(F.coalesce("level", F.lit(0))) + 1).alias("level"), F.max(F.greatest("c_turn", F.coalesce("reach", "need_turn"))).alias("reach")).filter("w is null").select("c_conv", "c_id", "level", "reach")
         ready = materialize(ready, "chat-ready")
         if ready.isEmpty():
-            return done.unionByName(open_.select("c_conv", "c_id").distinct().withColumn("level", F.lit(-1)))
+            return done.unionByName(open_.select("c_conv", "c_id").distinct().withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(open_.schema["c_turn"].dataType)}))
         done = done.unionByName(ready)
         open_ = materialize(open_.join(ready, ["c_conv", "c_id"], "left_anti"), "chat-needs")
     return done

@@ -227,6 +227,14 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_reference_to_later_turn(spark):
+    call = lambda i, need: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": {"query": {"$ref": need} if need else "x"}}]})
+    msgs = [(1, 0, "assistant", call("c", "b")), (1, 1, "assistant", call("b", "a")), (1, 5, "assistant", call("a", None)), (1, 6, "tool", json.dumps({"tool_call_id": "a", "content": 1})), (1, 7, "tool", json.dumps({"tool_call_id": "b", "content": 1}))]
+    got = rows(chat.format_chat(spark.createDataFrame(msgs, "conv_id bigint, turn bigint, role string, text string")))
+    got.sort(key=lambda r: (r["topo_turn"], r["topo_level"], r["turn"], r["place"]))
+    assert [(r["call_id"], r["kind"]) for r in got] == [("a", "call"), ("a", "result"), ("b", "call"), ("b", "result"), ("c", "call")]
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.example.com/en/1", "https://a.example.com/en/2?x=1", "http://b.net/es/", "http://b.net/de/1", "http://x.org", None, "no scheme", "http://com/", "http://notcom/", "ftp://u@h.example.com?q#f"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(100 + i, f"http://spam.net/es/{i}", "x") for i in range(50)] + [(200 + i, f"http://fine.com/de/{i}", "x") for i in range(50)], "page_id bigint, url string, rule string")
