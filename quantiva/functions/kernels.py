@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BAR_MASS, HOOKS, LAP, STOCK_BAR
+from .constants import BAR_MASS, COVER, HOOKS, LAP, STOCK_BAR
 
 
 def dec(c: Column, scale: int = 3, width: int = 18) -> Column:
@@ -45,7 +45,7 @@ def developed_length(phi: Column, clear: Column, explicit: Column | None = None)
     return dec(base + dec(laps, 0) * dec(phi * LAP, 0) * F.lit(0.001).cast("decimal(4,3)"))
 
 
-def stirrup_length(b: Column, h: Column, phi: Column, cover: float = 0.03) -> Column:
+def stirrup_length(b: Column, h: Column, phi: Column, cover: float = COVER) -> Column:
     """2(b-2c) + 2(h-2c) + hooks of 10 diameters or 8 cm; sides of 5 cm at least."""
     side = lambda x: F.greatest(dec(x) - dec(F.lit(2 * cover)), dec(F.lit(0.05)))
     return dec(2 * side(b) + 2 * side(h) + 2 * F.greatest(dec(phi * 10, 0) * F.lit(0.001).cast("decimal(4,3)"), dec(F.lit(0.08))))

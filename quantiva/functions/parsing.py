@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import PREFIXES
+from .constants import LEVELS, PREFIXES
 
 LABEL = r"^\s*([A-Za-z]+)\s*[-_.]?\s*([0-9]+)"
 SECTION = r"([0-9]+(?:[.,][0-9]+)?)\s*[xX]\s*([0-9]+(?:[.,][0-9]+)?)(?:\s*[xX]\s*([0-9]+(?:[.,][0-9]+)?))?"
@@ -61,13 +61,28 @@ def stirrup(spec: Column) -> tuple[Column, Column]:
     return phi, F.when(phi.isNotNull(), F.when(raw >= 1, raw / 100).otherwise(raw))
 
 
+_NUM = r"([0-9]+(?:[.,][0-9]+)?)"
+_PAIR = r"^(.+?)\s*[x×X*]\s*(.+?)$"
+
+
 def length_metres(text: Column) -> Column:
-    """Metres from feet and inches, m, cm, mm, or a bare number (from 1000: mm, from 30: cm, else m)."""
-    t = F.lower(F.trim(text))
-    feet, inches = (number(F.regexp_extract(t, r"^([0-9]+)'\s*-?\s*(?:([0-9]+(?:\.[0-9]+)?)\")?$", i)) for i in (1, 2))
-    value, unit = number(F.regexp_extract(t, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 1)), F.regexp_extract(t, r"^([0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m)?$", 2)
-    bare = F.when(value >= 1000, value / 1000).when(value >= 30, value / 100).otherwise(value)
-    return F.when(feet.isNotNull(), feet * 0.3048 + F.coalesce(inches, F.lit(0.0)) * 0.0254).otherwise(F.when(unit == "mm", value / 1000).when(unit == "cm", value / 100).when(unit == "m", value).otherwise(bare))
+    """Metres (3 decimals) from feet and inches, feet-inches, inches, m, cm, mm, or a bare number (from 1000: mm, from
+    30: cm, else m); brackets about it don't count, a point in front is a decimal one."""
+    plain = F.btrim(F.translate(F.trim(text), "′’″”", "''\"\""), F.lit("()[] "))
+    t = F.when(plain.startswith("."), F.concat(F.lit("0"), plain)).otherwise(plain)
+    at = lambda pattern, i: number(F.regexp_extract(t, pattern, i))
+    foot_inch, foot_dash, inch, metric = rf"^{_NUM}\s*'\s*[-–]?\s*(?:([0-9]{{1,2}}(?:[.,][0-9]+)?)\s*\"?)?$", r"^([0-9]+)\s*[-–]\s*([0-9]{1,2})\s*\"?$", rf"^{_NUM}\s*\"$", rf"(?i)^{_NUM}\s*(m|cm|mm)?\.?$"
+    feet = lambda pattern: at(pattern, 1) * 0.3048 + F.coalesce(at(pattern, 2), F.lit(0.0)) * 0.0254
+    value, unit = at(metric, 1), F.lower(F.regexp_extract(t, metric, 2))
+    metres = F.when(unit == "mm", value / 1000).when(unit == "cm", value / 100).when(unit == "m", value).when(value >= 1000, value / 1000).when(value >= 30, value / 100).otherwise(value)
+    return F.round(F.coalesce(feet(foot_inch), feet(foot_dash), at(inch, 1) * 0.0254, metres), 3)
+
+
+def is_dimension(text: Column) -> Column:
+    """Whether a token is one length: with a unit, a whole number of 3 or 4 digits, or a decimal such as 3.50."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    shaped = t.rlike(r"(?i)['′’\"″”]|\bm\b|\bcm\b|\bmm\b|[0-9]-[0-9]") | t.rlike(r"^[0-9]{3,4}$") | t.rlike(r"^[0-9]{1,2}[.,][0-9]{1,2}$")
+    return (t != "") & ~t.rlike(_PAIR) & length_metres(t).isNotNull() & shaped
 
 
 def ref_root(label: Column) -> Column:
@@ -85,9 +100,11 @@ def reverse_text(text: Column) -> Column:
 
 
 def level_name(text: Column) -> Column:
-    t = norm_text(text)
-    floor = F.regexp_extract(t, r"(?:etage|r\+)\s*([0-9]+)", 1)
-    return F.when(t.rlike(r"fondation"), "FONDATION").when(t.rlike(r"rdc|rez"), "RDC").when(floor != "", F.concat(F.lit("R+"), floor)).when(t.rlike("terrasse"), "TERRASSE")
+    """The level of the first pattern found, accents not regarded; NULL without any."""
+    plain, out = F.upper(norm_text(text)), F.lit(None).cast("string")
+    for pattern, level in reversed(LEVELS):
+        out = F.when(plain.rlike(pattern), level).otherwise(out)
+    return out
 
 
 def explicit_length(spec: Column) -> Column:
@@ -97,6 +114,6 @@ def explicit_length(spec: Column) -> Column:
 
 
 def room_dims(text: Column, low: float = 0.5, high: float = 40) -> Column:
-    """array<double> of both sides of a room noted L x l in metres, NULL unless both are plausible."""
-    sides = F.array(*(number(F.regexp_extract(text, SECTION, i)) for i in (1, 2)))
-    return F.when(F.forall(sides, lambda v: v.between(low, high)), sides)
+    """array<double> of both sides in metres of a room noted L x l, each any length, NULL unless both are plausible."""
+    sides = F.array(*(length_metres(F.regexp_extract(F.trim(text), _PAIR, i)) for i in (1, 2)))
+    return F.when(F.forall(sides, lambda v: F.coalesce(v.between(low, high), F.lit(False))), sides)

@@ -40,9 +40,9 @@ def p15_explicit_length(spark, sf):
     return catalogue(spark, sf).select("type", P.explicit_length(text).alias("metres"))
 
 
-@query("p18_room_dims", W + "select type, case when phi <= 40 and a_cm / 10.0 <= 40 then phi::double end long_m, case when phi <= 40 and a_cm / 10.0 <= 40 then (a_cm / 10.0)::double end wide_m from catalogue")
+@query("p18_room_dims", W + "select type, case when ok then l end long_m, case when ok then w end wide_m from (select *, l between 0.5 and 40 and w between 0.5 and 40 ok from (select type, round(case when phi >= 30 then phi / 100.0 else phi end, 3)::double l, round(case when a_cm / 10.0 >= 30 then a_cm / 1000.0 else a_cm / 10.0 end, 3)::double w from catalogue))")
 def p18_room_dims(spark, sf):
-    text = F.concat(F.lit("SALON "), F.col("phi").cast("string"), F.lit(" x "), (F.col("a_cm") / 10).cast("decimal(9,1)").cast("string"))
+    text = F.concat(F.col("phi").cast("string"), F.lit(" x "), (F.col("a_cm") / 10).cast("decimal(9,1)").cast("string"))
     dims = P.room_dims(text)
     return catalogue(spark, sf).select("type", F.get(dims, 0).alias("long_m"), F.get(dims, 1).alias("wide_m"))
 

@@ -35,7 +35,7 @@ _projection("p17_parse_length", lambda: {"metres": F.round(P.length_metres(_text
 _projection("p26_reverse_text", lambda: {"read": P.reverse_text(F.reverse(F.translate("label", "()", ")(")))}, "label as read")
 _projection("p32_ref_root", lambda: {"root": P.ref_root(F.concat("prefix", "type", F.lit("_25x40")))}, "prefix || type root")
 _projection("p33_norm_text", lambda: {"norm": P.norm_text(F.concat(F.lit(" Étage  "), "label"))}, "'etage ' || lower(label) norm")
-_projection("p29_level", lambda: {"level": P.level_name(F.concat(F.lit("Plan étage "), (F.col("type") % 9).cast("string")))}, "'R+' || (type % 9) as level")
+_projection("p29_level", lambda: {"level": P.level_name(F.concat(F.lit("Plan haut R + "), (F.col("type") % 5).cast("string")))}, "case type % 5 when 0 then 'RDC' else 'R+' || (type % 5) end as level")
 _projection("p16_specs_from_bars", lambda: {"spec_text": F.concat(F.col("nb").cast("string"), F.lit("HA"), F.col("phi").cast("string"))}, "spec spec_text")
 
 _d = lambda c: c.cast("double")
@@ -44,7 +44,7 @@ _projection("c5_column", lambda: {"vol_m3": _d(K.dec(F.col("vol"), 6))}, "cast(v
 _projection("c7_developed_length", lambda: {"dev": _d(K.developed_length(F.col("phi"), F.col("am") * 10)), "dev_explicit": _d(K.developed_length(F.col("phi"), F.col("am") * 10, F.lit(True)))},
     "cast(am * 10 + phi * 30 * 0.001 + greatest(ceil((am * 10 + phi * 30 * 0.001) / 12) - 1, 0)::int * phi * 50 * 0.001 as decimal(18,3))::double dev, cast(am * 10 + greatest(ceil(am * 10 / 12) - 1, 0)::int * phi * 50 * 0.001 as decimal(18,3))::double dev_explicit", gated)
 _projection("c8_stirrups", lambda: {"len": _d(K.stirrup_length(F.col("am"), F.col("bm"), F.col("phi"))), "n": K.stirrup_count(F.col("hm") * 10, F.lit(0.15))},
-    "cast(2 * greatest(am - 0.06, 0.05) + 2 * greatest(bm - 0.06, 0.05) + 2 * greatest(phi * 10 * 0.001, 0.08) as decimal(18,3))::double len, (ceil(hm * 10 / 0.15) + 1)::int n", gated)
+    "cast(2 * greatest(am - 0.05, 0.05) + 2 * greatest(bm - 0.05, 0.05) + 2 * greatest(phi * 10 * 0.001, 0.08) as decimal(18,3))::double len, (ceil(hm * 10 / 0.15) + 1)::int n", gated)
 _projection("j5_nearest_diameter", lambda: {"near_phi": K.nearest_diameter(F.col("phi"))}, "case phi when 15 then 14 when 18 then 16 else phi end near_phi")
 _projection("q2_invalid_diameter", lambda: {"invalid": K.bar_mass(F.col("phi")).isNull(), "fix": F.when(K.bar_mass(F.col("phi")).isNull(), K.nearest_diameter(F.col("phi")))}, "phi in (15, 18) invalid, case phi when 15 then 14 when 18 then 16 end fix")
 _projection("f4_out_of_bounds", lambda: {"oob": ~F.col("hm").between(0.3, 0.5)}, "hm < 0.3 or hm > 0.5 oob", gated)
