@@ -73,3 +73,12 @@ REQUIRED = {
 }
 # kg per metre of the alternative engine
 BAR_MASS_ALT = {6: 0.222, 8: 0.395, 10: 0.617, 12: 0.888, 14: 1.210, 16: 1.580, 20: 2.470, 25: 3.850, 32: 6.310}
+# subjects of a text of rules by pattern, case ignored; a text without any is GENERAL
+SUBJECTS = [
+    ("SEMELLE", r"semelles?|fondations?\s*(basses?|isolées?)"), ("POTEAU", r"poteaux?|fûts?\s*de\s*poteau"), ("POUTRE", r"poutres?|poutrelles?|linteaux?"), ("LONGRINE", r"longrines?"), ("CHAINAGE", r"chainages?|chainage\s*d'angle"),
+    ("MUR", r"murs?|cloisons?|refends?|bandes?\s*noyées?"), ("VOILE", r"voiles?|voile\s*(porteur|de\s*fachade)"), ("DALLE", r"dalles?|planchers?|hourdis"), ("ESCALIER", r"escaliers?|marches?|paliers?"), ("TERRASSEMENT", r"terrassements?|fouilles?|déblais?|remblais?|décapage|rigoles?"),
+    ("MACONNERIE", r"maçonnerie|pierres?|briques?"), ("COFFRAGE", r"coffrages?|coffrage"), ("BETON", r"béton|dosage|confection"), ("FERRAILLAGE", r"ferraillage|acier|armatures?|tor|ha[0-9]|cadres?|étriers?"), ("ETANCHEITE", r"étanchéité|membrane|couvertine"),
+    ("ENDUIT", r"enduits?|ragréage|plâtre"), ("PEINTURE", r"peinture|peintures?"), ("MENUISERIE", r"menuiserie|portes?|fenêtres?|volets?"), ("CHARPENTE", r"charpente|fer|bois"),
+]
+# general meaning of prefixes that a plan's own legend lacks
+FALLBACK_LEGEND = {"N": "Poutre", "BN": "Bande noyée", "P": "Poteau", "S": "Semelle", "LG": "Longrine", "CH": "Chaînage", "V": "Voile", "D": "Dalle"}
