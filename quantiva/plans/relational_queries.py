@@ -362,5 +362,26 @@ def m1_ffd_inputs(spark, sf):
 
 @query("m1_ffd")
 def m1_ffd(spark, sf):
-    pieces = lines(spark, sf).select((F.col("project") % 100).alias("lot"), "phi", (F.col("hm") * 10_000).cast("int").alias("mm"), F.lit(1).alias("one"))
-    return packing.pack(pieces, ["lot", "phi"], "mm", "one")
+    """First-fit decreasing of all pieces of a diameter: bars, useful and waste length, waste share and weight bought."""
+    by_type = placements(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    pieces = gated(spark, sf).select("type", "phi", (F.col("hm") * 10_000).cast("int").alias("mm")).join(by_type, "type")
+    packed = packing.pack(pieces, ["phi"], "mm", "n")
+    metres, bought = lambda c: _D(F.col(c) / 1000, 2), F.col("bars") * 12
+    weight = _D(bought * F.coalesce(K.bar_mass(F.col("phi")), F.lit(0).cast("decimal(6,3)")), 2)
+    return packed.select("phi", "bars", "useful_mm", "waste_mm", metres("useful_mm").alias("useful_m"), F.round(F.col("waste_mm") / (bought * 1000) * 100, 2).alias("waste_pct"), weight.alias("weight_kg"))
+
+
+@query("m2_bar_by_bar")
+def m2_bar_by_bar(spark, sf):
+    """Bars filled one at a time from the longest piece down."""
+    by_type = placements(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    pieces = gated(spark, sf).select("type", "phi", (F.col("hm") * 10_000).cast("int").alias("mm")).join(by_type, "type")
+    return packing.pack(pieces, ["phi"], "mm", "n", packing.bar_by_bar)
+
+
+@query("m2_bar_demand", _LINES + "select phi, cast(hm * 10000 as int) mm, count(*) pieces from l where type % 17 > 0 group by 1, 2")
+def m2_bar_demand(spark, sf):
+    """Pieces asked for by length; types without a known span are left out."""
+    by_type = placements(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    known = gated(spark, sf).filter("type % 17 > 0").select("type", "phi", (F.col("hm") * 10_000).cast("int").alias("mm"))
+    return known.join(by_type, "type").groupBy("phi", "mm").agg(F.sum("n").alias("pieces"))

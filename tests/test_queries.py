@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quantiva.plans import document_queries, label_queries, matching_queries, ordered_queries, quantity_queries, registry, relational_queries, scalar_queries  # noqa: F401
+from quantiva.plans import document_queries, geometry_queries, label_queries, matching_queries, ordered_queries, quantity_queries, registry, relational_queries, scalar_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,11 +36,74 @@ def test_same_as_sql(spark, duck, name):
     assert got == want
 
 
-def test_packing_covers_every_piece(spark):
-    from quantiva.operators.packing import first_fit_decreasing
+def one_by_one(lengths, bar=12_000, least=50):
+    """First fit of single pieces, longest first."""
+    cut = []
+    for n in lengths:
+        while n > bar:
+            cut.append(bar)
+            n -= bar
+        if n > least:
+            cut.append(n)
+    free = []
+    for n in sorted(cut, reverse=True):
+        for i, room in enumerate(free):
+            if room >= n:
+                free[i] -= n
+                break
+        else:
+            free.append(bar - n)
+    return len(free), sum(cut)
 
-    free = first_fit_decreasing([5000] * 4 + [7000] * 2)
-    assert len(free) == 3 and sum(free) == 2000
-    assert len(first_fit_decreasing([25_000])) == 3 and first_fit_decreasing([40]) == []
-    rows = registry.QUERIES["m1_ffd"](spark, SMALL)
-    assert rows.filter("useful_mm + waste_mm <> bars * 12000").isEmpty()
+
+def greedy_bars(lengths, bar=12_000):
+    left, used = sorted((x for x in lengths if x <= bar + 1), reverse=True), 0
+    useful = sum(left)
+    while left:
+        room, rest = bar, []
+        for x in left:
+            if x <= room + 1:
+                room -= x
+            else:
+                rest.append(x)
+        left, used = rest, used + 1
+    return used, useful
+
+
+def test_packing_by_counts_is_packing_one_by_one():
+    import random
+    from collections import Counter
+
+    from quantiva.operators.packing import bar_by_bar, first_fit_decreasing
+
+    assert first_fit_decreasing([(5000, 4), (7000, 2)]) == (3, 34_000)
+    assert first_fit_decreasing([(25_000, 1)]) == (3, 25_000) and first_fit_decreasing([(40, 1)]) == (0, 0) == first_fit_decreasing([])
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.choice([rng.randrange(1, 30_000), rng.randrange(40, 60), 6000, 4000, 3001]) for _ in range(rng.randrange(60))]
+        runs = list(Counter(lengths).items())
+        assert first_fit_decreasing(runs) == one_by_one(lengths)
+        assert bar_by_bar(runs) == greedy_bars(lengths)
+
+
+def test_packing_queries(spark):
+    for name in ("m1_ffd", "m2_bar_by_bar"):
+        rows = registry.QUERIES[name](spark, SMALL)
+        assert rows.filter("useful_mm + waste_mm <> bars * 12000 or waste_mm < 0").isEmpty() and rows.count() == 11
+
+
+def test_greedy_assignment(spark):
+    """Each page's pairs taken as by looking at them in order of distance."""
+    from quantiva.plans.matching_queries import _beside
+
+    pairs = sorted((r["page"], r["d2"], r["id"], r["r_id"]) for r in _beside(spark, SMALL).collect())
+    left, right, want = set(), set(), []
+    for page, d2, a, b in pairs:
+        if (page, a) not in left and (page, b) not in right:
+            left.add((page, a))
+            right.add((page, b))
+            want.append((a, b))
+    got = registry.QUERIES["j12_greedy_assign"](spark, SMALL)
+    assert sorted((r["id"], r["r_id"]) for r in got.collect()) == sorted(want) and want
+    merged = registry.QUERIES["j13_merge_elements"](spark, SMALL)
+    assert merged.filter("origin = 'drawing' and text_id is not null").count() == len(want)

@@ -33,8 +33,8 @@ def test_upsert(spark):
 def test_notes(spark):
     df = spark.createDataFrame([("3HA12 L=4,20",), ("L = 420",), ("no length",), (None,)], "t string")
     assert [r[0] for r in df.select(parsing.explicit_length(df["t"])).collect()] == [4.2, 4.2, None, None]
-    rooms = spark.createDataFrame([("SALON 5,00 x 3.5",), ("400 x 3",), ("no sides",), (None,)], "t string")
-    assert [r[0] for r in rooms.select(parsing.room_dims(rooms["t"])).collect()] == [[5.0, 3.5], None, None, None]
+    rooms = spark.createDataFrame([("5,00 x 3.5",), ("400 x 3",), ("SALON 5 x 3",), (None,)], "t string")
+    assert [r[0] for r in rooms.select(parsing.room_dims(rooms["t"])).collect()] == [[5.0, 3.5], [4.0, 3.0], None, None]
 
 
 def test_streams(spark, tmp_path):
@@ -50,3 +50,26 @@ def test_streams(spark, tmp_path):
     run = totals.new_files(spark, str(tmp_path / "files")).writeStream.format("memory").queryName("kinds").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state2")).start()
     run.awaitTermination(60)
     assert [(r["kind"], r["length"]) for r in spark.table("kinds").collect()] == [("DWG", 2)]
+
+
+def test_dxf_and_ifc(spark, tmp_path):
+    pairs = ["0", "SECTION", "2", "ENTITIES", "0", "TEXT", "8", "POTEAU_RDC", "1", "P1(25x35)", "10", "1.5", "20", "2", "0", "LWPOLYLINE", "8", "AXES", "10", "0", "20", "0", "10", "4", "20", "3.5", "0", "ENDSEC", "0", "EOF"]
+    (tmp_path / "a.dxf").write_text("\r\n".join(pairs) + "\r\n")
+    (tmp_path / "b.dxf").write_text("")
+    got = {r["kind"]: r for r in files.dxf_entities(spark, f"{tmp_path}/*.dxf").collect()}
+    assert set(got) == {"TEXT", "LWPOLYLINE"} and got["TEXT"]["text"] == "P1(25x35)" and got["TEXT"]["layer_class"] == "poteaux"
+    assert got["LWPOLYLINE"]["xs"] == [0.0, 4.0] and got["LWPOLYLINE"]["ys"] == [0.0, 3.5] and got["LWPOLYLINE"]["layer_class"] == "axes"
+    (tmp_path / "m.ifc").write_text("ISO-10303-21;\n#12=IFCBEAM('g1',#2,'N1',$,$,#3,#4,'x');\n#13= IFCCOLUMN('g2',#2,$,$,$,#3,#4,'x');\n#14=IFCDOOR('g3',#2,'d',$);\nENDSEC;\n")
+    rows = {r["entity"]: (r["family"], r["guid"], r["name"]) for r in files.ifc_elements(spark, f"{tmp_path}/m.ifc").collect()}
+    assert rows == {12: ("POUTRE", "g1", "N1"), 13: ("POTEAU", "g2", None)}
+
+
+def test_route_and_sinks(spark, tmp_path):
+    paths = spark.createDataFrame([("a.dxf",), ("b.ifc",), ("c.xyz",), (None,)], "path string")
+    assert {r["path"]: (r["reader"], r["partial"]) for r in files.route(paths).collect()} == {"a.dxf": ("dxf_entities", False), "b.ifc": ("ifc_elements", False), "c.xyz": (None, True), None: (None, True)}
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, t string")
+    files.write_sheets({"one": df, "two": df.limit(0)}, str(tmp_path / "book"))
+    files.write_sheets({"one": df}, str(tmp_path / "book"), append=True)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "book/one")).count() == 4
+    files.json_dump(df, str(tmp_path / "dump"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()) == ['{"id":1,"t":"x"}', '{"id":2}']
