@@ -29,6 +29,12 @@ def lines(spark, sf):
     return placements(spark, sf).join(gated(spark, sf).select("type", "family", "vol", "phi", "nb", "am", "bm", "hm"), "type")
 
 
+def typed(spark, sf):
+    """Types with their number of placements ``n`` and summed ``qty``: placements are combined before the join."""
+    by_type = placements(spark, sf).groupBy("type").agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
+    return by_type.join(gated(spark, sf).select("type", "family", "vol", "phi", "nb", "am", "bm", "hm"), "type")
+
+
 _LINES = W + ", l as (select p.*, c.family, c.vol, c.phi, c.nb, c.am, c.bm, c.hm from placements p join catalogue c using (type)) "
 
 
@@ -36,7 +42,7 @@ def bill(spark, sf):
     """Volumes by price code with unit prices, before tax: the priced bill."""
     prices = spark.createDataFrame([(k, v) for k, v in UNIT_PRICES.items()], "code string, price double")
     by_type = placements(spark, sf).groupBy("type").agg(F.sum("qty").alias("qty"))  # combined before the join
-    sums = by_type.join(gated(spark, sf), "type").groupBy(code_of(F.col("family")).alias("code")).agg(F.sum(K.dec(F.col("vol") * F.col("qty"), 9, 28)).alias("vol"))
+    sums = by_type.join(gated(spark, sf), "type").groupBy(code_of(F.col("family")).alias("code")).agg(F.sum(K.dec(F.col("vol") * K.dec(F.col("qty"), 0, 15), 9, 28)).alias("vol"))
     return prices.join(sums, "code", "left").select("code", K.dec(F.coalesce("vol", F.lit(0)), 3, 18).alias("vol"), K.dec(F.col("price"), 2, 10).alias("price"))
 
 
@@ -63,13 +69,13 @@ def j1_placement_catalogue(spark, sf):
 
 @query("a3_by_family", _LINES + "select family, cast(sum(cast(vol * cast(qty as decimal(9,0)) as decimal(28,9))) as decimal(24,3))::double vol, sum(qty)::bigint qty from l group by family")
 def a3_by_family(spark, sf):
-    return lines(spark, sf).groupBy("family").agg(_D(F.sum(K.dec(F.col("vol") * F.col("qty"), 9, 28))).alias("vol"), F.sum("qty").alias("qty"))
+    return typed(spark, sf).groupBy("family").agg(_D(F.sum(K.dec(F.col("vol") * K.dec(F.col("qty"), 0, 15), 9, 28))).alias("vol"), F.sum("qty").alias("qty"))
 
 
 @query("a3_by_diameter", _LINES + f", m as (select * from {_SQL_MASS}) select phi, sum(nb * qty)::bigint bars, cast(sum(cast(nb * qty * kg as decimal(28,3))) as decimal(24,3))::double kg_per_m from l left join m on m.d = phi group by phi")
 def a3_by_diameter(spark, sf):
     kg = K.bar_mass(F.col("phi"))
-    return lines(spark, sf).groupBy("phi").agg(F.sum(F.col("nb").cast("bigint") * F.col("qty")).alias("bars"), _D(F.sum(K.dec(F.col("nb") * F.col("qty") * kg, 3, 28))).alias("kg_per_m"))
+    return typed(spark, sf).groupBy("phi").agg(F.sum(F.col("nb").cast("bigint") * F.col("qty")).alias("bars"), _D(F.sum(K.dec(F.col("nb") * F.col("qty") * kg, 3, 28))).alias("kg_per_m"))
 
 
 @query("c9_rebar_schedule", W + f", m as (select * from {_SQL_MASS}) select type, k as pos, n as nb_bars, cast(n * kg * am as decimal(18,3))::double kg from catalogue, (values (0), (1)) v(k), lateral (select case k when 0 then nb else 4 end n, case k when 0 then phi else 12 end d) x join m on m.d = x.d")
@@ -85,7 +91,7 @@ def c9_rebar_schedule(spark, sf):
 def a7_ratio_control(spark, sf):
     bounds = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in RATIO_BOUNDS.items()], "family string, lo double, hi double")
     kg = F.coalesce(K.bar_mass(F.col("phi")), F.lit(0).cast("decimal(6,3)"))
-    sums = lines(spark, sf).groupBy("family").agg(F.sum(K.dec(F.col("vol") * F.col("qty"), 9, 28)).alias("v"), F.sum(K.dec(F.col("nb") * F.col("qty") * kg * F.col("am"), 6, 28)).alias("k"))
+    sums = typed(spark, sf).groupBy("family").agg(F.sum(K.dec(F.col("vol") * K.dec(F.col("qty"), 0, 15), 9, 28)).alias("v"), F.sum(K.dec(F.col("nb") * F.col("qty") * kg * F.col("am"), 6, 28)).alias("k"))
     ratio = F.col("k").cast("double") / F.col("v").cast("double")
     return sums.join(bounds, "family").select("family", F.round(ratio, 1).alias("ratio"), F.when(ratio < F.col("lo"), "BAS").when(ratio > F.col("hi"), "HAUT").otherwise("OK").alias("status"))
 
@@ -204,7 +210,7 @@ def a22_confusion(spark, sf):
 
 @query("a24_bars_needed", _LINES + "select phi, ceil(sum(cast(nb * am * qty as decimal(28,3)))::double / 12)::bigint bars from l group by phi")
 def a24_bars_needed(spark, sf):
-    return lines(spark, sf).groupBy("phi").agg(F.sum(K.dec(F.col("nb") * F.col("am") * F.col("qty"), 3, 28)).alias("t")).select("phi", F.ceil(F.col("t").cast("double") / 12).alias("bars"))
+    return typed(spark, sf).groupBy("phi").agg(F.sum(K.dec(F.col("nb") * F.col("am") * F.col("qty"), 3, 28)).alias("t")).select("phi", F.ceil(F.col("t").cast("double") / 12).alias("bars"))
 
 
 @query("a31_source_conflict", W + "select type, max(qty) - min(qty) gap from placements group by type having max(qty) - min(qty) >= 1 and count(distinct src) > 1")
@@ -221,7 +227,7 @@ def a32_diameters(spark, sf):
 @query("x2_diameter_pivot", _LINES + "select family, " + ", ".join(f"coalesce(sum(nb * qty) filter (phi = {d}), 0)::bigint d{d}" for d in BAR_MASS) + " from l group by family")
 def x2_diameter_pivot(spark, sf):
     n = F.col("nb").cast("bigint") * F.col("qty")
-    return lines(spark, sf).groupBy("family").agg(*(F.coalesce(F.sum(F.when(F.col("phi") == d, n)), F.lit(0)).alias(f"d{d}") for d in BAR_MASS))
+    return typed(spark, sf).groupBy("family").agg(*(F.coalesce(F.sum(F.when(F.col("phi") == d, n)), F.lit(0)).alias(f"d{d}") for d in BAR_MASS))
 
 
 @query("x5_incomplete_total", W + ", v as (select project, level, case when type % 97 = 0 then null else qty end q from placements) select level, project % 100 as lot, case when count(*) filter (q is null) > 0 then null else sum(q)::bigint end total, case when count(*) filter (q is null) > 0 then 'INCOMPLET' else 'OK' end status from v group by 1, 2")
@@ -327,7 +333,7 @@ def j1_placement_catalogue_all(spark, sf):
 @query("t1_family_rank", _LINES + "select family, sum(qty)::bigint qty, row_number() over (order by sum(qty) desc, family)::int pos from l group by family having sum(qty) > 0")
 def t1_family_rank(spark, sf):
     # six rows at most reach the window
-    s = lines(spark, sf).groupBy("family").agg(F.sum("qty").alias("qty")).filter("qty > 0")
+    s = typed(spark, sf).groupBy("family").agg(F.sum("qty").alias("qty")).filter("qty > 0")
     return s.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("qty"), "family")))
 
 
@@ -357,7 +363,7 @@ def q8_unused_prefix(spark, sf):
 
 @query("m1_ffd_inputs", _LINES + "select phi, count(*) pieces, sum(cast(hm * 1000 as int))::bigint useful_mm from l group by phi")
 def m1_ffd_inputs(spark, sf):
-    return lines(spark, sf).groupBy("phi").agg(F.count("*").alias("pieces"), F.sum((F.col("hm") * 1000).cast("int")).alias("useful_mm"))
+    return typed(spark, sf).groupBy("phi").agg(F.sum("n").alias("pieces"), F.sum((F.col("hm") * 1000).cast("int") * F.col("n")).alias("useful_mm"))
 
 
 @query("m1_ffd")

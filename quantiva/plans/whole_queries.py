@@ -111,7 +111,7 @@ def w2_bands_by_reference(spark, sf):
 def k13_view_model(spark, sf):
     """Totals by family as a screen shows them: volume, number, share and rank."""
     by_type = placements(spark, sf).groupBy("type").agg(F.sum("qty").alias("qty"), F.count("*").alias("n"))
-    v = by_type.join(gated(spark, sf).select("type", "family", "vol"), "type").groupBy("family").agg(F.sum((F.col("vol") * F.col("qty")).cast("decimal(28,9)")).alias("v"), F.sum("n").alias("n"))
+    v = by_type.join(gated(spark, sf).select("type", "family", "vol"), "type").groupBy("family").agg(F.sum((F.col("vol") * F.col("qty").cast("decimal(15,0)")).cast("decimal(28,9)")).alias("v"), F.sum("n").alias("n"))
     total = v.agg(F.sum("n").alias("all"))
     rank = F.row_number().over(Window.orderBy(F.desc("v"), "family"))  # six rows
     return v.join(F.broadcast(total)).select("family", F.col("v").cast("decimal(24,2)").cast("double").alias("volume"), "n", F.round(100.0 * F.col("n") / F.col("all"), 1).alias("pct"), rank.alias("pos"))
