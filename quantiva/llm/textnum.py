@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 1 << 20  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK = 1 << 18  # bytes of text handled at once; a longer text is a chunk of its own
 
 _rng = np.random.default_rng(20_240_607)
 _BYTE = [_rng.integers(1 << 62, 1 << 63, 256, dtype=U64) | U64(1) for _ in range(2)]
