@@ -1,39 +1,63 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant; DataFrame functions only.
 
-Each text gets a vector of transformed statistics. For each language and source the location and scatter of the
-vectors are estimated by concentration steps: from medians and absolute deviations, the three quarters of the
-rows with the least distances give the next mean and covariance, again and again. Rows far from the final
-estimate (Mahalanobis) are rejected, and so are rows that fail two plain limits.
+Each text gets a vector of transformed statistics. For each language and source the minimum covariance determinant
+is sought: from several starts (medians and absolute deviations, and small subsets picked by hash) concentration
+steps take the CORE share of the rows with the least distances as the next subset, until the determinants no longer
+fall; of the starts the least determinant wins. Rows far from that estimate (Mahalanobis) are rejected, and so are
+rows that fail two plain limits. "Far" is the upper quantile of chi-square for a probability of TAIL, once the
+median of the squared distances is brought down to that of chi-square.
 
-All estimates are sums that are combined before the shuffle, so one source may hold any share of the rows; the
-quantile of the distances comes from counts in bins, not from a sort. Groups of under ``MIN_GROUP`` rows share
-one group per language, then one for all; groups of under ``MIN_ROWS`` reject nothing.
+All estimates are sums and mergeable quantile sketches that are combined before the shuffle, so one source may hold
+any share of the rows. A covariance of so many statistics needs MIN_ROWS rows: smaller groups share one group per
+language, those of small languages one for all; if even that is smaller it rejects nothing.
 
 Defined cases: a null text has no words and fails; null languages and sources count as empty strings; repeated
-rows are judged alike; an empty table gives an empty result; other columns are not read.
+rows are judged alike; rows as far as the cut are in the subset, however many tie; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize, salted_join
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_SHARE, WINDOW = 10, 20, 5
-MIN_GROUP, MIN_ROWS = 60, 20
-CORE, STEPS = 0.75, 3
-#: squared distance from which a row is rejected, and the median of chi-square with five degrees of freedom
-LIMIT, MEDIAN = 60.0, 4.351
 #: the vector: name, and the least standard deviation that counts for it (so that a component that is the same
 #: in most rows doesn't make any other value infinitely far)
 VECTOR = [("x_words", 1.2), ("x_length", 0.1), ("x_symbols", 0.04), ("x_lines", 0.12), ("x_repeats", 0.06)]
 NAMES = [n for n, _ in VECTOR]
+MIN_ROWS = 5 * len(VECTOR)
+CORE, STARTS, SUBSET, MAX_STEPS = 0.75, 5, 12, 30
+STABLE = 1e-3  # least fall of a determinant's logarithm that calls for another step
+RANKS = 1000  # accuracy of quantiles: errors of at most one rank in so many
+TAIL = 1e-11
+GROUPS = 20_000  # rows of a table of groups that are broadcast at most (some 10 MB); larger ones are joined with salt
+
+
+def chi_square_limit(tail: float, odd: int) -> float:
+    """The value that chi-square with ``odd`` degrees of freedom exceeds with probability ``tail``."""
+
+    def above(x: float) -> float:
+        total, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+        for k in range(1, odd, 2):
+            total, term = total + term, term * x / (k + 2)
+        return total
+
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        low, high = ((low + high) / 2, high) if above((low + high) / 2) > tail else (low, (low + high) / 2)
+    return low
+
+
+LIMIT, MEDIAN = chi_square_limit(TAIL, len(VECTOR)), chi_square_limit(0.5, len(VECTOR))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,7 +66,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
-    """Number of words in windows of ``width`` words that are found twice or more in ``words``."""
+    """Number of words in windows of ``width`` words that are found twice or more in ``words``.
+
+    Windows are told apart by 64-bit hashes of their words' hashes.
+    """
 
     def covered(windows: Column) -> Column:
         ranked = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -57,11 +84,11 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
 
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(ranked, positions))
 
-    def windows(ws: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(ws) - width + 1), lambda i: F.array_join(F.slice(ws, i, width), " "))
-        return F.when(F.size(ws) < width, F.lit(0)).otherwise(_let(made, covered))
+    def windows(hs: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(hs) - width), lambda i: F.xxhash64(*(F.get(hs, i + k) for k in range(width))))
+        return F.when(F.size(hs) < width, F.lit(0)).otherwise(_let(made, covered))
 
-    return _let(words, windows).cast("bigint")
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), windows).cast("bigint")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -95,13 +122,9 @@ def _entries() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Per group the mean and the lower Cholesky factor of the covariance, each variance raised to its least."""
-    sums = rows.groupBy("grp").agg(*(F.avg(n).alias(f"m_{n}") for n in NAMES), *(F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}{j}") for i, j in _entries()))
-    return _factor(sums.select("grp", *(f"m_{n}" for n in NAMES), *((F.col(f"s_{i}{j}") - F.col(f"m_{NAMES[i]}") * F.col(f"m_{NAMES[j]}")).alias(f"c_{i}{j}") for i, j in _entries())))
-
-
 def _factor(cov: DataFrame) -> DataFrame:
+    """``grp, start``, means, the lower Cholesky factor of the covariances ``c_ij`` with each variance raised by its
+    least, and the logarithm of the determinant."""
     out = cov
     for i, (_, least) in enumerate(VECTOR):  # adding to the diagonal keeps the matrix positive
         out = out.withColumn(f"c_{i}{i}", F.col(f"c_{i}{i}") + F.lit(least * least))
@@ -109,57 +132,83 @@ def _factor(cov: DataFrame) -> DataFrame:
         out = out.withColumn(f"l_{j}{j}", F.sqrt(F.greatest(F.col(f"c_{j}{j}") - sum((F.col(f"l_{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1e-9))))
         for i in range(j + 1, len(NAMES)):
             out = out.withColumn(f"l_{i}{j}", (F.col(f"c_{i}{j}") - sum((F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}{j}"))
-    return out.select("grp", *(f"m_{n}" for n in NAMES), *(f"l_{i}{j}" for i, j in _entries()))
+    logdet = sum((2 * F.log(f"l_{i}{i}") for i in range(1, len(NAMES))), 2 * F.log("l_00"))
+    return out.select("grp", "start", *(f"m_{n}" for n in NAMES), *(f"l_{i}{j}" for i, j in _entries()), logdet.alias("logdet"))
 
 
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance ``d2`` by forward substitution."""
-    out = rows.join(estimate, "grp", "left")
-    for i, n in enumerate(NAMES):
-        out = out.withColumn(f"z_{i}", (F.col(n) - F.col(f"m_{n}") - sum((F.col(f"l_{i}{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(len(NAMES))), F.lit(0.0))).select(*rows.columns, "d2")
-
+def _estimate(rows: DataFrame) -> DataFrame:
+    """Means and factors of the rows of each ``grp, start``."""
+    sums = rows.groupBy("grp", "start").agg(*(F.avg(n).alias(f"m_{n}") for n in NAMES), *(F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}{j}") for i, j in _entries()))
+    return _factor(sums.select("grp", "start", *(f"m_{n}" for n in NAMES), *((F.col(f"s_{i}{j}") - F.col(f"m_{NAMES[i]}") * F.col(f"m_{NAMES[j]}")).alias(f"c_{i}{j}") for i, j in _entries())))
 
-def _bin(d2: Column) -> Column:
-    return F.floor(64 * F.log2(1 + 16 * d2)).cast("int")
 
+def _attach(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Written ``rows`` with the columns of a written table of groups."""
+    if groups.count() <= GROUPS:
+        return rows.join(F.broadcast(groups), key, how)
+    return salted_join(rows, groups, key, NAMES[0], how)
 
-def _quantile(rows: DataFrame, share: float) -> DataFrame:
-    """``grp, cut``: the bin of ``d2`` by which ``share`` of a group's rows is reached, from counts in bins."""
-    from pyspark.sql import Window
 
-    bins = rows.groupBy("grp", _bin(F.col("d2")).alias("bin")).count()
-    whole = Window.partitionBy("grp")
-    reached = bins.select("grp", "bin", F.sum("count").over(whole.orderBy("bin")).alias("upto"), F.sum("count").over(whole).alias("n"))
-    return reached.filter(F.col("upto") >= share * F.col("n")).groupBy("grp").agg(F.min("bin").alias("cut"))
+def _distance() -> Column:
+    """The squared Mahalanobis distance of a row that has its group's estimate, by forward substitution."""
+    z: list[Column] = []
+    for i, n in enumerate(NAMES):
+        z.append((F.col(n) - F.col(f"m_{n}") - sum((F.col(f"l_{i}{k}") * z[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}{i}"))
+    return sum((x * x for x in z[1:]), z[0] * z[0])
+
+
+def _starts(core: DataFrame) -> DataFrame:
+    """First estimates: start 0 from medians and absolute deviations, the others from some SUBSET rows each."""
+    half = lambda c: F.percentile_approx(c, 0.5, RANKS)
+    middle = materialize(core.groupBy("grp").agg(F.count("*").alias("n"), *(half(n).alias(f"m_{n}") for n in NAMES)), "quality-middle")
+    placed = _attach(core, middle, "grp")
+    spread = placed.groupBy("grp").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *((1.4826 * half(F.abs(F.col(n) - F.col(f"m_{n}")))).alias(f"d_{i}") for i, n in enumerate(NAMES)))
+    robust = _factor(spread.select("grp", F.lit(0).alias("start"), *(f"m_{n}" for n in NAMES), *((F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _entries())))
+    few = placed.select("grp", "n", *NAMES, F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))).alias("start"))
+    picked = few.filter(F.pmod(F.xxhash64("start", *NAMES), F.lit(1 << 30)) * F.col("n") < SUBSET * (1 << 30))
+    out = materialize(robust.unionByName(_estimate(picked)), "quality-step")
+    discard(middle)
+    return out
+
+
+def least_determinant(core: DataFrame, share: float = CORE) -> DataFrame:
+    """A written table: for each ``grp`` of written rows of the vector the estimate of least determinant found."""
+    now = _starts(core)
+    for _ in range(MAX_STEPS):
+        far = _attach(core, now, "grp").withColumn("d2", _distance())
+        cut = materialize(far.groupBy("grp", "start").agg(F.percentile_approx("d2", share, RANKS).alias("cut")).join(now, ["grp", "start"]), "quality-cut")
+        near = _attach(core, cut, "grp").filter(_distance() <= F.col("cut"))
+        after = materialize(_estimate(near), "quality-step")
+        fell = after.select("grp", "start", F.col("logdet").alias("then")).join(now, ["grp", "start"]).filter(F.col("then") < F.col("logdet") - STABLE)
+        stable = fell.isEmpty()
+        discard(now, cut)
+        now = after
+        if stable:
+            break
+    best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
+    out = materialize(now.join(best, ["grp", "start"]), "quality-best")
+    discard(now)
+    return out
 
 
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``doc_id``, the statistics, ``base_failed``, ``d2`` and ``kept`` for every row."""
-    stats = materialize(statistics(docs), "quality")
-    fit = stats.filter(F.col("n_words") >= MIN_WORDS)
-    small = fit.groupBy("lang", "source").count().filter(F.col("count") >= MIN_GROUP)
-    langs = fit.groupBy("lang").count().filter(F.col("count") >= MIN_GROUP)
-    by_source = small.select("lang", "source", F.concat_ws("\x1f", "lang", "source").alias("own"))
-    by_lang = langs.select("lang", F.concat("lang", F.lit("\x1f\x1f")).alias("pooled"))
-    rows = stats.join(by_source, ["lang", "source"], "left").join(by_lang, ["lang"], "left")
-    rows = rows.withColumn("grp", F.coalesce("own", "pooled", F.lit("\x1f\x1f\x1f"))).drop("own", "pooled").withColumns(_vector())
-    core = rows.filter(F.col("n_words") >= MIN_WORDS)
-
-    # Start: medians and absolute deviations (mergeable sketches), no correlation.
-    middle = core.groupBy("grp").agg(*(F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in NAMES))
-    spread = core.join(middle, "grp").groupBy("grp").agg(*(F.first(f"m_{n}").alias(f"m_{n}") for n in NAMES), *((1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000)).alias(f"d_{i}") for i, n in enumerate(NAMES)))
-    start = spread.select("grp", *(f"m_{n}" for n in NAMES), *((F.col(f"d_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in _entries()))
-    estimate = materialize(_factor(start), "quality-step")
-    for _ in range(STEPS):
-        far = _distances(core, estimate)
-        near = far.join(_quantile(far, CORE), "grp").filter(_bin(F.col("d2")) <= F.col("cut"))
-        estimate = materialize(_estimate(near), "quality-step")
-    far = _distances(core, estimate)
-    scale = _quantile(far, 0.5).select("grp", (MEDIAN / F.greatest((F.pow(F.lit(2.0), (F.col("cut") + 1) / 64) - 1) / 16, F.lit(MEDIAN))).alias("scale"))
-    sizes = core.groupBy("grp").agg(F.count("*").alias("n_group"))
-    final = materialize(estimate.join(scale, "grp").join(sizes, "grp"), "quality-final")
-    judged = _distances(rows, final.drop("scale", "n_group")).join(final.select("grp", "scale", "n_group"), "grp", "left")
-    distance = F.col("d2") * F.col("scale")
+    named = statistics(docs).withColumns({"own": F.concat(F.lit("2"), "lang", F.lit("\x1f"), "source"), "pooled": F.concat(F.lit("1"), "lang"), **_vector()})
+    stats = materialize(named, "quality")
+    fit = F.col("n_words") >= MIN_WORDS
+    large = lambda key: materialize(stats.filter(fit).groupBy(key).count().filter(F.col("count") >= MIN_ROWS).select(key, F.lit(True).alias(f"has_{key}")), "quality-groups")
+    own, pooled = large("own"), large("pooled")
+    with_own = _attach(stats, own, "own", "left")
+    grouped = with_own.join(F.broadcast(pooled), "pooled", "left") if pooled.count() <= GROUPS else salted_join(with_own, pooled, "pooled", NAMES[0], "left")
+    grp = F.when(F.col("has_own"), F.col("own")).when(F.col("has_pooled"), F.col("pooled")).otherwise(F.lit("0"))
+    rows = materialize(grouped.withColumn("grp", grp).drop("own", "pooled", "has_own", "has_pooled"), "quality-rows")
+    discard(stats, own, pooled)
+    core = rows.filter(fit)
+    best = least_determinant(core)
+    middle = _attach(core, best, "grp").groupBy("grp").agg(F.count("*").alias("n_group"), F.percentile_approx(_distance(), 0.5, RANKS).alias("middle"))
+    final = materialize(best.join(middle, "grp"), "quality-final")
+    discard(best)
+    distance = _distance() * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN))
     far_off = F.coalesce((F.col("n_group") >= MIN_ROWS) & (distance > limit), F.lit(False))
+    judged = _attach(rows, final, "grp", "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~far_off).alias("kept"), distance.alias("d2"), "lang", "source")
