@@ -1,16 +1,24 @@
 """URL filtering by listed rules and by association rules mined from labelled URLs.
 
 A URL is cut into host, path and tokens (top-level domain, other host labels, path segments, query keys).
-Spark's FP-growth mines the token combinations that go with a label; rules pruned by confidence and support,
-and those that a shorter rule makes needless, are matched by an inverted index from each rule's rarest token.
+Spark's FP-growth mines the token combinations that go with a label. A rule needs support (MIN_COUNT rows at least,
+and MIN_SUPPORT of all labelled rows, which bounds their number), confidence, and a confidence that can't be had by
+the label's base rate: the lower Wilson bound at Z_SCORE must exceed it. Rules that a shorter one makes needless go.
+What is left is matched by an inverted index from each rule's rarest token.
+
+Tokens that occur in the same labelled rows give the same rules, so only the first of them in order is mined and
+the others stand for it when URLs are matched: copies of a URL with many segments don't multiply itemsets, and no
+rule is lost, since those with several of such tokens are ones that a shorter rule makes needless.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens and the default
-verdict; repeated rows give repeated verdicts; an empty table gives an empty result; ties between mined rules go
-by confidence, support, length and then by the tokens in order. Columns other than the id and URL are not read.
+verdict; repeated rows give repeated verdicts; a null page_id is passed on; an empty table gives an empty result;
+long URLs are read whole; ties between mined rules go by confidence, support, length and then by the tokens in
+order. Columns other than the id and URL are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: (verdict, host and path) of the listed rules
 BASE_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, Z_SCORE = 0.002, 20, 0.9, 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -58,29 +66,59 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[dict]:
-    """Pruned association rules from rows of ``tokens`` (array) and ``label`` (allow or block).
+def wilson_lower(hits: Column, n: Column, z: float = Z_SCORE) -> Column:
+    """Lower bound of a share of which ``hits`` of ``n`` were seen."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _frequent(rows: DataFrame, least: int) -> tuple[dict[str, int], dict[str, str]]:
+    """Of the tokens in at least ``least`` rows of ``tokens, label``: the count of each that is mined, and for every
+    one the token that stands for it, the first of those in the same rows.
+
+    There are as many as the tokens of 1 / MIN_SUPPORT URLs at most.
+    """
+    each = rows.select(F.explode(F.array_distinct("tokens")).alias("token"), F.xxhash64("tokens", "label").cast("decimal(38,0)").alias("h"), F.xxhash64("label", "tokens", F.lit(1)).cast("decimal(38,0)").alias("k"))
+    places = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum("h").alias("h"), F.sum("k").alias("k")).filter(F.col("freq") >= least)
+    alike = places.groupBy("freq", "h", "k").agg(F.sort_array(F.collect_list("token")).alias("tokens")).collect()
+    return {r["tokens"][0]: r["freq"] for r in alike}, {t: r["tokens"][0] for r in alike for t in r["tokens"]}
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> tuple[list[dict], dict[str, str]]:
+    """Pruned association rules from rows of ``tokens`` (array) and ``label`` (allow or block), and for each frequent
+    token the one that stands for it in them.
 
     Each frequent token set has at least ``min_support`` of the labelled rows, so the number of rules is bounded
-    by that share and the number of tokens in a URL, whatever the number of rows.
+    by that share and the number of different tokens in a URL, whatever the number of rows.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.filter("label is not null").select(F.array_union("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    rows = labelled.filter("label is not null").select("tokens", "label")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    total = sum(sizes.values())
+    least = max(min_count, math.ceil(min_support * total))
+    if total < least:
+        return [], {}
+    frequency, stands = _frequent(rows, least)
+    known = F.filter(F.array_distinct("tokens"), lambda t: t.isin(*frequency)) if frequency else F.array().cast("array<string>")
+    items = rows.select(F.concat(known, F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(items)
     found = model.associationRules.filter(F.element_at("consequent", 1).startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:")))
-    frequency = {r["items"][0]: r["freq"] for r in model.freqItemsets.filter(F.size("items") == 1).collect()}
-    rules = [{"tokens": tuple(sorted(r["antecedent"])), "label": r["consequent"][0][6:], "confidence": r["confidence"], "support": r["support"]} for r in found.collect()]
+    label = F.substring(F.element_at("consequent", 1), 7, 1 << 20)
+    base = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, n / total))), label)
+    hits = F.round(F.col("support") * total)
+    sure = found.filter(wilson_lower(hits, F.round(hits / F.col("confidence"))) > base)
+    rules = [{"tokens": tuple(sorted(r["antecedent"])), "label": r["say"], "confidence": r["confidence"], "support": r["support"]} for r in sure.select("antecedent", label.alias("say"), "confidence", "support").collect()]
     rules.sort(key=lambda r: (len(r["tokens"]), r["tokens"], r["label"]))
-    best: dict[tuple[str, ...], tuple[float, str]] = {}
+    best: dict[tuple[str, tuple[str, ...]], float] = {}  # by label and tokens: the best confidence of a rule's tokens or some of them
     kept = []
     for r in rules:
-        if not any(best.get((t,), (0, ""))[0] >= r["confidence"] and best[(t,)][1] == r["label"] for t in r["tokens"] if len(r["tokens"]) > 1) and not any(
-            best.get(s, (0, ""))[0] >= r["confidence"] and best[s][1] == r["label"] for i in range(len(r["tokens"])) if (s := r["tokens"][:i] + r["tokens"][i + 1 :])
-        ):
+        shorter = [best.get((r["label"], r["tokens"][:i] + r["tokens"][i + 1 :]), 0.0) for i in range(len(r["tokens"]))]
+        shorter += [best.get((r["label"], (t,)), 0.0) for t in r["tokens"] if len(r["tokens"]) > 1]
+        if max(shorter) < r["confidence"]:
             kept.append(r | {"rarest": min(r["tokens"], key=lambda t: (frequency.get(t, 0), t))})
-        best[r["tokens"]] = max(best.get(r["tokens"], (0, "")), (r["confidence"], r["label"]))
-    return kept
+        best[r["label"], r["tokens"]] = max(*shorter, r["confidence"])
+    return kept, stands
 
 
 def best_rule(tokens: set[str], index: dict[str, list[dict]]) -> dict | None:
@@ -89,7 +127,7 @@ def best_rule(tokens: set[str], index: dict[str, list[dict]]) -> dict | None:
     return min(fits, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"]), default=None)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labels: DataFrame | None = None, default: str = "allow", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labels: DataFrame | None = None, default: str = "allow", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """``page_id, host, path, rule, verdict, mined``: the listed rule's verdict, else the mined rules', else the default.
 
     ``labels`` has ``page_id`` and ``label`` (allow or block). Without it the listed rules label the pages that
@@ -102,14 +140,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, la
     judged = cut.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens_of(url, F.col("host"), F.col("path")).alias("tokens"))
     known = judged.select("tokens", F.col("listed").alias("label")) if labels is None else judged.join(labels.select("page_id", "label"), "page_id").select("tokens", "label")
     index: dict[str, list[dict]] = defaultdict(list)
-    for r in mine(known, min_support, min_confidence):
+    mined, stands = mine(known, min_support, min_confidence, min_count)
+    for r in mined:
         index[r["rarest"]].append(r)
     index = dict(index)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             listed, tokens = b.column(4).to_pylist(), b.column(5).to_pylist()
-            hits = [None if say else best_rule(set(t or ()), index) for say, t in zip(listed, tokens, strict=True)]
+            hits = [None if say else best_rule({stands.get(x, x) for x in t or ()}, index) for say, t in zip(listed, tokens, strict=True)]
             say = [own or (h["label"] if h else default) for own, h in zip(listed, hits, strict=True)]
             mined = [" & ".join(h["tokens"]) if h else None for h in hits]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(say, pa.string()), pa.array(mined, pa.string())], ["page_id", "host", "path", "rule", "verdict", "mined"])
