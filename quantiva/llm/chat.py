@@ -6,8 +6,12 @@ the name and arguments also under ``function``, arguments also as JSON text) or
 hash-joined by conversation and identifier. A call may use other calls' results by ``{"$ref": "<id>"}`` in its
 arguments; it comes after them. Nothing is collected by conversation, so one with any number of turns is fine.
 
-Defined cases: a null text counts as empty, a null role as ``user``; text that is no JSON object is an ordinary
-message; of calls that share an identifier in a conversation the first (turn, place) is linked, the others are
+The canonical form is that of RFC 8785 (keys in the order of their UTF-16 units, numbers as ECMAScript writes them),
+but whole numbers written without point or exponent keep all their digits.
+
+Defined cases: a null text counts as empty, a null role as ``user``; text that is no JSON object, or one that repeats
+a key, is an ordinary message, and arguments that are such text are invalid; long texts are parsed whole; other
+columns, whatever their names, are not read; an empty table gives an empty result; of calls that share an identifier in a conversation the first (turn, place) is linked, the others are
 ``duplicate_call``; a result without a call is ``orphan_result``, and so is one whose conversation is null;
 repeated rows give repeated messages; calls that need each other in a circle are ``cyclic`` and come last in
 their turn. Columns other than the four named are not read.
@@ -16,6 +20,8 @@ their turn. Columns other than the four named are not read.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize, small_batches
 
 #: types of JSON schemas and what they admit
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -35,51 +41,117 @@ TOOLS = {
 }
 
 
+def _number(v: float) -> str:
+    """A finite number as ECMAScript writes it."""
+    if v.is_integer() and abs(v) < 1e21:
+        return str(int(v))
+    said = repr(v)
+    if "e" not in said and 0 < abs(v) < 1e-6:
+        said = f"{v:e}"
+    mantissa, _, exponent = said.partition("e")
+    if not exponent:
+        return said
+    power = int(exponent)
+    if -7 < power < 0:
+        digits = mantissa.replace(".", "").lstrip("-")
+        return ("-" if v < 0 else "") + "0." + "0" * (-power - 1) + digits
+    return f"{mantissa}e{'+' if power > 0 else '-'}{abs(power)}"
+
+
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no blanks, no escapes but those that JSON needs; NaN and infinity become null."""
-
-    def clean(v: Any) -> Any:
-        if isinstance(v, float):
-            if v != v or v in (float("inf"), float("-inf")):
-                return None
-            return int(v) if v.is_integer() and abs(v) < 2**53 else v
-        if isinstance(v, dict):
-            return {str(k): clean(x) for k, x in v.items()}
-        return [clean(x) for x in v] if isinstance(v, list) else v
-
-    return json.dumps(clean(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def violation(value: Any, schema: dict, at: str = "$") -> str | None:
-    """The first way in which a value breaks a JSON schema (type, enum, required, bounds, items), else None."""
-    kind = schema.get("type")
-    if kind:
-        kinds = kind if isinstance(kind, list) else [kind]
-        if isinstance(value, dict) and set(value) == {"$ref"}:
-            return None  # filled by another call's result
-        if not any(isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
-            return f"{at}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    """Canonical JSON; NaN and infinity, which JSON lacks, become null."""
+    if isinstance(value, dict):
+        items = sorted(((str(k), v) for k, v in value.items()), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v)}" for k, v in items) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        return _number(value) if math.isfinite(value) else "null"
+    return json.dumps(value, ensure_ascii=False)
+
+
+#: the keywords of JSON schemas that are checked; title and description say nothing of values
+KEYWORDS = frozenset("type enum const minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf required properties additionalProperties minProperties maxProperties items minItems maxItems uniqueItems anyOf oneOf allOf not title description default".split())
+
+
+def check_schema(schema: Any, at: str = "$") -> None:
+    """Refuse a schema with a keyword or type that isn't supported, instead of passing what it forbids."""
+    if isinstance(schema, bool):
+        return
+    unknown = sorted(set(schema) - KEYWORDS)
+    kinds = schema.get("type", [])
+    unknown += [k for k in (kinds if isinstance(kinds, list) else [kinds]) if k not in _KINDS]
+    if unknown:
+        raise ValueError(f"{at}: schema keywords not supported: {', '.join(unknown)}")
+    for k in ("items", "not", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{at}.{k}")
+    for k in ("anyOf", "oneOf", "allOf"):
+        for i, part in enumerate(schema.get(k, [])):
+            check_schema(part, f"{at}.{k}[{i}]")
+    for k, part in schema.get("properties", {}).items():
+        check_schema(part, f"{at}.{k}")
+
+
+def _is(value: Any, kind: str) -> bool:
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _KINDS[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
+def _bound(value: float, schema: dict) -> bool:
+    lows = schema.get("minimum", -math.inf) <= value and schema.get("exclusiveMinimum", -math.inf) < value
+    highs = schema.get("maximum", math.inf) >= value and schema.get("exclusiveMaximum", math.inf) > value
+    step = schema.get("multipleOf")
+    return lows and highs and (not step or math.isclose(value / step, round(value / step), abs_tol=1e-9))
+
+
+def violation(value: Any, schema: Any, at: str = "$") -> str | None:
+    """The first way in which a value breaks a JSON schema, else None; a reference to a result fits any type."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: unknown"
+    if isinstance(value, dict) and set(value) == {"$ref"}:
+        return None  # filled by another call's result
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return f"{at}: not {'/'.join(kinds)}"
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        return f"{at}: too short"
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        return f"{at}: not the constant"
+    if isinstance(value, str):
+        if len(value) < schema.get("minLength", 0):
+            return f"{at}: too short"
+        if len(value) > schema.get("maxLength", len(value)):
+            return f"{at}: too long"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{at}: not like the pattern"
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and not _bound(value, schema):
         return f"{at}: out of bounds"
     if isinstance(value, dict):
         props = schema.get("properties", {})
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            return f"{at}: out of bounds"
         for k in schema.get("required", []):
             if k not in value:
                 return f"{at}.{k}: missing"
         for k in sorted(value):
-            if k in props:
-                if bad := violation(value[k], props[k], f"{at}.{k}"):
-                    return bad
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}.{k}: unknown"
-    if isinstance(value, list) and "items" in schema:
+            if bad := violation(value[k], props.get(k, schema.get("additionalProperties", True)), f"{at}.{k}"):
+                return bad
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{at}: out of bounds"
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            return f"{at}: not unique"
         for i, x in enumerate(value):
-            if bad := violation(x, schema["items"], f"{at}[{i}]"):
+            if bad := violation(x, schema.get("items", True), f"{at}[{i}]"):
                 return bad
+    for k, least, most in (("anyOf", 1, math.inf), ("oneOf", 1, 1), ("allOf", len(schema.get("allOf", [])), math.inf)):
+        if k in schema and not least <= sum(violation(value, part, at) is None for part in schema[k]) <= most:
+            return f"{at}: breaks {k}"
+    if "not" in schema and violation(value, schema["not"], at) is None:
+        return f"{at}: breaks not"
     return None
 
 
@@ -91,11 +163,21 @@ def _refs(value: Any) -> list[str]:
     return [r for v in value for r in _refs(v)] if isinstance(value, list) else []
 
 
+def _unique(pairs: list[tuple[str, Any]]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a key is repeated")
+    return dict(pairs)
+
+
+def _json(text: str) -> Any:
+    return json.loads(text, object_pairs_hook=_unique)
+
+
 def _object(text: str) -> dict | None:
     if text.lstrip()[:1] != "{":
         return None
     try:
-        got = json.loads(text)
+        got = _json(text)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -114,7 +196,7 @@ def parse_message(role: str | None, text: str | None, tools: dict[str, dict]) ->
             name, args, bad = inner.get("name"), inner.get("arguments"), None
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
+                    args = _json(args)
                 except (ValueError, RecursionError):
                     bad = "$: no JSON"
             if not bad:
@@ -144,6 +226,9 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
     turn, ``topo_turn`` is that turn.
     """
     tools = TOOLS if tools is None else tools
+    for schema in tools.values():
+        check_schema(schema)
+    small_batches(conversations.sparkSession)
     src = conversations.select("conv_id", "turn", "role", "text")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,23 +278,52 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
 
 def _levels(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """``c_conv, c_id, level, reach``: the longest chain of references below each call that has any, and the latest
-    turn of the chain; -1 and null in circles.
+    turn of the chain; -1 and null in circles, and for what needs a call of one.
 
-    Kahn's peeling: in each round the calls whose needs are all settled get their level. A round is a join over
-    what is still open; there are as many as the longest chain.
+    Chains are cut short first: a call with one need points to it, and pointers are doubled until each ends at a call
+    without needs or with several, which takes as many steps as the logarithm of the longest chain. Only calls with
+    several needs are then peeled off as Kahn does, in a round for each that lies above another.
     """
+    turn = firsts.schema["c_turn"].dataType.simpleString()
     needs = rows.filter("kind = 'call' and call_id is not null and size(refs) > 0").select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("turn"), "place", F.explode("refs").alias("need"))
     needs = needs.join(firsts, ["c_conv", "c_id"]).filter("coalesce(turn, 0) = c_turn and place = c_place").select("c_conv", "c_id", "c_turn", "need")
     targets = firsts.select("c_conv", F.col("c_id").alias("need"), F.col("c_turn").alias("need_turn"))
-    open_ = materialize(needs.join(targets, ["c_conv", "need"]).distinct(), "chat-needs")
-    done = open_.sparkSession.createDataFrame([], open_.select("c_conv", "c_id").schema.add("level", "integer").add("reach", open_.schema["c_turn"].dataType))
+    edges = materialize(needs.join(targets, ["c_conv", "need"]).distinct(), "chat-needs")
+    per = edges.groupBy("c_conv", "c_id").agg(F.count("*").alias("n"))
+    single = edges.join(per.filter("n = 1"), ["c_conv", "c_id"])
+    chains = materialize(single.select("c_conv", "c_id", F.col("need").alias("end"), F.lit(1).alias("steps"), F.greatest("c_turn", "need_turn").alias("reach")), "chat-chains")
+    for _ in range(chains.count().bit_length() + 1):
+        more = chains.select("c_conv", F.col("c_id").alias("end"), F.col("end").alias("end2"), F.col("steps").alias("steps2"), F.col("reach").alias("reach2"))
+        longer = chains.join(more, ["c_conv", "end"], "left")
+        if longer.filter("end2 is not null").isEmpty():
+            break
+        grown = materialize(longer.select("c_conv", "c_id", F.coalesce("end2", "end").alias("end"), F.least(F.col("steps") + F.coalesce("steps2", F.lit(0)), F.lit(1 << 30)).alias("steps"), F.greatest("reach", F.coalesce("reach2", "reach")).alias("reach")), "chat-chains")
+        discard(chains)
+        chains = grown
+    # what still points to a call with one need is in a circle of such calls or needs one
+    ring = chains.join(chains.select("c_conv", F.col("c_id").alias("end")), ["c_conv", "end"], "left_semi").select("c_conv", "c_id")
+    ended = chains.join(ring, ["c_conv", "c_id"], "left_anti")
+
+    jump = ended.select("c_conv", F.col("c_id").alias("need"), "end", "steps", F.col("reach").alias("far"))
+    several = edges.join(per.filter("n > 1").select("c_conv", "c_id"), ["c_conv", "c_id"]).join(jump, ["c_conv", "need"], "left")
+    lost = ring.select("c_conv", F.col("c_id").alias("need"), F.lit(True).alias("lost"))
+    several = several.join(lost, ["c_conv", "need"], "left").select("c_conv", "c_id", F.when(~F.coalesce("lost", F.lit(False)), F.coalesce("end", "need")).alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"), F.greatest("c_turn", "need_turn", F.coalesce("far", "need_turn")).alias("reach"))
+    open_ = materialize(several, "chat-open")
+    done = materialize(open_.sparkSession.createDataFrame([], f"c_conv {rows.schema['conv_id'].dataType.simpleString()}, c_id string, level int, reach {turn}"), "chat-done")
     while not open_.isEmpty():
-        waiting = open_.select("c_conv", F.col("c_id").alias("need")).distinct().withColumn("waits", F.lit(1))
-        state = open_.join(waiting, ["c_conv", "need"], "left").join(done.select("c_conv", F.col("c_id").alias("need"), "level", "reach"), ["c_conv", "need"], "left")
-        ready = state.groupBy("c_conv", "c_id").agg(F.max("waits").alias("w"), (F.max(F.coalesce("level", F.lit(0))) + 1).alias("level"), F.max(F.greatest("c_turn", F.coalesce("reach", "need_turn"))).alias("reach")).filter("w is null").select("c_conv", "c_id", "level", "reach")
+        waiting = open_.select("c_conv", F.col("c_id").alias("end")).distinct().withColumn("waits", F.lit(1))
+        state = open_.join(waiting, ["c_conv", "end"], "left").join(done.select("c_conv", F.col("c_id").alias("end"), "level", F.col("reach").alias("far")), ["c_conv", "end"], "left")
+        blocked = F.when(F.col("end").isNull(), 1).otherwise(F.col("waits"))  # a null end is one in a circle
+        ready = state.groupBy("c_conv", "c_id").agg(F.max(blocked).alias("w"), (F.max(F.coalesce("level", F.lit(0)) + F.col("steps")) + 1).cast("int").alias("level"), F.max(F.greatest("reach", F.coalesce("far", "reach"))).alias("reach")).filter("w is null").select("c_conv", "c_id", "level", "reach")
         ready = materialize(ready, "chat-ready")
         if ready.isEmpty():
-            return done.unionByName(open_.select("c_conv", "c_id").distinct().withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(open_.schema["c_turn"].dataType)}))
-        done = done.unionByName(ready)
-        open_ = materialize(open_.join(ready, ["c_conv", "c_id"], "left_anti"), "chat-needs")
-    return done
+            stuck = open_.select("c_conv", "c_id").distinct().withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(turn)})
+            done = done.unionByName(stuck)
+            break
+        done = materialize(done.unionByName(ready), "chat-done")
+        open_ = materialize(open_.join(ready, ["c_conv", "c_id"], "left_anti"), "chat-open")
+
+    at_end = done.select("c_conv", F.col("c_id").alias("end"), F.col("level").alias("below"), F.col("reach").alias("far"))
+    stuck = F.coalesce(F.col("below"), F.lit(0)) < 0
+    alone = ended.join(at_end, ["c_conv", "end"], "left").select("c_conv", "c_id", F.when(stuck, -1).otherwise(F.coalesce("below", F.lit(0)) + F.col("steps")).cast("int").alias("level"), F.when(~stuck, F.greatest("reach", F.coalesce("far", "reach"))).alias("reach"))
+    return done.unionByName(alone).unionByName(ring.withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(turn)}))
