@@ -6,7 +6,12 @@ position and goes back to shorter ones while the token beside it is incompatible
 compatible if byte-pair merging of their concatenated bytes would keep the boundary between them, which is
 decided by undoing their merges and memoised. The result equals that of merging by rank, in linear time.
 
-Nulls count as empty texts; repeated rows give repeated results; columns other than the two named are not read.
+The walk back from longest matches over adjacent-token compatibility is that of the published backtracking encoder of
+the ``bpe`` crate (github.com/github/rust-gems, MIT licence).
+
+Defined cases: nulls count as empty texts, which have no ids; repeated rows give repeated results; texts of any
+length are encoded whole, one at a time; tokens of equal bytes don't exist, so nothing ties; an empty table gives an
+empty result; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: distinct pre-tokens kept with their ids in a worker's memo, and the longest that is kept (characters)
-MEMO_WORDS, MEMO_CHARS = 600_000, 48
+MEMO_WORDS, MEMO_CHARS = 300_000, 48
 MEMO_PAIRS = 500_000
 
 
@@ -180,6 +187,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ``path`` is a vocabulary of base64 tokens and ranks that every worker can open (it is installed with the
     Python environment). A text that isn't reproduced by decoding its ids raises an error.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
