@@ -1,16 +1,19 @@
-"""Byte-substring dedup with a logarithmic family of sparse suffix arrays.
+"""Byte-substring dedup with a logarithmic family of sparse suffix arrays that is kept between batches.
 
-The texts' suffixes are sampled at anchors: in each ``length``-byte string the position of the least hash of
-GRAM bytes, so that equal strings have their anchor at the same place. The suffixes in a shard (by anchor hash)
-come in batches. Each new batch is put in order as a suffix array, is merge-scanned against the levels that are
-there for matches of the full length, and becomes a level; levels of equal size are merged, so there are
-logarithmically many. Order in an array is by the fingerprint of the compared bytes rather than alphabetical: a
-scan asks only whether ``length`` bytes are equal, never which string comes first.
+The texts' suffixes are sampled at anchors: in each ``length``-byte string the position of the least hash of GRAM
+bytes, so that equal strings have their anchor at the same place. All strings of one anchor are a block. A level of
+the index is a table of blocks in the order of a suffix array: by the hash of the anchor's bytes, then by that of the
+block's; of blocks of equal bytes it holds the earliest.
 
-Two rounds keep the shuffle small. In the first a suffix stands for the whole block of strings that share its
-anchor: all but the earliest of equal blocks are repeats at once. Only where different blocks meet at one anchor
-(the edges of copied passages) does the second round compare their strings one by one; a part of the input sends
-each distinct block once, so a passage of any number of documents stays small.
+A batch's blocks are sorted together with those of the existing levels that have the same anchors (a merge-scan of
+sorted runs). Equal blocks are matches at once: all but the earliest are repeats. Where different blocks meet at one
+anchor (the edges of copied passages) a suffix array proper is built: their bytes are fetched from the texts, all
+``length``-byte strings are sorted byte by byte, and neighbours with a common prefix of ``length`` bytes are matches.
+Then the batch's blocks become a level, and levels of equal size are merged, so there are logarithmically many.
+
+Nothing is held by anchor or document without a bound: sorted rows are streamed, a passage of any number of
+documents is sent once by each part of the input, and an anchor with more than HOT different blocks is split by the
+strings themselves, of which again each part sends one.
 
 Defined cases: null and empty texts have no bytes; texts under ``length`` bytes are kept whole; rows that repeat
 an id and text do not remove each other, rows that repeat an id with other texts count as one document read in
@@ -25,333 +28,383 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .scratch import materialize
-from .substring import _shards, _text_bytes, covered
+from .scratch import discard, materialize, new_folder, small_batches
+from .scratch import remove as remove_folder
+from .substring import covered
 
 LENGTH, GRAM = 100, 32
-FLUSH = 400_000  # suffixes held by a task before they are sent on
-PIECE = 1 << 20  # bytes of a text anchored at once
-_ORDER = np.dtype([("id", "<i8"), ("key", "<i8"), ("at", "<u4"), ("n", "<u4")])
-
-
-def _byte_values(data: np.ndarray) -> np.ndarray:
-    return T._BYTE[0][data]
-
-
-def byte_windows(values: np.ndarray, width: int) -> np.ndarray:
-    return T.window_hashes(values, width)
-
-
-def blocks(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: for each anchor its hash, the hash of its block, the first start and the number of starts."""
-    parts = []
-    for begin in range(0, max(1, len(data) - length + 1), PIECE):
-        values = _byte_values(data[begin : begin + PIECE + length - 1])
-        grams = byte_windows(values, gram)
-        at = T.sliding_argmin(grams, length - gram + 1)
-        if not len(at):
-            continue
-        change = np.flatnonzero(np.diff(at, prepend=-1))
-        n = np.diff(np.append(change, len(at)))
-        # A block's hash: its bytes from the first start to the end of the last string, of any number of bytes.
-        first = byte_windows(values, length)
-        h = first[change] * T.U64(0x9E3779B97F4A7C15) ^ first[change + n - 1] * T.U64(0xC2B2AE3D27D4EB4F)
-        h = T.mix(h + n.astype(T.U64) * T.U64(0x165667B19E3779F9) + T.mix((at[change] - change).astype(T.U64)))
-        parts.append((grams[at[change]], h, change + begin, n))
-    if not parts:
-        return np.zeros(0, T.U64), np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-class LevelFamily:
-    """Levels of sorted fingerprints, each with the earliest suffix that has it."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    @staticmethod
-    def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffixes a start earlier than b."""
-        same_id, same_key = a["id"] == b["id"], a["key"] == b["key"]
-        return (a["id"] < b["id"]) | same_id & (a["key"] < b["key"]) | same_id & same_key & (a["at"] < b["at"])
-
-    @staticmethod
-    def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffixes a and b are one: rows that repeat an id and text send it several times."""
-        return (a["id"] == b["id"]) & (a["key"] == b["key"]) & (a["at"] == b["at"])
-
-    @staticmethod
-    def _array(fp: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A batch's suffix array without repeats, and the repeats that are other suffixes."""
-        by = np.lexsort((order["at"], order["key"], order["id"], fp))
-        fp, order = fp[by], order[by]
-        new = np.ones(len(fp), bool)
-        new[1:] = fp[1:] != fp[:-1]
-        fresh, late = order[new], order[~new]
-        return fp[new], fresh, late[~LevelFamily._same(late, fresh[np.cumsum(new)[~new] - 1])]
-
-    def add(self, fp: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """Put in a batch; the suffixes that are now known to repeat an earlier one."""
-        fp, order, late = self._array(fp, order)
-        out = [late]
-        for k, (have, owner) in enumerate(self.levels):
-            if not len(fp):
-                break
-            slot = np.searchsorted(have, fp)  # the merge-scan: both are sorted
-            slot[slot == len(have)] = 0
-            match = np.flatnonzero(have[slot] == fp)
-            mine, theirs = order[match], owner[slot[match]]
-            ahead = self._before(mine, theirs)
-            out += [mine[~ahead & ~self._same(mine, theirs)], theirs[ahead]]
-            owner[slot[match[ahead]]] = mine[ahead]
-            self.levels[k] = have, owner
-            stay = np.ones(len(fp), bool)
-            stay[match] = False
-            fp, order = fp[stay], order[stay]
-        if len(fp):
-            self.levels.append((fp, order.copy()))
-            while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
-                (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-                both = np.concatenate([a, b])
-                by = np.argsort(both, kind="stable")  # two sorted runs: a merge
-                self.levels.append((both[by], np.concatenate([x, y])[by]))
-        return np.concatenate(out)
-
-
-_DOC = np.dtype([("id", "<i8"), ("key", "<i8")])
-_SUFFIX = np.dtype([("g", "<u8"), ("h", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
-_SPAN = np.dtype([("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
-#: what a shard says of a document: starts that are repeats, and starts that need the second round
-_SAID = "doc_id bigint, key bigint, span binary, open binary"
-
-
-def _say(late: np.ndarray, open_: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of _SAID from suffixes with their number of starts."""
-    both = np.concatenate([late, open_])
-    kind = np.repeat([0, 1], [len(late), len(open_)])
-    by = np.lexsort((both["at"], kind, both["key"], both["id"]))
-    both, kind = both[by], kind[by]
-    new = np.ones(len(both), bool)
-    new[1:] = (both["id"][1:] != both["id"][:-1]) | (both["key"][1:] != both["key"][:-1])
-    cut = np.append(np.flatnonzero(new), len(both))
-    spans = np.stack([both["at"], both["n"]], axis=1).astype(np.uint32)
-    for k in range(0, len(cut) - 1, 4096):
-        rows = range(k, min(len(cut) - 1, k + 4096))
-        halves = [cut[i] + int(np.searchsorted(kind[cut[i] : cut[i + 1]], 1)) for i in rows]
-        first = cut[k : rows.stop]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both["id"][first]), pa.array(both["key"][first]), pa.array([spans[cut[i] : m].tobytes() for i, m in zip(rows, halves, strict=True)], pa.binary()), pa.array([spans[m : cut[i + 1]].tobytes() for i, m in zip(rows, halves, strict=True)], pa.binary())],
-            ["doc_id", "key", "span", "open"],
-        )
-
-
-def _rows(shards: int, name: np.ndarray, shard: np.ndarray, items: np.ndarray, known: np.ndarray, bodies: list[bytes] | None = None) -> pa.RecordBatch:
-    """One row per shard that gets anything: its documents, suffixes, spans already known, and blocks' bytes."""
-    by = np.argsort(shard, kind="stable")
-    items, cut = items[by], np.searchsorted(shard[by], np.arange(shards + 1))
-    home = known["doc"] % shards  # what is known already is dealt out by document
-    rows = []
-    for p in range(shards):
-        mine, own = items[cut[p] : cut[p + 1]].copy(), known[home == p]
-        if len(mine) or len(own):
-            used = np.unique(np.concatenate([mine["doc"], own["doc"]]))
-            mine["doc"], own["doc"] = np.searchsorted(used, mine["doc"]), np.searchsorted(used, own["doc"])
-            rows.append((p, name[used].tobytes(), mine.tobytes(), own.tobytes(), b"".join([bodies[i] for i in by[cut[p] : cut[p + 1]]]) if bodies else b""))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], ["shard", "docs", "sent", "known", "bodies"])
-
-
-_SENT = "shard int, docs binary, sent binary, known binary, bodies binary"
-
-
-def _order(name: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), _ORDER)
-    out["id"], out["key"], out["at"], out["n"] = name["id"][x["doc"]], name["key"][x["doc"]], x["at"], x["n"]
-    return out
+FLUSH = 300_000  # suffixes or strings held by a task before they are sent on
+PIECE = 1 << 18  # bytes of text anchored at once
+HOT = 4096  # different blocks of an anchor from which it is split by its strings
 
+#: what a row is: a block of its own anchor, one that shares its anchor with others (of this batch, of a level), or
+#: starts that are repeats
+ALONE, SHARED, SHARED_OLD, LATE = 0, 1, 2, 3
+_ROW = np.dtype([("g", "<i8"), ("h", "<i8"), ("id", "<i8"), ("key", "<i8"), ("at", "<i8"), ("n", "<i8"), ("kind", "<i4")])
+_SQL = "g bigint, h bigint, id bigint, key bigint, at bigint, n bigint, kind int"
+_NAMES = list(_ROW.names)
 
-def _first_round(src: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names, n_held, n_docs = [], [], 0, 0
-
-        def out():
-            x, name = np.concatenate(held), np.concatenate(names)
-            by = np.lexsort((x["at"], name["key"][x["doc"]], name["id"][x["doc"]], x["h"]))
-            x = x[by]
-            new = np.ones(len(x), bool)
-            new[1:] = x["h"][1:] != x["h"][:-1]
-            late, first, x = x[~new], x[new][np.cumsum(new)[~new] - 1], x[new]
-            late = late[~LevelFamily._same(_order(name, late), _order(name, first))]
-            known = np.empty(len(late), _SPAN)
-            for k in ("doc", "at", "n"):
-                known[k] = late[k]
-            return _rows(shards, name, (x["g"] % T.U64(shards)).astype(np.int64), x, known)
 
-        for batch in batches:
-            for t in T.texts(batch.column(2)):
-                rows = len(t.offsets) - 1
-                name = np.empty(rows, _DOC)
-                name["id"], name["key"] = np.asarray(batch.column(0).slice(t.rows.start, rows)), np.asarray(batch.column(1).slice(t.rows.start, rows))
-                names.append(name)
-                for i in range(rows):
-                    a, b = t.offsets[i], t.offsets[i + 1]
-                    if b - a >= length:
-                        g, h, at, n = blocks(t.data[a:b], length, gram)
-                        x = np.empty(len(g), _SUFFIX)
-                        x["g"], x["h"], x["doc"], x["at"], x["n"] = g, h, n_docs + i, at, n
-                        held.append(x)
-                        n_held += len(x)
-                n_docs += rows
-                if n_held > FLUSH:
-                    yield out()
-                    held, names, n_held, n_docs = [], [], 0, 0
-        if held:
-            yield out()
+def _table(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in _NAMES], _NAMES)
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, late, anchors = LevelFamily(), [], []
-        for batch in batches:
-            for d, s, k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                name, x, y = np.frombuffer(d, _DOC), np.frombuffer(s, _SUFFIX), np.frombuffer(k, _SPAN)
-                late += [family.add(x["h"], _order(name, x)), _order(name, y)]
-                anchors.append(np.stack([x["h"], x["g"]], axis=1))
-        if not anchors:
-            return
-        pairs = np.unique(np.concatenate(anchors), axis=0)  # each block with its anchor, sorted by block
-        g, first, n = np.unique(pairs[:, 1], return_index=True, return_counts=True)
-        shared = pairs[np.isin(pairs[:, 1], g[n > 1]), 0]
-        open_ = [owner[np.isin(have, shared)] for have, owner in family.levels]
-        yield from _say(np.concatenate(late), np.concatenate(open_))
 
-    sent = src.mapInArrow(send, _SENT)
-    return sent.repartition(shards, "shard").mapInArrow(receive, _SAID)
+def _rows(size: int, /, **columns: object) -> np.ndarray:
+    out = np.zeros(size, _ROW)
+    for k, v in columns.items():
+        out[k] = v
+    return out
+
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it in any column; the first does."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
-def _second_round(texts: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
-    """``texts`` has ``doc_id, key, text, open``: the blocks whose strings are to be compared."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, bodies, names, size = [], [], [], 0
+def _joined(late: np.ndarray) -> np.ndarray:
+    """Repeats with starts that follow each other as one row with their number."""
+    late = late[np.lexsort((late["at"], late["key"], late["id"]))]
+    if not len(late):
+        return late
+    cut = _changes(late["id"], late["key"])
+    cut[1:] |= late["at"][1:] > (late["at"] + late["n"])[:-1]
+    first = np.flatnonzero(cut)
+    out = late[first].copy()
+    out["n"] = np.maximum.reduceat(late["at"] + late["n"], first) - out["at"]
+    out["kind"], out["h"] = LATE, 0
+    out["g"] = T.mix((out["id"] ^ out["at"]).view(T.U64)).view(np.int64)  # dealt out at random
+    return out
 
-        def out():
-            x, name = np.concatenate(items), np.concatenate(names)
-            return _rows(shards, name, (x["g"] % T.U64(shards)).astype(np.int64), x, np.zeros(0, _SPAN), bodies)
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                s = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, 2) for x in batch.column(3)[i].as_py()]).astype(np.int64)
-                # the anchor of a block, found again among its own bytes
-                x = np.empty(len(s), _SUFFIX)
-                for j, (at, n) in enumerate(s.tolist()):
-                    body = data[at : at + n + length - 1]
-                    bodies.append(body.tobytes())
-                    size += len(body)
-                x["at"], x["n"], x["doc"], x["h"] = s[:, 0], s[:, 1], len(names), 0
-                x["g"] = _anchor_hashes(data, s, length, gram)
-                items.append(x)
-                one = np.empty(1, _DOC)
-                one["id"], one["key"] = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                names.append(one)
-                if size > 16 << 20:
-                    yield out()
-                    items, bodies, names, size = [], [], [], 0
-        if items:
-            yield out()
-
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, late = LevelFamily(), []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n_held = 0
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether suffixes are one: rows that repeat an id and text send it several times."""
+    return (a["id"] == b["id"]) & (a["key"] == b["key"]) & (a["at"] == b["at"])
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of some texts: for each anchor its text's row, its hash, the hash of its block, the first start and the number."""
+    values = T._BYTE[0][data]
+    grams = T.window_hashes(values, gram)
+    at = T.sliding_argmin(grams, length - gram + 1)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
+    s = np.flatnonzero(np.arange(len(at)) + length <= offsets[1:][row])
+    if not len(s):
+        return (np.zeros(0, np.int64),) * 5
+    change = np.flatnonzero(_changes(at[s], s - np.arange(len(s))))
+    n = np.diff(np.append(change, len(s)))
+    first, anchor = s[change], at[s[change]]
+    # a block's hash: its first and last string, their number and the anchor's place
+    strings = T.window_hashes(values, length)
+    with np.errstate(over="ignore"):
+        h = strings[first] * T.U64(0x9E3779B97F4A7C15) ^ strings[first + n - 1] * T.U64(0xC2B2AE3D27D4EB4F)
+        h = T.mix(h + n.astype(T.U64) * T.U64(0x165667B19E3779F9) + T.mix((anchor - first).astype(T.U64)))
+    return row[first], grams[anchor].view(np.int64), h.view(np.int64), first - offsets[row[first]], n
+
+
+def _pieces(t: T.Texts, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """A chunk's bytes with offsets and the place of the first; a long text comes in pieces that share ``length`` - 1 bytes."""
+    if len(t.offsets) > 2 or len(t.data) <= PIECE + length:
+        yield t.data, t.offsets, 0
+    else:
+        for begin in range(0, len(t.data) - length + 1, PIECE):
+            part = t.data[begin : begin + PIECE + length - 1]
+            yield part, np.array([0, len(part)]), begin
+
+
+def _fresh(x: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the earliest of those alike in ``by``, and which repeat an earlier one that is another suffix."""
+    order = np.lexsort((x["at"], x["key"], x["id"], *by))
+    new = _changes(*(c[order] for c in by))
+    owner = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    late = ~new & ~_same(x[order], x[owner])
+    return np.sort(order[new]), np.sort(order[late])
+
+
+def batch_blocks(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Blocks of ``doc_id, key, text``: of equal ones in a part of the input the earliest, and the others as repeats."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-        def put():
-            found = family.add(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            late.append(_joined(found[np.lexsort((found["at"], found["key"], found["id"]))]))  # spans, so few are held
+        def out() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            fresh, late = _fresh(x, x["h"], x["g"])
+            yield _table(x[fresh])
+            yield _table(_joined(x[late]))
 
         for batch in batches:
-            for d, s, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                name, x = np.frombuffer(d, _DOC), np.frombuffer(s, _SUFFIX)
-                sizes = x["n"].astype(np.int64) + length - 1
-                for a, b, body in _bodies(sizes, raw):
-                    fp = byte_windows(_byte_values(body), length)
-                    own, n = _order(name, x[a:b]), x["n"][a:b].astype(np.int64)
-                    begin = np.cumsum(sizes[a:b]) - sizes[a:b]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    order = np.repeat(own, n)
-                    order["at"] += step.astype(np.uint32)
-                    order["n"] = 1
-                    # strings of other anchors than their block's are told apart by the anchor
-                    held.append((T.mix(fp[np.repeat(begin, n) + step] ^ np.repeat(x["g"][a:b], n)), order))
-                    n_held += len(order)
-                    if n_held > FLUSH:
-                        put()
-                        held, n_held = [], 0
+            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for t in T.texts(batch.column(2), PIECE):
+                for data, offsets, begin in _pieces(t, length):
+                    row, g, h, at, n = blocks(data, offsets, length, gram)
+                    held.append(_rows(len(g), g=g, h=h, id=ids[t.rows.start + row], key=keys[t.rows.start + row], at=at + begin, n=n, kind=ALONE))
+                    if sum(map(len, held)) > FLUSH:
+                        yield from out()
+                        held = []
         if held:
-            put()
-        if late:
-            yield from _say(np.concatenate(late), np.zeros(0, _ORDER))
+            yield from out()
 
-    sent = texts.mapInArrow(send, _SENT)
-    return sent.repartition(shards, "shard").mapInArrow(receive, _SAID)
+    return docs.mapInArrow(send, _SQL)
 
 
-def _joined(x: np.ndarray) -> np.ndarray:
-    """Neighbouring starts of sorted suffixes as one with their number."""
-    if not len(x):
-        return x
-    cut = np.ones(len(x), bool)
-    cut[1:] = (x["id"][1:] != x["id"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["at"][1:] > x["at"][:-1] + 1)
-    first = np.flatnonzero(cut)
-    out = x[first].copy()
-    last = np.append(first[1:], len(x)) - 1
-    out["n"] = x["at"][last] - out["at"] + 1
-    return out
+def merge_scan(sorted_blocks: DataFrame) -> DataFrame:
+    """Rows of blocks sorted by anchor, block and suffix within partitions, put in their kinds; repeats are passed on.
 
+    Blocks of levels (SHARED_OLD on the way in) only come out if they share an anchor, or as repeats.
+    """
 
-def _bodies(sizes: np.ndarray, raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Runs of blocks of about a megabyte: first, end and their bytes."""
-    ends = np.cumsum(sizes)
-    data, a = np.frombuffer(raw, np.uint8), 0
-    while a < len(sizes):
-        start = int(ends[a] - sizes[a])
-        b = max(a + 1, int(np.searchsorted(ends, start + (1 << 20), "right")))
-        yield a, b, data[start : int(ends[b - 1])]
-        a = b
-
-
-def _anchor_hashes(data: np.ndarray, s: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The anchor hash of each (start, number) block: the least hash in its first string."""
-    out = np.empty(len(s), T.U64)
-    span = length - gram + 1
-    for begin in range(0, len(data), PIECE):
-        own = np.flatnonzero((s[:, 0] >= begin) & (s[:, 0] < begin + PIECE))
-        if len(own):
-            grams = byte_windows(_byte_values(data[begin : begin + PIECE + length - 1]), gram)
-            at = s[own, 0] - begin
-            for k in range(0, len(own), 4096):
-                out[own[k : k + 4096]] = grams[at[k : k + 4096, None] + np.arange(span)].min(axis=1)
-    return out
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, _ROW)  # the last block's owner, whose successor is not known yet
+        first, told = True, False  # whether it is the first of its anchor, and whether it was put out
+
+        def put(owners: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+            old = owners["kind"] == SHARED_OLD
+            out = owners.copy()
+            out["kind"] = np.where(old, SHARED_OLD, np.where(shared, SHARED, ALONE))
+            return _table(out[shared | ~old])
+
+        for batch in batches:
+            got = np.zeros(batch.num_rows, _ROW)
+            for k, name in enumerate(_NAMES):
+                got[name] = np.asarray(batch.column(k))
+            yield _table(got[got["kind"] == LATE])
+            x = np.concatenate([held, got[got["kind"] != LATE]])
+            if not len(x):
+                continue
+            new = _changes(x["g"], x["h"])
+            own = np.flatnonzero(new)
+            late = x[~new & ~_same(x, x[own[np.cumsum(new) - 1]])]
+            if len(late):
+                yield _table(_joined(late))
+            owners = x[own]
+            before = np.append(not first if len(held) else False, owners["g"][1:] == owners["g"][:-1])
+            after = np.append(owners["g"][1:] == owners["g"][:-1], False)
+            ready = np.ones(len(owners), bool)
+            ready[0] = not (told and len(held))
+            known = before[-1] and ready[-1]  # the last shares its anchor with one before it, or must wait
+            if not before[-1]:
+                ready[-1] = False
+            yield put(owners[ready], (before | after)[ready])
+            told = bool(known) if len(owners) > 1 or not len(held) else told or bool(known)
+            first, held = not before[-1], owners[-1:]
+        if len(held) and not told:
+            yield put(held, np.array([not first]))
+
+    return sorted_blocks.mapInArrow(scan, _SQL)
+
+
+def string_array(bodies: list[bytes], x: np.ndarray, part: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix array of all ``length``-byte strings of some blocks: suffixes and strings in the order of part, bytes
+    and suffix, and how each differs from the one before it."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    n = x["n"]
+    begin = np.cumsum(n + length - 1) - (n + length - 1)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    each = np.repeat(x, n)
+    each["at"] += step
+    each["n"] = 1
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(begin, n) + step]).view(f"S{length}").ravel()
+    parts = np.repeat(part, n)
+    order = np.lexsort((each["at"], each["key"], each["id"], strings, parts))
+    return each[order], strings[order], _changes(parts[order], strings[order])
+
+
+def _late_strings(each: np.ndarray, new: np.ndarray) -> np.ndarray:
+    own = np.flatnonzero(new)
+    return each[~new & ~_same(each, each[own[np.cumsum(new) - 1]])] if len(each) else each
+
+
+_BODY = "part bigint, id bigint, key bigint, at bigint, n bigint, body binary"
+
+
+def shared_bodies(texts: DataFrame, length: int) -> DataFrame:
+    """``id, key, text, open`` (structs of at, n, g and whether the anchor is hot) to the bytes of each block.
+
+    A hot anchor's strings go by themselves, in parts of their own: of equal ones the earliest here; the others are
+    rows without bytes, as repeats.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[tuple[np.ndarray, list[bytes]]] = []
+        n_hot = 0
+
+        def table(part: np.ndarray, x: np.ndarray, bodies: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part)), *(pa.array(np.ascontiguousarray(x[c])) for c in ("id", "key", "at", "n")), pa.array(bodies, pa.binary())], ["part", "id", "key", "at", "n", "body"])
+
+        def split() -> Iterator[pa.RecordBatch]:
+            x, bodies = np.concatenate([h[0] for h in hot]), [b for h in hot for b in h[1]]
+            each, strings, new = string_array(bodies, x, x["g"], length)
+            late = _joined(_late_strings(each, new))
+            yield table(late["g"], late, [None] * len(late))
+            mine = strings[new]
+            whole = mine.view(np.uint8).reshape(len(mine), length)
+            part = T.mix(T.window_hashes(T._BYTE[0][whole.ravel()], length)[::length] ^ each["g"][new].view(T.U64)).view(np.int64)
+            for k in range(0, len(part), 4096):
+                yield table(part[k : k + 4096], each[new][k : k + 4096], [w.tobytes() for w in whole[k : k + 4096]])
 
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(2)[i].as_buffer()
+                spans = batch.column(3)[i].values
+                at, n, g, is_hot = (np.asarray(spans.field(k)) for k in range(4))
+                x = _rows(len(at), id=batch.column(0)[i].as_py(), key=batch.column(1)[i].as_py(), at=at, n=n, g=g)
+                raw = memoryview(data)
+                cold = np.flatnonzero(~is_hot)
+                for k in range(0, len(cold), 4096):
+                    own = x[cold[k : k + 4096]]
+                    yield table(own["g"].copy(), own, [bytes(raw[a : a + m + length - 1]) for a, m in zip(own["at"].tolist(), own["n"].tolist(), strict=True)])
+                own = x[is_hot]
+                if len(own):
+                    hot.append((own, [bytes(raw[a : a + m + length - 1]) for a, m in zip(own["at"].tolist(), own["n"].tolist(), strict=True)]))
+                    n_hot += int(own["n"].sum())
+                if n_hot > FLUSH:
+                    yield from split()
+                    hot, n_hot = [], 0
+        if hot:
+            yield from split()
+
+    return texts.mapInArrow(send, _BODY)
+
+
+def string_repeats(sorted_bodies: DataFrame, length: int) -> DataFrame:
+    """``id, key, at, n``: the repeats among the strings of each part, of rows sorted by part within partitions."""
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, key, spans``: starts of repeated strings as (first, number) pairs; key is the text's xxhash64."""
-    src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    shards = _shards(src, _text_bytes(src))
-    one = materialize(_first_round(src, length, gram, shards), "suffix-blocks")
-    open_ = one.filter(F.length("open") > 0).groupBy("doc_id", "key").agg(F.collect_list("open").alias("open"))
-    asked = src.join(open_, ["doc_id", "key"]).select("doc_id", "key", "text", "open")
-    two = materialize(_second_round(asked, length, gram, shards), "suffix-strings")
-    both = one.unionByName(two).filter(F.length("span") > 0)
-    return both.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n_held = 0
 
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            x = _rows(len(rows), **{c: np.asarray(rows.column(c)) for c in ("id", "key", "at", "n")})
+            each, _, new = string_array(rows.column("body").to_pylist(), x, np.asarray(rows.column("part")), length)
+            late = _joined(_late_strings(each, new))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(late[c])) for c in ("id", "key", "at", "n")], ["id", "key", "at", "n"])
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the kept bytes for every row."""
-    found = repeats(docs, length, gram)
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                piece = batch.slice(k, 1024)
+                held.append(piece)
+                n_held += int(np.asarray(piece.column(4)).sum())
+                if n_held > FLUSH:
+                    rows = pa.Table.from_batches(held)
+                    part = np.asarray(rows.column("part"))
+                    cut = int(np.searchsorted(part, part[-1], "left"))  # the last part may go on
+                    if cut:
+                        yield out(rows.slice(0, cut))
+                        held = rows.slice(cut).to_batches()
+                        n_held = int(np.asarray(rows.slice(cut).column("n")).sum())
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return sorted_bodies.mapInArrow(run, "id bigint, key bigint, at bigint, n bigint")
+
+
+class SuffixIndex:
+    """A family of levels in a folder that all executors reach, with the texts that they point into.
+
+    ``add`` takes a batch of documents, finds the repeats between it and all that was added before (either may be the
+    later one) and within it, and adds it to the index. Without ``keep_texts`` the index serves one batch alone.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, gram: int = GRAM, keep_texts: bool = True) -> None:
+        self.spark, self.folder, self.length, self.gram, self.keep_texts = spark, folder or new_folder(spark, "suffix-index"), length, gram, keep_texts
+
+    def _list(self, kind: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(n for n in names if n.startswith(f"{kind}-"))
+
+    def levels(self) -> dict[str, int]:
+        """The levels' names and numbers of blocks."""
+        return {n: int(n.split("-")[2]) for n in self._list("level")}
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*(f"{self.folder}/{n}" for n in names)) if names else None
+
+    def spans(self) -> DataFrame:
+        """``id, key, at, n`` of all repeats found so far: starts of ``length``-byte strings, ``n`` one after the other."""
+        empty = self.spark.createDataFrame([], "id bigint, key bigint, at bigint, n bigint")
+        return self._read(self._list("found")) or empty
+
+    def add(self, docs: DataFrame) -> None:
+        small_batches(self.spark)
+        src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), "text")
+        batch = len(self._list("found"))
+        blocks_ = batch_blocks(src, self.length, self.gram)
+        levels = self._read(list(self.levels()))
+        if levels is not None:
+            blocks_ = materialize(blocks_, "suffix-blocks")
+            anchors = blocks_.filter(F.col("kind") == ALONE).select("g").distinct()
+            merged = blocks_.unionByName(levels.withColumn("kind", F.lit(SHARED_OLD)).join(anchors, "g", "left_semi"))
+        else:
+            merged = blocks_
+        dealt = merged.repartition(F.col("g")).sortWithinPartitions("g", "h", "id", "key", "at")
+        scanned = materialize(merge_scan(dealt), "suffix-scan")
+        if levels is not None:
+            discard(blocks_)
+
+        open_ = scanned.filter(F.col("kind").isin(SHARED, SHARED_OLD))
+        many = open_.groupBy("g").count().filter(F.col("count") > HOT).select("g", F.lit(True).alias("hot"))
+        marked = open_.join(many, "g", "left").select("id", "key", F.struct("at", "n", "g", F.coalesce("hot", F.lit(False)).alias("hot")).alias("open"))
+        asked = marked.groupBy("id", "key").agg(F.collect_list("open").alias("open"))
+        texts = src if levels is None else src.unionByName(self._read(self._list("texts")))
+        bodies = shared_bodies(texts.join(asked, ["id", "key"]).select("id", "key", "text", "open"), self.length)
+        sent = materialize(bodies, "suffix-bodies")
+        compared = string_repeats(sent.filter("body is not null").repartition(F.col("part")).sortWithinPartitions("part"), self.length)
+        cols = ["id", "key", "at", "n"]
+        found = scanned.filter(F.col("kind") == LATE).select(*cols).unionByName(sent.filter("body is null").select(*cols)).unionByName(compared)
+        found.write.option("compression", "zstd").parquet(f"{self.folder}/found-{batch:06d}")
+        if self.keep_texts:
+            src.write.option("compression", "zstd").parquet(f"{self.folder}/texts-{batch:06d}")
+            self._append(scanned.filter(F.col("kind").isin(ALONE, SHARED)), batch)
+        discard(scanned, sent)
+
+    def _append(self, blocks_: DataFrame, batch: int) -> None:
+        """Add a level, and merge the smallest levels while one is at most twice the size of the other."""
+        made = self._write(blocks_, batch)
+        while True:
+            sizes = sorted(self.levels().items(), key=lambda x: x[1])
+            pair = next(((a, b) for (a, m), (b, n) in zip(sizes, sizes[1:], strict=False) if n < 2 * max(m, 1)), None)
+            if pair is None:
+                return
+            made += 1
+            self._write(self._read(list(pair)), batch, made)
+            for name in pair:
+                remove_folder(self.spark, f"{self.folder}/{name}")
+
+    def _write(self, blocks_: DataFrame, batch: int, step: int = 0) -> int:
+        """Write a level: of equal blocks the earliest, in the order of the array."""
+        first = F.min(F.struct("id", "key", "at", "n")).alias("own")
+        kept = blocks_.groupBy("g", "h").agg(first).select("g", "h", "own.*").sortWithinPartitions("g", "h")
+        name = f"new-{batch:06d}-{step}"
+        kept.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        rows = self._read([name]).count()
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+        path(name).getFileSystem(conf).rename(path(name), path(f"level-{batch:06d}.{step}-{rows}"))
+        return step
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True, index: SuffixIndex | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the kept bytes for every row.
+
+    The documents are added to an index of their own, or were already added to ``index``, whose other documents count
+    as well then.
+    """
+    if index is None:
+        index = SuffixIndex(docs.sparkSession, None, length, gram, keep_texts=False)
+        index.add(docs)
+    packed = F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"))
+    found = index.spans().groupBy("id", "key").agg(F.collect_list(packed).alias("spans"))
+    src = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,11 +413,12 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes:
                 rows = []
                 for i in range(part.num_rows):
                     data = np.frombuffer(part.column(1)[i].as_buffer(), np.uint8)
-                    spans = part.column(2)[i].as_py()
-                    if not spans:
+                    spans = part.column(2)[i]
+                    if not spans.is_valid:
                         rows.append((len(data), 0, 0, data.tobytes()))
                         continue
-                    gone = covered(spans, length, len(data))
+                    pairs = np.stack([np.asarray(spans.values.field(k)) for k in range(2)], axis=1).astype(np.uint32)
+                    gone = covered([pairs.tobytes()], length, len(data))
                     rows.append((len(data), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]), data[~gone].tobytes()))
                 cols = [part.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -373,5 +427,5 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes:
                     names.append("kept_bytes")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = src.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    joined = src.join(found, ["id", "key"], "left").select("id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * with_bytes)
