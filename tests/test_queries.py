@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quantiva.plans import document_queries, geometry_queries, label_queries, matching_queries, more_queries, ordered_queries, quantity_queries, registry, relational_queries, scalar_queries, whole_queries  # noqa: F401
+from quantiva.plans import document_queries, geometry_queries, label_queries, matching_queries, more_queries, ordered_queries, quantity_queries, registry, relational_queries, scalar_queries, sheet_queries, whole_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -107,3 +107,31 @@ def test_greedy_assignment(spark):
     assert sorted((r["id"], r["r_id"]) for r in got.collect()) == sorted(want) and want
     merged = registry.QUERIES["j13_merge_elements"](spark, SMALL)
     assert merged.filter("origin = 'drawing' and text_id is not null").count() == len(want)
+
+
+def test_sheet_kernels(spark):
+    import numpy as np
+
+    from quantiva.operators import sheets
+
+    a, b, v = np.array([1, 2, 1, 7]), np.array([2, 3, 3, 8]), np.array([4.0, 5.0, 9.3, 2.0])
+    at = sheets.solve(a, b, v)
+    assert sheets.component_of(a, b) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert at[1] == at[7] == 0 and at[8] == pytest.approx(2) and at[2] == pytest.approx(4.1) and at[3] == pytest.approx(9.2)
+    rows = registry.QUERIES["g2_axis_positions"](spark, SMALL)
+    assert rows.filter("node = component and position <> 0").isEmpty() and rows.count() > 0
+    from quantiva.plans.sheet_queries import _marks
+
+    for name, tenths, smaller in (("g22_suppress_boxes", 7, False), ("u4_merge_readings", 4, True)):
+        kept = {}
+        for r in sorted(_marks(spark, SMALL).collect(), key=lambda r: r["rank"]):
+            own = kept.setdefault(r["sheet"], [])
+            area = (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+            clash = False
+            for k in own:
+                shared = max(0, min(r["x1"], k["x1"]) - max(r["x0"], k["x0"])) * max(0, min(r["y1"], k["y1"]) - max(r["y0"], k["y0"]))
+                clash |= 10 * shared >= tenths * (area if smaller else 2 * area - shared)
+            if not clash:
+                own.append(r)
+        got = registry.QUERIES[name](spark, SMALL).collect()
+        assert {(r["sheet"], r["id"]) for r in got} == {(s, r["id"]) for s, own in kept.items() for r in own} and len(got) < 1000
