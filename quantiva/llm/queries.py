@@ -115,4 +115,16 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha25
 from d left join per on per.doc_id = d.doc_id left join stay on stay.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op4_decontamination": _OP4, "op5_secret_scan": _OP5, "op9_substring_dedup": _OP9}
+_OP3 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) g from d)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id m from documents union select r.doc_id, e.b from reach r join e on e.a = r.m),
+c as (select doc_id, min(m) component_id from reach group by doc_id)
+select c.doc_id, coalesce(n, 0) n_shingles, component_id, c.doc_id = component_id kept from c left join n on n.doc_id = c.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op3_minhash_dedup": _OP3, "op4_decontamination": _OP4, "op5_secret_scan": _OP5, "op9_substring_dedup": _OP9}
