@@ -2,8 +2,8 @@
 
 Each text gets a vector of transformed statistics. For each language and source the minimum covariance determinant
 is sought: from several starts (medians and absolute deviations, and small subsets picked by hash) concentration
-steps take the CORE share of the rows with the least distances as the next subset, until the determinants no longer
-fall; of the starts the least determinant wins. Rows far from that estimate (Mahalanobis) are rejected, and so are
+steps take the CORE share of the rows with the least distances as the next subset. After a few steps the start of
+least determinant goes on until that no longer falls. Rows far from that estimate (Mahalanobis) are rejected, and so are
 rows that fail two plain limits. "Far" is the upper quantile of chi-square for a probability of TAIL, once the
 median of the squared distances is brought down to that of chi-square.
 
@@ -35,8 +35,8 @@ MIN_WORDS, MAX_REPEAT_SHARE, WINDOW = 10, 20, 5
 VECTOR = [("x_words", 1.2), ("x_length", 0.1), ("x_symbols", 0.04), ("x_lines", 0.12), ("x_repeats", 0.06)]
 NAMES = [n for n, _ in VECTOR]
 MIN_ROWS = 5 * len(VECTOR)
-CORE, STARTS, SUBSET, MAX_STEPS = 0.75, 5, 12, 30
-STABLE = 1e-3  # least fall of a determinant's logarithm that calls for another step
+CORE, STARTS, SUBSET, FIRST_STEPS, MAX_STEPS = 0.75, 5, 12, 2, 30
+STABLE = 0.01  # least fall of a determinant's logarithm that calls for another step
 RANKS = 1000  # accuracy of quantiles: errors of at most one rank in so many
 TAIL = 1e-11
 GROUPS = 20_000  # rows of a table of groups that are broadcast at most (some 10 MB); larger ones are joined with salt
@@ -125,15 +125,16 @@ def _entries() -> list[tuple[int, int]]:
 def _factor(cov: DataFrame) -> DataFrame:
     """``grp, start``, means, the lower Cholesky factor of the covariances ``c_ij`` with each variance raised by its
     least, and the logarithm of the determinant."""
-    out = cov
-    for i, (_, least) in enumerate(VECTOR):  # adding to the diagonal keeps the matrix positive
-        out = out.withColumn(f"c_{i}{i}", F.col(f"c_{i}{i}") + F.lit(least * least))
-    for j in range(len(NAMES)):
-        out = out.withColumn(f"l_{j}{j}", F.sqrt(F.greatest(F.col(f"c_{j}{j}") - sum((F.col(f"l_{j}{k}") ** 2 for k in range(j)), F.lit(0.0)), F.lit(1e-9))))
-        for i in range(j + 1, len(NAMES)):
-            out = out.withColumn(f"l_{i}{j}", (F.col(f"c_{i}{j}") - sum((F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}{j}"))
-    logdet = sum((2 * F.log(f"l_{i}{i}") for i in range(1, len(NAMES))), 2 * F.log("l_00"))
-    return out.select("grp", "start", *(f"m_{n}" for n in NAMES), *(f"l_{i}{j}" for i, j in _entries()), logdet.alias("logdet"))
+    made = []
+    for j, (_, least) in enumerate(VECTOR):  # adding to the diagonal keeps the matrix positive
+        made.append(f"sqrt(greatest(c_{j}{j} + {least * least}D{_less(f'l_{j}{k} * l_{j}{k}' for k in range(j))}, 1e-9D)) as l_{j}{j}")
+        made += [f"(c_{i}{j}{_less(f'l_{i}{k} * l_{j}{k}' for k in range(j))}) / l_{j}{j} as l_{i}{j}" for i in range(j + 1, len(NAMES))]
+    logdet = " + ".join(f"2 * ln(l_{i}{i})" for i in range(len(NAMES)))
+    return cov.selectExpr("grp", "start", *(f"m_{n}" for n in NAMES), *made, f"{logdet} as logdet")  # each may use those before it
+
+
+def _less(terms) -> str:
+    return "".join(f" - {t}" for t in terms)
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
@@ -142,19 +143,18 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return _factor(sums.select("grp", "start", *(f"m_{n}" for n in NAMES), *((F.col(f"s_{i}{j}") - F.col(f"m_{NAMES[i]}") * F.col(f"m_{NAMES[j]}")).alias(f"c_{i}{j}") for i, j in _entries())))
 
 
-def _attach(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Written ``rows`` with the columns of a written table of groups."""
-    if groups.count() <= GROUPS:
+def _attach(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", few: bool | None = None) -> DataFrame:
+    """Written ``rows`` with the columns of a table of groups; ``few`` says whether it is known to be GROUPS rows at most."""
+    if groups.count() <= GROUPS if few is None else few:
         return rows.join(F.broadcast(groups), key, how)
     return salted_join(rows, groups, key, NAMES[0], how)
 
 
-def _distance() -> Column:
-    """The squared Mahalanobis distance of a row that has its group's estimate, by forward substitution."""
-    z: list[Column] = []
-    for i, n in enumerate(NAMES):
-        z.append((F.col(n) - F.col(f"m_{n}") - sum((F.col(f"l_{i}{k}") * z[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}{i}"))
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows``, which have their group's estimate, with the squared Mahalanobis distance ``d2`` by forward substitution."""
+    steps = [f"({n} - m_{n}{_less(f'l_{i}{k} * z_{k}' for k in range(i))}) / l_{i}{i} as z_{i}" for i, n in enumerate(NAMES)]
+    d2 = " + ".join(f"z_{i} * z_{i}" for i in range(len(NAMES)))
+    return rows.selectExpr("*", *steps, f"{d2} as d2").drop(*(f"z_{i}" for i in range(len(NAMES))))
 
 
 def _starts(core: DataFrame) -> DataFrame:
@@ -171,26 +171,45 @@ def _starts(core: DataFrame) -> DataFrame:
     return out
 
 
-def least_determinant(core: DataFrame, share: float = CORE) -> DataFrame:
-    """A written table: for each ``grp`` of written rows of the vector the estimate of least determinant found."""
-    now = _starts(core)
-    for _ in range(MAX_STEPS):
-        far = _attach(core, now, "grp").withColumn("d2", _distance())
-        cut = materialize(far.groupBy("grp", "start").agg(F.percentile_approx("d2", share, RANKS).alias("cut")).join(now, ["grp", "start"]), "quality-cut")
-        near = _attach(core, cut, "grp").filter(_distance() <= F.col("cut"))
-        after = materialize(_estimate(near), "quality-step")
-        fell = after.select("grp", "start", F.col("logdet").alias("then")).join(now, ["grp", "start"]).filter(F.col("then") < F.col("logdet") - STABLE)
-        stable = fell.isEmpty()
-        discard(now, cut)
-        now = after
-        if stable:
-            break
+def _step(core: DataFrame, now: DataFrame, share: float, few: bool) -> DataFrame:
+    """A written table: the estimates of the ``share`` of rows that are nearest to those of ``now``."""
+    far = _measured(_attach(core, now, "grp", few=few))
+    cut = far.groupBy("grp", "start").agg(F.percentile_approx("d2", share, RANKS).alias("cut")).join(now, ["grp", "start"])
+    after = materialize(_estimate(_measured(_attach(core, cut, "grp", few=few)).filter("d2 <= cut")), "quality-step")
+    discard(now)
+    return after
+
+
+def _least(now: DataFrame) -> DataFrame:
+    """Of each group's starts the one of least determinant."""
     best = now.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
     out = materialize(now.join(best, ["grp", "start"]), "quality-best")
     discard(now)
     return out
 
 
+def least_determinant(core: DataFrame, share: float = CORE) -> DataFrame:
+    """A written table: for each ``grp`` of written rows of the vector the estimate of least determinant found.
+
+    All starts take FIRST_STEPS; the best of each group goes on until its determinant no longer falls.
+    """
+    now = _starts(core)
+    few = now.count() <= GROUPS
+    for _ in range(FIRST_STEPS):
+        now = _step(core, now, share, few)
+    now = _least(now)
+    was: float | None = None
+    for _ in range(MAX_STEPS):
+        now = _step(core, now, share, few)
+        total = now.agg(F.sum("logdet")).first()[0]  # falls as long as any determinant does
+        if was is None or total is None or total < was - STABLE:
+            was = total
+            if total is not None:
+                continue
+        break
+    return now
+
+
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``doc_id``, the statistics, ``base_failed``, ``d2`` and ``kept`` for every row."""
     named = statistics(docs).withColumns({"own": F.concat(F.lit("2"), "lang", F.lit("\x1f"), "source"), "pooled": F.concat(F.lit("1"), "lang"), **_vector()})
@@ -205,10 +224,10 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     discard(stats, own, pooled)
     core = rows.filter(fit)
     best = least_determinant(core)
-    middle = _attach(core, best, "grp").groupBy("grp").agg(F.count("*").alias("n_group"), F.percentile_approx(_distance(), 0.5, RANKS).alias("middle"))
+    middle = _measured(_attach(core, best, "grp")).groupBy("grp").agg(F.count("*").alias("n_group"), F.percentile_approx("d2", 0.5, RANKS).alias("middle"))
     final = materialize(best.join(middle, "grp"), "quality-final")
     discard(best)
-    distance = _distance() * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN))
+    distance = F.col("d2") * MEDIAN / F.greatest(F.col("middle"), F.lit(MEDIAN))
     far_off = F.coalesce((F.col("n_group") >= MIN_ROWS) & (distance > limit), F.lit(False))
-    judged = _attach(rows, final, "grp", "left")
+    judged = _measured(_attach(rows, final, "grp", "left"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~far_off).alias("kept"), distance.alias("d2"), "lang", "source")
