@@ -8,7 +8,9 @@ at two, which is all that is asked.
 Second pass: only windows whose anchor is estimated to be in two documents go on. Within a part of the input the
 least document of each window is found at once and only that goes through the shuffle (so a passage that
 very many documents share costs one record per part); windows are grouped exactly by 96-bit hashes in the
-shard of their anchor. A window is a repeat if a smaller document has it too.
+shard of their anchor. A window is a repeat if a smaller document has it too. There are as many shards as keep each
+at some SHARD_BYTES of text, each is a task of its own, and a part of the input writes only to those that it has
+windows for.
 
 The sketch has up to MAX_CELLS cells (a bitmap of 32 MB once merged), a fixed bound. Beyond the input for which
 that suffices it lets more windows through to the exact pass, which stays linear in the input; none is lost.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 WINDOW, ANCHOR = 13, 5
 MAX_CELLS, DEPTH = 1 << 28, 2
@@ -139,6 +141,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -
 
     ``key`` is the xxhash64 of the text. ``spans`` is a list of binaries of unsigned 32-bit numbers.
     """
+    small_batches(docs.sparkSession)
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     size = _text_bytes(src)
     bits = min((max_cells - 1).bit_length(), max(16, (4 * DEPTH * size // 30 + 1).bit_length()))
@@ -162,20 +165,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -
             ship = np.flatnonzero(~later)
             ship = ship[np.argsort(shard[ship], kind="stable")]
             sent = _pack(_SENT, h=h[ship], g=g[ship], doc=doc[ship], at=at[ship])
-            cut = np.searchsorted(shard[ship], np.arange(shards + 1))
-            rows = []
             where = np.flatnonzero(later)
             where = where[np.lexsort((at[where], doc[where]))]
             first, n = T.ranges(doc[where].astype(np.int64) * (1 << 33) + at[where])
             known = _pack(_KNOWN, doc=first >> 33, at=first & 0xFFFFFFFF, n=n)
             home = known["doc"] % shards  # what is known already is dealt out by document
-            for p in range(shards):
-                mine, own = sent[cut[p] : cut[p + 1]], known[home == p]
-                if len(mine) or len(own):
-                    used = np.unique(np.concatenate([mine["doc"], own["doc"]]))
-                    mine, own = mine.copy(), own.copy()
-                    mine["doc"], own["doc"] = np.searchsorted(used, mine["doc"]), np.searchsorted(used, own["doc"])
-                    rows.append((p, name[used].tobytes(), mine.tobytes(), own.tobytes()))
+            known, home = known[np.argsort(home, kind="stable")], np.sort(home)
+            rows = []
+            to = shard[ship]
+            for p in np.union1d(to, home).tolist():  # the shards that get anything
+                mine = sent[np.searchsorted(to, p) : np.searchsorted(to, p, "right")].copy()
+                own = known[np.searchsorted(home, p) : np.searchsorted(home, p, "right")].copy()
+                used = np.unique(np.concatenate([mine["doc"], own["doc"]]))
+                mine["doc"], own["doc"] = np.searchsorted(used, mine["doc"]), np.searchsorted(used, own["doc"])
+                rows.append((p, name[used].tobytes(), mine.tobytes(), own.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["shard", "docs", "sent", "known"])
 
         twice = filled.value
@@ -238,7 +241,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -
             yield pa.RecordBatch.from_arrays([pa.array(name["id"][docs_[k : k + 4096]]), pa.array(name["key"][docs_[k : k + 4096]]), pa.array([spans[cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary())], ["doc_id", "key", "span"])
 
     sent = src.mapInArrow(candidates, "shard int, docs binary, sent binary, known binary")
-    grouped = sent.repartition(shards, "shard").mapInArrow(group, "doc_id bigint, key bigint, span binary")
+    grouped = sent.repartitionById(shards, F.col("shard")).mapInArrow(group, "doc_id bigint, key bigint, span binary")
     return grouped.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
 
 
