@@ -33,8 +33,6 @@ from .scratch import discard, materialize, salted_join, small_batches
 
 WIDTH, SHINGLE = 10, 3
 BITS_EACH, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 27
-#: words of the documents: A-Z and a-z are letters alike
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _RESULTS = ("bench_words", "bench_spans", "bench_items")
 
 
@@ -173,6 +171,11 @@ def _runs(pieces: Column) -> Column:
     return F.aggregate(pieces, F.array().cast("array<bigint>"), add)
 
 
+def _count_words(texts: pa.Array) -> pa.Array:
+    counts = [np.diff(T.words(t, T.NOT_ALNUM, T.LOWER[t.data]).first) for t in T.texts(texts)]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
+
+
 def _text_sha() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
@@ -190,7 +193,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int
     own = docs.drop(*_RESULTS).withColumn(key, _text_sha())
     out = own.join(found.withColumnRenamed("text_sha", key), key, "left")
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORDS)).cast("bigint")
+    words = F.arrow_udf(_count_words, "bigint")(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return out.select(*(F.col(f"`{c}`") for c in own.columns if c != key), words.alias("bench_words"), none("bench_spans", "bigint"), none("bench_items", "string"))
 
 
