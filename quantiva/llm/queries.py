@@ -1,4 +1,4 @@
-"""Registered queries of the ten training-data operators, and DuckDB SQL where SQL can express them."""
+"""Registered queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, secrets, substring, suffixes, toxicity, url_rules
+from . import bpe, chat, decontaminate, minhash, quality, secrets, simhash, substring, suffixes, toxicity, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_byte_bpe, op3_minhash_dedup, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_substring_dedup, op10_url_filter)
+    for f in (op1_chat_formatting, op2_byte_bpe, op3_minhash_dedup, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_substring_dedup, op10_url_filter, op11_simhash_dedup)
 }
 
 _ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
