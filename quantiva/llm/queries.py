@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, secrets, simhash, substring, suffixes, toxicity, url_rules, whitening
+from . import bpe, chat, decontaminate, fim, minhash, quality, secrets, simhash, substring, suffixes, toxicity, url_rules, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,13 +67,17 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(_read(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(_read(spark, sf_dir, "documents"), with_output=False)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_byte_bpe, op3_minhash_dedup, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_substring_dedup, op10_url_filter, op11_simhash_dedup, op13_embedding_whitening)
+    for f in (op1_chat_formatting, op2_byte_bpe, op3_minhash_dedup, op4_decontamination, op5_secret_scan, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_substring_dedup, op10_url_filter, op11_simhash_dedup, op12_fill_in_middle, op13_embedding_whitening)
 }
 
 _ASCII_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
