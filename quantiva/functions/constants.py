@@ -62,6 +62,7 @@ REGULATIONS = [
     ("regles_calcul", r"REGLES?\s+DE\s+CALCUL", "Regles de calcul (non specifiees)"), ("classe_beton", r"[BÉE]TON\s+B([0-9]+)", "B{0}"), ("resistance_beton", r"FC\s*=\s*([0-9]+)\s*MPA", "fc={0} MPa"),
     ("classe_acier", r"ACIERS?\s+HA\s*([0-9]+)", "HA{0}"), ("classe_acier", r"HA\s*([0-9]+)", "HA{0}"), ("enrobage_min", r"[EÉ]NROBAGE\s+MINIMUM\s*=\s*([0-9]+)\s*CM", "{0} cm"),
     ("charge", r"([0-9]+)\s*DAN/M[SUP2²]", "{0} daN/m2"),
+    ("fissuration", r"FISURATION\s+PEU\s+PR[EÉ]JUDICIABLE", "Classe d'exposition: peu prejudiciable"), ("sol", r"SOL\s*:\s*CONTRAINTE\s*=\s*([0-9]+)\s*BARS?", "Contrainte sol: {0} Bars"),
 ]
 # finish lots: code, unit, base of the quantity, unit price before tax
 FINISH_LOTS = [("SO.01", "m2", "surface", 220), ("SO.02", "ml", "perimetre", 35), ("SO.03", "m2", "perimetre_hsp", 60), ("SO.04", "m2", "perimetre_hsp", 45), ("SO.05", "m2", "surface", 80)]

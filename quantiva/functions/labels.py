@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from .constants import ELEMENT_FAMILIES, LEGEND_IGNORE, PREFIX_RULES, REFERENCE_FAMILIES, SECTION_RULES, TOKEN_FAMILIES
 from .parsing import number
 
-_NUM = r"([0-9]{1,4}(?:[.,][0-9]{1,3})?)"
-_DIMS = rf"^\(?\s*{_NUM}\s*[xX×*]\s*{_NUM}(?:\s*[xX×*]\s*{_NUM})?\s*\)?\s*(cm|mm|m)?$"
-_DEPTH = rf"(?i)^(?:ep\.?|e|ép\.?)\s*[=:]?\s*{_NUM}\s*(cm|mm|m)?$"
-_LABEL = r"(?i)^([A-Z]{1,4})([0-9]{0,4})(BIS)?(.*)$"
-_REFERENCE = r"(?i)^([A-Z]{1,4})\s*[-_ ]?\s*([0-9]{0,4})\s*(BIS)?$"
+#: parts of the grammar; all are read without regard to case and with Unicode blanks
+_NUM, _TIMES, _UNIT = r"([0-9]{1,4}(?:[.,][0-9]{1,3})?)", r"\s*[x×*]\s*", r"\s*(cm|mm|m)?"
+_DIMS = r"(?iU)^\(?\s*" + _NUM + _TIMES + _NUM + "(?:" + _TIMES + _NUM + r")?\s*\)?" + _UNIT + "$"
+_DEPTH = r"(?iU)^[eé](?:p\.?)?\s*[=:]?\s*" + _NUM + _UNIT + "$"
+_NAME, _NUMBER, _AGAIN = "([A-Z]{1,4})", "([0-9]{0,4})", "(BIS)?"
+_LABEL = "(?isU)^" + _NAME + _NUMBER + _AGAIN + "(.*)$"
+_REFERENCE = "(?iU)^" + _NAME + r"\s*[-_ ]?\s*" + _NUMBER + r"\s*" + _AGAIN + "$"
 LEAST_CM, MOST_CM = 8.0, 700.0
 
 
+def strip(text: Column) -> Column:
+    """Without any kind of blanks at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def _group(text: Column, pattern: str, at: int) -> Column:
     """A pattern's group, NULL where the pattern or the group isn't found."""
     return F.nullif(F.regexp_extract(text, pattern, at), F.lit(""))
@@ -29,7 +36,7 @@ def centimetres(value: Column, unit: Column) -> Column:
 
 def section_cm(text: Column) -> Column:
     """array<double> in cm of AxB, AxBxH or a depth such as e=20, NULL if any value is implausible."""
-    t = F.trim(F.btrim(F.trim(F.regexp_replace(text, ",", ".")), F.lit("()")))
+    t = strip(F.btrim(strip(F.regexp_replace(text, ",", ".")), F.lit("()")))
     depth = centimetres(number(_group(t, _DEPTH, 1)), F.lower(_group(t, _DEPTH, 2)))
     unit = _group(t, _DIMS, 4)
     sides = F.array_compact(F.array(*(centimetres(number(_group(t, _DIMS, i)), unit) for i in (1, 2, 3))))
@@ -40,7 +47,7 @@ def section_cm(text: Column) -> Column:
 
 def family_of_reference(ref: Column) -> Column:
     """The family of the first listed prefix that is followed by a digit, a separator or nothing; NULL without one."""
-    t, out = F.upper(F.trim(ref)), F.lit(None).cast("string")
+    t, out = F.upper(strip(ref)), F.lit(None).cast("string")
     for prefix, family in reversed(REFERENCE_FAMILIES):
         out = F.when(t.rlike(f"^{prefix}([0-9_ .(-]|$)"), family).otherwise(out)
     return out
@@ -57,25 +64,25 @@ def parse_label(text: Column) -> Column:
 
     Reinforcement and spacing notes are no labels; values beyond those that the family has are dropped.
     """
-    t = F.trim(text)
-    num, rest = F.regexp_extract(t, _LABEL, 2), F.trim(F.regexp_extract(t, _LABEL, 4))
+    t = strip(text)
+    num, rest = F.regexp_extract(t, _LABEL, 2), strip(F.regexp_extract(t, _LABEL, 4))
     joined = rest.rlike("^[xX×*]")  # BN25x30: the number is part of the section
     num, rest = F.when(joined, "").otherwise(num), F.when(joined, F.concat(num, rest)).otherwise(rest)
     prefix = F.upper(F.regexp_extract(t, _LABEL, 1))
     reference = F.concat(prefix, num, F.upper(F.regexp_extract(t, _LABEL, 3)))
     family = family_of_reference(reference)
     size = _rule_size(prefix, family)
-    dims = F.trim(F.regexp_replace(rest, r"^[-_:=\s(]+", ""))
+    dims = strip(F.regexp_replace(rest, r"(?U)^[-_:=\s(]+", ""))
     single = centimetres(number(_group(dims, rf"^{_NUM}\)?$", 1)), F.lit(None).cast("string"))
     alone = F.when((size == 1) & single.between(LEAST_CM, MOST_CM), F.array(single))
     values = F.slice(F.coalesce(section_cm(dims), alone), F.lit(1), F.greatest(size, F.lit(1)))
-    fits = t.rlike(_LABEL) & (F.length(t) <= 40) & ~t.rlike(r"(?i)(?<![A-Z])[0-9]+\s*(?:HA|T)\s*[0-9]+") & ~t.rlike(r"(?i)\be\s*=\s*\(")
+    fits = t.rlike(_LABEL) & (F.length(t) <= 40) & ~t.rlike(r"(?iU)(?<![A-Z])[0-9]+\s*(?:HA|T)\s*[0-9]+") & ~t.rlike(r"(?iU)\be\s*=\s*\(")
     return F.when(fits & family.isNotNull() & values.isNotNull(), F.struct(family.alias("family"), reference.alias("reference"), values.alias("values")))
 
 
 def parse_reference(text: Column) -> Column:
     """struct<family, reference> of a reference alone, NULL for anything else."""
-    t = F.trim(text)
+    t = strip(text)
     reference = F.upper(F.concat(*(F.regexp_extract(t, _REFERENCE, i) for i in (1, 2, 3))))
     family = family_of_reference(reference)
     return F.when(t.rlike(_REFERENCE) & (F.length(t) <= 12) & family.isNotNull(), F.struct(family.alias("family"), reference.alias("reference")))

@@ -1,9 +1,13 @@
-"""Column functions that parse labels, sections, reinforcement notes and lengths. All stay in the JVM; NULL stays NULL."""
+"""Column functions that parse labels, sections, reinforcement notes and lengths. All but nfkc stay in the JVM; NULL stays NULL."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .constants import LEVELS, PREFIXES
 
@@ -16,9 +20,16 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", ".").try_cast("double")
 
 
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Compatibility forms of characters, composed, an Arrow batch at once; the JVM's functions have none."""
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
 def clean_text(text: Column) -> Column:
-    """Control characters and no-break spaces to blanks, runs of blanks to one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1F\\x7F\\u00A0]", " "), " +", " "))
+    """Compatibility forms; control characters but line breaks to blanks, runs of blanks and tabs to one; stripped."""
+    plain = F.regexp_replace(nfkc(text), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u00A0]", " ")
+    return F.regexp_replace(F.regexp_replace(plain, "[ \\t]+", " "), r"(?U)^\s+|\s+$", "")
 
 
 def label_prefix(label: Column) -> Column:

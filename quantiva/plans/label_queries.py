@@ -19,20 +19,23 @@ LABELS = [
     ("PD2 30x30", "poteaux", "PD2", "30x30"), ("Q1(25x30)", "poteaux", "Q1", "25x30"), ("N1-(25X40)", "poutres", "N1", "25x40"), ("N1_25x40", "poutres", "N1", "25x40"), ("n1bis 25×40", "poutres", "N1BIS", "25x40"),
     ("BN25x30", "poutres", "BN", "25x30"), ("BN_25x30", "poutres", "BN", "25x30"), ("LG 25x35", "longrines", "LG", "25x35"), ("CH1(20x15)", "chainages", "CH1", "20x15"), ("M1(20x250)", "murs", "M1", "20x250"),
     ("V2(15x250)", "voiles", "V2", "15x250"), ("ESC1 20x30", "escaliers", "ESC1", "20x30"), ("D1 e=20", "dalles", "D1", "20"), ("D1 20", "dalles", "D1", "20"), ("SF 45x20", "semelles", "SF", "45x20"), ("P1(25x35x300)", "poteaux", "P1", "25x35"),
+    ("\tP1 25x35", "poteaux", "P1", "25x35"), ("P1\u00a025\u00a0x\u00a035\n", "poteaux", "P1", "25x35"), ("D1 ÉP. 20", "dalles", "D1", "20"),
     *((t, None, None, None) for t in ("8T12", "4HA10", "e=15", "e=(10x9 symet)", "25x30", "(25x35)", "PLAN N3", "S2", "Escalier", "CAD+ETR", "1500", "R+2", "P1 5x5", "P1 900x900", "", None, "S2 110x110x25 " + "x" * 40)),
 ]
 cases("p4_parse_label", LABELS, {"family": "varchar", "reference": "varchar", "sides": "varchar"}, lambda t: {"family": L.parse_label(t)["family"], "reference": L.parse_label(t)["reference"], "sides": _sides(L.parse_label(t)["values"])})
 
-SECTIONS = [("25x30", "25x30"), ("0.25x0.35", "25x35"), ("1,10 x 1,10 x 0,25", "110x110x25"), ("(110x110x25)", "110x110x25"), ("250x300mm", "25x30"), ("ép. 20", "20"), ("e=15", "15"), ("ep : 0.20", "20"), ("5x5", None), ("900x900", None), ("25", None), ("abc", None), ("", None), (None, None)]
+SECTIONS = [("25x30", "25x30"), ("0.25x0.35", "25x35"), ("1,10 x 1,10 x 0,25", "110x110x25"), ("(110x110x25)", "110x110x25"), ("250x300mm", "25x30"), ("ép. 20", "20"), ("e=15", "15"), ("ep : 0.20", "20"), ("ÉP. 20", "20"), ("EP 15 cm", "15"), ("25\u00a0x\u00a030", "25x30"), ("\t25x30 ", "25x30"), ("5x5", None), ("900x900", None), ("25", None), ("abc", None), ("", None), (None, None)]
 cases("p5_section_spellings", SECTIONS, {"sides": "varchar"}, lambda t: {"sides": _sides(L.section_cm(t))})
 
-REFERENCES = [("S2", "semelles", "S2"), ("BN1", "poutres", "BN1"), ("POT12", "poteaux", "POT12"), ("M3", "murs", "M3"), ("LG", "longrines", "LG"), ("n - 3 bis", "poutres", "N3BIS"), ("PIE4", "pieux", "PIE4"), ("CF_2", "contre_forts", "CF2"), *((t, None, None) for t in ("25x30", "8T12", "PLAN", "", "SB1", "S2 110x110", "R12345", None))]
+REFERENCES = [("S2", "semelles", "S2"), ("\tp2\u00a0", "poteaux", "P2"), ("BN1", "poutres", "BN1"), ("POT12", "poteaux", "POT12"), ("M3", "murs", "M3"), ("LG", "longrines", "LG"), ("n - 3 bis", "poutres", "N3BIS"), ("PIE4", "pieux", "PIE4"), ("CF_2", "contre_forts", "CF2"), *((t, None, None) for t in ("25x30", "8T12", "PLAN", "", "SB1", "S2 110x110", "R12345", None))]
 cases("p8_parse_reference", REFERENCES, {"family": "varchar", "reference": "varchar"}, lambda t: {"family": L.parse_reference(t)["family"], "reference": L.parse_reference(t)["reference"]})
 
 TOKENS = [
     ("S1/P1", "S1|P1"), ("D1-V1", "D1|V1"), ("S1(90x90x25)", "S1(90x90x25)"), ("S1(90x90x25)8HA12", "S1|(90x90x25)|8HA12"), ("P1(25x35)", "P1|(25x35)"), ("P2 (25×35) 4HA14+2T12", "P2|(25x35)|4HA14+2T12"), ("N1BIS(25*40)", "N1BIS|(25x40)"),
     ("25x40", "25x40"), ("4HA14+2T12", "4HA14+2T12"), ("6 TOR 12", "6 TOR 12"), ("N3", "N3"), ("ESC1/PIE2", "ESC1|PIE2"), ("SF1-SB2", "SF1|SB2"), ("plan masse", "plan masse"), ("", ""), ("S1/P1/N1", "S1/P1/N1"), (None, None),
 ]
+CLEANED = [("ﬁche m²", "fiche m2"), ("a\u00a0\u00a0b", "a b"), (" x\ty ", "x y"), ("un\ndeux\r\n", "un\ndeux"), ("e\u0301p", "ép"), ("\u0007bip\u007f", "bip"), ("２５×３０", "25×30"), ("", ""), (None, None)]
+cases("p1_clean_spellings", CLEANED, {"cleaned": "varchar"}, lambda t: {"cleaned": P.clean_text(t)})
 cases("p9_tokenize", TOKENS, {"tokens": "varchar"}, lambda t: {"tokens": F.array_join(L.tokenize(t), "|")})
 
 FAMILIES = [("SF1", "SEMELLE_FILANTE"), ("S1", "SEMELLE"), ("SB2", "SABLIERE"), ("P1", "POTEAU"), ("q2", "POTEAU"), ("PA1", "POUTRE_APPUI"), ("PN3", "POUTRE"), ("PIE1", "PIEU"), ("BN1", "POUTRE"), ("N4", "POUTRE"), ("D1", "DALLE"), ("DS1", "DALLE_SOLIVE"), ("VD1", "VOILE_RINAGE"), ("VT2", "VOILE_TERRAIN"), ("V1", "VOILE"), ("MS1", "MASSIF"), ("M1", "MUR"), ("RD1", "REDRESSEUR"), ("R1", "RADIER"), ("FS1", "INCONNU"), ("F1", "FUT"), ("TR2", "TRAVERS"), ("X1", "INCONNU"), ("", "INCONNU")]
@@ -67,6 +70,7 @@ cases("p28_legend_entry", [("N = Poutre", "N", "Poutre"), ("BN : Bande noyée",
 cases("p29_level_spellings", [("PLAN DE FONDATION", "FONDATION"), ("Rez-de-chaussée", "RDC"), ("Plan RDC", "RDC"), ("R+0", "RDC"), ("R + 1", "R+1"), ("1er étage", "R+1"), ("premier etage", "R+1"), ("2EME ETAGE", "R+2"), ("troisième étage", "R+3"), ("R+4", "R+4"), ("Toiture", "TOIT"), ("Terrasse  accessible", "TOIT"), ("sous-sol", "SOUS_SOL"), ("SS 1", "SOUS_SOL"), ("PL.HT R+2", "R+2"), ("coupe A", None), ("", None)], {"level": "varchar"}, lambda t: {"level": P.level_name(t)})
 TITLES = [
     ("BAEL 91 modifiés 99 - Béton B25 - Aciers HA500 - Enrobage minimum = 3 cm", "BAEL 91 modifiees 99|B25|HA500|HA500|3 cm", "", "", ""), ("RPS 2000 fc=25 MPa", "RPS 2000|fc=25 MPa", "", "", ""), ("Indice : C 12/05/2023 2 emission", "", "C", "12/05/2023", "2eme EMISSION"), ("Regles de calcul 250 daN/m2", "Regles de calcul (non specifiees)|250 daN/m2", "", "", ""), ("INDICE B 1-2-24", "", "B", "1-2-24", ""), ("", "", "", "", ""),
+    ("Fisuration peu préjudiciable", "Classe d'exposition: peu prejudiciable", "", "", ""), ("Sol : Contrainte = 2 Bars", "Contrainte sol: 2 Bars", "", "", ""),
 ]
 cases("p30_regulatory", TITLES, {"rules": "varchar", "indice": "varchar", "issued": "varchar", "label": "varchar"}, lambda t: {"rules": F.array_join(F.transform(C.regulations(t), lambda r: r["rule"]), "|"), "indice": C.revision(t)["indice"], "issued": C.revision(t)["date"], "label": C.revision(t)["label"]})
 cases("p31_spacing_load", [("Esp=15", 15.0, None, None), ("cad e = 12,5", 12.5, None, None), ("250 daN/m2", None, 250.0, "daN/m2"), ("350 kg/m²", None, 350.0, "kg/m²"), ("5 kN/m2 e=20", 20.0, 5.0, "kN/m2"), ("rien", None, None, None), ("", None, None, None)], {"spacing": "double", "load": "double", "unit": "varchar"}, lambda t: {"spacing": C.spacing_note(t), "load": C.load_note(t)["load"], "unit": C.load_note(t)["unit"]})

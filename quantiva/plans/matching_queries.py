@@ -10,6 +10,7 @@ from ..functions import parsing as P
 from ..functions.constants import FALLBACK_LEGEND, REQUIRED, SUBJECTS
 from ..operators import boxes, folds, matching, spatial
 from .carriers import CTE, catalogue, gated, placements, points, read
+from .cases import cases
 from .registry import query
 
 _WORDS = f"with recursive {CTE}, words as (select id, ref, family, cast(round(x * 100) as bigint) x, y, page from points) "
@@ -464,17 +465,28 @@ def t5_reading_order(spark, sf):
     return words(spark, sf).select("id", F.row_number().over(w).alias("k"))
 
 
+def subjects(text):
+    """The subjects that a text has, GENERAL without any; letters of either case, with or without accents' case."""
+    small = F.lower(text)
+    found = F.array_compact(F.array(*(F.when(small.rlike(f"(?U){p}"), s) for s, p in SUBJECTS)))
+    return F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise("GENERAL")
+
+
 _SQL_SUBJECTS = "list_filter([" + ", ".join("case when regexp_matches(text, '" + p.replace("'", "''") + f"', 'i') then '{s}' end" for s, p in SUBJECTS) + "], lambda x: x is not null)"
 
 
 @query("r2_categories_all", f"select doc_id, case when len(c) = 0 then 'GENERAL' else array_to_string(c, ',') end categories, coalesce(c[1], 'GENERAL') as main from (select doc_id, {_SQL_SUBJECTS} c from documents)")
 def r2_categories_all(spark, sf):
     """All of the nineteen subjects that a text has, the first being its main one."""
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(f"(?i){p}"), s) for s, p in SUBJECTS)))
-    d = read(spark, sf, "documents").select("doc_id", found.alias("c"))
+    found = F.array_compact(F.array(*(F.when(F.col("small").rlike(f"(?U){p}"), s) for s, p in SUBJECTS)))
+    d = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("small")).select("doc_id", found.alias("c"))
     return d.select("doc_id", F.when(F.size("c") > 0, F.array_join("c", ",")).otherwise("GENERAL").alias("categories"), F.coalesce(F.get("c", 0), F.lit("GENERAL")).alias("main"))
 
 
+SUBJECT_TEXTS = [("BÉTON DOSÉ à 350", "BETON"), ("MAÇONNERIE de briques", "MACONNERIE"), ("Étriers et Cadres", "FERRAILLAGE"), ("ÉTANCHÉITÉ", "ETANCHEITE"), ("bandes\u00a0NOYÉES", "MUR"), ("Semelles sous POTEAUX", "SEMELLE,POTEAU"), ("bonjour", "GENERAL"), ("", "GENERAL")]
+cases("r2_subject_spellings", SUBJECT_TEXTS, {"categories": "varchar"}, lambda t: {"categories": subjects(t)})
+
+
 @query("r1_split_headings", "select doc_id, len(p) n, sha256(array_to_string(list_transform(p, lambda x: length(x)::varchar), ',')) lengths from (select doc_id, list_filter(string_split(regexp_replace(text, '(The |Der |Les? |El )', chr(1) || '\\1', 'g'), chr(1)), lambda x: length(trim(x)) > 0) p from documents)")
 def r1_split_headings(spark, sf):
     """Texts cut before each heading word, which begins its part."""

@@ -106,12 +106,12 @@ def rebar(spark, sf):
     return flat.withColumn("kg", Q.bar_weight(c("qty"), c("bars"), c("length"), c("phi")))
 
 
-@query("c9_rebar_rows", _STEEL + "select id, pos, d::int phi, n::bigint bars, len / 1000.0 as length, cast(ug / 1000000.0 as decimal(24,3))::double kg from kgs")
+@query("c9_rebar_rows", _STEEL + "select id, pos, d::int phi, n::bigint bars, len / 1000.0 as length, ((ug * 2 + 1000) // 2000 / 1000.0)::double kg from kgs")
 def c9_rebar_rows(spark, sf):
     return rebar(spark, sf).select("id", "pos", "phi", "bars", F.col("length").cast("double").alias("length"), _D(F.col("kg")).alias("kg"))
 
 
-@query("c10_weights", _STEEL + "select id, cast(sum(ug) filter (pos < 3) / 1000000.0 as decimal(24,2))::double along_kg, cast(sum(ug) filter (pos = 3) / 1000000.0 as decimal(24,2))::double stirrups_kg from kgs group by id")
+@query("c10_weights", _STEEL + "select id, ((sum(ug) filter (pos < 3) * 2 + 10000) // 20000 / 100.0)::double along_kg, ((sum(ug) filter (pos = 3) * 2 + 10000) // 20000 / 100.0)::double stirrups_kg from kgs group by id")
 def c10_weights(spark, sf):
     kg = lambda which: _D(F.sum(F.when(which, F.col("kg"))), 2)
     return rebar(spark, sf).groupBy("id").agg(kg(F.col("pos") < 3).alias("along_kg"), kg(F.col("pos") == 3).alias("stirrups_kg"))
@@ -120,7 +120,7 @@ def c10_weights(spark, sf):
 _TOTALS = _STEEL + ", v as (select sum(v) b, sum(v) filter (category = 'beton_proprete') p, count(*) n from lines), s as (select sum(ug)::hugeint k from kgs where id in (select id from lines)) "
 
 
-@query("a4_project_totals", _TOTALS + "select b / 1000.0 concrete, (b - p) / 1000.0 reinforced, p / 1000.0 blinding, cast(k / 1000000.0 as decimal(24,1))::double steel, case when b > p then round(k / 1000000.0 / ((b - p) / 1000.0), 1) else 0.0 end::double ratio, n n_lines from v, s")
+@query("a4_project_totals", _TOTALS + "select b / 1000.0 concrete, (b - p) / 1000.0 reinforced, p / 1000.0 blinding, ((k * 2 + 100000) // 200000 / 10.0)::double steel, case when b > p then round(k / 1000000.0 / ((b - p) / 1000.0), 1) else 0.0 end::double ratio, n n_lines from v, s")
 def a4_project_totals(spark, sf):
     lines, blinding = Q.quantity_lines(records(spark, sf)), F.col("category") == "beton_proprete"
     v = lines.agg(F.sum("volume").alias("b"), F.coalesce(F.sum(F.when(blinding, F.col("volume"))), F.lit(0)).alias("p"), F.count("*").alias("n"))
