@@ -1,8 +1,8 @@
 """Walls drawn as dots or dashes: lines are proposed by votes, each is fitted to the marks near it, and cut at openings.
 
 Votes are counted by Spark in cells of angle and distance; each mark stands by its strongest cell, and a cell with
-enough such marks is a proposal. Its marks (those within a band around the line, found by the same cells) go to one
-task, which draws pairs of marks at random, takes the line that most marks are near, and fits it again by singular
+enough such marks is a proposal. Its marks (those within a band around the line, found by the same cells) are one
+row, and the task that has it draws pairs of marks at random, takes the line that most marks are near, and fits it again by singular
 values within a tolerance from the median absolute deviation. What follows is windows: steps and gaps along the line,
 breaks, and the statistics of each run. A group is the marks of one line of one sheet, so a long wall is never cut by
 how the work is dealt out, and no sheet has to fit in a task.
@@ -11,9 +11,11 @@ how the work is dealt out, and no sheet has to fit in a task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,19 @@ def _off(points: np.ndarray, c: np.ndarray, u: np.ndarray) -> np.ndarray:
     return (points[:, 1] - c[1]) * u[0] - (points[:, 0] - c[0]) * u[1]
 
 
+@lru_cache(4096)
+def _pairs(n: int) -> np.ndarray:
+    """The pairs drawn from ``n`` marks, the same for every line of so many."""
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(n, size=2, replace=False) for _ in range(TRIALS)])
+
+
 def robust_line(points: np.ndarray, stroke: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
     """Centre, direction, mask of the marks on the line and its tolerance; None with fewer than SUPPORT on any line."""
     n, t = len(points), max(1.0, stroke)
     if n < SUPPORT:
         return None
-    rng = np.random.default_rng(SEED)
-    pairs = np.array([rng.choice(n, size=2, replace=False) for _ in range(TRIALS)])
+    pairs = _pairs(n)
     start, step = points[pairs[:, 0]], points[pairs[:, 1]] - points[pairs[:, 0]]
     far = np.hypot(step[:, 0], step[:, 1])
     usable = far >= 1e-6
@@ -71,23 +79,36 @@ def robust_line(points: np.ndarray, stroke: float) -> tuple[np.ndarray, np.ndarr
     return *line_of(points[on]), on, float(tolerance)
 
 
-def _fit(df: pd.DataFrame) -> pd.DataFrame:
-    """The marks on a proposal's line, with their places along it (``s``) and lengths on it (``d``)."""
-    df = df.sort_values("id")
-    points, t, angle = df[["x", "y"]].to_numpy(float), float(df["t"].iloc[0]), math.radians(float(df["deg"].iloc[0]))
-    found = robust_line(points, t)
-    columns = ["sheet", "deg", "cell", "id", "t", "s", "d", "cx", "cy", "ux", "uy"]
-    if found is None:
-        return df.iloc[:0].reindex(columns=columns)
-    c, u, on, _ = found
-    proposed = np.array([-math.sin(angle), math.cos(angle)])
-    if u @ proposed < 0:
-        u = -u
-    if math.degrees(math.acos(min(1.0, float(u @ proposed)))) > TURN:
-        return df.iloc[:0].reindex(columns=columns)
-    kept = df[on]
-    d = np.maximum(1.0, np.abs(u[0]) * kept["w"].to_numpy(float) + np.abs(u[1]) * kept["h"].to_numpy(float))
-    return kept.assign(s=(points[on] - c) @ u, d=d, cx=c[0], cy=c[1], ux=u[0], uy=u[1])[columns]
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks on each proposal's line, with their places along it (``s``) and lengths on it (``d``)."""
+    for batch in batches:
+        lists = batch.column("marks")
+        ends, values = lists.offsets.to_numpy(), lists.values
+        x, y, w, h = (values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w", "h"))
+        rows, places, s, d, lines = [], [], [], [], []
+        for i, (t, deg) in enumerate(zip(batch.column("t").to_pylist(), batch.column("deg").to_pylist(), strict=True)):
+            own = slice(ends[i], ends[i + 1])
+            points = np.column_stack([x[own], y[own]])
+            found = robust_line(points, t)
+            if found is None:
+                continue
+            c, u, on, _ = found
+            turn = u[1] * math.cos(math.radians(deg)) - u[0] * math.sin(math.radians(deg))
+            u = -u if turn < 0 else u
+            if math.degrees(math.acos(min(1.0, abs(turn)))) > TURN:
+                continue
+            k = int(on.sum())
+            rows += [i] * k
+            places.append(np.flatnonzero(on) + ends[i])
+            s.append((points[on] - c) @ u)
+            d.append(np.maximum(1.0, np.abs(u[0]) * w[own][on] + np.abs(u[1]) * h[own][on]))
+            lines.append(np.tile([c[0], c[1], u[0], u[1]], (k, 1)))
+        if not rows:
+            continue
+        kept = batch.select(["sheet", "deg", "cell", "t"]).take(pa.array(rows))
+        ids, line = values.field("id").take(pa.array(np.concatenate(places))), np.concatenate(lines)
+        sheet, deg, cell, t = kept.columns
+        yield pa.RecordBatch.from_arrays([sheet, deg, cell, ids, t, pa.array(np.concatenate(s)), pa.array(np.concatenate(d)), *(pa.array(line[:, k].copy()) for k in range(4))], ["sheet", "deg", "cell", "id", "t", "s", "d", "cx", "cy", "ux", "uy"])
 
 
 def proposals(marks: DataFrame, degrees: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +141,8 @@ def dotted_walls(marks: DataFrame, axis_turn: float | None = AXIS_TURN) -> DataF
     near = held.join(spread, ["sheet", "deg", "at"]).filter((F.abs(F.col("r") - F.col("rho")) <= wide) & F.col("along").between(F.col("lo") - beyond, F.col("hi") + beyond))
     kind = marks.schema["sheet"].dataType.simpleString()
     mark = marks.schema["id"].dataType.simpleString()
-    fitted = near.select("sheet", "deg", "cell", "id", "x", "y", "w", "h", "t").groupBy("sheet", "deg", "cell").applyInPandas(_fit, f"sheet {kind}, deg int, cell bigint, id {mark}, t double, s double, d double, cx double, cy double, ux double, uy double")
+    held = near.groupBy("sheet", "deg", "cell").agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("marks"))
+    fitted = held.mapInArrow(_fit, f"sheet {kind}, deg int, cell bigint, id {mark}, t double, s double, d double, cx double, cy double, ux double, uy double")
     return _runs(fitted, axis_turn)
 
 
