@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rays, walls
+from ..operators import geodesic, rays, walls
 from .carriers import read
 from .registry import query
 
@@ -67,3 +67,19 @@ sound as (select *, left_to > 2 and right_to > 2 and up_to > 2 and down_to > 2 o
 def h25_room_boxes(spark, sf):
     """Rooms around their names by five rays a side; open sides are named, and bounded by the envelope."""
     return rays.room_boxes(room_names(spark, sf), plan_walls(spark, sf), plan_sheets(spark, sf))
+
+
+def floor(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A supplier's floor of 160 x 120 cells: its sheets, walls one cell thick, and seeds at the rooms' names."""
+    p, o, q, odd = F.col("l_partkey") * 37 % 160, F.col("l_orderkey") * 53 % 120, F.col("l_quantity").cast("bigint"), F.col("l_linenumber") % 2 == 1
+    line, far = read(spark, sf, "lineitem").withColumn("sheet", F.col("l_suppkey")), 3 + q % 12
+    walls = line.filter("l_returnflag = 'N'").select("sheet", p.alias("x0"), o.alias("y0"), F.when(odd, p).otherwise(p + far).alias("x1"), F.when(odd, o + far).otherwise(o).alias("y1"))
+    name = (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("label")
+    seeds = line.filter("l_returnflag = 'R'").select("sheet", name, (F.col("l_orderkey") * 31 % 160).alias("x"), (F.col("l_partkey") * 17 % 120).alias("y"))
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("sheet"), F.lit(160).alias("width"), F.lit(120).alias("height")), walls, seeds
+
+
+@query("g14_geodesic_shares")
+def g14_geodesic_shares(spark, sf):
+    """Floor space by the name that is nearest by walking around walls; SQL has no shortest paths over grids of this size."""
+    return geodesic.shares(*geodesic.partition(*floor(spark, sf)))

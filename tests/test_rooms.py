@@ -1,11 +1,12 @@
 """Walls, rooms and regions against doing it one by one."""
 
+import heapq
 import math
 
 import numpy as np
 import pytest
 
-from quantiva.operators import walls
+from quantiva.operators import geodesic, walls
 from quantiva.plans import registry, room_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -120,3 +121,53 @@ def test_dotted_walls_of_hand_made_sheets(spark):
     assert sorted((r["sheet"], *sorted((r["first"], r["last"])), r["support"], r["confidence"]) for r in got) == [(1, 0, 9, 10, "high"), (1, 10, 19, 10, "high")]
     assert {(r["sheet"], r["support"]) for r in walls.dotted_walls(df, None).collect()} >= {(1, 10), (5, 30)}
     assert walls.dotted_walls(df.limit(0)).collect() == []
+
+
+def walked(width, height, walls, seeds):
+    """Dijkstra from all seeds at once, cell by cell: the best (distance, number) of each free cell."""
+    shut = {(x, y) for x0, y0, x1, y1 in walls for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)}
+    heap = [(0, k, x, y) for k, x, y in seeds if (x, y) not in shut]
+    heapq.heapify(heap)
+    best = {}
+    while heap:
+        d, k, x, y = heapq.heappop(heap)
+        if (x, y) in best:
+            continue
+        best[x, y] = d, k
+        for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            to = x + dx, y + dy
+            if 0 <= to[0] < width and 0 <= to[1] < height and to not in shut and to not in best:
+                heapq.heappush(heap, (d + (1_414_214 if dx and dy else 1_000_000), k, *to))
+    return best, width * height - len({(x, y) for x, y in shut if 0 <= x < width and 0 <= y < height})
+
+
+def by_label(sheets, walls, seeds):
+    out = {}
+    for s, width, height in sheets:
+        own = sorted((y, x, n) for t, n, x, y in seeds if t == s and 0 <= x < width and 0 <= y < height)
+        best, free = walked(width, height, [w[1:] for w in walls if w[0] == s], [(k, x, y) for k, (y, x, _) in enumerate(own, 1)])
+        for d, k in best.values():
+            cells, far, total = out.get((s, own[k - 1][2]), (0, 0, 0))
+            out[s, own[k - 1][2]] = cells + 1, max(far, d), total + d
+        if free > len(best):
+            out[s, None] = free - len(best), 0, 0
+    return out
+
+
+def test_geodesic_shares_are_dijkstra(spark):
+    got = registry.QUERIES["g14_geodesic_shares"](spark, SMALL).collect()
+    want = by_label(*([tuple(r) for r in d.collect()] for d in room_queries.floor(spark, SMALL)))
+    assert {(r["sheet"], r["label"]): (r["cells"], r["farthest"], r["walked"]) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_geodesic_spans_tiles(spark):
+    """A corridor that winds through many tiles, a closed room, seeds on walls, in one cell and off the plan."""
+    wide, high = 150, 70
+    walls = [(1, x, 0 if k % 2 else 1, x, high - 2 if k % 2 else high) for k, x in enumerate(range(5, wide, 6))] + [(3, 4, 4, 8, 4), (3, 4, 8, 8, 8), (3, 4, 4, 4, 8), (3, 8, 4, 8, 8), (3, -5, 9, 2, 9)]
+    seeds = [(1, 7, 0, 0), (3, 1, 4, 4), (3, 2, 0, 0), (3, 3, 0, 0), (3, 4, 40, 0), (3, 5, 0, 20)]
+    sheets = [(1, wide, high), (2, 33, 1), (3, 12, 12)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    tables = frame(sheets, "sheet bigint, width int, height int"), frame(walls, "sheet bigint, x0 int, y0 int, x1 int, y1 int"), frame(seeds, "sheet bigint, label int, x int, y int")
+    got = geodesic.shares(*geodesic.partition(*tables)).collect()
+    assert {(r["sheet"], r["label"]): (r["cells"], r["farthest"], r["walked"]) for r in got} == by_label(sheets, walls, seeds)
+    assert geodesic.shares(*geodesic.partition(*(t.limit(0) for t in tables))).collect() == []
