@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geodesic, rays, walls
+from ..operators import geodesic, rays, regions, walls
 from .carriers import read
 from .registry import query
 
@@ -83,3 +83,34 @@ def floor(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 def g14_geodesic_shares(spark, sf):
     """Floor space by the name that is nearest by walking around walls; SQL has no shortest paths over grids of this size."""
     return geodesic.shares(*geodesic.partition(*floor(spark, sf)))
+
+
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments of text on a supplier's sheet of 3000 x 2000; those without a tax have no confidence of their own."""
+    line, q = read(spark, sf, "lineitem"), F.col("l_quantity").cast("bigint")
+    x, y = F.col("l_orderkey") * 131 % 3000, F.col("l_partkey") * 71 % 2000
+    ident = F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 8 + F.col("l_linenumber")
+    cent = (100 - F.round(F.col("l_tax") * 100).cast("bigint")) / 100
+    return line.select(F.col("l_suppkey").alias("sheet"), ident.alias("id"), F.concat("l_returnflag", "l_partkey").alias("text"), x.alias("x0"), y.alias("y0"), (x + 10 + q).alias("x1"), (y + 8).alias("y1"), cent.alias("confidence"))
+
+
+
+@query("g21_fused_fragments")
+def g21_fused_fragments(spark, sf):
+    """Fragments fused until no two are within 4 of each other; no SQL repeats an aggregate until it is at rest."""
+    return regions.fused(fragments(spark, sf))
+
+
+def region_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles on an order's sheet: one for each of its returned lines."""
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "tableau").when(F.col("l_linenumber") % 3 == 1, "plan").otherwise("detail")
+    x, y = F.col("l_partkey") * 37 % 1500, F.col("l_suppkey") * 53 % 1000 + F.col("l_linenumber") * 90
+    ident = F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")
+    return read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("sheet"), ident.alias("id"), kind.alias("kind"), F.concat(F.lit("titre "), "l_partkey").alias("label"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 12).alias("y1"))
+
+
+@query("g19_sheet_regions")
+def g19_sheet_regions(spark, sf):
+    """Regions around the titles of a sheet, taken one after the other, with the bands between them."""
+    sheets = read(spark, sf, "orders").select(F.col("o_orderkey").alias("sheet"), (1700 + F.col("o_custkey") % 3 * 300).alias("width"), F.lit(1684).alias("height"))
+    return regions.regions(sheets, region_anchors(spark, sf))

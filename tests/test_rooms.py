@@ -2,11 +2,12 @@
 
 import heapq
 import math
+import random
 
 import numpy as np
 import pytest
 
-from quantiva.operators import geodesic, walls
+from quantiva.operators import geodesic, regions, walls
 from quantiva.plans import registry, room_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -171,3 +172,65 @@ def test_geodesic_spans_tiles(spark):
     got = geodesic.shares(*geodesic.partition(*tables)).collect()
     assert {(r["sheet"], r["label"]): (r["cells"], r["farthest"], r["walked"]) for r in got} == by_label(sheets, walls, seeds)
     assert geodesic.shares(*geodesic.partition(*(t.limit(0) for t in tables))).collect() == []
+
+
+def fused_one_by_one(boxes, distance=4):
+    """Groups of ids: any two groups whose boxes are near are put together, until none are."""
+    groups = [([i], list(b)) for i, *b in boxes]
+    at = 0
+    while at < len(groups):
+        ids, a = groups[at]
+        for k, (more, b) in enumerate(groups):
+            if k != at and a[0] <= b[2] + distance and b[0] <= a[2] + distance and a[1] <= b[3] + distance and b[1] <= a[3] + distance:
+                groups = [g for j, g in enumerate(groups) if j not in (at, k)] + [(ids + more, [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])])]
+                at = -1
+                break
+        at += 1
+    return sorted((min(i), sorted(i), b) for i, b in groups)
+
+
+def test_fragments_fuse_to_a_fixpoint(spark):
+    rng = random.Random(4)
+    rows = []
+    for s in range(30):
+        for i in rng.sample(range(1000), 60 if s else 0):
+            x, y = rng.randrange(-50, 400), rng.randrange(300)
+            rows.append((s, i, f"t{i}" if i % 5 else None, x, y, x + rng.randrange(25), y + rng.randrange(9), float(i % 7)))
+    rows += [(90, k, str(k), 9 * k, 0, 9 * k + 5, 5, 1.0) for k in range(40)] + [(91, 5, "alone", None, None, None, None, 0.5)]  # a chain at the very distance
+    df = spark.createDataFrame(rows, "sheet bigint, id bigint, text string, x0 bigint, y0 bigint, x1 bigint, y1 bigint, confidence double")
+    got = {(r["sheet"], r["g"]): r for r in regions.fused(df).collect()}
+    n = 0
+    for s in {r[0] for r in rows} - {91}:
+        own = {r[1]: r for r in rows if r[0] == s}
+        for g, ids, box in fused_one_by_one([(r[1], *r[3:7]) for r in own.values()]):
+            r, n = got[s, g], n + 1
+            assert [r[c] for c in ("x0", "y0", "x1", "y1")] == box and r["fragments"] == len(ids) and r["confidence"] == min(own[i][7] for i in ids)
+            assert r["text"] == " ".join(own[i][2] for i in ids if own[i][2])
+    assert len(got) == n + 1 and got[90, 0]["fragments"] == 40 and got[91, 5]["x0"] is None
+    assert regions.fuse(df.limit(0)).collect() == []
+
+
+def test_fused_fragments_of_the_tables(spark):
+    rows = room_queries.fragments(spark, SMALL).collect()
+    want = {}
+    for s in {r["sheet"] for r in rows}:
+        want.update({(s, g): (len(ids), *box) for g, ids, box in fused_one_by_one([(r["id"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows if r["sheet"] == s])})
+    got = registry.QUERIES["g21_fused_fragments"](spark, SMALL).collect()
+    assert {(r["sheet"], r["g"]): (r["fragments"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in got} == want
+
+
+def test_regions_of_sheets(spark):
+    a = lambda i, kind, x, y: (1, i, kind, f"t{i}", x, y, x + 60, y + 12)
+    rows = [a(1, "plan", 100, 100), a(2, "detail", 130, 130), a(3, "tableau", 300, 200), a(4, "detail", 1500, 1500), (2, 1, "plan", None, 10, 10, 20, 20)]
+    anchors = spark.createDataFrame(rows, "sheet bigint, id bigint, kind string, label string, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    sheets = spark.createDataFrame([(1, 2000, 1684), (2, 500, 400), (3, 1000, 800)], "sheet bigint, width int, height int")
+    got = {(r["sheet"], r["part"]): tuple(r)[2:] for r in regions.regions(sheets, anchors).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 1001), (2, 0), (3, 0), (3, 1), (3, 2), (3, 3)}
+    # the second is too near the first; the third's box shares over 30 % with the first's
+    assert got[1, 0] == ("tableau", "t1", 0.0, 0.0, 660.0, pytest.approx(212 + 336.8)) and got[1, 1][0] == "detail"
+    assert got[1, 1001][2:] == (0.0, pytest.approx(548.8), 2000.0, pytest.approx(1500 - 101.04)) and got[3, 1] == ("tableau", "quadrant HD", 500.0, 0.0, 1000.0, 400.0)
+    rows = registry.QUERIES["g19_sheet_regions"](spark, SMALL)
+    held = {(r["sheet"], r["part"]): r for r in rows.collect()}
+    with_titles = {r["sheet"] for r in room_queries.region_anchors(spark, SMALL).select("sheet").distinct().collect()}
+    assert len(held) == rows.count() and {s for s, k in held if k == 3 and (s, 3) in held and held[s, 3]["label"] == "quadrant BD"}.isdisjoint(with_titles)
+    assert {s for s, _ in held} == {r["o_orderkey"] for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey").collect()}
