@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quantiva.plans import axis_queries, document_queries, geometry_queries, label_queries, matching_queries, more_queries, ordered_queries, quantity_queries, registry, relational_queries, room_queries, scalar_queries, sheet_queries, whole_queries  # noqa: F401
+from quantiva.plans import axis_queries, document_queries, geometry_queries, label_queries, matching_queries, more_queries, ordered_queries, page_queries, quantity_queries, registry, relational_queries, room_queries, scalar_queries, sheet_queries, whole_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
