@@ -8,7 +8,7 @@ def words(spark, rows):
 
 
 def test_axes_are_runs(spark):
-    rows = [(1, 1, "A", 100.0, 50.0), (1, 2, "B", 200.0, 52.0), (1, 3, "D", 300.0, 50.0), (1, 4, "C", 250.0, 120.0), (1, 5, "Z", 10.0, 50.0), (1, 6, "B", 205.0, 300.0), (1, 7, "01", 500.0, 10.0), (1, 8, "2", 510.0, 90.0), (1, 9, "21", 500.0, 99.0), (1, 10, "3", 300.0, 90.0)]
+    rows = [(1, 1, "A", 100.0, 50.0), (1, 2, "B", 200.0, 52.0), (1, 3, "D", 300.0, 50.0), (1, 4, "C", 250.0, 120.0), (1, 5, "Z", 10.0, 50.0), (1, 6, "B", 205.0, 300.0), (1, 7, "01", 505.0, 10.0), (1, 8, "2", 510.0, 90.0), (1, 9, "21", 500.0, 99.0), (1, 10, "3", 300.0, 90.0)]
     rows += [(2, 1, "T", 5.0, 5.0), (2, 2, "7", 900.0, 400.0), (3, 1, "5", 500.0, 1.0), (3, 2, "9", 500.0, 2.0)]
     got = sorted(tuple(r)[1:] for r in placing.axes(words(spark, rows)).collect())
     assert got == sorted([(1, "letter", "A", 100.0), (1, "letter", "B", 200.0), (1, "number", "01", 10.0), (1, "number", "2", 90.0), (2, "letter", "T", 5.0), (2, "number", "7", 400.0)])
