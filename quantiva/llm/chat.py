@@ -10,7 +10,8 @@ The canonical form is that of RFC 8785 (keys in the order of their UTF-16 units,
 but whole numbers written without point or exponent keep all their digits.
 
 Defined cases: a null text counts as empty, a null role as ``user``; text that is no JSON object, or one that repeats
-a key, is an ordinary message, and arguments that are such text are invalid; long texts are parsed whole; other
+a key or nests deeper than DEPTH levels, is an ordinary message, and arguments that are such text are invalid; half a
+surrogate pair, which UTF-8 can't hold, stays the escape that it was written as; long texts are parsed whole; other
 columns, whatever their names, are not read; an empty table gives an empty result; of calls that share an identifier in a conversation the first (turn, place) is linked, the others are
 ``duplicate_call``; a result without a call is ``orphan_result``, and so is one whose conversation is null;
 repeated rows give repeated messages; calls that need each other in a circle are ``cyclic`` and come last in
@@ -31,6 +32,11 @@ from pyspark.sql import functions as F
 
 from .scratch import discard, materialize, small_batches
 
+DEPTH = 200
+_CIRCLE = 1 << 40  # level of calls in a circle, above that of any chain
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', re.DOTALL)
+_HALF = re.compile("[\ud800-\udfff]")
+
 #: types of JSON schemas and what they admit
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -58,16 +64,25 @@ def _number(v: float) -> str:
     return f"{mantissa}e{'+' if power > 0 else '-'}{abs(power)}"
 
 
+def _whole(text: str | None) -> str | None:
+    """Text that UTF-8 can hold: halves of surrogate pairs as the escapes that they were."""
+    return text and _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _quoted(text: str) -> str:
+    return _whole(json.dumps(text, ensure_ascii=False))
+
+
 def canonical(value: Any) -> str:
     """Canonical JSON; NaN and infinity, which JSON lacks, become null."""
     if isinstance(value, dict):
         items = sorted(((str(k), v) for k, v in value.items()), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v)}" for k, v in items) + "}"
+        return "{" + ",".join(f"{_quoted(k)}:{canonical(v)}" for k, v in items) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return _number(value) if math.isfinite(value) else "null"
-    return json.dumps(value, ensure_ascii=False)
+    return _quoted(value) if isinstance(value, str) else json.dumps(value)
 
 
 #: the keywords of JSON schemas that are checked; title and description say nothing of values
@@ -169,7 +184,21 @@ def _unique(pairs: list[tuple[str, Any]]) -> dict:
     return dict(pairs)
 
 
+def _deep(text: str) -> bool:
+    """Whether brackets nest deeper than DEPTH, by one pass over the text; those in strings don't count."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return False
+    at = 0
+    for m in _BRACKETS.finditer(text):
+        at += {"[": 1, "{": 1, "]": -1, "}": -1}.get(m[0], 0)
+        if at > DEPTH:
+            return True
+    return False
+
+
 def _json(text: str) -> Any:
+    if _deep(text):
+        raise ValueError("nested too deep")
     return json.loads(text, object_pairs_hook=_unique)
 
 
@@ -178,7 +207,7 @@ def _object(text: str) -> dict | None:
         return None
     try:
         got = _json(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
@@ -197,7 +226,7 @@ def parse_message(role: str | None, text: str | None, tools: dict[str, dict]) ->
             if isinstance(args, str):
                 try:
                     args = _json(args)
-                except (ValueError, RecursionError):
+                except ValueError:
                     bad = "$: no JSON"
             if not bad:
                 bad = violation(args, tools[name]) if isinstance(name, str) and name in tools else "unknown tool"
@@ -211,7 +240,8 @@ def parse_message(role: str | None, text: str | None, tools: dict[str, dict]) ->
         made.append(base | {"kind": "result", "call_id": ident, "body": canonical({"content": got.get("content"), "id": ident, "role": role, "type": "result"})})
     if not made:
         made.append(base | {"kind": "message", "body": canonical({"content": text, "role": role, "type": "message"})})
-    return [x | {"place": i} for i, x in enumerate(made)]
+    fit = lambda x: x | {k: _whole(x[k]) for k in ("call_id", "name", "problem")} | {"refs": sorted({_whole(r) for r in x["refs"]})}
+    return [fit(x) | {"place": i} for i, x in enumerate(made)]
 
 
 _PARSED = [("place", "int"), ("kind", "string"), ("call_id", "string"), ("name", "string"), ("refs", "array<string>"), ("valid", "boolean"), ("problem", "string"), ("body", "string")]
@@ -255,7 +285,7 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
     own = (F.col("conv_id") == F.col("c_conv")) & (F.col("call_id") == F.col("c_id"))
     # Messages that are neither calls nor results have no identifier and need no join.
     linked = rows.filter("call_id is not null").join(known, own, "left")
-    plain = rows.filter("call_id is null").select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("c_conv", kinds["conv_id"]), ("c_id", "string"), ("c_turn", kinds["turn"]), ("c_place", "int"), ("level", "int"), ("reach", kinds["turn"]), ("n_results", "bigint"))))
+    plain = rows.filter("call_id is null").select("*", *(F.lit(None).cast(k).alias(n) for n, k in (("c_conv", kinds["conv_id"]), ("c_id", "string"), ("c_turn", kinds["turn"]), ("c_place", "int"), ("level", "bigint"), ("reach", kinds["turn"]), ("n_results", "bigint"))))
     first = (F.coalesce("turn", F.lit(0)) == F.col("c_turn")) & (F.col("place") == F.col("c_place"))
     link = (
         F.when(F.col("kind") == "message", "none")
@@ -267,11 +297,11 @@ def format_chat(conversations: DataFrame, tools: dict[str, dict] | None = None)
         .otherwise("linked")
     )
     joined = linked.unionByName(plain)
-    depth = F.coalesce(F.when(F.col("level") < 0, F.lit(1_000_000)).otherwise(F.col("level")), F.lit(0))
+    depth = F.coalesce(F.when(F.col("level") < 0, F.lit(_CIRCLE)).otherwise(F.col("level")), F.lit(0))
     return joined.select(
         "conv_id", "turn", "place", "role", "kind", "call_id", "name", link.alias("link"), "valid", "problem",
         F.when(F.col("kind") == "result", F.coalesce("reach", "turn")).when((F.col("kind") == "call") & first & (F.col("reach") > F.col("c_turn")), F.col("reach")).otherwise(F.col("turn")).alias("topo_turn"),
-        (2 * depth + F.when(F.col("kind") == "result", 1).otherwise(0)).cast("int").alias("topo_level"),
+        (2 * depth + F.when(F.col("kind") == "result", 1).otherwise(0)).cast("bigint").alias("topo_level"),
         F.col("body").alias("json"),
     )
 
@@ -288,16 +318,18 @@ def _levels(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     needs = rows.filter("kind = 'call' and call_id is not null and size(refs) > 0").select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("turn"), "place", F.explode("refs").alias("need"))
     needs = needs.join(firsts, ["c_conv", "c_id"]).filter("coalesce(turn, 0) = c_turn and place = c_place").select("c_conv", "c_id", "c_turn", "need")
     targets = firsts.select("c_conv", F.col("c_id").alias("need"), F.col("c_turn").alias("need_turn"))
+    if needs.isEmpty():
+        return firsts.select("c_conv", "c_id", F.lit(0).cast("bigint").alias("level"), F.col("c_turn").alias("reach")).limit(0)
     edges = materialize(needs.join(targets, ["c_conv", "need"]).distinct(), "chat-needs")
     per = edges.groupBy("c_conv", "c_id").agg(F.count("*").alias("n"))
     single = edges.join(per.filter("n = 1"), ["c_conv", "c_id"])
-    chains = materialize(single.select("c_conv", "c_id", F.col("need").alias("end"), F.lit(1).alias("steps"), F.greatest("c_turn", "need_turn").alias("reach")), "chat-chains")
+    chains = materialize(single.select("c_conv", "c_id", F.col("need").alias("end"), F.lit(1).cast("bigint").alias("steps"), F.greatest("c_turn", "need_turn").alias("reach")), "chat-chains")
     for _ in range(chains.count().bit_length() + 1):
         more = chains.select("c_conv", F.col("c_id").alias("end"), F.col("end").alias("end2"), F.col("steps").alias("steps2"), F.col("reach").alias("reach2"))
         longer = chains.join(more, ["c_conv", "end"], "left")
         if longer.filter("end2 is not null").isEmpty():
             break
-        grown = materialize(longer.select("c_conv", "c_id", F.coalesce("end2", "end").alias("end"), F.least(F.col("steps") + F.coalesce("steps2", F.lit(0)), F.lit(1 << 30)).alias("steps"), F.greatest("reach", F.coalesce("reach2", "reach")).alias("reach")), "chat-chains")
+        grown = materialize(longer.select("c_conv", "c_id", F.coalesce("end2", "end").alias("end"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.greatest("reach", F.coalesce("reach2", "reach")).alias("reach")), "chat-chains")
         discard(chains)
         chains = grown
     # what still points to a call with one need is in a circle of such calls or needs one
@@ -308,22 +340,24 @@ def _levels(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     several = edges.join(per.filter("n > 1").select("c_conv", "c_id"), ["c_conv", "c_id"]).join(jump, ["c_conv", "need"], "left")
     lost = ring.select("c_conv", F.col("c_id").alias("need"), F.lit(True).alias("lost"))
     several = several.join(lost, ["c_conv", "need"], "left").select("c_conv", "c_id", F.when(~F.coalesce("lost", F.lit(False)), F.coalesce("end", "need")).alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"), F.greatest("c_turn", "need_turn", F.coalesce("far", "need_turn")).alias("reach"))
-    open_ = materialize(several, "chat-open")
-    done = materialize(open_.sparkSession.createDataFrame([], f"c_conv {rows.schema['conv_id'].dataType.simpleString()}, c_id string, level int, reach {turn}"), "chat-done")
+    # each need of such a call: whether it still waits (a null end is one in a circle and waits for ever), the level below
+    ids = several.select("c_conv", F.col("c_id").alias("end")).distinct().withColumn("known", F.lit(True))
+    waits = F.col("end").isNull() | F.coalesce("known", F.lit(False))
+    open_ = materialize(several.join(ids, ["c_conv", "end"], "left").select("c_conv", "c_id", "end", waits.alias("waits"), (F.coalesce("steps", F.lit(0)) + F.lit(0).cast("bigint")).alias("under"), "reach"), "chat-open")
+    done = open_.sparkSession.createDataFrame([], f"c_conv {rows.schema['conv_id'].dataType.simpleString()}, c_id string, level bigint, reach {turn}")
     while not open_.isEmpty():
-        waiting = open_.select("c_conv", F.col("c_id").alias("end")).distinct().withColumn("waits", F.lit(1))
-        state = open_.join(waiting, ["c_conv", "end"], "left").join(done.select("c_conv", F.col("c_id").alias("end"), "level", F.col("reach").alias("far")), ["c_conv", "end"], "left")
-        blocked = F.when(F.col("end").isNull(), 1).otherwise(F.col("waits"))  # a null end is one in a circle
-        ready = state.groupBy("c_conv", "c_id").agg(F.max(blocked).alias("w"), (F.max(F.coalesce("level", F.lit(0)) + F.col("steps")) + 1).cast("int").alias("level"), F.max(F.greatest("reach", F.coalesce("far", "reach"))).alias("reach")).filter("w is null").select("c_conv", "c_id", "level", "reach")
-        ready = materialize(ready, "chat-ready")
+        ready = materialize(open_.groupBy("c_conv", "c_id").agg(F.max("waits").alias("w"), (F.max("under") + 1).alias("level"), F.max("reach").alias("reach")).filter("not w").drop("w"), "chat-ready")
         if ready.isEmpty():
-            stuck = open_.select("c_conv", "c_id").distinct().withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(turn)})
-            done = done.unionByName(stuck)
+            done = done.unionByName(open_.select("c_conv", "c_id").distinct().withColumns({"level": F.lit(-1).cast("bigint"), "reach": F.lit(None).cast(turn)}))
             break
-        done = materialize(done.unionByName(ready), "chat-done")
-        open_ = materialize(open_.join(ready, ["c_conv", "c_id"], "left_anti"), "chat-open")
+        done = done.unionByName(ready)
+        met = ready.select("c_conv", F.col("c_id").alias("end"), "level", F.col("reach").alias("far"))
+        left = open_.join(ready.select("c_conv", "c_id"), ["c_conv", "c_id"], "left_anti").join(met, ["c_conv", "end"], "left")
+        rest = materialize(left.select("c_conv", "c_id", "end", (F.col("waits") & F.col("level").isNull()).alias("waits"), (F.col("under") + F.coalesce("level", F.lit(0))).alias("under"), F.greatest("reach", F.coalesce("far", "reach")).alias("reach")), "chat-open")
+        discard(open_)
+        open_ = rest
 
     at_end = done.select("c_conv", F.col("c_id").alias("end"), F.col("level").alias("below"), F.col("reach").alias("far"))
     stuck = F.coalesce(F.col("below"), F.lit(0)) < 0
-    alone = ended.join(at_end, ["c_conv", "end"], "left").select("c_conv", "c_id", F.when(stuck, -1).otherwise(F.coalesce("below", F.lit(0)) + F.col("steps")).cast("int").alias("level"), F.when(~stuck, F.greatest("reach", F.coalesce("far", "reach"))).alias("reach"))
-    return done.unionByName(alone).unionByName(ring.withColumns({"level": F.lit(-1), "reach": F.lit(None).cast(turn)}))
+    alone = ended.join(at_end, ["c_conv", "end"], "left").select("c_conv", "c_id", F.when(stuck, -1).otherwise(F.coalesce("below", F.lit(0)) + F.col("steps")).cast("bigint").alias("level"), F.when(~stuck, F.greatest("reach", F.coalesce("far", "reach"))).alias("reach"))
+    return done.unionByName(alone).unionByName(ring.withColumns({"level": F.lit(-1).cast("bigint"), "reach": F.lit(None).cast(turn)}))
