@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, fim, minhash, quality, secrets, simhash, substring, suffixes, toxicity, url_rules, whitening
+from .scratch import new_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,7 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(secrets.scan(_read(spark, sf_dir, "documents")))
+    """The table as it comes in twice: some of its rows first, then all; the second scan reads what the ledger lacks."""
+    docs, ledger = _read(spark, sf_dir, "documents"), new_folder(spark, "ledger")
+    secrets.scan(docs.filter(F.xxhash64("doc_id") % 2 == 0), ledger)
+    return secrets.report(secrets.scan(docs, ledger))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ all documents (paths) that have the blob. A second scan of the same or of a grow
 Matches with offsets come from two built-ins: what ``regexp_extract_all`` matches and what ``split`` leaves
 between the matches add up to the text, so running sums of their lengths are the offsets (code points).
 
+Two scans at once, or a driver that is started again, may record a blob twice; a blob's findings are read once.
+
 Defined cases: a null text counts as empty (no spans); repeated rows and equal texts are scanned once and give a
 row each; an empty table gives an empty result; other columns are not read. One blob may be that of a third of
 all rows: it is one row once grouped (combined before the shuffle), and the join back is split by adaptive
@@ -19,7 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import new_folder
@@ -97,16 +99,27 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: list[Rule] | None =
     held = docs.select("doc_id", text.alias("text"))
     address = F.unhex(F.sha2(F.col("text"), 256)).alias("blob_id")
     paths = held.select("doc_id", address)
-    blobs = held.select(address, "text").groupBy("blob_id").agg(F.first("text").alias("text"))
+    named = held.select(address, "text")
     try:
-        done = spark.read.parquet(ledger).filter(F.col("version") == version).select("blob_id")
-        blobs = blobs.join(done, "blob_id", "left_anti")
+        done = _recorded(spark, ledger, version).select("blob_id").distinct()
+        # ids are told apart from those recorded before any text is shuffled
+        unseen = named.select("blob_id").distinct().join(done, "blob_id", "left_anti")
+        named = named.join(unseen, "blob_id", "left_semi")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+    blobs = named.groupBy("blob_id").agg(F.first("text").alias("text"))
     blobs.select("blob_id", spans_of(F.col("text"), rules).alias("found"), F.lit(version).alias("version")).write.mode("append").parquet(ledger)
-    findings = spark.read.parquet(ledger).filter((F.col("version") == version) & (F.size("found") > 0)).select("blob_id", "found")
-    return paths.join(findings, "blob_id", "left").select("doc_id", "blob_id", "found")
+    return paths.join(findings_of(spark, ledger, version), "blob_id", "left").select("doc_id", "blob_id", "found")
+
+
+def _recorded(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    return spark.read.parquet(ledger).filter(F.col("version") == version)
+
+
+def findings_of(spark: SparkSession, ledger: str, version: str = RULE_VERSION) -> DataFrame:
+    """``blob_id, found`` of the blobs with findings, one row each: two scans at the same time may both record a blob."""
+    return _recorded(spark, ledger, version).filter(F.size("found") > 0).select("blob_id", "found").dropDuplicates(["blob_id"])
 
 
 def report(scanned: DataFrame, rules: list[Rule] | None = None, base: list[Rule] | None = None) -> DataFrame:
@@ -143,10 +156,12 @@ def scan_texts(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     ledger = ledger or new_folder(spark, "ledger")
     scan(docs.select("doc_id", "text"), ledger)
-    findings = spark.read.parquet(ledger).filter((F.col("version") == RULE_VERSION) & (F.size("found") > 0)).select(F.col("blob_id").alias("__blob"), F.col("found").alias("__found"))
-    held = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    out = held.join(findings, "__blob", "left")
-    out = out.withColumn("text", redact(F.col("text"), F.col("__found")))
+    taken = {c.lower() for c in docs.columns}
+    blob, found = (next(n for n in (w + "_" * k for k in range(len(taken) + 1)) if n not in taken) for w in ("blob", "found"))
+    findings = findings_of(spark, ledger).select(F.col("blob_id").alias(blob), F.col("found").alias(found))
+    held = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    out = held.join(findings, blob, "left")
+    out = out.withColumn("text", redact(F.col("text"), F.col(found)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

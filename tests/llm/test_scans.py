@@ -186,3 +186,38 @@ def test_whitening_edges(spark):
     assert {(r["vec_id"] >= 20, r["component"], r["n"]) for r in two} == {(False, 1, 9), (False, 2, 9), (True, 1, 3)}  # a space for each length
     far = whitening.whiten(spark.createDataFrame([(1, [1e12]), (2, [-1e12])], "vec_id bigint, embedding array<double>")).collect()
     assert [r["deviation"] for r in far] == [None, None] and sorted(r["whitened"] for r in far) == [-1.0, 1.0]
+
+
+def test_chat_surrogates_and_depth(spark):
+    """Halves of surrogate pairs stay escapes, and depth is one rule: 200 levels, whatever the length."""
+    import json
+
+    from quantiva.llm import chat
+
+    half = '{"tool_calls": [{"id": "a\\ud800", "name": "search", "arguments": {"query": "x\\udc00y", "k\\ud801": 1}}]}'
+    deep = lambda n: '{"tool_call_id": "d", "content": ' + "[" * (n - 1) + "]" * (n - 1) + "}"
+    brackets = json.dumps({"tool_call_id": "s", "content": "[{" * 5000})
+    msgs = [(1, 0, "assistant", half), (1, 1, "tool", '{"tool_call_id": "a\\ud800", "content": "\\ud83d\\ude00 \\ud800"}'), (1, 2, "tool", brackets)]
+    msgs += [(2, i, "tool", deep(n)) for i, n in enumerate((200, 201, 900, 3000, 20_000, 200_000))]
+    df = spark.createDataFrame(msgs, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(df).collect()}
+    assert got[1, 0]["link"] == got[1, 1]["link"] == "linked" and got[1, 0]["call_id"] == "a\\ud800" and not got[1, 0]["valid"]
+    assert '"x\\udc00y"' in got[1, 0]["json"] and got[1, 1]["json"].count("\\ud800") == 2 and "\U0001f600" in got[1, 1]["json"]
+    assert json.loads(got[1, 0]["json"])["arguments"]["query"] == "x\udc00y" and got[1, 2]["kind"] == "result"
+    assert [got[2, i]["kind"] for i in range(6)] == ["result"] + ["message"] * 5
+
+
+def test_ledger_read_once(spark, tiny, tmp_path):
+    """A ledger that two scans wrote at once, and columns with the operator's own names."""
+    from quantiva.llm import secrets
+
+    ledger = f"{tmp_path}/ledger"
+    once = sorted(map(str, secrets.report(secrets.scan(tiny, ledger)).collect()))
+    spark.read.parquet(ledger).write.parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(ledger)
+    size = spark.read.parquet(ledger).count()
+    assert sorted(map(str, secrets.report(secrets.scan(tiny, ledger)).collect())) == once and spark.read.parquet(ledger).count() == size
+    named = tiny.selectExpr("doc_id", "text", "'b' blob", "1 Found", "2 __blob")
+    out = secrets.scan_texts(named, ledger)
+    assert out.columns == named.columns and out.count() == named.count() and out.filter("blob <> 'b' or Found <> 1 or __blob <> 2").isEmpty()
+    assert out.filter("text like '%[SECRET]%'").count() == 2
