@@ -73,3 +73,91 @@ def test_route_and_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "book/one")).count() == 4
     files.json_dump(df, str(tmp_path / "dump"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()) == ['{"id":1,"t":"x"}', '{"id":2}']
+
+
+IFC = """ISO-10303-21;
+DATA;
+#1=IFCCARTESIANPOINT((1.5,-2.,3.E0));
+#2=IFCAXIS2PLACEMENT3D(#1,$,$);
+#3=IFCLOCALPLACEMENT($,#2);
+#10=IFCBEAM('g10',$,'Poutre d''angle; (1)',$,$,#3,$,$);
+#11=IFCBEAM('g11',$,$,$,$,$,$,$);
+#12=IFCCOLUMN('g12',$,'P',$,
+  $,#3,$,$);
+#13=IFCDOOR('g13',$,'porte',$,$,$,$,$);
+#20=IFCBUILDINGSTOREY('s1',$,'RDC',$,$,$,$,$,.ELEMENT.,0.);
+#21=IFCRELCONTAINEDINSPATIALSTRUCTURE('r1',$,$,$,(#10,#13),#20);
+#30=IFCPROPERTYSINGLEVALUE('Reference',$,IFCIDENTIFIER('25X40'),$);
+#31=IFCPROPERTYSINGLEVALUE('Span',$,IFCREAL(4.5),$);
+#32=IFCPROPERTYSINGLEVALUE('Level',$,IFCLABEL('R+1'),$);
+#33=IFCPROPERTYSET('p1',$,'Pset_BeamCommon',$,(#30,#31));
+#34=IFCPROPERTYSET('p2',$,'Autre',$,(#32));
+#35=IFCRELDEFINESBYPROPERTIES('d1',$,$,$,(#10),#33);
+#36=IFCRELDEFINESBYPROPERTIES('d2',$,$,$,(#10,#12),#34);
+#40=IFCMATERIAL('B25',$,$);
+#41=IFCMATERIALLIST((#99,#40));
+#42=IFCRELASSOCIATESMATERIAL('m1',$,$,$,(#12),#41);
+#43=IFCRELASSOCIATESMATERIAL('m2',$,$,$,(#11),#40);
+#50=IFCBEAM('broken',$;
+ENDSEC;
+"""
+
+
+def test_ifc_references_are_followed(spark, tmp_path):
+    from quantiva.sources import ifc
+
+    (tmp_path / "a.ifc").write_text(IFC.replace("angle; (1)", "angle (1)"))
+    (tmp_path / "b.ifc").write_text("#1=IFCSLAB('x',$,'D',$,$,$,$,$);")
+    got = {(r["file"][-5:], r["entity"]): r for r in ifc.elements(spark, f"{tmp_path}/*.ifc").collect()}
+    assert set(got) == {("a.ifc", 10), ("a.ifc", 11), ("a.ifc", 12), ("b.ifc", 1)}
+    beam, other, column, slab = got["a.ifc", 10], got["a.ifc", 11], got["a.ifc", 12], got["b.ifc", 1]
+    assert (beam["name"], beam["reference"], beam["mark"], beam["storey"]) == ("Poutre d'angle (1)", "N1", "25X40", "RDC")
+    assert (beam["width"], beam["height"], beam["length"], beam["x"], beam["y"], beam["z"]) == (0.25, 0.4, 4.5, 1.5, -2.0, 3.0)
+    assert (other["name"], other["reference"], other["storey"], other["material"], other["x"]) == ("IFCBEAM-11", "N2", "INCONNU", "B25", None)
+    assert (column["storey"], column["material"], column["width"], column["z"]) == ("R+1", "B25", None, 3.0) and slab["reference"] == "D1" and slab["properties"] is None
+    assert [r["bad"] for r in ifc.statements(spark, f"{tmp_path}/a.ifc").filter("bad is not null").collect()] == ["#50=IFCBEAM('broken',$"]
+    (tmp_path / "c.ifc").write_text(IFC)  # a separator within a text breaks its statement in two, which is said
+    assert ifc.statements(spark, f"{tmp_path}/c.ifc").filter("bad is not null").count() == 2
+
+
+def test_versioned_table(spark, tmp_path):
+    import pytest
+
+    from quantiva.sources.history import Conflict, VersionedTable
+
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "k string, j int, v int, w int", ["k", "j"])
+    rows = lambda *r: spark.createDataFrame(list(r), t.schema)
+    now = lambda v=None: sorted(map(tuple, t.read(v).collect()), key=str)
+    assert now() == [] and t.versions() == []
+    t.upsert(rows(("a", 1, 1, 1), ("b", None, 2, 2)))
+    t.upsert(rows(("b", None, None, 9), ("c", 3, 3, 3), ("a", 1, 7, 7)), keep=("w",))
+    assert now() == [("a", 1, 7, 1), ("b", None, 2, 2), ("c", 3, 3, 3)] and now(1) == [("a", 1, 1, 1), ("b", None, 2, 2)]
+    # a writer that dies between writing and committing leaves the version before it
+    t.write(rows(("z", 0, 0, 0)), 2)
+    assert now() == now(2) and t.versions() == [1, 2]
+    first, second = t.write(rows(("x", 1, 1, 1)), 2), t.write(rows(("y", 1, 1, 1)), 2)
+    t.commit(first, 2)
+    with pytest.raises(Conflict):
+        t.commit(second, 2)
+    assert now() == [("x", 1, 1, 1)] and t.delete(spark.createDataFrame([("x", 1), ("q", 2)], "k string, j int")) == 4 and now() == []
+    assert t.clean() == 5 and t.versions() == [4] and now() == []
+    with pytest.raises(KeyError):
+        t.read(1)
+
+
+def test_project_history(spark, tmp_path):
+    from quantiva.sources.history import MOST, ProjectHistory
+
+    h = ProjectHistory(spark, f"file://{tmp_path}/h")
+    kind = "nom string, fichier string, beton double, acier double, livrables map<string,string>, plan_data string"
+    add = lambda *r: h.add(spark.createDataFrame(list(r), kind))
+    add(("A", "/x/a.pdf", 1.23456, 2.06, {"xlsx": "o.xlsx"}, '{"p": 1}'), (None, None, None, None, None, None))
+    a = next(r for r in h.entries().collect() if r["nom"] == "A")
+    assert (a["fichier"], a["chemin_source"], a["beton"], a["acier"]) == ("a.pdf", "/x/a.pdf", 1.235, 2.1) and h.snapshot(a["id"]) == '{"p": 1}'
+    add(("A", "/y/a.pdf", 5.0, None, None, None), ("B", "b.pdf", 1.0, 1.0, None, None))
+    got = {r["nom"]: r for r in h.entries().collect()}
+    assert list(got) == ["B", "A", "Projet sans nom"] and (got["A"]["id"], got["A"]["beton"], got["A"]["acier"], got["A"]["chemin_source"], got["A"]["livrables"]) == (a["id"], 5.0, 2.1, "/x/a.pdf", {"xlsx": "o.xlsx"})
+    assert h.snapshot(a["id"]) == '{"p": 1}' and {r["nom"] for r in h.entries(1).collect()} == {"A", "Projet sans nom"}
+    assert h.remove(a["id"]) and not h.remove(a["id"]) and h.snapshot(a["id"]) is None
+    add(*((f"n{i:02d}", "f", 0.0, 0.0, None, None) for i in range(MOST)))
+    assert h.entries().count() == MOST and "B" not in {r["nom"] for r in h.entries().collect()}
