@@ -161,3 +161,34 @@ def test_project_history(spark, tmp_path):
     assert h.remove(a["id"]) and not h.remove(a["id"]) and h.snapshot(a["id"]) is None
     add(*((f"n{i:02d}", "f", 0.0, 0.0, None, None) for i in range(MOST)))
     assert h.entries().count() == MOST and "B" not in {r["nom"] for r in h.entries().collect()}
+
+
+def test_dxf_source(spark, tmp_path):
+    from quantiva.sources import dxf
+
+    draw = lambda *p: "\r\n".join(map(str, p)) + "\r\n"
+    insert = (0, "INSERT", 66, 1, 8, "STRUCT-RDC", 2, "POTEAU P3", 10, 5, 20, 6, 0, "ATTRIB", 8, "x", 10, 9, 20, 9, 1, "25x30", 2, "SECTION", 0, "ATTRIB", 2, "NIVEAU", 1, "RDC", 0, "SEQEND", 8, "0")
+    shapes = (0, "LWPOLYLINE", 8, "VOILE R+1", 10, 0, 20, 0, 10, 3000, 20, 0, 10, 3000, 20, 4000, 0, "POLYLINE", 8, "DALLE", 10, 0, 20, 0, 0, "VERTEX", 10, 1, 20, 2, 0, "VERTEX", 10, 4, 20, 6, 0, "SEQEND", 0, "LINE", 8, "POUTRE", 10, 0, 20, 0, 11, 600, 21, 0, 0, "LINE", 8, "POUTRE", 10, 0, 20, 0, 11, 10, 21, 0, 0, "LINE", 8, "AXES", 10, 0, 20, 0, 11, 9999, 21, 0)
+    texts = (0, "TEXT", 8, "TOITURE", 1, " P1 (25X35)", 10, 1.5, 20, 2, 11, 7, 21, 7, 0, "MTEXT", 8, "0", 3, "BN2 ", 1, "20x40x300", 10, 1, 20, 1, 0, "TEXT", 8, "0", 1, "note", 10, 0, 20, 0, 0, "DIMENSION", 8, "COTES", 42, 3.25, 10, 1, 20, 1)
+    head = (0, "SECTION", 2, "TABLES", 0, "TABLE", 2, "LAYER", 0, "LAYER", 2, "VOILE R+1", 0, "ENDTAB", 0, "ENDSEC", 0, "SECTION", 2, "BLOCKS", 0, "BLOCK", 2, "POTEAU P3", 0, "TEXT", 1, "P9", 0, "ENDBLK", 0, "ENDSEC", 0, "SECTION", 2, "ENTITIES")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.dxf").write_bytes(draw(*head, *insert, *shapes, *texts, 0, "ENDSEC", 0, "EOF").encode() + b"")
+    (tmp_path / "sub/b.DXF").write_bytes(draw(*head, 0, "TEXT", 8, "S", 1, "S2", 10, 1, 20, 1).encode() + b"oops\r\nx\r\n" + draw(0, "TEXT", 1, "S3").encode())
+    (tmp_path / "c.dxf").write_bytes(b"")
+    (tmp_path / "d.dxf").write_bytes(draw(*head, 0, "TEXT", 8, "é").encode("latin-1") + b"0")
+    got = dxf.read(spark, str(tmp_path))
+    kinds = {}
+    for r in got.collect():
+        kinds.setdefault(r["file"].rpartition("/")[2], []).append(r["kind"])
+    assert kinds["a.dxf"] == ["LAYER", "BLOCK", "INSERT", "LWPOLYLINE", "POLYLINE", "LINE", "LINE", "LINE", "TEXT", "MTEXT", "TEXT", "DIMENSION"] and kinds["b.DXF"] == ["LAYER", "BLOCK", None] and "c.dxf" not in kinds
+    by = {(r["kind"], r["seq"]): r for r in got.filter("file like '%a.dxf'").collect()}
+    assert by["INSERT", 2]["attributes"] == {"SECTION": "25x30", "NIVEAU": "RDC"} and by["INSERT", 2]["layer"] == "STRUCT-RDC" and by["INSERT", 2]["xs"] == [5.0]
+    assert by["MTEXT", 9]["text"] == "BN2 20x40x300" and by["TEXT", 8]["xs"] == [1.5] and by["DIMENSION", 11]["measure"] == 3.25
+    e = {r["reference"]: r for r in dxf.elements(got).collect()}
+    assert {k: (r["family"], r["level"], r["sides"], r["length"], r["confidence"]) for k, r in e.items()} == {
+        "BLOC-POTEAU P3": ("POTEAUX", "RDC", None, None, 0.6), "P1": ("POTEAU", "TOIT", "25x35", None, 0.7), "BN2": ("POUTRE", "INCONNU", "20x40x300", None, 0.7),
+        "GEO-1": ("VOILES", "R+1", None, 7.0, 0.4), "GEO-2": ("DALLE", "INCONNU", None, 0.01, 0.4), "GEO-3": ("POUTRES", "INCONNU", None, 0.6, 0.3),
+    }
+    state = {r["file"].rpartition("/")[2]: (r["elements"], r["partial"], r["problem"]) for r in dxf.extract(spark, f"file://{tmp_path}").collect()}
+    assert state["a.dxf"] == (6, False, None) and state["b.DXF"][:2] == (0, True) and "oops" in state["b.DXF"][2] and state["d.dxf"][1]
+    assert [r["file"] for r in dxf.extract(spark, f"{tmp_path}/a*.dxf").collect()] == [f"{tmp_path}/a.dxf"]
