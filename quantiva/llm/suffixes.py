@@ -314,6 +314,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, gram: int = GRAM, keep_texts: bool = True) -> None:
         self.spark, self.folder, self.length, self.gram, self.keep_texts = spark, folder or new_folder(spark, "suffix-index"), length, gram, keep_texts
+        self.merged = 0  # merges of levels so far
 
     def _list(self, kind: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
@@ -377,6 +378,7 @@ class SuffixIndex:
                 return
             made += 1
             self._write(self._read(list(pair)), batch, made)
+            self.merged += 1
             for name in pair:
                 remove_folder(self.spark, f"{self.folder}/{name}")
 
@@ -393,15 +395,21 @@ class SuffixIndex:
         return step
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True, index: SuffixIndex | None = None) -> DataFrame:
+def add_in_batches(index: SuffixIndex, docs: DataFrame, batches: int) -> None:
+    """Add the documents in so many batches of about the same size, dealt out by a hash of the id."""
+    for k in range(batches):
+        index.add(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True, index: SuffixIndex | None = None, batches: int = 1) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the kept bytes for every row.
 
-    The documents are added to an index of their own, or were already added to ``index``, whose other documents count
-    as well then.
+    The documents are added to an index of their own in ``batches``, or were already added to ``index``, whose other
+    documents count as well then.
     """
     if index is None:
-        index = SuffixIndex(docs.sparkSession, None, length, gram, keep_texts=False)
-        index.add(docs)
+        index = SuffixIndex(docs.sparkSession, None, length, gram, keep_texts=batches > 1)
+        add_in_batches(index, docs, batches)
     packed = F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"))
     found = index.spans().groupBy("id", "key").agg(F.collect_list(packed).alias("spans"))
     src = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))

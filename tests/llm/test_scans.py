@@ -221,3 +221,15 @@ def test_ledger_read_once(spark, tiny, tmp_path):
     out = secrets.scan_texts(named, ledger)
     assert out.columns == named.columns and out.count() == named.count() and out.filter("blob <> 'b' or Found <> 1 or __blob <> 2").isEmpty()
     assert out.filter("text like '%[SECRET]%'").count() == 2
+
+
+def test_suffix_levels_merge(spark, tiny):
+    """Four batches make four levels of about one size, which are merged geometrically; the answer is that of one batch."""
+    from quantiva.llm import suffixes
+
+    docs = tiny.filter("doc_id is not null").select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, "shared passage that goes on and on for more than one hundred bytes so that it counts as a repeat " * 2 + str(i)) for i in range(40)], "doc_id bigint, text string"))
+    index = suffixes.SuffixIndex(spark)
+    suffixes.add_in_batches(index, docs, 4)
+    assert index.merged >= 2 and len(index.levels()) < 4
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(suffixes.remove(docs, index=index)) == key(suffixes.remove(docs)) == key(suffixes.remove(docs, batches=3))
