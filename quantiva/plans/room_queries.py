@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geodesic, rays, regions, walls
+from ..operators import geodesic, rays, regions, room_names, walls
 from .carriers import read
 from .registry import query
 
@@ -41,7 +41,7 @@ def plan_walls(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").filter("l_returnflag = 'N'").select(F.col("l_suppkey").alias("sheet"), p.alias("x0"), o.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
-def room_names(spark: SparkSession, sf: str) -> DataFrame:
+def label_boxes(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("l_quantity").cast("bigint")
     name = (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("label")
     return read(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("sheet"), name, (F.col("l_orderkey") * 31 % 370).alias("x"), (F.col("l_partkey") * 17 % 280).alias("y"), (10 + q % 20).alias("w"), (6 + q % 6).alias("h"))
@@ -66,7 +66,7 @@ sound as (select *, left_to > 2 and right_to > 2 and up_to > 2 and down_to > 2 o
 @query("h25_room_boxes", _BOXES + "select sheet, label, cx, cy, \"left\", \"right\", up, down, concat_ws(',', case when left_open then 'left' end, case when right_open then 'right' end, case when up_open then 'up' end, case when down_open then 'down' end) open_sides, not (left_open or right_open or up_open or down_open) closed, case when ok then cx - left_to end box_x, case when ok then cy - up_to end box_y, case when ok then left_to + right_to end box_w, case when ok then up_to + down_to end box_h from sound")
 def h25_room_boxes(spark, sf):
     """Rooms around their names by five rays a side; open sides are named, and bounded by the envelope."""
-    return rays.room_boxes(room_names(spark, sf), plan_walls(spark, sf), plan_sheets(spark, sf))
+    return rays.room_boxes(label_boxes(spark, sf), plan_walls(spark, sf), plan_sheets(spark, sf))
 
 
 def floor(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -114,3 +114,34 @@ def g19_sheet_regions(spark, sf):
     """Regions around the titles of a sheet, taken one after the other, with the bands between them."""
     sheets = read(spark, sf, "orders").select(F.col("o_orderkey").alias("sheet"), (1700 + F.col("o_custkey") % 3 * 300).alias("width"), F.lit(1684).alias("height"))
     return regions.regions(sheets, region_anchors(spark, sf))
+
+
+#: words of a sheet with what they are: a room's name (known, or only written like one), a number, or neither
+ROOM_WORDS = [
+    ("SALON", "known"), ("Chambre 2", "known"), ("MASTER", "known"), ("BATH", "known"), ("2", "number"), (" 13", "number"), ("111", None), ("Échelle 1", None), ("3.50 m", None), ("CUISINE", "known"), ("WC", "known"),
+    ("TOTO", "likely"), ("TOTO1", "likely"), ("Toto", None), ("plan salle", None), ("SALLE 4x5", None), ("séjour", "known"), ("A", None), ("ÉTÉ-B", "likely"), ("WALK-IN", "known"), ("--", None), ("CLOSET 111", "known"),
+]
+
+
+def room_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words read on a supplier's sheet of 400 x 300."""
+    q, texts = F.col("l_quantity").cast("bigint"), F.array(*(F.lit(t) for t, _ in ROOM_WORDS))
+    k = (F.col("l_orderkey") * 7 + F.col("l_partkey") + q) % len(ROOM_WORDS)
+    name = F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 8 + F.col("l_linenumber")
+    conf = (100 - F.round(F.col("l_tax") * 100).cast("bigint")) / 100
+    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sheet"), name.alias("id"), F.get(texts, k.cast("int")).alias("text"), (F.col("l_partkey") * 37 % 400).alias("x"), (F.col("l_orderkey") * 53 % 300).alias("y"), (20 + q).alias("w"), (6 + q % 5).alias("h"), conf.alias("conf"))
+
+
+_KINDS = ", ".join(f"({i}, {repr(t.strip())}, {repr(k) if k else 'null'})" for i, (t, k) in enumerate(ROOM_WORDS))
+
+
+@query("f2_room_labels", f"with w as (select l_suppkey sheet, l_orderkey * 10000000 + l_partkey * 8 + l_linenumber id, (l_orderkey * 7 + l_partkey + l_quantity::bigint) % {len(ROOM_WORDS)} i, l_partkey * 37 % 400 + (20 + l_quantity::bigint) / 2.0 cx, l_orderkey * 53 % 300 + (6 + l_quantity::bigint % 5) / 2.0 cy from lineitem) select sheet, id, t as text, kind from w join (values {_KINDS}) v(j, t, kind) on i = j where kind is not null and case when kind = 'number' then cx between 10 and 390 and cy between 10 and 290 else cx between 2.4 and 397.6 and cy between 2.4 and 297.6 end")
+def f2_room_labels(spark, sf):
+    """Words that name a room or number one, within the building and its margin."""
+    return room_names.candidates(room_words(spark, sf), plan_sheets(spark, sf)).select("sheet", "id", "text", "kind")
+
+
+@query("g23_room_names")
+def g23_room_names(spark, sf):
+    """Stacked lines and numbers put together; each choice depends on those before it, which SQL doesn't express."""
+    return room_names.room_names(room_words(spark, sf), plan_sheets(spark, sf))

@@ -3,11 +3,12 @@
 import heapq
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
-from quantiva.operators import geodesic, regions, walls
+from quantiva.operators import geodesic, regions, room_names, walls
 from quantiva.plans import registry, room_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -234,3 +235,52 @@ def test_regions_of_sheets(spark):
     with_titles = {r["sheet"] for r in room_queries.region_anchors(spark, SMALL).select("sheet").distinct().collect()}
     assert len(held) == rows.count() and {s for s, k in held if k == 3 and (s, 3) in held and held[s, 3]["label"] == "quadrant BD"}.isdisjoint(with_titles)
     assert {s for s, _ in held} == {r["o_orderkey"] for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey").collect()}
+
+
+def named_one_by_one(words):
+    """Plain boxes in a list: lines under the first name that fits, then numbers to the nearest; words by id."""
+    merged = []
+    for w in sorted((w for w in words if w["kind"] != "number"), key=lambda w: (w["y"] + w["h"] / 2, w["x"] + w["w"] / 2)):
+        for m in merged:
+            x, y, r, b = m["box"]
+            gap = w["y"] - b
+            if abs((x + r) / 2 - w["x"] - w["w"] / 2) < 0.6 * max(r - x, w["w"]) and -0.6 * min(w["h"], b - y) <= gap <= 1.2 * max(w["h"], b - y):
+                m["text"] += " " + w["text"]
+                m["box"] = [min(x, w["x"]), min(y, w["y"]), max(r, w["x"] + w["w"]), max(b, w["y"] + w["h"])]
+                m["conf"], m["known"], m["n"] = min(m["conf"], w["conf"]), m["known"] or w["kind"] == "known", m["n"] + 1
+                break
+        else:
+            merged.append({"text": w["text"], "box": [w["x"], w["y"], w["x"] + w["w"], w["y"] + w["h"]], "conf": w["conf"], "known": w["kind"] == "known", "n": 1})
+    merged.sort(key=lambda m: m["box"][3])
+    for w in (w for w in words if w["kind"] == "number"):
+        cx, cy, best = w["x"] + w["w"] / 2, w["y"] + w["h"] / 2, None
+        for m in merged:
+            x, y, r, b = m["box"]
+            under = -0.6 * min(w["h"], b - y) <= w["y"] - b <= 1.2 * (b - y) and abs((x + r) / 2 - cx) < 0.8 * max(r - x, w["w"])
+            if under or (abs((y + b) / 2 - cy) < 0.5 * (b - y) and 0 <= w["x"] - r <= 1.2 * (b - y)):
+                far = abs(cy - (y + b) / 2) + abs(cx - (x + r) / 2)
+                best = (far, m) if best is None or far < best[0] else best
+        if best:
+            m = best[1]
+            x, y, r, b = m["box"]
+            m["text"] += " " + w["text"]
+            m["box"], m["conf"], m["n"] = [min(x, w["x"]), min(y, w["y"]), max(r, w["x"] + w["w"]), max(b, w["y"] + w["h"])], min(m["conf"], w["conf"]), m["n"] + 1
+    return [(k, re.sub(r"\s*\d{3,}$", "", m["text"]).strip() or m["text"], *m["box"], m["conf"], m["known"], m["n"]) for k, m in enumerate(merged)]
+
+
+def test_room_names_are_folded_one_by_one(spark):
+    by = {}
+    for r in sorted(room_names.candidates(room_queries.room_words(spark, SMALL), room_queries.plan_sheets(spark, SMALL)).collect(), key=lambda r: r["id"]):
+        by.setdefault(r["sheet"], []).append(r)
+    want = {(s, *row) for s, own in by.items() for row in named_one_by_one(own)}
+    got = registry.QUERIES["g23_room_names"](spark, SMALL).collect()
+    assert {(r["sheet"], r["k"], r["text"], r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"], r["conf"], r["known"], r["words"]) for r in got} == want and any(r["words"] > 2 for r in got)
+
+
+def test_room_names_of_a_sheet(spark):
+    rows = [(1, 1, "MASTER", 100.0, 100.0, 60.0, 10.0), (1, 2, "BATH", 105.0, 109.0, 40.0, 10.0), (1, 3, "2", 160.0, 104.0, 8.0, 10.0), (1, 4, "WALK-IN", 300.0, 300.0, 60.0, 10.0), (1, 5, "CLOSET 111", 300.0, 312.0, 60.0, 10.0), (1, 6, "7", 900.0, 900.0, 8.0, 10.0), (1, 7, None, 1.0, 1.0, 1.0, 1.0), (2, 1, "SALON", -500.0, 0.0, 10.0, 10.0)]
+    words = spark.createDataFrame(rows, "sheet int, id int, text string, x double, y double, w double, h double").selectExpr("*", "cast(null as double) conf")
+    sheets = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 1000.0), (2, 0.0, 0.0, 100.0, 100.0)], "sheet int, bx double, by double, bw double, bh double")
+    got = {r["text"]: r for r in room_names.room_names(words, sheets).collect()}
+    assert set(got) == {"MASTER BATH 2", "WALK-IN CLOSET"} and got["MASTER BATH 2"]["w"] == 68.0 and got["MASTER BATH 2"]["conf"] == 0.8
+    assert [r["sheet"] for r in room_names.room_names(words, sheets.filter("sheet = 1")).filter("text = 'SALON'").collect()] == [2]  # without an envelope: anywhere
