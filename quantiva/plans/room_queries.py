@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import geodesic, rays, regions, room_names, walls
+from ..operators import geodesic, rays, regions, room_names, surfaces, walls
 from .carriers import read
 from .registry import query
 
@@ -145,3 +145,32 @@ def f2_room_labels(spark, sf):
 def g23_room_names(spark, sf):
     """Stacked lines and numbers put together; each choice depends on those before it, which SQL doesn't express."""
     return room_names.room_names(room_words(spark, sf), plan_sheets(spark, sf))
+
+
+_STRIP = """with recursive s as (select l_orderkey sheet, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) room, 'r' || l_partkey as name, l_returnflag = 'R' open, l_linestatus = 'O' boxed, 20 + l_quantity::bigint * 4 w, l_quantity::bigint % 2 = 0 stated from lineitem),
+p as (select *, sum(w) over (partition by sheet order by room) - w x0, count(*) filter (open) over (partition by sheet) n_open from s),
+a as (select *, x0 + w + case when boxed and not open then 15 else 0 end x1, case when open then case when n_open = 1 then round(w / 4.0, 2) end when boxed then round((w + 15) / 4.0, 2) else round(w / 4.0, 2) end::double seg from p),
+f as (select sheet, room, open, boxed, w, x1 - x0 wide, seg, seg cur, 0.0::double prev_cut from a where room = 1
+  union all select a.sheet, a.room, a.open, a.boxed, a.w, a.x1 - a.x0, a.seg, case when hit and not left_small then round(greatest(0, a.seg - 3.75), 2) else a.seg end, case when hit and left_small then f.cur - round(greatest(0, f.cur - 3.75), 2) else 0 end
+  from f join a on a.sheet = f.sheet and a.room = f.room + 1, lateral (select f.cur <= a.seg left_small) l, lateral (select f.boxed and not f.open and f.cur > 0 and a.seg > 0 and 1500 >= 0.15 * 100 * case when left_small then f.wide else a.x1 - a.x0 end hit) h),
+g as (select sheet, room, round(seg - cur + coalesce(lead(prev_cut) over (partition by sheet order by room), 0), 2) removed from f) """
+
+
+def strip_rooms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An order's rooms in a row, 100 px high at 20 px a metre: some in one open region, some boxes that reach 15 px too far."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    q, open_, boxed = F.col("l_quantity").cast("bigint"), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    s = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.row_number().over(at).cast("bigint").alias("room"), F.concat(F.lit("r"), "l_partkey").alias("name"), open_.alias("open"), boxed.alias("boxed"), (20 + q * 4).alias("w"), (q % 2 == 0).alias("stated"))
+    s = s.withColumn("x0", F.sum("w").over(Window.partitionBy("sheet").orderBy("room")) - F.col("w"))
+    region = F.when(F.col("open"), F.lit(0).cast("bigint")).when(~F.col("boxed"), F.col("room"))
+    explicit = F.when(F.col("open") & F.col("stated"), F.col("w") / 4)
+    x1 = F.col("x0") + F.col("w") + F.when(F.col("boxed") & ~F.col("open"), 15).otherwise(0)
+    rooms = s.select("sheet", "room", "name", region.alias("region"), explicit.alias("explicit"), "x0", F.lit(0).alias("y0"), x1.alias("x1"), F.lit(100).alias("y1"), "w")
+    regions_ = rooms.filter("region is not null").groupBy("sheet", "region").agg((F.sum("w") * 100).alias("area_px"))
+    return rooms.drop("w"), regions_, read(spark, sf, "orders").select(F.col("o_orderkey").alias("sheet"), F.lit(20.0).alias("scale")).distinct()
+
+
+@query("g13_room_surfaces", _STRIP + "select sheet, room, name, case when open and stated then 'dimensions' when open and n_open = 1 then 'region' when open then 'none' when boxed then 'box' else 'region' end source, case when open and stated then (w / 4.0)::double else seg - removed end area, removed::double removed from (select a.*, coalesce(g.removed, 0) removed from a join g using (sheet, room)) where sheet in (select o_orderkey from orders) union all select sheet, null, 'ZONE OUVERTE (' || string_agg(upper(name), ' + ' order by room) || ')', 'zone', (sum(w) - sum(case when stated then w else 0 end)) / 4.0, 0 from a where open and n_open > 1 and sheet in (select o_orderkey from orders) group by sheet having count(*) filter (not stated) > 0 and sum(w) - sum(case when stated then w else 0 end) >= 2")
+def g13_room_surfaces(spark, sf):
+    """Areas of rooms with overlaps given up by the smaller and the rest of shared regions as open zones."""
+    return surfaces.room_surfaces(*strip_rooms(spark, sf))
