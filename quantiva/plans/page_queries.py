@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import placing
+from ..operators import detail_pages, placing
 from .carriers import read
 from .registry import query
 
@@ -77,3 +77,63 @@ _METRES = "case when {0} > 10 then round(({0}) / 100.0, 4)::double else ({0})::d
 def h7_borderless_tables(spark, sf):
     """Footings of tables without borders come back as their columns were written; columns off the header's line don't."""
     return placing.borderless_tables(schedule_words(spark, sf))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of an order, numbered: ``page, c, q`` and their flags."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return read(spark, sf, "lineitem").select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.row_number().over(at).cast("bigint").alias("c"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"))
+
+
+_LINE = "l as (select l_orderkey page, l_quantity::bigint q, l_returnflag flag, l_linestatus state, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) c, count(*) over (partition by l_orderkey) n from lineitem)"
+
+
+def _spread(lines: DataFrame, words: list[tuple]) -> DataFrame:
+    """Words (number, text or null, x, y) of each line."""
+    one = lambda i, t, x, y: F.struct((F.col("c") * 100 + i).alias("id"), t.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    each = lines.select("doc", "page", F.explode(F.array(*(one(*w) for w in words))).alias("w")).select("doc", "page", "w.*")
+    return each.filter("text is not null")
+
+
+def beam_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Details of beams, 800 px apart: labels with and without sections, bars below and above, drops, stirrups."""
+    c, q = F.col("c").cast("string"), F.col("q")
+    s, t = lambda v: v.cast("string"), lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
+    x, y = F.col("c") * 800, F.lit(500)
+    label = F.when(q % 4 == 0, t("N", c)).when(q % 4 == 1, t("n", c, "-(", s(20 + q), "X40)")).when(q % 4 == 2, t("PN", c, " (", s(20 + q), "x35)")).otherwise(t("BN", c, "/LG", c))
+    return _spread(_lines(spark, sf), [
+        (1, label, x, y), (2, F.when(q % 3 > 0, t("(", s(30 + q), "x50)")), x + 5, y - 20), (3, F.lit("90x90"), x + 5, y + 20), (4, t(s(2 + q % 5), "HA", s(10 + q % 3)), x, y + 30), (5, t(s(2 + q % 5), "ha", s(10 + q % 3)), x + 9, y + 31),
+        (6, F.when(F.col("flag") == "A", F.lit("bateau")), x - 100, y - 60), (7, t("3T", s(8 + q % 4)), x - 30, y - 50), (8, t("CHAP. ", s(q), "T8"), x + 10, y + 90), (9, F.when(F.col("state") == "O", t("Cad T", s(6 + q % 3))), x + 40, y + 110),
+        (10, F.when(q % 2 == 0, F.lit("e=(12x9 symet)")), x + 60, y + 120), (11, F.lit("esp = 17,5"), x + 60, y + 130), (12, F.lit("e=99"), x + 60, y + 180),
+    ])
+
+
+_BEAM = f"with {_LINE}, r as (select *, case q % 4 when 0 then 'N' || c when 1 then 'N' || c when 2 then 'PN' || c else 'BN' || c end as ref, 0 other from l union all select *, 'LG' || c, 1 from l where q % 4 = 3) "
+
+
+@query("h16_beam_pages", _BEAM + "select 0 doc, page, ref, case when q % 4 in (1, 2) then round((20 + q) / 100.0, 4) when q % 3 > 0 then round((30 + q) / 100.0, 4) end::double b, case q % 4 when 1 then 0.4 when 2 then 0.35 else case when q % 3 > 0 then 0.5 end end::double h, case when q % 4 in (1, 2) then 'label' when q % 3 > 0 then 'heuristic' end source, case when other = 0 then (2 + q % 5) || 'T' || (10 + q % 3) else '' end as lower, case when other = 0 then case when flag = 'A' then q || 'T8' else concat_ws('+', '3T' || (8 + q % 4), case when not (q = 3 and q % 4 = 0) then q || 'T8' end) end else '' end as upper, case when state = 'O' then (6 + q % 3)::int end phi, case when state = 'O' then case when q % 2 = 0 then 0.12 else 0.175 end end::double spacing from r")
+def h16_beam_pages(spark, sf):
+    """Beams of pages of details, against what each detail was written with."""
+    return detail_pages.beam_pages(beam_words(spark, sf))
+
+
+def column_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns, 300 px apart: a table of those on one line, and some that stand below with their own details."""
+    c, q = F.col("c").cast("string"), F.col("q")
+    s, t = lambda v: v.cast("string"), lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
+    own = F.col("flag") == "A"
+    x, y = F.col("c") * 300, F.when(own, 1000).otherwise(100)
+    only = lambda when, v: F.when(when, v)
+    return _spread(_lines(spark, sf), [
+        (1, t("P", c), x, y), (2, only(~own, t(s(2 + q % 9), "T12")), x + 3, y + 22), (3, only(~own & (q % 5 > 0), s(15 + q)), x - 4, y + 38), (4, only(~own, s(25 + q)), x, y + 58), (5, only(~own & (q % 2 == 0), t("T", s(6 + q % 3), "+Ep")), x, y + 72),
+        (6, only(~own & (q % 4 == 0), F.lit("e=12.5")), x + 4, y + 80), (7, only(own, t("(", s(20 + q), "x30)")), x + 20, y + 10), (8, only(own, t(s(4 + q % 3), "HA14 + 2T10")), x, y + 20), (9, only(own & (q % 2 == 1), t("Cad. T", s(8 + q % 2))), x, y + 40), (10, only(own & (q % 3 == 0), F.lit("Esp=20")), x, y + 50),
+    ])
+
+
+_COLUMN = f"with {_LINE}, m as (select *, count(*) filter (flag <> 'A') over (partition by page) heads, count(*) filter (flag = 'A') over (partition by page) own from l) "
+
+
+@query("h15_column_pages", _COLUMN + "select 0 doc, page, 'P' || c as ref, case when flag = 'A' then round((20 + q) / 100.0, 4) when q % 5 > 0 then round((15 + q) / 100.0, 4) end::double a, case when flag = 'A' then 0.3 else round((25 + q) / 100.0, 4) end::double b, case when flag = 'A' then 'label' else 'heuristic' end source, case when flag = 'A' then (4 + q % 3) || 'T14+2T10' else (2 + q % 9) || 'T12' end bars, case when flag = 'A' then case when q % 2 = 1 then 8 + q % 2 end when q % 2 = 0 then 6 + q % 3 end::int phi, case when flag = 'A' then case when q % 2 = 1 then case when q % 3 = 0 then 0.2 else 0.0 end end when q % 2 = 0 then case when q % 4 = 0 then 0.125 else 0.0 end end::double spacing from m where flag = 'A' or heads >= 3")
+def h15_column_pages(spark, sf):
+    """Columns of tables and of single details, against what each was written with."""
+    return detail_pages.column_pages(column_words(spark, sf))
