@@ -221,6 +221,26 @@ def _late_strings(each: np.ndarray, new: np.ndarray) -> np.ndarray:
     return each[~new & ~_same(each, each[own[np.cumsum(new) - 1]])] if len(each) else each
 
 
+_LEVEL = ["g", "h", "id", "key", "at", "n"]
+
+
+def earliest(sorted_levels: DataFrame) -> DataFrame:
+    """Of equal blocks the first, of rows sorted by anchor, block and suffix within partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = _changes(g, h)
+            new[0] = last != (g[0], h[0])
+            last = g[-1], h[-1]
+            yield batch.filter(pa.array(new))
+
+    return sorted_levels.select(*_LEVEL).mapInArrow(run, ", ".join(f"{c} bigint" for c in _LEVEL))
+
+
 _BODY = "part bigint, id bigint, key bigint, at bigint, n bigint, body binary"
 
 
@@ -369,25 +389,26 @@ class SuffixIndex:
         discard(scanned, sent)
 
     def _append(self, blocks_: DataFrame, batch: int) -> None:
-        """Add a level, and merge the smallest levels while one is at most twice the size of the other."""
-        made = self._write(blocks_, batch)
+        """Add a level, and merge the smallest levels while one is at most twice the size of the other.
+
+        The scan has left one row for each block, in the order of the array; two levels are merged in that order.
+        """
+        made = self._write(blocks_.select(*_LEVEL), batch)
         while True:
             sizes = sorted(self.levels().items(), key=lambda x: x[1])
             pair = next(((a, b) for (a, m), (b, n) in zip(sizes, sizes[1:], strict=False) if n < 2 * max(m, 1)), None)
             if pair is None:
                 return
             made += 1
-            self._write(self._read(list(pair)), batch, made)
+            both = self._read(list(pair)).repartition(F.col("g")).sortWithinPartitions(*_LEVEL[:5])
+            self._write(earliest(both), batch, made)
             self.merged += 1
             for name in pair:
                 remove_folder(self.spark, f"{self.folder}/{name}")
 
-    def _write(self, blocks_: DataFrame, batch: int, step: int = 0) -> int:
-        """Write a level: of equal blocks the earliest, in the order of the array."""
-        first = F.min(F.struct("id", "key", "at", "n")).alias("own")
-        kept = blocks_.groupBy("g", "h").agg(first).select("g", "h", "own.*").sortWithinPartitions("g", "h")
+    def _write(self, level: DataFrame, batch: int, step: int = 0) -> int:
         name = f"new-{batch:06d}-{step}"
-        kept.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        level.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         rows = self._read([name]).count()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
