@@ -7,7 +7,7 @@ property sets and material likewise, its place through placement and axis to a p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: kinds in the order in which elements are numbered, with family and prefix; sets that give dimensions
@@ -28,9 +28,12 @@ def _argument(depth: int = 3) -> str:
     return rf"{_TEXT}|[A-Za-z0-9_]*{listed}|[^,()'\s][^,()']*"
 
 
-def statements(spark: SparkSession, path: str) -> DataFrame:
-    """``file, id, kind, args, bad``: all statements; ``bad`` has the text of one that can't be read, whose kind is null."""
-    text = spark.read.option("lineSep", ";").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.trim("value"), r"\A\s+|\s+\z", "").alias("s"))
+def statements(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
+    """``file, id, kind, args, bad``: all statements; ``bad`` has the text of one that can't be read, whose kind is null.
+
+    ``reader`` may carry options of its own, such as which files of a folder are read.
+    """
+    text = (reader or spark.read).option("lineSep", ";").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.trim("value"), r"\A\s+|\s+\z", "").alias("s"))
     own = text.filter(F.col("s").startswith("#"))
     whole = r"(?s)\A#([0-9]+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\z"
     part = lambda i: F.regexp_extract("s", whole, i)
@@ -55,14 +58,14 @@ def _refs(arg: Column) -> Column:
     return F.transform(F.regexp_extract_all(arg, F.lit("#([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint"))
 
 
-def elements(spark: SparkSession, path: str) -> DataFrame:
+def elements(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """One row for each structural element: file, entity, kind, family, reference, guid, name, mark, storey, material,
     x, y, z, width, height, length (metres, null unless stated) and properties.
 
     References count by family in the order of KINDS and ids. A relation of a lower id wins; elements without a storey
     have the Level or Storey of their properties, else INCONNU. Statements that can't be read are left to ``statements``.
     """
-    s = statements(spark, path).filter("kind is not null").select("file", "id", "kind", "args")
+    s = statements(spark, path, reader).filter("kind is not null").select("file", "id", "kind", "args")
     a = lambda i: F.get("args", F.lit(i))
     of = lambda *kinds: s.filter(F.col("kind").isin(*kinds))
     names = {k: i for i, k in enumerate(KINDS)}

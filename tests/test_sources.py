@@ -192,3 +192,32 @@ def test_dxf_source(spark, tmp_path):
     state = {r["file"].rpartition("/")[2]: (r["elements"], r["partial"], r["problem"]) for r in dxf.extract(spark, f"file://{tmp_path}").collect()}
     assert state["a.dxf"] == (6, False, None) and state["b.DXF"][:2] == (0, True) and "oops" in state["b.DXF"][2] and state["d.dxf"][1]
     assert [r["file"] for r in dxf.extract(spark, f"{tmp_path}/a*.dxf").collect()] == [f"{tmp_path}/a.dxf"]
+
+
+def test_plans_of_a_folder(spark, tmp_path):
+    import json
+
+    from quantiva.sources import plans
+
+    draw = lambda *p: "\n".join(map(str, p)) + "\n"
+    head = (0, "SECTION", 2, "ENTITIES")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a.dxf").write_text(draw(*head, 0, "TEXT", 8, "RDC", 1, "P1", 10, 1, 20, 2, 0, "ENDSEC"))
+    (tmp_path / "broken.dxf").write_text(draw(*head, 0, "TEXT", 8, "x", 1, "P2", 10, 1, 20, 2, 0, "LINE") + "?\n1\n")
+    (tmp_path / "m.IFC").write_text(IFC.replace("angle; (1)", "angle (1)"))
+    words = [(1, 1, "A", 100, 50), (1, 2, "B", 200, 50), (1, 3, "S1(90x90x25)", 110, 300), (1, 4, "Plancher RDC", 5, 5), (2, 1, "P9", 5, 5), (2, 2, None, 1, 1)]
+    lines = [json.dumps({"page": p, "id": i, "text": t, "x": x, "y": y, "x1": x + 8, "y1": y + 8}) for p, i, t, x, y in words]
+    (tmp_path / "w.words.json").write_text("\n".join([*lines, "{not json"]))
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF")
+    (tmp_path / "empty.dxf").write_bytes(b"")
+    elements, documents = plans.extract(spark, str(tmp_path))
+    got = {(r["file"].rpartition("/")[2], r["reference"]): r for r in elements.collect()}
+    assert set(got) == {("a.dxf", "P1"), ("broken.dxf", "P2"), ("m.IFC", "N1"), ("m.IFC", "N2"), ("m.IFC", "P1"), ("w.words.json", "S1"), ("w.words.json", "P9")}
+    assert got["a.dxf", "P1"]["level"] == "RDC" and got["m.IFC", "N1"]["sides"] == "25x40" and got["m.IFC", "N1"]["length"] == 4.5
+    assert (got["w.words.json", "S1"]["sides"], got["w.words.json", "S1"]["level"], got["w.words.json", "P9"]["level"], got["w.words.json", "P9"]["page"]) == ("90x90x25", "RDC", None, 2)
+    state = {r["file"].rpartition("/")[2]: (r["kind"], r["elements"], r["partial"], r["problem"]) for r in documents.collect()}
+    assert state["a.dxf"] == ("DXF", 1, False, None) and state["broken.dxf"][:3] == ("DXF", 1, True) and state["m.IFC"] == ("IFC", 3, True, "1 statements can't be read")
+    assert state["w.words.json"] == ("WORDS", 2, True, "1 words can't be read") and state["scan.pdf"] == ("PDF_VECTORIEL", 0, True, "no reader for PDF_VECTORIEL") and len(state) == 5
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/x.txt").write_text("x")
+    assert [tuple(r)[1:] for r in plans.extract(spark, f"{tmp_path}/none")[1].collect()] == [("UNKNOWN", 0, "no reader for UNKNOWN", True)]
