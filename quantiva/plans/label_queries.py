@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import decompose as D
 from ..functions import labels as L
 from ..functions import parsing as P
 from .carriers import read
@@ -97,3 +98,40 @@ def p34_formula_text(spark, sf):
     key = F.col("p_partkey")
     terms = F.array(term(1, F.col("p_size"), 1), term(1, key % 7 + (key % 9 + 1) / 10, 1), term(-1, F.lit(120), 2))
     return read(spark, sf, "part").select(key.alias("type"), C.formula_text(terms).alias("formula"), C.french_number(number(F.col("p_size")) + key % 100 / 100).alias("french"))
+
+
+_TEXTS = [
+    ("S1(90x90x25)8HA12", "SEMELLE", "S1", 0.9, 0.9, 0.25, 8, 12), ("SF2", "SEMELLE_FILANTE", "SF2", None, None, None, None, None), ("Semelle 3", "SEMELLE", "3", None, None, None, None, None), ("Poteau 5 S1", "POTEAU", "5", None, None, None, None, None),
+    ("P1 S1", "SEMELLE", "S1", None, None, None, None, None), ("pa3", "POUTRE_APPUI", "PA3", None, None, None, None, None), ("N2BIS(25x40)", "POUTRE", "N2BIS", 0.25, 0.4, None, None, None), ("DS2 4 Ø 10", "DALLE_SOLIVE", "DS2", None, None, None, 4, 10),
+    ("VD1 20x300", "VOILE_RINAGE", "VD1", 0.2, 3.0, None, None, None), ("SHEAR WALL 7", "VOILE", "7", None, None, None, None, None), ("LG-(25X35)", "LONGRINE", "LG", 0.25, 0.35, None, None, None), ("BN-25x20-", "BANDE_NOYEE", "BN", 0.25, 0.2, None, None, None),
+    ("N-(25X45)ALL", "POUTRE", "N", 0.25, 0.45, None, None, None), ("R1", "RADIER", "R1", None, None, None, None, None), ("M2", "MUR", "M2", None, None, None, None, None), ("LG1 4T50", "POUTRE", "LG1", None, None, None, None, None), ("COL3 0,3*0.4", "POTEAU", "3", 0.3, 0.4, None, None, None),
+    ("RD1", "REDRESSEUR", "RD1", None, None, None, None, None), ("ESC1", "ESCALIER", "ESC1", None, None, None, None, None), ("PIE4", "PIEU", "PIE4", None, None, None, None, None), ("C1(25x25)", None, None, 0.25, 0.25, None, None, None), ("", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None),
+]
+_PARTS = {"family": "varchar", "reference": "varchar", "a": "double", "b": "double", "h": "double", "nb": "int", "phi": "int"}
+cases("p12_decompose_label", _TEXTS, _PARTS, lambda t: {k: D.decompose(t)[k] for k in _PARTS})
+
+
+def _joined(prefix, key):
+    """A label composed of a part's own columns: its reference, section and bars."""
+    return F.concat(F.lit(prefix), key, F.lit("("), (20 + F.col("p_size")).cast("string"), F.lit("x"), (30 + F.col("p_size")).cast("string"), F.lit(") "), (2 + F.col("p_size") % 9).cast("string"), F.lit("HA"), (8 + F.col("p_size") % 5).cast("string"))
+
+
+_DATASET = [
+    ("POUTRE B12 0.25x0.40 4HA12 + 2T10 axe: A-3 file B", "POUTRE", "B12", "A-3", "B", 0.25, 0.4, "longitudinal", "4x12+2x10", "high", ""),
+    ("w7 wall 200*3000", "VOILE", "200", "", "", 0.2, 3.0, "vertical", "", "high", "armatures absentes de l'annotation"),
+    ("V3 : VOILE", "VOILE", "V3", "", "", None, None, "vertical", "", "low", "dimensions absentes de l'annotation; armatures absentes de l'annotation"),
+    ("beam-C4 grid=7 3 TOR 16", "POUTRE", "C4", "", "7", None, None, "longitudinal", "3x16", "low", "dimensions absentes de l'annotation"),
+    ("25x40", None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None),
+]
+_FIELDS = {"family": "varchar", "reference": "varchar", "axis": "varchar", "grid": "varchar", "a": "double", "b": "double", "role": "varchar", "bars": "varchar", "confidence": "varchar", "warnings": "varchar"}
+cases("p35_dataset_elements", _DATASET, _FIELDS, lambda t: {k: D.dataset_element(t, F.lit(None).cast("string"))[k] for k in _FIELDS})
+
+
+@query("p12_decompose_parts", "with t as (select p_partkey as type, p_size s, ['SF', 'P', 'PA', 'DS', 'VT', 'RD', 'LG'][p_partkey % 7 + 1] p, ['SEMELLE_FILANTE', 'POTEAU', 'POUTRE_APPUI', 'DALLE_SOLIVE', 'VOILE_TERRAIN', 'REDRESSEUR', 'POUTRE'][p_partkey % 7 + 1] family from part) select type, family, p || type as reference, (20 + s) / 100.0 a, (30 + s) / 100.0 b, (2 + s % 9)::int nb, (8 + s % 5)::int phi from t")
+def p12_decompose_parts(spark, sf):
+    """Labels composed of every part's own columns, taken apart again."""
+    key = F.col("p_partkey").cast("string")
+    names = F.array(*(_joined(p, key) for p in ("SF", "P", "PA", "DS", "VT", "RD", "LG")))
+    made = read(spark, sf, "part").select(F.col("p_partkey").alias("type"), F.get(names, (F.col("p_partkey") % 7).cast("int")).alias("text"))
+    d = made.withColumn("d", D.decompose(F.col("text")))
+    return d.select("type", *(F.col(f"d.{k}").alias(k) for k in ("family", "reference", "a", "b", "nb", "phi")))
