@@ -44,8 +44,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents come in four batches in an order that isn't that of their ids; levels are merged as they grow."""
-    return suffixes.remove(_read(spark, sf_dir, "documents"), with_bytes=False, batches=4)
+    """The documents come in two batches in an order that isn't that of their ids; the levels of both are merged."""
+    return suffixes.remove(_read(spark, sf_dir, "documents"), with_bytes=False, batches=2)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

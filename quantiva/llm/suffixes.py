@@ -5,8 +5,7 @@ bytes, so that equal strings have their anchor at the same place. All strings of
 the index is a table of blocks in the order of a suffix array: by the hash of the anchor's bytes, then by that of the
 block's; of blocks of equal bytes it holds the earliest.
 
-A batch's blocks are sorted together with those of the existing levels that have the same anchors (a merge-scan of
-sorted runs). Equal blocks are matches at once: all but the earliest are repeats. Where different blocks meet at one
+A batch's blocks are sorted together with those of the existing levels (a merge-scan of sorted runs). Equal blocks are matches at once: all but the earliest are repeats. Where different blocks meet at one
 anchor (the edges of copied passages) a suffix array proper is built: their bytes are fetched from the texts, all
 ``length``-byte strings are sorted byte by byte, and neighbours with a common prefix of ``length`` bytes are matches.
 Then the batch's blocks become a level, and levels of equal size are merged, so there are logarithmically many.
@@ -329,11 +328,12 @@ class SuffixIndex:
     """A family of levels in a folder that all executors reach, with the texts that they point into.
 
     ``add`` takes a batch of documents, finds the repeats between it and all that was added before (either may be the
-    later one) and within it, and adds it to the index. Without ``keep_texts`` the index serves one batch alone.
+    later one) and within it, and adds it to the index. Texts are copied into the folder, unless ``texts`` is a table
+    (doc_id, text) that has those of all batches for as long as the index is used.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, gram: int = GRAM, keep_texts: bool = True) -> None:
-        self.spark, self.folder, self.length, self.gram, self.keep_texts = spark, folder or new_folder(spark, "suffix-index"), length, gram, keep_texts
+    def __init__(self, spark: SparkSession, folder: str | None = None, length: int = LENGTH, gram: int = GRAM, texts: DataFrame | None = None) -> None:
+        self.spark, self.folder, self.length, self.gram, self.texts = spark, folder or new_folder(spark, "suffix-index"), length, gram, texts
         self.merged = 0  # merges of levels so far
 
     def _list(self, kind: str) -> list[str]:
@@ -357,36 +357,34 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame) -> None:
         small_batches(self.spark)
-        src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), "text")
+        keyed = lambda d: d.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("key"), "text")
+        src = keyed(docs)
         batch = len(self._list("found"))
         blocks_ = batch_blocks(src, self.length, self.gram)
         levels = self._read(list(self.levels()))
-        if levels is not None:
-            blocks_ = materialize(blocks_, "suffix-blocks")
-            anchors = blocks_.filter(F.col("kind") == ALONE).select("g").distinct()
-            merged = blocks_.unionByName(levels.withColumn("kind", F.lit(SHARED_OLD)).join(anchors, "g", "left_semi"))
-        else:
-            merged = blocks_
+        merged = blocks_ if levels is None else blocks_.unionByName(levels.withColumn("kind", F.lit(SHARED_OLD)))
         dealt = merged.repartition(F.col("g")).sortWithinPartitions("g", "h", "id", "key", "at")
         scanned = materialize(merge_scan(dealt), "suffix-scan")
-        if levels is not None:
-            discard(blocks_)
 
         open_ = scanned.filter(F.col("kind").isin(SHARED, SHARED_OLD))
         many = open_.groupBy("g").count().filter(F.col("count") > HOT).select("g", F.lit(True).alias("hot"))
         marked = open_.join(many, "g", "left").select("id", "key", F.struct("at", "n", "g", F.coalesce("hot", F.lit(False)).alias("hot")).alias("open"))
         asked = marked.groupBy("id", "key").agg(F.collect_list("open").alias("open"))
-        texts = src if levels is None else src.unionByName(self._read(self._list("texts")))
+        if levels is None:
+            texts = src
+        else:
+            texts = src.unionByName(self._read(self._list("texts"))) if self.texts is None else keyed(self.texts)
         bodies = shared_bodies(texts.join(asked, ["id", "key"]).select("id", "key", "text", "open"), self.length)
         sent = materialize(bodies, "suffix-bodies")
         compared = string_repeats(sent.filter("body is not null").repartition(F.col("part")).sortWithinPartitions("part"), self.length)
         cols = ["id", "key", "at", "n"]
         found = scanned.filter(F.col("kind") == LATE).select(*cols).unionByName(sent.filter("body is null").select(*cols)).unionByName(compared)
         found.write.option("compression", "zstd").parquet(f"{self.folder}/found-{batch:06d}")
-        if self.keep_texts:
+        discard(sent)
+        if self.texts is None:
             src.write.option("compression", "zstd").parquet(f"{self.folder}/texts-{batch:06d}")
-            self._append(scanned.filter(F.col("kind").isin(ALONE, SHARED)), batch)
-        discard(scanned, sent)
+        self._append(scanned.filter(F.col("kind").isin(ALONE, SHARED)), batch)
+        discard(scanned)
 
     def _append(self, blocks_: DataFrame, batch: int) -> None:
         """Add a level, and merge the smallest levels while one is at most twice the size of the other.
@@ -429,7 +427,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes:
     documents count as well then.
     """
     if index is None:
-        index = SuffixIndex(docs.sparkSession, None, length, gram, keep_texts=batches > 1)
+        index = SuffixIndex(docs.sparkSession, None, length, gram, docs)
         add_in_batches(index, docs, batches)
     packed = F.struct(F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"))
     found = index.spans().groupBy("id", "key").agg(F.collect_list(packed).alias("spans"))
