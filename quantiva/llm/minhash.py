@@ -3,7 +3,8 @@
 Each text becomes its set of word shingles (64-bit hashes) and MINHASHES minima. Bands of the minima give
 candidate buckets. The minima are also folded into an odd sketch, a bitmap of parities: the number of ones in
 the XOR of two sketches estimates a high similarity closely, so most candidates are refused without a look at
-their sets. What is left is confirmed on the full sets.
+their sets. Within buckets, counts of the set's hashes by parts of their range give an upper bound of what two sets
+share, which refuses most of the rest and no link. What is left is confirmed on the full sets.
 
 Texts of equal sets are one class from the start, represented by the least id. The pivot of a bucket is the member
 whose buckets are largest, of near copies usually the original. Each member is first compared with the pivot of
@@ -39,6 +40,8 @@ from .components import components
 from .scratch import discard, materialize, salted_join, small_batches
 
 MINHASHES, SKETCH_BITS = 256, 1024
+PARITY = SKETCH_BITS // 64  # words of a sketch; after them come the counts of COUNTS parts of the set, a byte each
+COUNTS, FULL = 128, 255
 MISS = 1e-5
 FIRST = 4  # of a member's likely partners in another component, those confirmed before all others
 BLOCK = 1024  # members of a bucket compared at once
@@ -113,6 +116,15 @@ def signatures(sets: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarra
     return keys.T, np.packbits(bits, axis=1).view(np.int64).reshape(len(sets), -1)
 
 
+def part_counts(elements: np.ndarray) -> np.ndarray:
+    """Of a set the numbers of its hashes in COUNTS equal parts of their range, eight to a word; FULL if any is that or more.
+
+    The sum of the lesser counts of two sets is never below the size of their intersection.
+    """
+    n = np.bincount((elements >> T.U64(64 - (COUNTS - 1).bit_length())).astype(np.int64), minlength=COUNTS)
+    return (np.full(COUNTS, FULL) if n.max(initial=0) >= FULL else n).astype(np.uint8).view(np.int64)
+
+
 def _lists(rows: int, full: list[int], values: list[np.ndarray]) -> pa.Array:
     """A list column of ``rows`` rows: the values at the places ``full``, null elsewhere."""
     sizes, null = np.zeros(rows, np.int64), np.ones(rows + 1, bool)
@@ -135,6 +147,7 @@ def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for i in full:
                     digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 keys, odd = signatures([sets[i] for i in full], rows) if full else ((), ())
+                odd = [np.concatenate([o, part_counts(sets[i])]) for o, i in zip(odd, full, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(t.rows.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(len(sets), full, list(keys)), _lists(len(sets), full, list(odd))],
                     ["doc_id", "n_shingles", "digest", "bands", "sketch"],
@@ -226,6 +239,8 @@ def _compare(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndar
     """A unit's pairs of different components (and, with two blocks, of different blocks) that pass."""
     us, vs, ones = [], [], []
     two, limit = block.max() != block.min(), most_ones(percent)
+    counts = np.ascontiguousarray(odd[:, PARITY:]).view(np.uint8)
+    untold = counts[:, 0] == FULL  # sets whose counts say nothing
     for a in range(len(ids)):
         far = comp != comp[a]
         far[: a + 1] = False
@@ -234,8 +249,11 @@ def _compare(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndar
         far &= 100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])
         b = np.flatnonzero(far)
         if len(b):
-            n = np.bitwise_count(odd[b] ^ odd[a]).sum(axis=1).astype(np.int64)
+            n = np.bitwise_count(odd[b, :PARITY] ^ odd[a, :PARITY]).sum(axis=1).astype(np.int64)
             b, n = b[n <= limit], n[n <= limit]
+            most_shared = np.minimum(counts[b], counts[a]).sum(axis=1, dtype=np.int64)
+            able = untold[a] | untold[b] | (100 * most_shared >= percent * (size[a] + size[b] - most_shared))
+            b, n = b[able], n[able]
             us.append(np.full(len(b), a))
             vs.append(b)
             ones.append(n)

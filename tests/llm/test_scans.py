@@ -233,3 +233,15 @@ def test_suffix_levels_merge(spark, tiny):
     assert index.merged >= 2 and len(index.levels()) < 4
     key = lambda d: sorted(map(str, d.collect()))
     assert key(suffixes.remove(docs, index=index)) == key(suffixes.remove(docs)) == key(suffixes.remove(docs, batches=3))
+
+
+def test_part_counts_bound_what_sets_share():
+    from quantiva.llm import minhash
+
+    rng = np.random.default_rng(6)
+    for n in (1, 40, 3000, 60_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([rng.permutation(a)[: n // 2 + 1], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        x, y = (minhash.part_counts(s).view(np.uint8).astype(int) for s in (a, b))
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b)) or x[0] == minhash.FULL or y[0] == minhash.FULL
+        assert (x[0] == minhash.FULL) == (n == 60_000) and (n == 60_000 or x.sum() == len(a))
