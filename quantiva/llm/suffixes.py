@@ -361,10 +361,13 @@ class SuffixIndex:
         src = keyed(docs)
         batch = len(self._list("found"))
         blocks_ = batch_blocks(src, self.length, self.gram)
-        levels = self._read(list(self.levels()))
+        levels = self._level(list(self.levels()))
         merged = blocks_ if levels is None else blocks_.unionByName(levels.withColumn("kind", F.lit(SHARED_OLD)))
         dealt = merged.repartition(F.col("g")).sortWithinPartitions("g", "h", "id", "key", "at")
-        scanned = materialize(merge_scan(dealt), "suffix-scan")
+        # what the scan writes becomes the batch's level: its rows that are of levels already, or repeats, are not read as such
+        name = f"{self.folder}/new-{batch:06d}-0"
+        merge_scan(dealt).write.option("compression", "zstd").parquet(name)
+        scanned = self.spark.read.parquet(name)
 
         open_ = scanned.filter(F.col("kind").isin(SHARED, SHARED_OLD))
         many = open_.groupBy("g").count().filter(F.col("count") > HOT).select("g", F.lit(True).alias("hot"))
@@ -383,31 +386,35 @@ class SuffixIndex:
         discard(sent)
         if self.texts is None:
             src.write.option("compression", "zstd").parquet(f"{self.folder}/texts-{batch:06d}")
-        self._append(scanned.filter(F.col("kind").isin(ALONE, SHARED)), batch)
-        discard(scanned)
+        self._append(batch)
 
-    def _append(self, blocks_: DataFrame, batch: int) -> None:
-        """Add a level, and merge the smallest levels while one is at most twice the size of the other.
+    def _append(self, batch: int) -> None:
+        """Make what was scanned a level, and merge the smallest levels while one is at most twice the size of the other.
 
         The scan has left one row for each block, in the order of the array; two levels are merged in that order.
         """
-        made = self._write(blocks_.select(*_LEVEL), batch)
+        made = self._show(batch, 0)
         while True:
             sizes = sorted(self.levels().items(), key=lambda x: x[1])
             pair = next(((a, b) for (a, m), (b, n) in zip(sizes, sizes[1:], strict=False) if n < 2 * max(m, 1)), None)
             if pair is None:
                 return
             made += 1
-            both = self._read(list(pair)).repartition(F.col("g")).sortWithinPartitions(*_LEVEL[:5])
-            self._write(earliest(both), batch, made)
+            both = self._level(list(pair)).repartition(F.col("g")).sortWithinPartitions(*_LEVEL[:5])
+            earliest(both).withColumn("kind", F.lit(ALONE)).write.option("compression", "zstd").parquet(f"{self.folder}/new-{batch:06d}-{made}")
+            self._show(batch, made)
             self.merged += 1
             for name in pair:
                 remove_folder(self.spark, f"{self.folder}/{name}")
 
-    def _write(self, level: DataFrame, batch: int, step: int = 0) -> int:
+    def _level(self, names: list[str]) -> DataFrame | None:
+        held = self._read(names)
+        return held and held.filter(F.col("kind").isin(ALONE, SHARED)).select(*_LEVEL)
+
+    def _show(self, batch: int, step: int) -> int:
+        """Give a written table the name of a level, with its number of blocks."""
         name = f"new-{batch:06d}-{step}"
-        level.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
-        rows = self._read([name]).count()
+        rows = self._level([name]).count()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = lambda n: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
         path(name).getFileSystem(conf).rename(path(name), path(f"level-{batch:06d}.{step}-{rows}"))
