@@ -31,6 +31,7 @@ SECTION_RULES = {
 }
 PREFIX_RULES = {"SF": ["a", "h"]}
 # level by pattern, the first that is found
+# fixed values: patterns that decide results
 LEVELS = [
     (r"FONDATION|FOND\b|SE FONDATION", "FONDATION"), (r"REZ.?DE.?CHAUSS|REZ.?CHAUS|RDC", "RDC"), (r"R\s*\+\s*0|R\s*0\b", "RDC"),
     (r"R\s*\+\s*1|PREMIER?\s*ETAGE|1ER?\s*ETAGE", "R+1"), (r"R\s*\+\s*2|DEUXIEME?\s*ETAGE|2EME?\s*ETAGE", "R+2"),
@@ -51,12 +52,14 @@ ELEMENT_FAMILIES = {
 # words that are no prefix of a legend
 LEGEND_IGNORE = ["AXIAL", "BIM", "EMAIL", "TEL", "FAX", "LES", "DES", "TYP", "PROJET", "CLASSE", "ROYAUME", "MAROC", "AGENCE", "NOTA"]
 # role of a table column by pattern of its header, the first that is found
+# fixed values: patterns that decide results
 COLUMN_ROLES = [
     ("repere", r"rep[eè]re|designation|nom|element|code|ref"), ("section", r"section|dimension|b\s*[xX×]\s*h|epaisseur"), ("ferraillage", r"ferraillage|armature|acier|fer|arm|ha\s*[0-9]"),
     ("longueur", r"long(?:ueur)?|portee|porte|lg|l\b"), ("largeur", r"larg(?:ueur)?|l\b"), ("hauteur", r"haut(?:eur)?|h\b|ep(?:aisseur)?"), ("nbre", r"nb|nombre|quantit|qty"),
     ("type", r"type|famille|classe|categorie"), ("niveau", r"niveau|etage|rdc|plan|phase"), ("poids", r"poids|mass|weight"), ("observation", r"observ|remarque|note|comment"),
 ]
 # design rules of a title block: category, pattern and text, {0} and {1} being the pattern's groups
+# fixed values: patterns that decide results
 REGULATIONS = [
     ("regles_calcul", r"BAEL\s*([0-9]{2})\s*MODIFI[EÉ]S?\s*([0-9]{2})", "BAEL {0} modifiees {1}"), ("regles_calcul", r"R\.?P\.?S\.?\s*([0-9]{4})", "RPS {0}"),
     ("regles_calcul", r"REGLES?\s+DE\s+CALCUL", "Regles de calcul (non specifiees)"), ("classe_beton", r"[BÉE]TON\s+B([0-9]+)", "B{0}"), ("resistance_beton", r"FC\s*=\s*([0-9]+)\s*MPA", "fc={0} MPa"),
@@ -75,6 +78,7 @@ REQUIRED = {
 # kg per metre of the alternative engine
 BAR_MASS_ALT = {6: 0.222, 8: 0.395, 10: 0.617, 12: 0.888, 14: 1.210, 16: 1.580, 20: 2.470, 25: 3.850, 32: 6.310}
 # subjects of a text of rules by pattern, case ignored; a text without any is GENERAL
+# fixed values: patterns that decide results
 SUBJECTS = [
     ("SEMELLE", r"semelles?|fondations?\s*(basses?|isolées?)"), ("POTEAU", r"poteaux?|fûts?\s*de\s*poteau"), ("POUTRE", r"poutres?|poutrelles?|linteaux?"), ("LONGRINE", r"longrines?"), ("CHAINAGE", r"chainages?|chainage\s*d'angle"),
     ("MUR", r"murs?|cloisons?|refends?|bandes?\s*noyées?"), ("VOILE", r"voiles?|voile\s*(porteur|de\s*fachade)"), ("DALLE", r"dalles?|planchers?|hourdis"), ("ESCALIER", r"escaliers?|marches?|paliers?"), ("TERRASSEMENT", r"terrassements?|fouilles?|déblais?|remblais?|décapage|rigoles?"),

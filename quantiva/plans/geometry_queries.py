@@ -169,6 +169,7 @@ def g17_face_pairs(spark, sf):
     return met.filter(near).select("id", F.col("r_id").alias("other"), apart.alias("apart"))
 
 
+# fixed values: kinds of zones by keyword, the first that is found
 ZONE_KINDS = [("legende", r"legende|nomenclature|abreviation"), ("tableau", r"tableau|ferraillage|section"), ("cartouche", r"echelle|indice|maitre|projet"), ("titre_vue", r"fondation|rdc|etage|plan\s+(?:type|coupe|detail)")]
 
 

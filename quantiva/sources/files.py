@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# kind of a file by its extension
+# fixed values: kind of a file by its extension
 KINDS = {"dxf": "DXF", "dwg": "DWG", "pdf": "PDF_VECTORIEL", "png": "IMAGE", "jpg": "IMAGE", "jpeg": "IMAGE", "tif": "IMAGE", "tiff": "IMAGE", "bmp": "IMAGE"}
 
 
@@ -46,7 +46,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "full").select(*(pick(c) for c in old.columns))
 
 
-# kind of a file by its first bytes, as hexadecimal digits
+# fixed values: kind of a file by its first bytes, as hexadecimal digits
 SIGNATURES = {"25504446": "PDF", "89504e47": "PNG", "ffd8ff": "JPEG", "414331": "DWG", "504b0304": "ZIP", "49534f2d31303330332d3231": "IFC"}
 
 
@@ -74,7 +74,7 @@ def preflight_score(width: Column, height: Column, bars: Column, keywords: Colum
     return F.when((drawings > 0) | (pages > 1), F.greatest(raw, F.lit(50))).otherwise(raw)
 
 
-# sides in millimetres of sheet formats
+# fixed values: sides in millimetres of sheet formats
 SHEETS = {"A0": (1189, 841), "A1": (841, 594), "A2": (594, 420), "A3": (420, 297)}
 
 
@@ -105,6 +105,7 @@ def json_dump(df: DataFrame, folder: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(folder)
 
 
+# fixed values: families of IFC entities
 IFC_FAMILIES = {"IFCBEAM": "POUTRE", "IFCCOLUMN": "POTEAU", "IFCFOOTING": "SEMELLE", "IFCSLAB": "DALLE", "IFCWALL": "VOILE", "IFCWALLSTANDARDCASE": "VOILE", "IFCSTAIR": "ESCALIER", "IFCRAILING": "GARDE_CORPS", "IFCCURTAINWALL": "VOILE", "IFCPILE": "PIEU"}
 
 
@@ -118,7 +119,7 @@ def ifc_elements(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("family", family).filter(F.col("family").isNotNull()).select("file", "entity", "kind", "family", "guid", "name")
 
 
-# class of a DXF layer by pattern, the first that is found
+# fixed values: class of a DXF layer by pattern, the first that is found
 DXF_LAYERS = [("poteaux", r"POTEAU|COLONNE|COLUMN|P[0-9]|Q[0-9]"), ("poutres", r"POUTRE|BEAM|N[0-9]|BN[0-9]|LG[0-9]"), ("semelles", r"SEMELLE|FOOTING|S[0-9]|SF[0-9]"), ("longrines", r"LONGRINE|GRADE.?BEAM"), ("chainages", r"CHAINAGE|TIE.?BEAM|CH[0-9]"), ("voiles", r"VOILE|WALL|SHEAR|V[0-9]"), ("dalle", r"DALLE|SLAB|D[0-9]"), ("ferraillage", r"FERR|REBAR|ARMATURE|ACIER"), ("cotes", r"COTE|DIM"), ("axes", r"AXE|AXIS|GRID"), ("niveaux", r"NIVEAU|LEVEL|ETAGE|FONDATION|RDC|R\+|R[0-9]|REZ")]
 
 
