@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import ELEMENT_FAMILIES, LEGEND_IGNORE, PREFIX_RULES, REFERENCE_FAMILIES, SECTION_RULES, TOKEN_FAMILIES
-from .parsing import number
+from .parsing import let, number
 
 #: parts of the grammar; all are read without regard to case and with Unicode blanks
 _NUM, _TIMES, _UNIT = r"([0-9]{1,4}(?:[.,][0-9]{1,3})?)", r"\s*[x×*]\s*", r"\s*(cm|mm|m)?"
@@ -30,27 +30,40 @@ def _group(text: Column, pattern: str, at: int) -> Column:
 
 def centimetres(value: Column, unit: Column) -> Column:
     """cm of a value and its unit (NULL: below 3 metres, else cm); NULL unless positive."""
-    cm = F.when(unit == "m", value * 100).when(unit == "mm", value / 10).when(unit == "cm", value).otherwise(F.when(value < 3, value * 100).otherwise(value))
-    return F.when(value > 0, F.round(cm, 6))
+
+    def read(v: Column) -> Column:
+        x, u = v["value"], v["unit"]
+        cm = F.when(u == "m", x * 100).when(u == "mm", x / 10).when(u == "cm", x).otherwise(F.when(x < 3, x * 100).otherwise(x))
+        return F.when(x > 0, F.round(cm, 6))
+
+    return let(F.struct(value.alias("value"), unit.alias("unit")), read)
 
 
 def section_cm(text: Column) -> Column:
     """array<double> in cm of AxB, AxBxH or a depth such as e=20, NULL if any value is implausible."""
-    t = strip(F.btrim(strip(F.regexp_replace(text, ",", ".")), F.lit("()")))
-    depth = centimetres(number(_group(t, _DEPTH, 1)), F.lower(_group(t, _DEPTH, 2)))
-    unit = _group(t, _DIMS, 4)
-    sides = F.array_compact(F.array(*(centimetres(number(_group(t, _DIMS, i)), unit) for i in (1, 2, 3))))
-    written = F.size(F.array_compact(F.array(*(_group(t, _DIMS, i) for i in (1, 2, 3)))))
-    values = F.when(depth.isNotNull(), F.array(depth)).when((written >= 2) & (F.size(sides) == written), sides)
-    return F.when(F.forall(values, lambda v: v.between(LEAST_CM, MOST_CM)), values)
+
+    def sides(t: Column) -> Column:
+        written = F.array_compact(F.array(*(_group(t, _DIMS, i) for i in (1, 2, 3))))
+        cm = lambda w: F.array_compact(F.transform(w["sides"], lambda v: centimetres(number(v), w["unit"])))
+        whole = lambda w: let(cm(w), lambda v: F.when((F.size(w["sides"]) >= 2) & (F.size(v) == F.size(w["sides"])), v))
+        return let(F.struct(written.alias("sides"), _group(t, _DIMS, 4).alias("unit")), whole)
+
+    depth = lambda t: centimetres(number(_group(t, _DEPTH, 1)), F.lower(_group(t, _DEPTH, 2)))
+    read = lambda t: let(depth(t), lambda d: F.when(d.isNotNull(), F.array(d)).otherwise(sides(t)))
+    values = let(strip(F.btrim(strip(F.regexp_replace(text, ",", ".")), F.lit("()"))), read)
+    return let(values, lambda found: F.when(F.forall(found, lambda v: v.between(LEAST_CM, MOST_CM)), found))
 
 
 def family_of_reference(ref: Column) -> Column:
     """The family of the first listed prefix that is followed by a digit, a separator or nothing; NULL without one."""
-    t, out = F.upper(strip(ref)), F.lit(None).cast("string")
-    for prefix, family in reversed(REFERENCE_FAMILIES):
-        out = F.when(t.rlike(f"^{prefix}([0-9_ .(-]|$)"), family).otherwise(out)
-    return out
+
+    def named(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for prefix, family in reversed(REFERENCE_FAMILIES):
+            out = F.when(t.rlike(f"^{prefix}([0-9_ .(-]|$)"), family).otherwise(out)
+        return out
+
+    return let(F.upper(strip(ref)), named)
 
 
 def _rule_size(prefix: Column, family: Column) -> Column:
@@ -64,28 +77,42 @@ def parse_label(text: Column) -> Column:
 
     Reinforcement and spacing notes are no labels; values beyond those that the family has are dropped.
     """
-    t = strip(text)
-    num, rest = F.regexp_extract(t, _LABEL, 2), strip(F.regexp_extract(t, _LABEL, 4))
-    joined = rest.rlike("^[xX×*]")  # BN25x30: the number is part of the section
-    num, rest = F.when(joined, "").otherwise(num), F.when(joined, F.concat(num, rest)).otherwise(rest)
-    prefix = F.upper(F.regexp_extract(t, _LABEL, 1))
-    reference = F.concat(prefix, num, F.upper(F.regexp_extract(t, _LABEL, 3)))
-    family = family_of_reference(reference)
-    size = _rule_size(prefix, family)
-    dims = strip(F.regexp_replace(rest, r"(?U)^[-_:=\s(]+", ""))
-    single = centimetres(number(_group(dims, rf"^{_NUM}\)?$", 1)), F.lit(None).cast("string"))
-    alone = F.when((size == 1) & single.between(LEAST_CM, MOST_CM), F.array(single))
-    values = F.slice(F.coalesce(section_cm(dims), alone), F.lit(1), F.greatest(size, F.lit(1)))
-    fits = t.rlike(_LABEL) & (F.length(t) <= 40) & ~t.rlike(r"(?iU)(?<![A-Z])[0-9]+\s*(?:HA|T)\s*[0-9]+") & ~t.rlike(r"(?iU)\be\s*=\s*\(")
-    return F.when(fits & family.isNotNull() & values.isNotNull(), F.struct(family.alias("family"), reference.alias("reference"), values.alias("values")))
-
-
-def parse_reference(text: Column) -> Column:
-    """struct<family, reference> of a reference alone, NULL for anything else."""
-    t = strip(text)
-    reference = F.upper(F.concat(*(F.regexp_extract(t, _REFERENCE, i) for i in (1, 2, 3))))
-    family = family_of_reference(reference)
-    return F.when(t.rlike(_REFERENCE) & (F.length(t) <= 12) & family.isNotNull(), F.struct(family.alias("family"), reference.alias("reference")))
+
+    def cut(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, _LABEL, i)
+        return F.struct(F.upper(part(1)).alias("prefix"), part(2).alias("num"), F.upper(part(3)).alias("again"), strip(part(4)).alias("rest"))
+
+    def named(c: Column) -> Column:
+        joined = c["rest"].rlike("^[xX×*]")  # BN25x30: the number is part of the section
+        reference = F.concat(c["prefix"], F.when(joined, "").otherwise(c["num"]), c["again"])
+        dims = strip(F.regexp_replace(F.when(joined, F.concat(c["num"], c["rest"])).otherwise(c["rest"]), r"(?U)^[-_:=\s(]+", ""))
+        return F.struct(c["prefix"].alias("prefix"), reference.alias("reference"), family_of_reference(reference).alias("family"), dims.alias("dims"))
+
+    def valued(n: Column) -> Column:
+        single = centimetres(number(_group(n["dims"], rf"^{_NUM}\)?$", 1)), F.lit(None).cast("string"))
+        by_size = lambda size: F.slice(F.coalesce(section_cm(n["dims"]), let(single, lambda v: F.when((size == 1) & v.between(LEAST_CM, MOST_CM), F.array(v)))), F.lit(1), F.greatest(size, F.lit(1)))
+        return F.struct(n["family"].alias("family"), n["reference"].alias("reference"), let(_rule_size(n["prefix"], n["family"]), by_size).alias("values"))
+
+    def read(t: Column) -> Column:
+        fits = t.rlike(_LABEL) & (F.length(t) <= 40) & ~t.rlike(r"(?iU)(?<![A-Z])[0-9]+\s*(?:HA|T)\s*[0-9]+") & ~t.rlike(r"(?iU)\be\s*=\s*\(")
+        found = let(let(let(t, cut), named), valued)
+        return F.when(fits, let(found, lambda v: F.when(v["family"].isNotNull() & v["values"].isNotNull(), v)))
+
+    return let(strip(text), read)
+
+
+def parse_reference(text: Column, digits: int = 4) -> Column:
+    """struct<family, reference> of a reference alone, of as many ``digits`` at most; NULL for anything else."""
+    pattern = _REFERENCE.replace("{0,4}", f"{{0,{digits}}}")
+
+    def named(reference: Column) -> Column:
+        return let(family_of_reference(reference), lambda f: F.when(f.isNotNull(), F.struct(f.alias("family"), reference.alias("reference"))))
+
+    def read(t: Column) -> Column:
+        reference = F.upper(F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3))))
+        return F.when(t.rlike(pattern) & (F.length(t) <= 8 + digits), let(reference, named))
+
+    return let(strip(text), read)
 
 
 #: any label of a composite token

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ LABEL = r"^\s*([A-Za-z]+)\s*[-_.]?\s*([0-9]+)"
 SECTION = r"([0-9]+(?:[.,][0-9]+)?)\s*[xX]\s*([0-9]+(?:[.,][0-9]+)?)(?:\s*[xX]\s*([0-9]+(?:[.,][0-9]+)?))?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def number(text: Column) -> Column:
     """A decimal number with comma or point, NULL if it is none."""
     return F.regexp_replace(text, ",", ".").try_cast("double")
