@@ -85,14 +85,20 @@ _PAIR = r"^(.+?)\s*[x×X*]\s*(.+?)$"
 def length_metres(text: Column) -> Column:
     """Metres (3 decimals) from feet and inches, feet-inches, inches, m, cm, mm, or a bare number (from 1000: mm, from
     30: cm, else m); brackets about it don't count, a point in front is a decimal one."""
-    plain = F.btrim(F.translate(F.trim(text), "′’″”", "''\"\""), F.lit("()[] "))
-    t = F.when(plain.startswith("."), F.concat(F.lit("0"), plain)).otherwise(plain)
-    at = lambda pattern, i: number(F.regexp_extract(t, pattern, i))
+    at = lambda t, pattern, i: number(F.regexp_extract(t, pattern, i))
     foot_inch, foot_dash, inch, metric = rf"^{_NUM}\s*'\s*[-–]?\s*(?:([0-9]{{1,2}}(?:[.,][0-9]+)?)\s*\"?)?$", r"^([0-9]+)\s*[-–]\s*([0-9]{1,2})\s*\"?$", rf"^{_NUM}\s*\"$", rf"(?i)^{_NUM}\s*(m|cm|mm)?\.?$"
-    feet = lambda pattern: at(pattern, 1) * 0.3048 + F.coalesce(at(pattern, 2), F.lit(0.0)) * 0.0254
-    value, unit = at(metric, 1), F.lower(F.regexp_extract(t, metric, 2))
-    metres = F.when(unit == "mm", value / 1000).when(unit == "cm", value / 100).when(unit == "m", value).when(value >= 1000, value / 1000).when(value >= 30, value / 100).otherwise(value)
-    return F.round(F.coalesce(feet(foot_inch), feet(foot_dash), at(inch, 1) * 0.0254, metres), 3)
+    feet = lambda t, pattern: at(t, pattern, 1) * 0.3048 + F.coalesce(at(t, pattern, 2), F.lit(0.0)) * 0.0254
+
+    def metres(m: Column) -> Column:
+        v, u = m["value"], m["unit"]
+        return F.when(u == "mm", v / 1000).when(u == "cm", v / 100).when(u == "m", v).when(v >= 1000, v / 1000).when(v >= 30, v / 100).otherwise(v)
+
+    def read(t: Column) -> Column:
+        plain = let(F.struct(at(t, metric, 1).alias("value"), F.lower(F.regexp_extract(t, metric, 2)).alias("unit")), metres)
+        return F.round(F.coalesce(feet(t, foot_inch), feet(t, foot_dash), at(t, inch, 1) * 0.0254, plain), 3)
+
+    bare = F.btrim(F.translate(F.trim(text), "′’″”", "''\"\""), F.lit("()[] "))
+    return let(let(bare, lambda t: F.when(t.startswith("."), F.concat(F.lit("0"), t)).otherwise(t)), read)
 
 
 def is_dimension(text: Column) -> Column:
@@ -133,4 +139,4 @@ def explicit_length(spec: Column) -> Column:
 def room_dims(text: Column, low: float = 0.5, high: float = 40) -> Column:
     """array<double> of both sides in metres of a room noted L x l, each any length, NULL unless both are plausible."""
     sides = F.array(*(length_metres(F.regexp_extract(F.trim(text), _PAIR, i)) for i in (1, 2)))
-    return F.when(F.forall(sides, lambda v: F.coalesce(v.between(low, high), F.lit(False))), sides)
+    return let(sides, lambda found: F.when(F.forall(found, lambda v: F.coalesce(v.between(low, high), F.lit(False))), found))
