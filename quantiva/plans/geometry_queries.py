@@ -161,12 +161,8 @@ def g17_face_pairs(spark, sf):
     """Parallel faces of a wall: apart by its possible thickness, and beside each other along half of the shorter."""
     flat = F.col("id") % 2 == 0
     pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
-    s = label_boxes(spark, sf).select("id", flat.alias("flat"), pick("x0", "y0").alias("x0"), pick("x1", "y1").alias("x1"), pick("y0", "x0").alias("at"))
-    thick = s.withColumns({"y0": F.col("at") - 21, "y1": F.col("at") + 21})  # faces up to 40 apart overlap
-    met = boxes.overlap_join(thick, thick, ["flat"], 100).filter("id < r_id")
-    apart, shared = F.abs(F.col("at") - F.col("r_at")), F.least("x1", "r_x1") - F.greatest("x0", "r_x0")
-    near = apart.between(8, 40) & (2 * shared >= F.least(F.col("x1") - F.col("x0"), F.col("r_x1") - F.col("r_x0")))
-    return met.filter(near).select("id", F.col("r_id").alias("other"), apart.alias("apart"))
+    s = label_boxes(spark, sf).select("id", flat.alias("flat"), pick("x0", "y0").alias("lo"), pick("x1", "y1").alias("hi"), pick("y0", "x0").alias("at"))
+    return boxes.beside_join(s, ["flat"], 8, 40)
 
 
 # fixed values: kinds of zones by keyword, the first that is found
