@@ -24,8 +24,8 @@ def forward_fill(df: DataFrame, keys: list[str], order: list[str], value: Column
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
-def anchor_zones(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Zones between sorted anchors, cut half-way; the outer ones are open (NULL)."""
-    w = Window.partitionBy(*keys).orderBy(position)
+def anchor_zones(df: DataFrame, keys: list[str], position: str, *ties: str) -> DataFrame:
+    """Zones between sorted anchors, cut half-way; the outer ones are open (NULL). ``ties`` order anchors at one place."""
+    w = Window.partitionBy(*keys).orderBy(position, *ties)
     before, after = F.lag(position).over(w), F.lead(position).over(w)
     return df.withColumns({"zone_lo": (before + F.col(position)) / 2, "zone_hi": (F.col(position) + after) / 2})

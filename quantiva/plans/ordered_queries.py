@@ -47,7 +47,7 @@ def w7_cumulative_axes(spark, sf):
 
 @query("w9_anchor_zones", W + "select id, (lag(y) over w + y) / 2.0 zone_lo, (y + lead(y) over w) / 2.0 zone_hi from (select * from points where family = 'signup') window w as (partition by page order by y)")
 def w9_anchor_zones(spark, sf):
-    a = ordered.anchor_zones(points(spark, sf).filter("family = 'signup'"), ["page"], "y")
+    a = ordered.anchor_zones(points(spark, sf).filter("family = 'signup'"), ["page"], "y", "id")
     return a.select("id", F.col("zone_lo").cast("double").alias("zone_lo"), F.col("zone_hi").cast("double").alias("zone_hi"))
 
 
