@@ -18,7 +18,7 @@ def _edges(spark, sf):
 @query("g1_axis_components", f"with recursive {CTE}, e as (select project plan, inst::bigint a, inst + 1 + qty % 3 b from placements), u as (select plan, a, b from e union select plan, b, a from e), r as (select plan, a node, a seen from u union select r.plan, r.node, u.b from r join u on u.plan = r.plan and u.a = r.seen) select plan, node::bigint node, min(seen)::bigint component from r group by plan, node")
 def g1_axis_components(spark, sf):
     """The graph of a plan's dimensions: its nodes with their component."""
-    return sheets.axis_graph(_edges(spark, sf), "plan").select("plan", "node", "component")
+    return sheets.axis_graph(_edges(spark, sf), "plan", solved=False)
 
 
 @query("g2_axis_positions")
