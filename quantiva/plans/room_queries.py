@@ -82,7 +82,7 @@ def floor(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 @query("g14_geodesic_shares")
 def g14_geodesic_shares(spark, sf):
     """Floor space by the name that is nearest by walking around walls; SQL has no shortest paths over grids of this size."""
-    return geodesic.shares(*geodesic.partition(*floor(spark, sf)))
+    return geodesic.partition_shares(*floor(spark, sf))
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
