@@ -1,8 +1,8 @@
 """Pages of beams and of columns: labels with the sections, bars and stirrups that are written near them.
 
 Words are rows (doc, page, id, text, x, y; ``id`` is the reading order). What is near a label is found by joins on
-grid cells, the nearest by an aggregate; a reference that stands on a page several times takes what its labels find,
-the first in reading order before the others.
+grid cells, in which each word stands once and each label once for every cell it reaches, the nearest by an aggregate;
+a reference that stands on a page several times takes what its labels find, the first in reading order before the others.
 """
 
 from __future__ import annotations
@@ -17,16 +17,20 @@ from ..functions import labels as L
 # fixed values: what is written how, and how far it may be, in px
 BEAM = r"B?N[0-9]+(?:BIS)?|PN[0-9]+|PC[0-9]*|LG[0-9]*|CH[0-9]*|BN[0-9]*|PR[0-9]*"
 BEAM_SECTION = rf"(?i)^({BEAM})\s*(?:[-–]\s*\(([0-9]+)\s*[x*]\s*([0-9]+)\)|\(([0-9]+)\s*[x*]\s*([0-9]+)\)\s*$)"
-SECTION = r"(?i)^\(?\s*([0-9]{2,3})\s*x\s*([0-9]{2,3})\s*\)?$"
-BARS, TOP_BARS = "(?i)^([0-9]+)(?:HA|T)([0-9]+)$", r"(?i)^CHAP\.?\s*([0-9]+)(?:HA|T)([0-9]+)$"
+ANY_BEAM = rf"(?i)(?:^|/)(?:{BEAM})[\s\u0085\u2028\u2029]*(?:/|$)"
+# what is written at a beam: the sides of a section, bars (upper ones by name), stirrups; one pattern, read once a word
+NOTE = r"(?i)^(?:\(?\s*([0-9]{2,3})\s*x\s*([0-9]{2,3})\s*\)?|(CHAP\.?\s*)?([0-9]+)(?:HA|T)([0-9]+)|Cad\.?\s*T([0-9]+))$[\s\S]*"
+BARS = r"(?i)([0-9]+)\s*(?:HA|T)\s*([0-9]+)"
 STIRRUP, PINS = r"(?i)^Cad\.?\s*T([0-9]+)$", r"(?i)^T([0-9]+)\+?Ep$"
 SPACING, STEPS = r"(?i)(?<![A-Za-z])(?:e|esp)\s*=\s*([0-9]+[.,]?[0-9]*)", r"(?i)^e=\(([0-9]+)x[0-9]+"
 COLUMN, COLUMN_SECTION = "(?i)^([PQ][0-9]+)$", r"^\(([0-9]+)x([0-9]+)\)$"
+AT_COLUMN = rf"^[0-9]+$|{BARS}|{STIRRUP}|{PINS}|{SPACING}|{COLUMN_SECTION}"
 SECTION_REACH, BARS_REACH, SPACING_REACH = (160, 80), 240, (100, 60)
 BOAT = (-60, 320, -20, 60)  # what a drop of the beam shows around its word: left, right, above, below
 COLUMN_REACH, TABLE_COLUMN, TABLE_BELOW, ROW, LEAST_COLUMNS = (145, 80), 60, 120, 15, 3
 TABLE_BARS, TABLE_A, TABLE_B, TABLE_STIRRUP = (0, 30), (30, 50), (50, 80), (65, 95)
 A_CM, B_CM = (15, 80), (15, 100)
+CELL = 4  # side of a cell, in reaches
 PAGE = ["doc", "page"]
 
 
@@ -35,14 +39,17 @@ def _metres(cm: Column) -> Column:
     return F.when(v > 10, F.round(v / 100, 4)).otherwise(v.cast("double"))
 
 
-def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Pairs of a page within ``reach`` in both directions; the right side's columns get the prefix ``w_``."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    around = F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))
-    r = right.select(*PAGE, *(F.col(c).alias(f"w_{c}") for c in right.columns if c not in PAGE))
-    r = r.withColumn("dx", around).withColumn("dy", around).withColumn("cx", cell("w_x") + F.col("dx")).withColumn("cy", cell("w_y") + F.col("dy")).drop("dx", "dy")
-    met = left.withColumns({"cx": cell("x"), "cy": cell("y")}).join(r, [*PAGE, "cx", "cy"]).drop("cx", "cy")
-    return met.filter((F.abs(F.col("w_x") - F.col("x")) <= reach) & (F.abs(F.col("w_y") - F.col("y")) <= reach))
+def _placed(words: DataFrame, size: int) -> DataFrame:
+    """Words with the cell they are in; all columns but the page's get the prefix ``w_``."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    return words.select(*PAGE, *(F.col(c).alias(f"w_{c}") for c in words.columns if c not in PAGE), cell("x").alias("cx"), cell("y").alias("cy"))
+
+
+def _reaching(places: DataFrame, size: int, zone: tuple[int, int, int, int]) -> DataFrame:
+    """A row for every cell that the zone (left, right, above, below) around a place touches; these are the fewer rows."""
+    span = lambda c, a, b: F.explode(F.sequence(F.floor((F.col(c) + a - 1) / size), F.floor((F.col(c) + b + 1) / size)))
+    left, right, above, below = zone
+    return places.withColumn("cx", span("x", left, right)).withColumn("cy", span("y", above, below))
 
 
 def _d2() -> Column:
@@ -56,11 +63,7 @@ def _group(text: str, pattern: str, i: int = 1) -> Column:
 def _spacings(words: DataFrame) -> DataFrame:
     """Words that state a spacing, in metres; of a stepped one the first step."""
     cm = F.when(F.col("t").rlike(STEPS), _group("t", STEPS)).when(F.col("t").rlike(SPACING), F.regexp_replace(_group("t", SPACING), ",", "."))
-    return words.withColumn("e", F.round(cm.try_cast("double") / 100, 6)).filter("e is not null")
-
-
-def _bars(order: list[str], text: str, pattern: str) -> Column:
-    return F.struct(*order, _group(text, pattern, 1).cast("int").alias("nb"), _group(text, pattern, 2).cast("int").alias("phi"))
+    return words.filter(F.col("t").rlike(f"{STEPS}|{SPACING}")).withColumn("e", F.round(cm.try_cast("double") / 100, 6)).filter("e is not null")
 
 
 def _listed(bars: Column) -> Column:
@@ -82,40 +85,49 @@ def beam_pages(words: DataFrame) -> DataFrame:
     side = lambda a, b: F.nullif(F.concat(_group("t", BEAM_SECTION, a), _group("t", BEAM_SECTION, b)), F.lit(""))
     carried = F.col("t").rlike(BEAM_SECTION)
     plain = F.filter(F.split(F.upper("t"), "/"), lambda p: p.rlike(f"(?i)^(?:{BEAM})$"))
-    named = w.select("*", F.when(carried, F.array(own)).otherwise(plain).alias("refs"), side(2, 4).alias("b0"), side(3, 5).alias("h0"))
+    named = w.filter(F.col("t").rlike(BEAM_SECTION) | F.col("t").rlike(ANY_BEAM)).select("*", F.when(carried, F.array(own)).otherwise(plain).alias("refs"), side(2, 4).alias("b0"), side(3, 5).alias("h0"))
     labels = named.select(*PAGE, "id", "x", "y", "b0", "h0", F.posexplode("refs").alias("k", "ref"))
     key = [*PAGE, "ref"]
 
-    boats = w.filter(F.lower("t") == "bateau").select(*PAGE, F.col("x").alias("bx"), F.col("y").alias("by"))
+    # a word is in one cell; the labels and drops that may reach it are brought there
+    cell, size, square = [*PAGE, "cx", "cy"], CELL * BARS_REACH, (-BARS_REACH, BARS_REACH, -BARS_REACH, BARS_REACH)
+    said = F.split(F.regexp_replace("t", NOTE, "$1;$2;$3;$4;$5;$6"), ";")
+    noted = w.filter(F.col("t").rlike(NOTE)).select(*PAGE, "id", "x", "y", F.explode(F.array(said)).alias("said"))  # a generator's result isn't worked out again by filters on it
+    has = lambda i: F.col("said")[i] != ""
+    number = lambda i: F.col("said")[i].try_cast("int")
+    kind = F.when(has(0), "section").when(has(5), "ring").when(has(2), "top").otherwise("bars")
+    notes = noted.select(*PAGE, "id", "x", "y", kind.alias("kind"), F.coalesce(number(0), number(3), number(5)).alias("n"), F.coalesce(number(1), number(4)).alias("m")).filter("n is not null and (m is not null or kind = 'ring')")
     left, right, above, below = BOAT
-    at_boat = (F.col("y") > F.col("by") + above) & (F.col("y") < F.col("by") + below) & (F.col("x") > F.col("bx") + left) & (F.col("x") < F.col("bx") + right)
-    same = reduce(lambda a, b: a & b, (w[c] == boats[c] for c in PAGE))
-    dry = w.join(boats, same & at_boat, "left_anti")
+    boats = _reaching(w.filter(F.lower("t") == "bateau").select(*PAGE, "x", "y"), size, BOAT).withColumnsRenamed({"x": "bx", "y": "by"})
+    at_boat = (F.col("w_y") > F.col("by") + above) & (F.col("w_y") < F.col("by") + below) & (F.col("w_x") > F.col("bx") + left) & (F.col("w_x") < F.col("bx") + right)
+    placed = _placed(notes, size)
+    same = reduce(lambda a, b: a & b, (placed[c] == boats[c] for c in cell))
+    dry = placed.join(boats, same & (F.col("w_kind") != "section") & at_boat, "left_anti")
+    near = dry.join(_reaching(labels.select(*key, "id", "k", "x", "y"), size, square), cell).withColumn("d", _d2())
 
-    stated = labels.filter("b0 is not null").groupBy(*key).agg(F.min(F.struct("id", "k", "b0", "h0")).alias("s")).select(*key, F.col("s.b0").alias("b1"), F.col("s.h0").alias("h1"))
     wide, high = SECTION_REACH
-    over = _near(labels, w.filter(F.col("t").rlike(SECTION)), wide).filter((F.col("w_y") < F.col("y")) & (F.abs(F.col("w_x") - F.col("x")) < wide) & (F.abs(F.col("w_y") - F.col("y")) < high))
-    found = over.groupBy(*key, "id", "k").agg(F.min(F.struct(_d2().alias("d"), "w_id", "w_t")).alias("m")).groupBy(*key).agg(F.min(F.struct("id", "k", "m")).alias("s")).select(*key, F.col("s.m.w_t").alias("near"))
-
-    first = labels.groupBy(*key).agg(F.min(F.struct("id", "k", "y")).alias("f")).select(*key, F.col("f.y").alias("first_y"))
-    notes = dry.filter(F.col("t").rlike(BARS) | F.col("t").rlike(TOP_BARS))
-    to = _near(labels, notes, BARS_REACH).filter(_d2() <= BARS_REACH**2).groupBy(*PAGE, "w_id", "w_t", "w_y").agg(F.min(F.struct(_d2().alias("d"), "id", "k", "ref")).alias("m")).select(*PAGE, F.col("m.ref").alias("ref"), "w_id", "w_t", "w_y")
-    top = F.col("w_t").rlike(TOP_BARS)
-    lower = ~top & (F.col("w_y") > F.col("first_y"))
-    bar = F.when(top, _bars(["w_id"], "w_t", TOP_BARS)).otherwise(_bars(["w_id"], "w_t", BARS))
-    bars = to.join(first, key).groupBy(*key).agg(_listed(F.collect_list(F.when(lower, bar))).alias("lower"), _listed(F.collect_list(F.when(~lower, bar))).alias("upper"))
-
-    rings = _near(labels, dry.filter(F.col("t").rlike(STIRRUP)), BARS_REACH).groupBy(*key, "id", "k").agg(F.min(F.struct(_d2().alias("d"), "w_id", "w_t", "w_x", "w_y")).alias("m")).filter(F.col("m.d") <= BARS_REACH**2)
-    ring = rings.groupBy(*key).agg(F.min(F.struct("id", "k", "m")).alias("s")).select(*key, F.col("s.m.w_x").alias("x"), F.col("s.m.w_y").alias("y"), _group("s.m.w_t", STIRRUP).cast("int").alias("phi"))
-    spaced = _near(ring, _spacings(w), SPACING_REACH[0]).filter((F.abs(F.col("w_x") - F.col("x")) < SPACING_REACH[0]) & (F.abs(F.col("w_y") - F.col("y")) < SPACING_REACH[1])).groupBy(*key).agg(F.min(F.struct("w_id", "w_e")).alias("e")).select(*key, F.col("e.w_e").alias("spacing"))
-
-    out = labels.select(*key).distinct()
-    for part in (stated, found, bars, ring.select(*key, "phi"), spaced):
-        out = out.join(part, key, "left")
-    b = F.coalesce("b1", F.nullif(_group("near", SECTION, 1), F.lit("")))
-    h = F.coalesce("h1", F.nullif(_group("near", SECTION, 2), F.lit("")))
-    source = F.when(F.col("b1").isNotNull(), "label").when(F.col("near").isNotNull(), "heuristic")
-    return out.select(*key, _metres(b).alias("b"), _metres(h).alias("h"), source.alias("source"), F.coalesce("lower", F.lit("")).alias("lower"), F.coalesce("upper", F.lit("")).alias("upper"), "phi", F.when(F.col("phi").isNotNull(), F.coalesce("spacing", F.lit(0.0))).alias("spacing"))
+    over = (F.col("w_kind") == "section") & (F.col("w_y") < F.col("y")) & (F.abs(F.col("w_x") - F.col("x")) < wide) & (F.abs(F.col("w_y") - F.col("y")) < high)
+    within = F.col("d") <= BARS_REACH**2
+    # the first label that finds something, with the nearest it finds
+    first_nearest = lambda when, *v: F.min(F.when(when, F.struct("id", "k", "d", "w_id", *v)))
+    met = near.filter(over | ((F.col("w_kind") == "ring") & within)).groupBy(*key).agg(first_nearest(over, "w_n", "w_m").alias("near"), first_nearest(F.col("w_kind") == "ring", "w_n", "w_x", "w_y").alias("ring"))
+    to = near.filter(F.col("w_kind").isin("bars", "top") & within).groupBy(*cell, "w_id", "w_kind", "w_y", "w_n", "w_m").agg(F.min(F.struct("d", "id", "k", "ref")).alias("m"))
+    bar = F.struct("w_id", F.col("w_n").alias("nb"), F.col("w_m").alias("phi"), F.when(F.col("w_kind") == "bars", F.col("w_y")).alias("y"))
+    bars = to.groupBy(*PAGE, F.col("m.ref").alias("ref")).agg(F.collect_list(bar).alias("all_bars"))
+
+    ring = met.filter("ring is not null").select(*key, F.col("ring.w_x").alias("x"), F.col("ring.w_y").alias("y"))
+    rx, ry = SPACING_REACH
+    at_ring = _placed(_spacings(w).select(*PAGE, "id", "x", "y", "e"), CELL * rx).join(_reaching(ring, CELL * rx, (-rx, rx, -ry, ry)), cell).filter((F.abs(F.col("w_x") - F.col("x")) < rx) & (F.abs(F.col("w_y") - F.col("y")) < ry))
+    spaced = at_ring.groupBy(*key).agg(F.min(F.struct("w_id", "w_e")).alias("e")).select(*key, F.col("e.w_e").alias("spacing"))
+
+    own = labels.groupBy(*key).agg(F.min(F.struct("id", "k", "y"))["y"].alias("first_y"), F.min(F.when(F.col("b0").isNotNull(), F.struct("id", "k", "b0", "h0"))).alias("stated"))
+    out = reduce(lambda a, part: a.join(part, key, "left"), (met, bars, spaced), own)
+    below_first = lambda b: F.coalesce(b["y"] > F.col("first_y"), F.lit(False))
+    listed = lambda keep: F.coalesce(_listed(F.filter("all_bars", keep)), F.lit(""))
+    b, h = (F.coalesce(f"stated.{own_}", F.col(f"near.{near_}").cast("string")) for own_, near_ in (("b0", "w_n"), ("h0", "w_m")))
+    source = F.when(F.col("stated").isNotNull(), "label").when(F.col("near").isNotNull(), "heuristic")
+    phi = F.col("ring.w_n")
+    return out.select(*key, _metres(b).alias("b"), _metres(h).alias("h"), source.alias("source"), listed(below_first).alias("lower"), listed(lambda b: ~below_first(b)).alias("upper"), phi.alias("phi"), F.when(phi.isNotNull(), F.coalesce("spacing", F.lit(0.0))).alias("spacing"))
 
 
 def column_pages(words: DataFrame) -> DataFrame:
@@ -127,39 +139,44 @@ def column_pages(words: DataFrame) -> DataFrame:
     """
     w = words.withColumn("t", L.strip(F.coalesce(F.col("text"), F.lit("")))).select(*PAGE, "id", "t", "x", "y")
     labels = w.filter(F.col("t").rlike(COLUMN)).select(*PAGE, "id", F.upper("t").alias("ref"), "x", "y", (F.rint(F.col("y") / ROW) * ROW).alias("row"))
-    key, one = [*PAGE, "ref"], [*PAGE, "ref", "id"]
-    side_by_side = labels.groupBy(*PAGE, "row").agg(F.count_distinct("ref").alias("n")).filter(F.col("n") >= LEAST_COLUMNS)
-    heads = labels.join(side_by_side, [*PAGE, "row"])
-    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "row").orderBy("x", "id"))).filter("nth = 1")
-    dy = F.col("w_y") - F.col("y")
-    below = _near(heads, w, TABLE_BELOW).filter((F.abs(F.col("w_x") - F.col("x")) < TABLE_COLUMN) & (dy > 0) & (dy < TABLE_BELOW)).withColumn("dy", dy)
-    number = F.when(F.col("w_t").rlike("^[0-9]+$"), F.col("w_t").try_cast("int"))
-    within = lambda r: (F.col("dy") > r[0]) & (F.col("dy") < r[1])
-    pick = lambda when, value: F.min(F.when(when, F.struct("dy", "w_id", value.alias("v"))))["v"]
-    all_bars = F.regexp_extract_all("w_t", F.lit("(?i)([0-9]+)\\s*(?:HA|T)\\s*([0-9]+)"), F.lit(0))
-    ring = F.coalesce(F.nullif(_group("w_t", STIRRUP), F.lit("")), F.nullif(_group("w_t", PINS), F.lit(""))).cast("int")
-    e = F.round(F.regexp_replace(F.nullif(_group("w_t", SPACING), F.lit("")), ",", ".").try_cast("double") / 100, 6)
+    key, row = [*PAGE, "ref"], [*PAGE, "row"]
+    # a label heads a column of a table if enough different ones stand on its line, and it is its own first one there
+    labels = labels.withColumn("nth", F.row_number().over(Window.partitionBy(*row, "ref").orderBy("x", "id"))).withColumn("n", F.dense_rank().over(Window.partitionBy(*row).orderBy("ref")))
+    labels = labels.withColumn("n", F.max("n").over(Window.partitionBy(*row))).select(*key, "id", "x", "y", "row", ((F.col("nth") == 1) & (F.col("n") >= LEAST_COLUMNS)).alias("head"))
+
+    # what a word says is worked out once, before it meets labels
+    number = F.when(F.col("t").rlike("^[0-9]+$"), F.col("t").try_cast("int"))
+    all_bars = F.regexp_extract_all("t", F.lit(BARS), F.lit(0))
     said = F.array_join(F.array_distinct(F.transform(all_bars, lambda b: F.upper(F.regexp_replace(F.regexp_replace(b, "\\s", ""), "(?i)HA", "T")))), "+")
-    table = below.groupBy(*one, "row").agg(
-        pick(within(TABLE_BARS) & (F.size(all_bars) > 0), said).alias("bars"), pick(within(TABLE_A) & number.between(*A_CM), number).alias("a"), pick(within(TABLE_B) & number.between(*B_CM), number).alias("b"),
-        F.min(F.when(within(TABLE_STIRRUP) & ring.isNotNull(), F.struct("dy", "w_id", ring.alias("v")))).alias("ring"), F.collect_list(F.when(within(TABLE_STIRRUP) & e.isNotNull(), F.struct("dy", "w_id", e.alias("v")))).alias("es"),
-    ).filter("a is not null or b is not null")
+    ring = F.coalesce(F.nullif(_group("t", STIRRUP), F.lit("")), F.nullif(_group("t", PINS), F.lit(""))).try_cast("int")
+    e = F.round(F.regexp_replace(F.nullif(_group("t", SPACING), F.lit("")), ",", ".").try_cast("double") / 100, 6)
+    cut = lambda i: _group("t", COLUMN_SECTION, i).try_cast("int")
+    section = F.when(F.col("t").rlike(COLUMN_SECTION), F.struct(cut(1).alias("a"), cut(2).alias("b")))
+    told = w.filter(F.col("t").rlike(AT_COLUMN)).select(*PAGE, "id", "x", "y", number.alias("number"), F.when(F.col("t").rlike(BARS), said).alias("bars"), ring.alias("ring"), e.alias("e"), section.alias("section"))
+
+    rx, ry = COLUMN_REACH
+    size, zone = CELL * rx, (-rx, rx, -ry, max(ry, TABLE_BELOW))
+    dx, dy = F.abs(F.col("w_x") - F.col("x")), F.col("w_y") - F.col("y")
+    below = F.col("head") & (dx < TABLE_COLUMN) & (dy > 0) & (dy < TABLE_BELOW)
+    beside = (dx < rx) & (F.abs(dy) < ry)
+    near = _placed(told, size).join(_reaching(labels, size, zone), [*PAGE, "cx", "cy"]).filter(below | beside).withColumns({"dy": dy, "below": below, "beside": beside})
+    within = lambda r: F.col("below") & (F.col("dy") > r[0]) & (F.col("dy") < r[1])
+    pick = lambda when, c: F.min(F.when(when & F.col(c).isNotNull(), F.struct("dy", "w_id", F.col(c).alias("v"))))
+    first = lambda c: F.min(F.when(F.col("beside") & F.col(c).isNotNull(), F.struct("w_id", F.col(c).alias("v"))))
+    each = near.groupBy(*key, "id", "row").agg(
+        pick(within(TABLE_BARS), "w_bars")["v"].alias("bars"), pick(within(TABLE_A) & F.col("w_number").between(*A_CM), "w_number")["v"].alias("a"), pick(within(TABLE_B) & F.col("w_number").between(*B_CM), "w_number")["v"].alias("b"), pick(within(TABLE_STIRRUP), "w_ring").alias("ring"),
+        F.collect_list(F.when(within(TABLE_STIRRUP) & F.col("w_e").isNotNull(), F.struct("dy", "w_id", F.col("w_e").alias("v")))).alias("es"),
+        first("w_section")["v"].alias("section"), first("w_bars")["v"].alias("own_bars"), first("w_ring").alias("own_ring"), F.collect_list(F.when(F.col("beside") & F.col("w_e").isNotNull(), F.struct("w_id", F.col("w_e").alias("v")))).alias("own_es"),
+    ).filter("a is not null or b is not null or section is not null")
     place = lambda s: F.struct(s["dy"], s["w_id"])
     after = F.array_min(F.filter("es", lambda s: place(s) >= place(F.col("ring"))))["v"]
-    from_table = table.withColumn("e", after).groupBy(*key).agg(F.min(F.struct(F.col("a").isNull().alias("no"), "row", "id", "a", "b", "bars", F.col("ring.v").alias("phi"), "e")).alias("m")).select(*key, "m.a", "m.b", "m.bars", "m.phi", "m.e", F.lit("heuristic").alias("source"))
-
+    own_after = F.array_min(F.filter("own_es", lambda s: s["w_id"] >= F.col("own_ring.w_id")))["v"]
+    of = lambda a, b, bars, phi, e, source: (F.col(a).alias("a"), F.col(b).alias("b"), F.col(bars).alias("bars"), F.col(phi).alias("phi"), F.col(e).alias("e"), F.lit(source).alias("source"))
+    from_table = F.when(F.coalesce("a", "b").isNotNull(), F.struct(F.col("a").isNull().alias("no"), "row", "id", *of("a", "b", "bars", "ring.v", "after", "heuristic")))
     # what the tables don't give: each label by itself, in reading order of the words
-    open_ = labels.join(from_table.filter("a is not null").select(*key), key, "left_anti")
-    rx, ry = COLUMN_REACH
-    zone = _near(open_, w, rx).filter((F.abs(F.col("w_x") - F.col("x")) < rx) & (F.abs(F.col("w_y") - F.col("y")) < ry))
-    first = lambda when, value: F.min(F.when(when, F.struct("w_id", value.alias("v"))))
-    alone = zone.groupBy(*one).agg(
-        first(F.col("w_t").rlike(COLUMN_SECTION), F.col("w_t"))["v"].alias("section"), first(F.size(all_bars) > 0, said)["v"].alias("bars"), first(ring.isNotNull(), ring).alias("ring"), F.collect_list(F.when(e.isNotNull(), F.struct("w_id", e.alias("v")))).alias("es"),
-    ).filter("section is not null")
-    spaced = F.array_min(F.filter("es", lambda s: s["w_id"] >= F.col("ring.w_id")))["v"]
-    best = alone.withColumn("e", spaced).groupBy(*key).agg(F.min(F.struct("id", "section", "bars", F.col("ring.v").alias("phi"), "e")).alias("m"))
-    cut = lambda i: _group("m.section", COLUMN_SECTION, i).cast("int")
-    from_labels = best.select(*key, cut(1).alias("a"), cut(2).alias("b"), "m.bars", "m.phi", "m.e", F.lit("label").alias("source"))
-    kept = from_table.join(from_labels.select(*key), key, "left_anti").unionByName(from_labels)
+    from_label = F.when(F.col("section").isNotNull(), F.struct("id", *of("section.a", "section.b", "own_bars", "own_ring.v", "own_after", "label")))
+    best = each.withColumns({"after": after, "own_after": own_after}).groupBy(*key).agg(F.min(from_table).alias("t"), F.min(from_label).alias("l"))
+    result = lambda s: F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("a", "b", "bars", "phi", "e", "source")))
+    kept = best.select(*key, F.when(F.col("l").isNotNull() & F.col("t.a").isNull(), result("l")).otherwise(result("t")).alias("m")).select(*key, "m.*")
     spacing = F.when(F.col("phi").isNotNull(), F.coalesce("e", F.lit(0.0)))
     return kept.select(*key, _metres(F.col("a").cast("string")).alias("a"), _metres(F.col("b").cast("string")).alias("b"), "source", F.coalesce("bars", F.lit("")).alias("bars"), "phi", spacing.alias("spacing"))

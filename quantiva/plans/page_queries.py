@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import detail_pages, placing
@@ -88,11 +88,12 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 _LINE = "l as (select l_orderkey page, l_quantity::bigint q, l_returnflag flag, l_linestatus state, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) c, count(*) over (partition by l_orderkey) n from lineitem)"
 
 
-def _spread(lines: DataFrame, words: list[tuple]) -> DataFrame:
-    """Words (number, text or null, x, y) of each line."""
-    one = lambda i, t, x, y: F.struct((F.col("c") * 100 + i).alias("id"), t.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-    each = lines.select("doc", "page", F.explode(F.array(*(one(*w) for w in words))).alias("w")).select("doc", "page", "w.*")
-    return each.filter("text is not null")
+def _spread(lines: DataFrame, x: Column, y: Column, words: list[tuple[int, Column, int, int]]) -> DataFrame:
+    """Words (number, text or null, place from x and y) of each line; small code per word, so that it is compiled."""
+    numbers, _, right, down = zip(*words, strict=True)
+    each = lines.select("doc", "page", "c", x.cast("double").alias("x"), y.cast("double").alias("y"), F.posexplode(F.array(*(w[1] for w in words))).alias("i", "text")).filter("text is not null")
+    of = lambda values, kind: F.array(*(F.lit(v).cast(kind) for v in values))[F.col("i")]
+    return each.select("doc", "page", (F.col("c") * 100 + of(numbers, "bigint")).alias("id"), "text", (F.col("x") + of(right, "double")).alias("x"), (F.col("y") + of(down, "double")).alias("y"))
 
 
 def beam_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,10 +102,10 @@ def beam_words(spark: SparkSession, sf: str) -> DataFrame:
     s, t = lambda v: v.cast("string"), lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
     x, y = F.col("c") * 800, F.lit(500)
     label = F.when(q % 4 == 0, t("N", c)).when(q % 4 == 1, t("n", c, "-(", s(20 + q), "X40)")).when(q % 4 == 2, t("PN", c, " (", s(20 + q), "x35)")).otherwise(t("BN", c, "/LG", c))
-    return _spread(_lines(spark, sf), [
-        (1, label, x, y), (2, F.when(q % 3 > 0, t("(", s(30 + q), "x50)")), x + 5, y - 20), (3, F.lit("90x90"), x + 5, y + 20), (4, t(s(2 + q % 5), "HA", s(10 + q % 3)), x, y + 30), (5, t(s(2 + q % 5), "ha", s(10 + q % 3)), x + 9, y + 31),
-        (6, F.when(F.col("flag") == "A", F.lit("bateau")), x - 100, y - 60), (7, t("3T", s(8 + q % 4)), x - 30, y - 50), (8, t("CHAP. ", s(q), "T8"), x + 10, y + 90), (9, F.when(F.col("state") == "O", t("Cad T", s(6 + q % 3))), x + 40, y + 110),
-        (10, F.when(q % 2 == 0, F.lit("e=(12x9 symet)")), x + 60, y + 120), (11, F.lit("esp = 17,5"), x + 60, y + 130), (12, F.lit("e=99"), x + 60, y + 180),
+    return _spread(_lines(spark, sf), x, y, [
+        (1, label, 0, 0), (2, F.when(q % 3 > 0, t("(", s(30 + q), "x50)")), 5, -20), (3, F.lit("90x90"), 5, 20), (4, t(s(2 + q % 5), "HA", s(10 + q % 3)), 0, 30), (5, t(s(2 + q % 5), "ha", s(10 + q % 3)), 9, 31),
+        (6, F.when(F.col("flag") == "A", F.lit("bateau")), -100, -60), (7, t("3T", s(8 + q % 4)), -30, -50), (8, t("CHAP. ", s(q), "T8"), 10, 90), (9, F.when(F.col("state") == "O", t("Cad T", s(6 + q % 3))), 40, 110),
+        (10, F.when(q % 2 == 0, F.lit("e=(12x9 symet)")), 60, 120), (11, F.lit("esp = 17,5"), 60, 130), (12, F.lit("e=99"), 60, 180),
     ])
 
 
@@ -124,9 +125,9 @@ def column_words(spark: SparkSession, sf: str) -> DataFrame:
     own = F.col("flag") == "A"
     x, y = F.col("c") * 300, F.when(own, 1000).otherwise(100)
     only = lambda when, v: F.when(when, v)
-    return _spread(_lines(spark, sf), [
-        (1, t("P", c), x, y), (2, only(~own, t(s(2 + q % 9), "T12")), x + 3, y + 22), (3, only(~own & (q % 5 > 0), s(15 + q)), x - 4, y + 38), (4, only(~own, s(25 + q)), x, y + 58), (5, only(~own & (q % 2 == 0), t("T", s(6 + q % 3), "+Ep")), x, y + 72),
-        (6, only(~own & (q % 4 == 0), F.lit("e=12.5")), x + 4, y + 80), (7, only(own, t("(", s(20 + q), "x30)")), x + 20, y + 10), (8, only(own, t(s(4 + q % 3), "HA14 + 2T10")), x, y + 20), (9, only(own & (q % 2 == 1), t("Cad. T", s(8 + q % 2))), x, y + 40), (10, only(own & (q % 3 == 0), F.lit("Esp=20")), x, y + 50),
+    return _spread(_lines(spark, sf), x, y, [
+        (1, t("P", c), 0, 0), (2, only(~own, t(s(2 + q % 9), "T12")), 3, 22), (3, only(~own & (q % 5 > 0), s(15 + q)), -4, 38), (4, only(~own, s(25 + q)), 0, 58), (5, only(~own & (q % 2 == 0), t("T", s(6 + q % 3), "+Ep")), 0, 72),
+        (6, only(~own & (q % 4 == 0), F.lit("e=12.5")), 4, 80), (7, only(own, t("(", s(20 + q), "x30)")), 20, 10), (8, only(own, t(s(4 + q % 3), "HA14 + 2T10")), 0, 20), (9, only(own & (q % 2 == 1), t("Cad. T", s(8 + q % 2))), 0, 40), (10, only(own & (q % 3 == 0), F.lit("Esp=20")), 0, 50),
     ])
 
 

@@ -33,3 +33,20 @@ def test_tables_of_a_page(spark):
     # S2 is off the header's line, 120x80 between two columns, one reference makes no header, columns without cells give no row
     assert got == {(1, "S4"): (0.9, 1.0, None, None, None), (1, "S3"): (None, None, 9.0, None, None)}
     assert placing.borderless_tables(words(spark, rows).limit(0)).collect() == []
+
+
+def test_words_stand_once_in_the_cells(spark):
+    # a word is one row of a cell join, a label at most four; numbers beyond an int are read as none
+    from quantiva.operators import detail_pages
+
+    w = words(spark, [(1, i, "w", 37.0 * i, -53.0 * i) for i in range(200)])
+    assert detail_pages._placed(w, 960).count() == 200
+    assert detail_pages._reaching(w, 960, (-240, 240, -240, 240)).groupBy("id").count().filter("count > 4").count() == 0
+
+
+def test_columns_of_a_page(spark):
+    from quantiva.operators import detail_pages
+
+    rows = [(1, 1, "P7", 0.0, 0.0), (1, 2, "(30x40)", 144.0, 79.0), (1, 3, "Cad. T99999999999", 3.0, 10.0), (1, 4, "Cad T8", 4.0, 12.0), (1, 5, "e=15", 5.0, 14.0), (1, 6, "4HA12+2t10", -5.0, -14.0), (1, 7, "P8", 5000.0, 0.0), (1, 8, "(20x20)", 5145.0, 0.0)]
+    got = [tuple(r)[2:] for r in detail_pages.column_pages(words(spark, rows)).collect()]
+    assert got == [("P7", 0.3, 0.4, "label", "4T12+2T10", 8, 0.15)]
