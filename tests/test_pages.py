@@ -50,3 +50,11 @@ def test_columns_of_a_page(spark):
     rows = [(1, 1, "P7", 0.0, 0.0), (1, 2, "(30x40)", 144.0, 79.0), (1, 3, "Cad. T99999999999", 3.0, 10.0), (1, 4, "Cad T8", 4.0, 12.0), (1, 5, "e=15", 5.0, 14.0), (1, 6, "4HA12+2t10", -5.0, -14.0), (1, 7, "P8", 5000.0, 0.0), (1, 8, "(20x20)", 5145.0, 0.0)]
     got = [tuple(r)[2:] for r in detail_pages.column_pages(words(spark, rows)).collect()]
     assert got == [("P7", 0.3, 0.4, "label", "4T12+2T10", 8, 0.15)]
+
+
+def test_beams_of_a_page(spark):
+    from quantiva.operators import detail_pages
+
+    rows = [(1, 1, "N1", 0.0, 0.0), (1, 2, "(30x50)", 0.0, -20.0), (1, 3, "4HA12", 0.0, 240.0), (1, 4, "Cad T99999999999", 0.0, 99.0), (1, 5, "Cad T6", 0.0, 100.0), (1, 6, "e=(12x9)", 50.0, 130.0), (1, 7, "chap 3T8", 0.0, 60.0), (1, 8, "2T10", 0.0, 241.0)]
+    got = [tuple(r)[2:] for r in detail_pages.beam_pages(words(spark, rows)).collect()]
+    assert got == [("N1", 0.3, 0.5, "heuristic", "4T12", "3T8", 6, 0.12)]
