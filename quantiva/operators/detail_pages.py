@@ -94,7 +94,7 @@ def beam_pages(words: DataFrame) -> DataFrame:
     said = F.split(F.regexp_replace("t", NOTE, "$1;$2;$3;$4;$5;$6"), ";")
     noted = w.filter(F.col("t").rlike(NOTE)).select(*PAGE, "id", "x", "y", F.explode(F.array(said)).alias("said"))  # a generator's result isn't worked out again by filters on it
     has = lambda i: F.col("said")[i] != ""
-    number = lambda i: F.col("said")[i].try_cast("int")
+    number = lambda i: F.nullif(F.col("said")[i], F.lit("")).try_cast("int")  # noqa: E731; a cast that fails is slow
     kind = F.when(has(0), "section").when(has(5), "ring").when(has(2), "top").otherwise("bars")
     notes = noted.select(*PAGE, "id", "x", "y", kind.alias("kind"), F.coalesce(number(0), number(3), number(5)).alias("n"), F.coalesce(number(1), number(4)).alias("m")).filter("n is not null and (m is not null or kind = 'ring')")
     left, right, above, below = BOAT
