@@ -111,18 +111,27 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([sheet, deg, cell, ids, t, pa.array(np.concatenate(s)), pa.array(np.concatenate(d)), *(pa.array(line[:, k].copy()) for k in range(4))], ["sheet", "deg", "cell", "id", "t", "s", "d", "cx", "cy", "ux", "uy"])
 
 
-def proposals(marks: DataFrame, degrees: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Votes (a row for each mark and angle of a line's normal) and the lines proposed, ``sheet, deg, cell, rho, lo, hi``."""
-    enough = marks.groupBy("sheet").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ON_SHEET).select("sheet")
-    turned = marks.join(enough, "sheet", "left_semi").withColumn("deg", F.explode(F.array(*map(F.lit, degrees))))
+def _votes(turned: DataFrame) -> DataFrame:
+    """Distance ``rho`` of each mark's line at the angle ``deg`` of its normal, its cell, and the place along the line."""
     a, size = F.radians("deg"), 2 * F.greatest("t", F.lit(1.0))
     votes = turned.withColumns({"rho": F.col("x") * F.cos(a) + F.col("y") * F.sin(a), "along": F.col("y") * F.cos(a) - F.col("x") * F.sin(a)})
-    votes = votes.withColumn("cell", F.floor(F.col("rho") / size))
-    strong = votes.groupBy("sheet", "deg", "cell").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    best = votes.join(strong, ["sheet", "deg", "cell"]).groupBy("sheet", "id").agg(F.max(F.struct("n", (-F.col("deg")).alias("deg"), (-F.col("cell")).alias("cell"), "rho", "along", "t")).alias("b"))
+    return votes.withColumn("cell", F.floor(F.col("rho") / size))
+
+
+def proposals(marks: DataFrame, degrees: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Votes (a row for each mark and each angle that its sheet has lines of) and the lines proposed, ``sheet, deg, cell, rho, lo, hi``."""
+    # votes are counted by windows after the one shuffle of marks by sheets, since they are many times the marks
+    dealt = marks.filter("sheet is not null").repartition("sheet")
+    enough = dealt.withColumn("n", F.count("*").over(Window.partitionBy("sheet"))).filter(F.col("n") >= LEAST_ON_SHEET).drop("n")
+    votes = _votes(enough.select("sheet", "id", "x", "y", "t", F.explode(F.array(*map(F.lit, degrees))).alias("deg"))).drop("x", "y")
+    counted = votes.withColumn("n", F.count("*").over(Window.partitionBy("sheet", "deg", "cell")))
+    best = counted.filter(F.col("n") >= SUPPORT).groupBy("sheet", "id").agg(F.max(F.struct("n", (-F.col("deg")).alias("deg"), (-F.col("cell")).alias("cell"), "rho", "along", "t")).alias("b"))
     each = best.groupBy("sheet", (-F.col("b.deg")).alias("deg"), (-F.col("b.cell")).alias("cell"))
     lines = each.agg(F.count("*").alias("n"), F.round(F.avg("b.rho"), 6).alias("rho"), F.min("b.along").alias("lo"), F.max("b.along").alias("hi"), F.max("b.t").alias("t"))
-    return votes, lines.filter(F.col("n") >= SUPPORT).drop("n")
+    lines = lines.filter(F.col("n") >= SUPPORT).drop("n")
+    turns = lines.groupBy("sheet").agg(F.collect_set("deg").alias("degs"))
+    # merged: the planner doesn't know how many votes a mark has, and would send them all to each executor
+    return _votes(enough.join(turns.hint("merge"), "sheet").withColumn("deg", F.explode("degs")).drop("degs")), lines
 
 
 def dotted_walls(marks: DataFrame, axis_turn: float | None = AXIS_TURN) -> DataFrame:
@@ -138,7 +147,7 @@ def dotted_walls(marks: DataFrame, axis_turn: float | None = AXIS_TURN) -> DataF
     spread = lines.withColumn("at", F.explode(F.sequence(F.floor((F.col("rho") - wide) / size), F.floor((F.col("rho") + wide) / size))))
     held = votes.select("sheet", "deg", F.col("cell").alias("at"), "id", "x", "y", "w", "h", F.col("rho").alias("r"), "along")
     beyond = BEYOND * F.greatest("t", F.lit(1.0))
-    near = held.join(spread, ["sheet", "deg", "at"]).filter((F.abs(F.col("r") - F.col("rho")) <= wide) & F.col("along").between(F.col("lo") - beyond, F.col("hi") + beyond))
+    near = held.join(spread.hint("merge"), ["sheet", "deg", "at"]).filter((F.abs(F.col("r") - F.col("rho")) <= wide) & F.col("along").between(F.col("lo") - beyond, F.col("hi") + beyond))
     kind = marks.schema["sheet"].dataType.simpleString()
     mark = marks.schema["id"].dataType.simpleString()
     held = near.groupBy("sheet", "deg", "cell").agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("marks"))
