@@ -29,3 +29,20 @@ def anchor_zones(df: DataFrame, keys: list[str], position: str, *ties: str) -> D
     w = Window.partitionBy(*keys).orderBy(position, *ties)
     before, after = F.lag(position).over(w), F.lead(position).over(w)
     return df.withColumns({"zone_lo": (before + F.col(position)) / 2, "zone_hi": (F.col(position) + after) / 2})
+
+
+def numbered(rows: DataFrame, key: str, lead: str, order: list[str], name: str, size: int = 65_536) -> DataFrame:
+    """``rows`` numbered from 1 within each ``key``, in order of ``lead`` (a whole number) and then ``order``.
+
+    A list may be long and the keys few, so it is cut by ``lead``: parts are numbered by themselves and begin after the
+    rows of those before them. Parts cover equal stretches of ``lead`` and have ``size`` rows on average; rows of one
+    ``lead`` stay together.
+    """
+    ends = rows.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).first()
+    wide = 1 if ends["lo"] is None else (ends["hi"] - ends["lo"]) * size // ends["n"] + 1
+    cut = rows.withColumn("__part", F.coalesce(F.floor(F.col(lead) / wide), F.lit(-(1 << 62))))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = cut.groupBy(key, "__part").agg(F.count("*").alias("__n")).select(F.col(key).alias("__key"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(key, "__part").orderBy(lead, *order))
+    at = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p"))
+    return cut.withColumn("__k", within).join(begins, at).withColumn(name, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__part", "__k", "__key", "__p", "__before")

@@ -9,6 +9,7 @@ from ..functions import cells as C
 from ..functions import labels as L
 from ..functions import parsing as P
 from ..functions.constants import BAR_MASS_ALT
+from ..operators import ordered
 from .carriers import CTE, catalogue, gated, placements
 from .cases import cases
 from .matching_queries import _WORDS, words
@@ -99,8 +100,8 @@ cases("h5_footing_rows", [("S1 110x110x25 8HA12 8HA12", "S1", "1.1x1.1x0.25", 2)
 def h11_flat_lists(spark, sf):
     """A document as flat lists, one a family: numbered placements with their type's height."""
     j = placements(spark, sf).join(gated(spark, sf).select("type", "family", F.col("hm").cast("double").alias("h")), "type")
-    k = F.row_number().over(Window.partitionBy("family").orderBy("project", "inst", "type", "qty")).cast("bigint")
-    return j.select(F.concat("family", F.lit("s")).alias("list"), k.alias("k"), "type", "h")
+    numbered = ordered.numbered(j, "family", "project", ["inst", "type", "qty"], "k")
+    return numbered.select(F.concat("family", F.lit("s")).alias("list"), "k", "type", "h")
 
 
 @query("h24_multipass_merge", W + ", n as (select type, count(*) n from placements group by type) select type, coalesce(meaning, 'inconnu') meaning, coalesce(n, 0) n, case when n is null then 'table' when n > 30 then 'table+plan' else 'plan' end source, hm::double span from catalogue left join n using (type) left join (values ('S', 'Semelle'), ('P', 'Poteau'), ('N', 'Poutre')) l(prefix, meaning) using (prefix)")

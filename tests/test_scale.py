@@ -18,3 +18,21 @@ def test_votes_for_walls_are_not_broadcast(spark):
     from quantiva.plans.room_queries import dotted_marks
 
     assert "Broadcast" not in plan(walls.dotted_walls(dotted_marks(spark, SMALL)))
+
+
+def test_long_lists_are_numbered_in_parts(spark):
+    from quantiva.operators import ordered
+    from quantiva.plans import registry
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-40, 40)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "list string, at bigint, id bigint")
+    got = ordered.numbered(df, "list", "at", ["id"], "k", size=7)
+    want, n = {}, {}
+    for name, at, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[i] = n[name] = n.get(name, 0) + 1
+    assert {r["id"]: r["k"] for r in got.collect()} == want and got.columns == ["list", "at", "id", "k"]
+    assert ordered.numbered(df.limit(0), "list", "at", ["id"], "k").collect() == []
+    # no task numbers all rows of a family: each window over placements is cut by parts too
+    windows = [x for x in plan(registry.QUERIES["h11_flat_lists"](spark, SMALL)).splitlines() if "Window" in x and "row_number" in x]
+    assert windows and all("__part" in x.split("specifiedwindowframe")[0] for x in windows)
