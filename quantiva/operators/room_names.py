@@ -36,18 +36,22 @@ NUMBER_ASIDE, NUMBER_LINE = 0.8, 0.5
 
 def kind(text: Column) -> Column:
     """``number`` for one or two digits, ``known`` or ``likely`` for a room's name, NULL for any other word."""
-    t = L.strip(text)
-    core = F.regexp_replace(t, r"(?U)[0-9\s\-_.]+$", "")
-    low = F.lower(core)
-    has = lambda words: low.rlike("|".join(map(re.escape, words)))
+    return F.transform(F.array(L.strip(text)), lambda t: F.transform(F.array(F.regexp_replace(t, r"(?U)[0-9\s\-_.]+$", "")), lambda core: _kind(t, core))[0])[0]
+
+
+def _kind(t: Column, core: Column) -> Column:
+    has = lambda words: F.lower(core).rlike("|".join(map(re.escape, words)))
     worded = (F.length(core) >= 2) & core.rlike("[A-Za-zÀ-ÿ]{2,}") & ~t.rlike(r"(?U)[0-9]\s*[x×X*]\s*[0-9]") & ~F.coalesce(P.is_dimension(t), F.lit(False)) & ~has(NEVER)
-    return F.when(t.rlike("^[0-9]{1,2}$"), "number").when(worded & has(ROOMS), "known").when(worded & t.rlike(r"^[A-ZÀ-Ý][A-ZÀ-Ý\-]{2,}[0-9]?$"), "likely")
+    likely = t.rlike(r"^[A-ZÀ-Ý][A-ZÀ-Ý\-]{2,}[0-9]?$")
+    return F.when(t.rlike("^[0-9]{1,2}$"), "number").when(worded, F.when(has(ROOMS), "known").when(likely, "likely"))
 
 
 def candidates(words: DataFrame, sheets: DataFrame) -> DataFrame:
     """Words (sheet, id, text, x, y, w, h, conf) that are names or numbers, with their kind, within the building's
     envelope (``sheets``: sheet, bx, by, bw, bh; null: anywhere). Names may stick out by a margin, numbers not."""
-    found = words.withColumns({"text": L.strip(F.col("text")), "kind": kind(F.col("text"))}).filter("kind is not null").join(sheets.select("sheet", "bx", "by", "bw", "bh"), "sheet", "left")
+    # exploded, so that what a word is gets worked out once
+    told = words.withColumn("told", F.explode(F.array(F.struct(L.strip(F.col("text")).alias("text"), kind(F.col("text")).alias("kind")))))
+    found = told.filter("told.kind is not null").withColumns({"text": F.col("told.text"), "kind": F.col("told.kind")}).drop("told").join(sheets.select("sheet", "bx", "by", "bw", "bh"), "sheet", "left")
     out = F.when(F.col("kind") == "number", 0.0).otherwise(MARGIN * F.greatest("bw", "bh"))
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     inside = cx.between(F.col("bx") - out, F.col("bx") + F.col("bw") + out) & cy.between(F.col("by") - out, F.col("by") + F.col("bh") + out)
@@ -55,6 +59,8 @@ def candidates(words: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 class _Name:
+    __slots__ = ("text", "x", "y", "w", "h", "conf", "known", "words")
+
     def __init__(self, text: str, x: float, y: float, w: float, h: float, conf: float, known: bool) -> None:
         self.text, self.x, self.y, self.w, self.h, self.conf, self.known = text, x, y, w, h, conf, known
         self.words = 1
@@ -108,8 +114,9 @@ def room_names(words: DataFrame, sheets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, own in enumerate(batch.column(1).to_pylist()):
-                named = lambda number: [_Name(w["text"], w["x"], w["y"], w["w"], w["h"], w["conf"], w["kind"] == "known") for w in own if (w["kind"] == "number") == number]  # noqa: E731, B023
+            for i, own in enumerate(batch.column(1)):  # one sheet at a time as Python's rows, not the whole batch
+                words = own.as_py()
+                named = lambda number: [_Name(w["text"], w["x"], w["y"], w["w"], w["h"], w["conf"], w["kind"] == "known") for w in words if (w["kind"] == "number") == number]  # noqa: E731, B023
                 rows += [(i, k, m.text, m.x, m.y, m.w, m.h, m.conf, m.known, m.words) for k, m in enumerate(fold(named(False), named(True)))]
             if rows:
                 i, *columns = zip(*rows, strict=True)

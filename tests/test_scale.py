@@ -36,3 +36,19 @@ def test_long_lists_are_numbered_in_parts(spark):
     # no task numbers all rows of a family: each window over placements is cut by parts too
     windows = [x for x in plan(registry.QUERIES["h11_flat_lists"](spark, SMALL)).splitlines() if "Window" in x and "row_number" in x]
     assert windows and all("__part" in x.split("specifiedwindowframe")[0] for x in windows)
+
+
+def test_words_are_told_apart_once(spark):
+    from quantiva.operators import room_names
+    from quantiva.plans import room_queries
+
+    words, sheets = room_queries.room_words(spark, SMALL), room_queries.plan_sheets(spark, SMALL)
+    assert plan(room_names.candidates(words, sheets)).count("chambre") == 1
+
+
+def test_names_of_a_batch_are_read_sheet_by_sheet(spark, monkeypatch):
+    import inspect
+
+    from quantiva.operators import room_names
+
+    assert "to_pylist" not in inspect.getsource(room_names.room_names)
