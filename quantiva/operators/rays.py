@@ -1,28 +1,64 @@
 """Boxes of rooms from rays: from each label five rays a side to the nearest wall, and the median of what they measure.
 
 Walls are boxes parallel to the axes, in whole pixels. A ray is a line of pixels, so it meets the walls that cover its
-row (or column): walls are filed by bands of rows, rays look up the band of theirs, and the nearest wall is one
-aggregate. Rays and walls of different sheets never meet.
+row (or column). A sheet's rays and its walls are gathered once each; the task that has both looks at all walls for some
+rays at a time, so no pair of ray and wall is ever a row. Rays and walls of different sheets never meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = ["left", "right", "up", "down"]
-CLOSE, MOST_OPEN, ROWS = 2, 0.6, 32  # a hit so close is the label's own stroke; share of the envelope; rows of a band
+CLOSE, MOST_OPEN = 2, 0.6  # a hit so close is the label's own stroke; share of the envelope
+AT_ONCE = 1_000_000  # pairs of ray and wall that are looked at in one piece
+_FAR = np.iinfo(np.int64).max // 4
+
+
+def nearest_walls(probe: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to the nearest wall before and after each ray's start, _FAR where there is none. ``lo`` to ``hi`` is
+    what a wall covers across the rays, ``first`` to ``last`` what it covers along them."""
+    before, after = np.full(len(probe), _FAR), np.full(len(probe), _FAR)
+    if len(lo):
+        most = max(1, AT_ONCE // len(lo))
+        for own in (slice(i, i + most) for i in range(0, len(probe), most)):
+            p, s = probe[own, None], start[own, None]
+            met = (lo <= p) & (p <= hi)
+            before[own] = np.where(met & (first < s), s - np.minimum(last, s - 1), _FAR).min(axis=1)
+            after[own] = np.where(met & (last > s), np.maximum(first, s + 1) - s, _FAR).min(axis=1)
+    return before, after
+
+
+def _hits(rays: DataFrame, walls: DataFrame) -> DataFrame:
+    """Distances ``before`` and ``after`` of rays ``sheet, label, flat, k, start, probe``; none of those that meet nothing."""
+    sheet, label = (rays.schema[c].dataType.simpleString() for c in ("sheet", "label"))
+    box = [F.col(c).cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    own = rays.groupBy("sheet").agg(F.collect_list(F.struct("label", "flat", F.col("start").cast("bigint").alias("start"), "probe")).alias("rays"))
+    held = own.join(walls.dropna().groupBy("sheet").agg(F.collect_list(F.struct(*box)).alias("walls")).hint("merge"), "sheet")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rays_, walls_ = batch.column(1), batch.column(2)
+            r, w = rays_.offsets.to_numpy(), walls_.offsets.to_numpy()
+            flat, start, probe = (rays_.values.field(c).to_numpy(zero_copy_only=False) for c in ("flat", "start", "probe"))
+            x0, y0, x1, y1 = (walls_.values.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+            before, after = np.full(len(flat), _FAR), np.full(len(flat), _FAR)
+            for i in range(batch.num_rows):
+                at, k = np.arange(r[i], r[i + 1]), slice(w[i], w[i + 1])
+                across, along = at[flat[at]], at[~flat[at]]
+                before[across], after[across] = nearest_walls(probe[across], start[across], y0[k], y1[k], x0[k], x1[k])
+                before[along], after[along] = nearest_walls(probe[along], start[along], x0[k], x1[k], y0[k], y1[k])
+            met = np.flatnonzero((before < _FAR) | (after < _FAR))
+            of = np.searchsorted(r, met, side="right") - 1
+            values = [pa.array(v[met], mask=v[met] == _FAR) for v in (before, after)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), rays_.values.field("label").take(pa.array(met)), pa.array(flat[met]), *values], ["sheet", "label", "flat", "before", "after"])
 
-def _hits(rays: DataFrame, walls: DataFrame, across: str, along: str) -> DataFrame:
-    """Distances to the nearest wall before and after each ray's start; ``across`` is the axis that rays are sorted by."""
-    lo, hi = F.floor(F.col(f"{across}0") / ROWS), F.floor(F.col(f"{across}1") / ROWS)
-    filed = walls.withColumn("band", F.explode(F.sequence(lo, hi)))
-    met = rays.withColumn("band", F.floor(F.col("probe") / ROWS)).join(filed, ["sheet", "band"]).filter(F.col("probe").between(F.col(f"{across}0"), F.col(f"{across}1")))
-    start, first, last = F.col("start"), F.col(f"{along}0"), F.col(f"{along}1")
-    before = F.when(first < start, start - F.least(last, start - 1))
-    after = F.when(last > start, F.greatest(first, start + 1) - start)
-    return met.groupBy("sheet", "label", "k").agg(F.min(before).alias("before"), F.min(after).alias("after"))
+    return held.mapInArrow(run, f"sheet {sheet}, label {label}, flat boolean, before bigint, after bigint")
 
 
 def room_boxes(labels: DataFrame, walls: DataFrame, sheets: DataFrame, most_open: float = MOST_OPEN) -> DataFrame:
@@ -41,9 +77,9 @@ def room_boxes(labels: DataFrame, walls: DataFrame, sheets: DataFrame, most_open
         steps = [-F.col(size), F.floor(-F.col(size) / 2), F.lit(0), half(size), F.col(size)]
         return F.posexplode(F.array(*(inside(F.col(centre) + s, limit).cast("bigint") for s in steps)))
 
-    rows = at.select("sheet", "label", F.col("cx").alias("start"), probes("cy", "h", "height").alias("k", "probe"))
-    columns = at.select("sheet", "label", F.col("cy").alias("start"), probes("cx", "w", "width").alias("k", "probe"))
-    both = _hits(rows, walls, "y", "x").withColumn("flat", F.lit(True)).unionByName(_hits(columns, walls, "x", "y").withColumn("flat", F.lit(False)))
+    rows = at.select("sheet", "label", F.lit(True).alias("flat"), F.col("cx").alias("start"), probes("cy", "h", "height").alias("k", "probe"))
+    columns = at.select("sheet", "label", F.lit(False).alias("flat"), F.col("cy").alias("start"), probes("cx", "w", "width").alias("k", "probe"))
+    both = _hits(rows.unionByName(columns).dropna(subset=["start", "probe"]), walls)
     middle = lambda flat, c: F.floor(F.percentile(F.when((F.col("flat") == flat) & (F.col(c) > CLOSE), F.col(c)), 0.5)).cast("bigint")
     found = both.groupBy("sheet", "label").agg(middle(True, "before").alias("left"), middle(True, "after").alias("right"), middle(False, "before").alias("up"), middle(False, "after").alias("down"))
     r = at.join(found, ["sheet", "label"], "left")

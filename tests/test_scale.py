@@ -52,3 +52,20 @@ def test_names_of_a_batch_are_read_sheet_by_sheet(spark, monkeypatch):
     from quantiva.operators import room_names
 
     assert "to_pylist" not in inspect.getsource(room_names.room_names)
+
+
+def test_rays_look_at_walls_in_pieces(spark, monkeypatch):
+    from quantiva.operators import rays
+    from quantiva.plans import registry
+
+    rng = np.random.default_rng(4)
+    probe, start, lo, first = (rng.integers(0, 60, n) for n in (90, 90, 40, 40))
+    hi, last = lo + rng.integers(0, 20, 40), first + rng.integers(0, 20, 40)
+    monkeypatch.setattr(rays, "AT_ONCE", 100)
+    before, after = rays.nearest_walls(probe, start, lo, hi, first, last)
+    for p, s, b, a in zip(probe, start, before, after):
+        met = [(f, e) for u, v, f, e in zip(lo, hi, first, last) if u <= p <= v]
+        assert b == min((s - min(e, s - 1) for f, e in met if f < s), default=rays._FAR)
+        assert a == min((max(f, s + 1) - s for f, e in met if e > s), default=rays._FAR)
+    # no row for a ray and a wall: rays and walls of a sheet meet as one row
+    assert "band" not in plan(registry.QUERIES["h25_room_boxes"](spark, SMALL))
