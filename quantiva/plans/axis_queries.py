@@ -43,14 +43,13 @@ def g2_axis_solution(spark, sf):
 
 @query("g2_residuals")
 def g2_residuals(spark, sf):
-    edges = _edges(spark, sf)
-    return axes.residuals(edges, axes.solve(edges))
+    return axes.residuals(_edges(spark, sf))
 
 
 @query("g3_shortest_chain", _EDGES + ", ends as (select plan, max(hi) b from e group by plan), asked as (select distinct plan, lo a, ends.b from e join ends using (plan)), w as (select plan, a, a at_, 0 steps, 0::bigint total, []::bigint[] chain from asked union all select w.plan, w.a, e.hi, steps + 1, total + value, list_append(chain, id) from w join e on e.plan = w.plan and e.lo = w.at_), best as (select plan, a, at_, min(row(steps, total, chain)) m from w group by plan, a, at_) select asked.plan, asked.a, asked.b, m[1] steps, m[2] total, array_to_string(m[3], '+') chain from asked left join best on best.plan = asked.plan and best.a = asked.a and best.at_ = asked.b")
 def g3_shortest_chain(spark, sf):
     """The fewest dimensions from each node where one begins to the plan's last node."""
-    edges = axes.stage(_edges(spark, sf), "edges")
+    edges = _edges(spark, sf)
     last = edges.groupBy("plan").agg(F.max("hi").alias("b"))
     asked = edges.select("plan", F.col("lo").alias("a")).distinct().join(last, "plan")
     found = axes.shortest_chains(edges, asked)

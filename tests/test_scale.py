@@ -93,3 +93,20 @@ def test_boxes_are_compared_with_those_near_them_only(spark):
     began = time.time()
     assert len(sheets.kept_boxes(x, y, x + 10, y + 10, np.arange(len(x)), 7, False)) == len(x) == 62_500
     assert time.time() - began < 20  # each against all kept before it takes minutes
+
+
+def test_plans_of_dimensions_are_shuffled_once(spark):
+    from quantiva.plans import registry
+
+    for name, most in (("g1_snapped_components", 1), ("g2_axis_solution", 1), ("g2_residuals", 1), ("g3_shortest_chain", 3)):
+        found = plan(registry.QUERIES[name](spark, SMALL))
+        assert found.count("Exchange hashpartitioning") <= most and "chains-" not in found  # no rounds are written
+
+
+def test_chains_with_sums_that_are_not_known(spark):
+    from quantiva.operators import axes
+
+    edges = spark.createDataFrame([(1, 1, 0, 5, 4), (1, 2, 0, 5, None), (1, 3, 5, 9, 1), (1, 4, 2, 9, 7)], "plan bigint, id bigint, lo bigint, hi bigint, value bigint")
+    asked = spark.createDataFrame([(1, 0, 9), (1, 2, 9), (1, 2, 5), (1, 3, 3), (2, 7, 8), (1, 0, 9)], "plan bigint, a bigint, b bigint")
+    got = sorted(map(tuple, axes.shortest_chains(edges, asked).collect()))
+    assert got == [(1, 0, 9, 2, None, [2, 3]), (1, 0, 9, 2, None, [2, 3]), (1, 2, 5, None, None, None), (1, 2, 9, 1, 7, [4]), (1, 3, 3, 0, 0, []), (2, 7, 8, None, None, None)]
