@@ -92,7 +92,8 @@ def j8_radius_join(spark, sf):
 
 @query("j10_mutual_best", _ANCHORS + "select id, r_id from (select *, row_number() over (partition by id order by round(d2, 6), r_id) a, row_number() over (partition by r_id order by round(d2, 6), id) b from p) where a = 1 and b = 1")
 def j10_mutual_best(spark, sf):
-    return spatial.mutual_best(_pairs(spark, sf).withColumn("d2", F.round("d2", 6)), "id", "r_id").select("id", "r_id")
+    p = points(spark, sf).select("id", "family", "page", "x", "y")
+    return spatial.mutual_nearest(p.filter("family = 'error'"), p.filter("family = 'signup'"), ["page"], 10.0, (1.0, 0.01))
 
 
 @query("j19_proximity_semi", _ANCHORS + "select distinct id from p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ordered, records
+from ..operators import ordered, records, spatial
 from .carriers import CTE, catalogue, gated, placements
 from .matching_queries import _WORDS, words
 from .registry import query
@@ -24,12 +24,8 @@ def w9_anchor_zones_all(spark, sf):
 @query("j10_pair_labels", _WORDS + ", p as (select a.id, b.id dim, b.x - a.x dx from words a join words b on a.page = b.page and a.family = 'view' and b.family = 'click' and abs(a.y - b.y) <= 600 and b.x - a.x between -600 and 14000), f as (select id, arg_min(dim, (dx, dim)) dim, min(dx) dx from p group by id) select id, dim from (select *, row_number() over (partition by dim order by dx, id) k from f) where k = 1")
 def j10_pair_labels(spark, sf):
     """A reference and the dimensions beside it on the same line, each the other's best; contested ones go to the nearer."""
-    w = words(spark, sf).select("id", "page", "family", "x", "y").withColumn("cell", F.floor(F.col("y") / 600))
-    left = w.filter("family = 'view'")
-    right = w.filter("family = 'click'").select("page", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), F.col("id").alias("dim"), F.col("x").alias("dx0"), F.col("y").alias("dy0"))
-    dx = F.col("dx0") - F.col("x")
-    near = left.join(right, ["page", "cell"]).filter((F.abs(F.col("dy0") - F.col("y")) <= 600) & dx.between(-600, 14_000)).select("id", "dim", dx.alias("dx"))
-    best = near.groupBy("id").agg(F.min(F.struct("dx", "dim")).alias("b")).select("id", "b.dx", "b.dim")
+    w = words(spark, sf).select("id", "page", "family", "x", "y")
+    best = spatial.first_beside(w.filter("family = 'view'"), w.filter("family = 'click'"), ["page"], 600, (-600, 14_000)).withColumnRenamed("r_id", "dim")
     return best.groupBy("dim").agg(F.min(F.struct("dx", "id")).alias("b")).select("b.id", "dim")
 
 
