@@ -1,6 +1,6 @@
 """Boxes that grow: fragments fused until none is near another, and regions of a sheet around its anchors.
 
-Fusing is done for all sheets at once in rounds: boxes that are near each other take the least group among them, and a
+A sheet of up to ONE_PIECE fragments is fused where they are gathered. Larger ones are fused at once in rounds: boxes that are near each other take the least group among them, and a
 group's box is the union of its own. A larger box may meet new ones, so rounds go on until none meets another. The
 result is the finest division whose boxes are apart, whatever the order of the fragments.
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .boxes import overlap_join
 from .staging import drop, stage
 
 DISTANCE = 4
+ONE_PIECE = 2048  # fragments of a sheet that are compared with each other in one task
 # fixed values: shares of the sheet's size, px, and the share of the smaller box that two regions have in common
 MARGIN_X, MARGIN_Y, ABOVE, SAME, GAP, OVERLAP = 0.15, 0.20, 0.3, 50, 50, 0.3
 KINDS = ["tableau", "plan", "detail"]  # a merged region has the first of its kinds
@@ -39,12 +41,67 @@ def _further(moves: DataFrame) -> DataFrame:
     return moves.join(then, ["sheet", "to"], "left").select("sheet", "g", F.coalesce("then", "to").alias("to"))
 
 
+def groups_of(ids: np.ndarray, boxes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a sheet's fragments and the least id of each one's group; ``boxes`` are rows of x0, y0, x1 and
+    y1, nan for a fragment without a box."""
+    names, of = np.unique(ids, return_inverse=True)
+    to, whole = np.arange(len(names)), ~np.isnan(boxes).any(axis=1)
+    hull = np.full((len(names), 4), np.inf) * [1, 1, -1, -1]
+    while True:
+        g = to[of[whole]]
+        np.minimum.at(hull, (g[:, None], [0, 1]), boxes[whole, :2])
+        np.maximum.at(hull, (g[:, None], [2, 3]), boxes[whole, 2:])
+        own = np.unique(g)
+        x0, y0, x1, y1 = hull[own].T
+        near = (x0[:, None] - x1 <= distance) & (x0 - x1[:, None] <= distance) & (y0[:, None] - y1 <= distance) & (y0 - y1[:, None] <= distance)
+        least = np.arange(len(own))
+        while len(own):
+            low = np.where(near, least, len(own)).min(axis=1)
+            low = low[low]
+            if (low == least).all():
+                break
+            least = low
+        if (least == np.arange(len(own))).all():
+            return names, names[to]
+        step = np.arange(len(names))
+        step[own] = own[least]
+        to = step[to]
+
+
+def _fused_in_place(fragments: DataFrame, distance: int) -> DataFrame:
+    sheet, ident = (fragments.schema[c].dataType.simpleString() for c in ("sheet", "id"))
+    box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    held = fragments.filter("id is not null").groupBy("sheet").agg(F.collect_list(F.struct("id", *box)).alias("fragments"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, ends = batch.column(1).values, batch.column(1).offsets.to_numpy()
+            ids = own.field("id").to_numpy(zero_copy_only=False)
+            boxes = np.column_stack([own.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]).astype(float)
+            found = [groups_of(ids[i:j], boxes[i:j], distance) for i, j in zip(ends, ends[1:])]
+            of = np.repeat(np.arange(len(found)), [len(n) for n, _ in found])
+            names, groups = (pa.array(np.concatenate(c), own.field("id").type) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), names, groups], ["sheet", "id", "g"])
+
+    return held.mapInArrow(run, f"sheet {sheet}, id {ident}, g {ident}")
+
+
 def fuse(fragments: DataFrame, distance: int = DISTANCE, cell: int = 256) -> DataFrame:
     """``sheet, id, g``: the group of each fragment ``sheet, id, x0, y0, x1, y1`` (whole numbers), named by its least id.
 
     Boxes within ``distance`` of each other in both directions are one group, and so are groups by their common box.
     Fragments without a box are groups of their own; repeated ids are one fragment each time with the same group.
     """
+    counted = fragments.groupBy("sheet").agg(F.count("*").alias("n"))
+    large = stage(counted.filter((F.col("n") > ONE_PIECE) | F.col("sheet").isNull()).select("sheet"), "large-sheets")
+    if large.isEmpty():
+        drop(large)
+        return _fused_in_place(fragments, distance)
+    at = fragments["sheet"].eqNullSafe(large["sheet"])
+    return _fused_in_place(fragments.join(large, at, "left_anti"), distance).unionByName(_fused_in_rounds(fragments.join(large, at, "left_semi"), distance, cell))
+
+
+def _fused_in_rounds(fragments: DataFrame, distance: int, cell: int) -> DataFrame:
     whole = fragments.filter("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
     member = stage(fragments.select("sheet", "id", F.col("id").alias("g")).distinct(), "fragments")
     hull = lambda d: d.groupBy("sheet", "g").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
@@ -65,7 +122,7 @@ def fuse(fragments: DataFrame, distance: int = DISTANCE, cell: int = 256) -> Dat
 
 def fused(fragments: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``sheet, g, text, fragments, x0, y0, x1, y1, confidence`` of fused ``fragments``: texts are joined in order of ids."""
-    held = fragments.join(fuse(fragments, distance), ["sheet", "id"])
+    held = fragments.join(fuse(fragments, distance).hint("merge"), ["sheet", "id"])
     parts = F.array_sort(F.collect_list(F.struct("id", F.coalesce("text", F.lit("")).alias("text"))))
     text = F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t != ""), " ")
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]

@@ -157,3 +157,20 @@ def test_nearest_in_small_radii_first(spark, monkeypatch):
         for _, i, side, x, y in (r for r in rows if r[2] == 0):
             places.setdefault((_, x, y), []).append(i)
         assert found == {min(p): beside[min(p)] for p in places.values() if min(p) in beside}
+
+
+def test_fragments_fused_in_place_and_in_rounds_are_the_same(spark, monkeypatch):
+    from quantiva.operators import regions
+
+    rng = random.Random(5)
+    at = lambda n: rng.randrange(n) if rng.random() > 0.03 else None
+    rows = [(rng.choice([1, 2, 3, None]), rng.randrange(150), x, y, x and x + rng.randrange(30), y and y + 8) for _ in range(220) for x, y in [(at(700), at(500))]]
+    df = spark.createDataFrame(rows, "sheet bigint, id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    want = sorted(map(repr, regions._fused_in_rounds(df, 4, 256).collect()))
+    for size in (2048, 50, 0):
+        monkeypatch.setattr(regions, "ONE_PIECE", size)
+        assert sorted(map(repr, regions.fuse(df).collect())) == want
+    assert len({r["g"] for r in regions.fuse(df).collect()}) > 3
+    monkeypatch.setattr(regions, "ONE_PIECE", 2048)
+    monkeypatch.setattr(regions, "_fused_in_rounds", None)  # small sheets don't need it
+    assert regions.fused(df.filter("sheet is not null").withColumns({"text": F.lit("a"), "confidence": F.lit(1.0)})).count() > 3
