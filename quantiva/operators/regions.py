@@ -173,9 +173,10 @@ def regions(sheets: DataFrame, anchors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, (width, height, own) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                found = sheet_regions(width, height, [(a["kind"], a["label"], a["x0"], a["y0"], a["x1"], a["y1"]) for a in own])
+            rows, held, ends = [], batch.column(3).values, batch.column(3).offsets.to_pylist()
+            own = list(zip(*(held.field(c).to_pylist() for c in ("kind", "label", "x0", "y0", "x1", "y1")), strict=True))
+            for k, (width, height) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = sheet_regions(width, height, own[ends[k] : ends[k + 1]])
                 rows += [(k, i, *r) for i, r in enumerate(found)]
             if rows:
                 k, part, *columns = zip(*rows, strict=True)
