@@ -6,11 +6,13 @@ aggregates by page; a page's words are never gathered in Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .boxes import nearest_on_line
+from .boxes import nearest_anchors
 
 # fixed values: where axes are written, what a coupled label is, and which labels may carry how many dimensions
 LETTER, NUMBER = "^[A-T]$", "^(0[1-9]|[1-9]|1[0-9]|20)$"
@@ -18,7 +20,7 @@ LETTERS_ABOVE, NUMBERS_RIGHT_OF, AXIS_BAND = 200, 400, 40
 COUPLED = r"(?i)\(\s*(S[0-9]+)\s*,\s*([PQ0O][0-9]+)\s*\)"
 SIDES = {"S": 3, "P": 2, "Q": 2, "N": 2, "BN": 2, "PN": 2, "LG": 2, "CH": 2, "D": 2, "V": 2}
 BARE = ["ESC", "M", "R", "RD", "MS", "LT", "SF", "SB", "CV", "PA", "TR", "CF", "F", "PIE"]
-UNNUMBERED = ["LG", "CH", "BN"]
+UNNUMBERED, AGAIN = ["LG", "CH", "BN"], ["N", "BN"]
 FAMILIES = {
     "SF": "semelles_filantes", "S": "semelles", "PN": "poutres", "PA": "poutres", "TR": "poutres", "P": "poteaux", "Q": "poteaux", "BN": "poutres", "LG": "longrines", "CH": "chainages", "N": "poutres", "D": "dalles", "V": "voiles",
     "ESC": "escaliers", "M": "murs", "R": "radiers", "RD": "redresseurs", "MS": "massifs", "LT": "linteaux", "SB": "sablieres", "CV": "couvertines", "CF": "contre_forts", "F": "futs", "PIE": "pieux",
@@ -54,18 +56,34 @@ def outside(words: DataFrame, zones: DataFrame, reach: float) -> DataFrame:
     return words.join(z, inside, "left_anti")
 
 
-def _label(text: Column) -> Column:
-    """struct<ref, prefix, sides> of an element's label, NULL for any other word."""
-    names = sorted([*SIDES, *BARE], key=lambda p: (-len(p), p))
-    close = F.regexp_replace(text, " ", "")
-    pattern = "(?i)^(" + "|".join(names) + r")([0-9]*)(BIS)?[\s-]*(?:\(?([0-9]+(?:x[0-9]+){1,2})\)?)?$"
-    part = lambda i: F.upper(F.regexp_extract(close, pattern, i))
-    sides = F.when(part(4) != "", F.transform(F.split(F.lower(part(4)), "x"), lambda v: v.cast("int")))
-    wanted = F.element_at(F.create_map(*(F.lit(x) for kv in SIDES.items() for x in kv)), part(1))
-    numbered = (part(2) != "") | part(1).isin(*UNNUMBERED)
-    again = (part(3) == "") | part(1).isin("N", "BN")
-    fits = close.rlike(pattern) & numbered & again & (sides.isNull() | (F.size(sides) == wanted))
-    return F.when(fits, F.struct(F.concat(part(1), part(2), part(3)).alias("ref"), part(1).alias("prefix"), sides.alias("sides")))
+def _pattern() -> str:
+    """Labels of elements without blanks: prefix, number, BIS and sides, as each prefix may have them."""
+    sides = lambda n: r"[\s-]*(?:\(?([0-9]+(?:x[0-9]+){" + str(n - 1) + r"})\)?)?"
+    kinds = {}
+    for prefix in [*SIDES, *BARE]:
+        number = "([0-9]*)" if prefix in UNNUMBERED else "([0-9]+)"
+        again = "(BIS)?" if prefix in AGAIN else "()"
+        kinds.setdefault(number + again + (sides(SIDES[prefix]) if prefix in SIDES else r"[\s-]*()"), []).append(prefix)
+    return "(?i)^(?:" + "|".join(f"({'|'.join(prefixes)}){rest}" for rest, prefixes in kinds.items()) + ")$"
+
+
+def elements(words: DataFrame) -> DataFrame:
+    """``words`` that are labels: ``k`` and ``label``, a struct<ref, prefix, sides, coupled>, for each element they name."""
+    pattern = _pattern()
+    groups = re.compile(pattern).groups
+    of = lambda i: "".join(f"${g}" for g in range(i, groups + 1, 4))  # noqa: E731  # all but the matching kind's are empty
+    one = lambda ref, prefix, sides, coupled: F.struct(ref.alias("ref"), prefix.alias("prefix"), sides.alias("sides"), F.lit(coupled).alias("coupled"))
+    coupled = F.col("t").contains("(") & F.col("t").rlike(COUPLED)
+    # a generator's output isn't worked out again by what filters it
+    spelled = words.withColumn("t", F.explode(F.array(L.strip(F.col("text"))))).withColumn("close", F.explode(F.array(F.replace("t", F.lit(" "), F.lit(""))))).filter(coupled | F.col("close").rlike(pattern))
+    single = F.regexp_replace("close", pattern, ",".join(map(of, (1, 2, 3, 4))))
+    double = F.concat(F.regexp_extract("t", COUPLED, 1), F.lit(","), F.regexp_extract("t", COUPLED, 2))
+    parted = spelled.withColumn("part", F.split(F.upper(F.when(coupled, double).otherwise(single)), ","))
+    part, none = lambda i: F.col("part")[i], F.lit(None).cast("array<int>")
+    second = F.when(part(1).rlike("^[0O]"), F.concat(F.lit("Q"), F.substring(part(1), 2, 1 << 30))).otherwise(part(1))
+    pair = F.array(one(part(0), F.lit("S"), none, True), one(second, F.substring(second, 1, 1), none, True))
+    own = F.array(one(F.concat(part(0), part(1), part(2)), part(0), F.when(part(3) != "", F.split(part(3), "X").cast("array<int>")), False))
+    return parted.select(*words.columns, F.posexplode_outer(F.when(F.size("part") == 2, pair).otherwise(own)).alias("k", "label"))
 
 
 def placements(words: DataFrame, zones: DataFrame, reach: float = 10.0) -> DataFrame:
@@ -77,31 +95,16 @@ def placements(words: DataFrame, zones: DataFrame, reach: float = 10.0) -> DataF
     the nearest axes (the lesser of two as near), null on pages without. M is a block of
     concrete on pages that speak of them, a wall elsewhere.
     """
-    t = L.strip(F.col("text"))
-    free = outside(words, zones, reach).withColumn("t", t)
-    s, q = (F.upper(F.regexp_extract("t", COUPLED, i)) for i in (1, 2))
-    none = F.lit(None).cast("array<int>")
-    one = lambda ref, prefix, sides: F.struct(ref.alias("ref"), prefix.alias("prefix"), sides.alias("sides"))
-    coupled = F.col("t").rlike(COUPLED)
-    pair = F.array(one(s, F.lit("S"), none), one(F.regexp_replace(q, "^[0O]", "Q"), F.substring(F.regexp_replace(q, "^[0O]", "Q"), 1, 1), none))
-    other = ~F.col("t").rlike(LETTER) & ~F.col("t").rlike(NUMBER)
-    found = free.withColumn("label", F.when(other, _label(F.col("t")))).withColumn("labels", F.when(coupled, pair).when(F.col("label").isNotNull(), F.array(F.col("label"))))
-    hits = found.filter("labels is not null").select("doc", "page", "id", "x", "y", coupled.alias("coupled"), F.posexplode("labels").alias("k", "label"))
+    hits = outside(elements(words.select("doc", "page", "id", "text", "x", "y", "x1", "y1")).drop("text"), zones, reach).withColumn("coupled", F.col("label.coupled"))
     order = Window.partitionBy("doc", "label.ref").orderBy("page", "coupled", "id", "k")
-    numbered = hits.withColumn("number_in_doc", F.row_number().over(order))
-    by = axes(words)
-
-    def on(rows: DataFrame, kind: str, c: str) -> DataFrame:
-        anchors = by.filter(F.col("kind") == kind).select("doc", "page", F.col("at").alias(c), F.col("name").alias("anchor"))
-        both = rows.withColumn("anchor", F.lit(None).cast("string")).unionByName(anchors, allowMissingColumns=True)
-        return nearest_on_line(both, ["doc", "page"], c, "anchor").filter("anchor is null").withColumnRenamed("nearest", kind).drop("anchor", "gap")
-
-    placed = on(on(numbered, "letter", "x"), "number", "y")
+    numbered = hits.withColumn("number_in_doc", F.row_number().over(order)).drop("x1", "y1", "coupled")
+    by = axes(words).groupBy("doc", "page", "kind", "at").agg(F.min("name").alias("name"))
+    placed = nearest_anchors(numbered, by, ["doc", "page"], {"letter": "x", "number": "y"})
     listed = F.element_at(F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv)), F.col("label.prefix"))
     blocks = words.filter(F.lower("text").contains("massif")).select("doc", "page", F.lit("massifs").alias("blocks")).distinct()
     placed = placed.join(blocks, ["doc", "page"], "left")
     family = F.when(F.col("label.prefix") == "M", F.coalesce("blocks", listed)).otherwise(listed)
-    return placed.select("doc", "page", "id", "k", "label.ref", family.alias("family"), "number_in_doc", "letter", "number", "x", "y", F.array_join(F.transform("label.sides", lambda v: v.cast("string")), "x").alias("sides"))
+    return placed.select("doc", "page", "id", "k", "label.ref", family.alias("family"), "number_in_doc", "letter", "number", "x", "y", F.array_join(F.col("label.sides").cast("array<string>"), "x").alias("sides"))
 
 
 # fixed values in units of the page's tolerance, but the two distances in px: where a column's cells lie below its header

@@ -11,15 +11,21 @@ from .registry import query
 
 
 def plan_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of a supplier's page: names of axes, labels of all kinds, and words that are none; lines are in no order."""
-    line, p, o, q = read(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_quantity").cast("bigint")
-    axis, n, kind = (p * F.col("l_suppkey") % 20), (p % 30).cast("string"), q % 9
+    """Words of a supplier's page: names of axes, labels of all kinds, and words that are none; lines are in no order.
+
+    A word is made once, as an element of an array, so that what asks for its text does not repeat how it is made.
+    """
+    line, p, o, q = read(spark, sf, "lineitem"), F.col("l_partkey"), F.col("l_orderkey"), F.col("q")
+    ident = o * 10_000_000 + p * 8 + F.col("l_linenumber")
+    line = line.withColumn("q", F.col("l_quantity").cast("bigint")).select("l_suppkey", "l_partkey", "l_orderkey", ident.alias("id"), "q", F.col("l_returnflag").alias("flag"), F.explode(F.array(F.struct((q % 9).cast("int").alias("kind"), (p * F.col("l_suppkey") % 20).alias("axis"), (p % 30).cast("string").alias("n")))).alias("w"))
+    axis, n, kind = F.col("w.axis"), F.col("w.n"), F.col("w.kind")
     text = F.when(kind == 0, F.chr(65 + axis)).when(kind == 1, (1 + axis).cast("string")).when(kind == 2, F.concat(F.lit(" S"), n)).when(kind == 3, F.concat(F.lit("P"), n, F.lit("(25x35)")))
     text = text.when(kind == 4, F.concat(F.lit("n"), n, F.lit("BIS-(25X40)"))).when(kind == 5, F.concat(F.lit("(S"), n, F.lit(", 0"), (o % 20).cast("string"), F.lit(")"))).when(kind == 6, "D3 (20x10)").when(kind == 7, "plan").otherwise("S2(90x90)")
     x = F.when(kind == 0, axis * 50 + o % 5).when(kind == 1, 500 + o % 3 * 60).otherwise(p * 37 % 1000)
     y = F.when(kind == 0, o % 3 * 60 + 10).when(kind == 1, 200 + axis * 40 + o % 5).otherwise(200 + o * 53 % 800)
-    ident = o * 10_000_000 + p * 8 + F.col("l_linenumber")
-    return line.select((F.col("l_suppkey") % 7).alias("doc"), F.col("l_suppkey").alias("page"), ident.alias("id"), text.alias("text"), x.alias("x"), y.alias("y"), (x + 10 + q).alias("x1"), (y + 8).alias("y1"), F.col("l_returnflag").alias("flag"))
+    made = line.select((F.col("l_suppkey") % 7).alias("doc"), F.col("l_suppkey").alias("page"), "id", "q", "flag", F.explode(F.array(F.struct(text.alias("text"), x.alias("x"), y.alias("y")))).alias("w"))
+    x, y = F.col("w.x"), F.col("w.y")
+    return made.select("doc", "page", "id", "w.text", "w.x", "w.y", (x + 10 + q).alias("x1"), (y + 8).alias("y1"), "flag")
 
 
 def table_zones(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,3 +58,45 @@ def test_beams_of_a_page(spark):
     rows = [(1, 1, "N1", 0.0, 0.0), (1, 2, "(30x50)", 0.0, -20.0), (1, 3, "4HA12", 0.0, 240.0), (1, 4, "Cad T99999999999", 0.0, 99.0), (1, 5, "Cad T6", 0.0, 100.0), (1, 6, "e=(12x9)", 50.0, 130.0), (1, 7, "chap 3T8", 0.0, 60.0), (1, 8, "2T10", 0.0, 241.0)]
     got = [tuple(r)[2:] for r in detail_pages.beam_pages(words(spark, rows)).collect()]
     assert got == [("N1", 0.3, 0.5, "heuristic", "4T12", "3T8", 6, 0.12)]
+
+
+def test_labels_are_those_of_the_plain_rules(spark):
+    # one pattern tells labels apart, as the pattern of all prefixes and the rules of each did one after the other
+    import itertools
+    import re
+
+    names = sorted([*placing.SIDES, *placing.BARE], key=lambda p: (-len(p), p))
+    plain = re.compile("(" + "|".join(names) + r")([0-9]*)(BIS)?[\s-]*(?:\(?([0-9]+(?:X[0-9]+){1,2})\)?)?", re.IGNORECASE | re.ASCII)
+
+    def label(text):
+        m = plain.fullmatch(text.replace(" ", "").upper())
+        if not m:
+            return None
+        prefix, number, again, sides = m[1], m[2], m[3] or "", [int(v) for v in m[4].split("X")] if m[4] else None
+        fits = (number or prefix in ("LG", "CH", "BN")) and (not again or prefix in ("N", "BN")) and (sides is None or len(sides) == placing.SIDES.get(prefix))
+        return (prefix + number + again, prefix, sides) if fits else None
+
+    texts = ["".join(v) for v in itertools.product([*names, "s", "Lg", "X", ""], ["", "7", " 12"], ["", "bis", "BIS "], ["", "-", " - "], ["", "(25x35)", "25X35", "(9x8x7", "190x90x20)", "1x2x3x4"])]
+    words = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "A", "07"])], "id int, text string")
+    got = {r["id"]: r for r in placing.elements(words).collect()}
+    want = {i: label(t) for i, t in enumerate(texts) if label(t)}
+    assert {i: tuple(r["label"])[:3] for i, r in got.items()} == want and len(want) > 300
+    # a page's words are sorted once for letters and once for numbers, and shuffled once for both
+    zones = spark.createDataFrame([], "doc int, page int, zx0 double, zy0 double, zx1 double, zy1 double")
+    placed = spark.createDataFrame([(1, 1, 1, "A", 1.0, 1.0, 9.0, 9.0)], "doc int, page int, id int, text string, x double, y double, x1 double, y1 double")
+    plan = placing.placements(placed, zones)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("last(") == 2
+
+
+def test_nearest_anchors_are_those_of_all_pairs(spark):
+    import random
+
+    from quantiva.operators import boxes
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(4), i, rng.randrange(60), rng.randrange(60)) for i in range(300)]
+    anchors = sorted({(rng.choice([0, 1, 3]), kind, rng.randrange(60)) for kind in ("letter", "number") for _ in range(25)} - {(3, "number", v) for v in range(60)})
+    named = [(*a, rng.choice("abc") + str(i)) for i, a in enumerate(anchors)]
+    got = boxes.nearest_anchors(spark.createDataFrame(rows, "page int, id int, x bigint, y bigint"), spark.createDataFrame(named, "page int, kind string, at bigint, name string"), ["page"], {"letter": "x", "number": "y"})
+    near = lambda page, kind, c: min(((abs(at - c), at, name) for p, k, at, name in named if (p, k) == (page, kind)), default=(0, 0, None))[2]
+    assert {r["id"]: (r["letter"], r["number"]) for r in got.collect()} == {i: (near(p, "letter", x), near(p, "number", y)) for p, i, x, y in rows}
