@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.parsing import let
 from .boxes import nearest_anchors
 
 # fixed values: where axes are written, what a coupled label is, and which labels may carry how many dimensions
@@ -112,6 +113,19 @@ COLUMN, SIZE_FROM, SIZE_TO, DEPTH_AT, DEPTH_REACH, BARS_FROM, BARS_TO = 1.2, 2,
 ALONG, ASIDE = 60, 40
 
 
+def _named(**fields: Column) -> Column:
+    """A struct whose fields keep their names beside lambdas and generators, where aliases may be lost."""
+    return F.named_struct(*(v for name, c in fields.items() for v in (F.lit(name), c)))
+
+
+def _turned(rows: Column, says: Column, xy: Column) -> Column:
+    """array of struct<row, ry, axis>: lines of bars beside which an axis is written; of several the first in reading order."""
+    beside = lambda s: F.filter(xy, lambda a: (F.abs(a["x"] - s["x"]) < ASIDE) & (a["y"] > s["y"]) & (a["y"] - s["y"] < ASIDE))
+    named = F.flatten(F.transform(says, lambda s: F.transform(beside(s), lambda a: _named(sid=s["id"], aid=a["id"], axis=F.lower(a["t"]), sy=s["y"]))))
+    own = lambda n, r: F.array_min(F.filter(n, lambda v: F.abs(r["y"] - v["sy"]) < ALONG))["axis"]
+    return let(named, lambda n: F.filter(F.transform(rows, lambda r: _named(row=r["id"], ry=r["y"], axis=own(n, r))), lambda v: v["axis"].isNotNull()))
+
+
 def borderless_tables(words: DataFrame) -> DataFrame:
     """``doc, page, ref, a, b, h, bars_x, bars_y`` of footings in tables without borders; words also have ``eps``.
 
@@ -119,32 +133,34 @@ def borderless_tables(words: DataFrame) -> DataFrame:
     size below its header, the depth on the line that begins with H, and on each line of bars (which says along which
     axis they lie) the first note of bars. Cells are looked up by the part of the page that a column stands in. A column
     without any of these gives no row; of lines for one axis the last counts.
+
+    Words are told apart once and shuffled by pages once: what a header needs of its page's legends are windows over the
+    page, what a cell needs of the headers near it is a window over their part of the page.
     """
-    page = ["doc", "page"]
-    w = words.withColumn("t", L.strip(F.col("text")))
-    names = w.filter(F.col("t").rlike("(?i)^S[0-9]+$"))
-    top = names.groupBy(*page).agg(F.min("y").alias("top"), F.count("*").alias("n")).filter("n > 1")
-    heads = names.join(top, page).filter(F.col("y") - F.col("top") < F.col("eps")).select(*page, F.upper("t").alias("ref"), F.col("id").alias("head"), F.col("x").alias("hx"), F.col("y").alias("hy"), "eps")
-    part = lambda c: F.floor(c / (4 * F.col("eps"))).cast("bigint")
-    columns = heads.withColumn("part", F.explode(F.sequence(part(F.col("hx") - COLUMN * F.col("eps")), part(F.col("hx") + COLUMN * F.col("eps")))))
-    cells = w.select(*page, part(F.col("x")).alias("part"), "id", "t", "x", "y")
-    under = columns.join(cells, [*page, "part"]).filter(F.abs(F.col("x") - F.col("hx")) < COLUMN * F.col("eps"))
-    col = [*page, "ref", "head"]
-    first = lambda rows, *cs: rows.groupBy(*col).agg(F.min(F.struct("id", *cs)).alias("f"))
-    size = first(under.filter(F.col("t").rlike("^[0-9]{2,3}x[0-9]{2,3}$") & (F.col("y") > F.col("hy") + SIZE_FROM * F.col("eps")) & (F.col("y") < F.col("hy") + SIZE_TO * F.col("eps"))), "t").select(*col, F.col("f.t").alias("size"))
-    hs = w.filter("t = 'H'").select(*page, F.col("id").alias("hid"), F.col("x").alias("wx"), F.col("y").alias("wy"))
-    line = heads.join(hs, page).filter((F.col("wx") > F.col("hx")) & (F.abs(F.col("wy") - F.col("hy") - DEPTH_AT * F.col("eps")) < DEPTH_REACH * F.col("eps"))).groupBy(*col).agg(F.min(F.struct("hid", "wy")).alias("h"))
-    depth = first(under.join(line, col).filter(F.col("t").rlike("^[0-9]+$") & (F.abs(F.col("y") - F.col("h.wy")) < COLUMN * F.col("eps"))), "t").select(*col, F.col("f.t").alias("depth"))
-    rows = w.filter(F.lower("t").startswith("ferraillage")).select(*page, F.col("id").alias("row"), F.col("y").alias("ry"))
-    says = w.filter(F.lower("t") == "selon").select(*page, F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    xy = w.filter(F.lower("t").isin("x", "y")).select(*page, F.col("id").alias("aid"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lower("t").alias("axis"))
-    named = says.join(xy, page).filter((F.abs(F.col("ax") - F.col("sx")) < ASIDE) & (F.col("ay") > F.col("sy")) & (F.col("ay") - F.col("sy") < ASIDE))
-    turned = rows.join(named, page).filter(F.abs(F.col("ry") - F.col("sy")) < ALONG).groupBy(*page, "row", "ry").agg(F.min(F.struct("sid", "aid", "axis")).alias("s"))
-    notes = under.filter(F.col("t").rlike("(?i)^[0-9]+(HA|T)[0-9]+$")).join(turned, page).filter((F.col("y") > F.col("ry") - BARS_FROM * F.col("eps")) & (F.col("y") < F.col("ry") + BARS_TO * F.col("eps")))
-    each = notes.groupBy(*col, "row", F.col("s.axis").alias("axis")).agg(F.min(F.struct("id", "t")).alias("f"))
-    last = lambda a: F.max(F.when(F.col("axis") == a, F.struct("row", F.col("f.t").alias("t"))))["t"]
-    bars = each.groupBy(*col).agg(last("x").alias("bars_x"), last("y").alias("bars_y"))
-    out = heads.join(size, col, "left").join(depth, col, "left").join(bars, col, "left")
+    page, t, eps, x, y = ["doc", "page"], F.col("t"), F.col("eps"), F.col("x"), F.col("y")
+    kind = F.when(t.rlike("^[0-9]+$"), "depth").when(t.rlike("^[0-9]{2,3}x[0-9]{2,3}$"), "size").when(t.rlike("(?i)^[0-9]+(HA|T)[0-9]+$"), "bars").when(t.rlike("(?i)^S[0-9]+$"), "head")
+    kind = kind.when(t == "H", "deep").when(t.isin("x", "X", "y", "Y"), "axis").when(t.rlike("(?i)^selon$"), "says").when(t.rlike("(?i)^ferraillage"), "row")
+    # a generator's output isn't worked out again by what filters it
+    told = words.dropna(subset=page).select(*page, "id", "x", "y", "eps", F.explode(F.array(L.strip(F.col("text")))).alias("t")).select("*", F.explode(F.array(kind)).alias("kind")).filter("kind is not null")
+    whole, is_ = Window.partitionBy(*page), lambda k: F.col("kind") == k
+    legends = {k: F.collect_list(F.when(is_(k), F.struct(*cs))).over(whole) for k, cs in {"deep": ("id", "x", "y"), "row": ("id", "y"), "says": ("id", "x", "y"), "axis": ("id", "x", "y", "t")}.items()}
+    w = told.withColumns({"top": F.min(F.when(is_("head"), y)).over(whole), "n": F.count(F.when(is_("head"), 1)).over(whole), **legends})
+    deep = F.filter("deep", lambda v: (v["x"] > x) & (F.abs(v["y"] - y - DEPTH_AT * eps) < DEPTH_REACH * eps))
+    head = _named(ref=F.upper(t), head=F.col("id"), hx=x, hy=y, eps=eps, wy=F.array_min(F.transform(deep, lambda v: _named(id=v["id"], y=v["y"])))["y"], turned=_turned(F.col("row"), F.col("says"), F.col("axis")))
+    part = lambda c: F.floor(c / (4 * eps)).cast("bigint")
+    parts = F.when(is_("head"), F.sequence(part(x - COLUMN * eps), part(x + COLUMN * eps))).otherwise(F.array(part(x)))
+    headed = is_("head") & (F.col("n") > 1) & (y - F.col("top") < eps)
+    near = w.filter(headed | F.col("kind").isin("depth", "size", "bars")).select(*page, "id", "x", "y", "t", "kind", F.when(is_("head"), head).alias("own"), F.explode(parts).alias("part"))
+    near = near.withColumn("heads", F.collect_list("own").over(Window.partitionBy(*page, "part"))).filter("own is null")
+    under = near.select(*page, "id", "x", "y", "t", "kind", F.explode("heads").alias("h")).select("*", *(F.col("h")[c].alias(c) for c in ("ref", "head", "hx", "hy", "eps", "wy", "turned"))).filter(F.abs(x - F.col("hx")) < COLUMN * eps)
+    size = is_("size") & (y > F.col("hy") + SIZE_FROM * eps) & (y < F.col("hy") + SIZE_TO * eps)
+    depth = is_("depth") & (F.abs(y - F.col("wy")) < COLUMN * eps)
+    lines = F.when(is_("bars"), F.filter("turned", lambda r: (y > r["ry"] - BARS_FROM * eps) & (y < r["ry"] + BARS_TO * eps)))
+    found = under.select(*page, "ref", "head", "id", "t", size.alias("is_size"), depth.alias("is_depth"), lines.alias("lines"))
+    last = lambda a: F.array_max(F.transform(F.filter("lines", lambda r: r["axis"] == a), lambda r: r["row"]))
+    cell, row = F.struct("id", "t"), lambda c: F.when(F.col(c).isNotNull(), F.struct(-F.col(c), "id", "t"))
+    found = found.withColumns({"x": last("x"), "y": last("y")}).groupBy(*page, "ref", "head")
+    out = found.agg(F.min(F.when(F.col("is_size"), cell))["t"].alias("size"), F.min(F.when(F.col("is_depth"), cell))["t"].alias("depth"), F.min(row("x"))["t"].alias("bars_x"), F.min(row("y"))["t"].alias("bars_y"))
     metres = lambda v: F.when(v.cast("int") > 10, F.round(v.cast("int") / 100, 4)).otherwise(v.cast("double"))
     side = lambda i: metres(F.get(F.split("size", "x"), F.lit(i)))
     return out.filter("size is not null or depth is not null or bars_x is not null or bars_y is not null").select(*page, "ref", side(0).alias("a"), side(1).alias("b"), metres(F.col("depth")).alias("h"), F.upper("bars_x").alias("bars_x"), F.upper("bars_y").alias("bars_y"))

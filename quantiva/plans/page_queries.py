@@ -60,20 +60,18 @@ def schedule_words(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "lineitem").withColumns({"c": F.row_number().over(at).cast("bigint"), "q": q})
     low = (F.col("l_returnflag") == "A") & (F.col("c") > 1)
     c = c.withColumns({"hx": 100 + F.col("c") * 60, "hy": F.when(low, F.lit(320)).otherwise(300 + F.col("c") % 3)})
-    text = lambda *v: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in v))
-    word = lambda i, t, x, y: F.struct((F.col("c") * 100 + i).alias("id"), t.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-    s = lambda v: v.cast("string")
-    own = F.array(
-        word(1, text("S", s(F.col("c"))), F.col("hx"), F.col("hy")),
-        word(2, F.when(F.col("q") % 5 > 0, text(s(20 + F.col("q")), "x", s(30 + F.col("q")))).otherwise("-"), F.col("hx") + 3, F.col("hy") + 40),
-        word(3, s(10 + F.col("q") % 40), F.col("hx") - 2, F.lit(440)),
-        word(4, F.when(F.col("l_linestatus") == "O", text(s(2 + F.col("c")), "HA", s(8 + 2 * (F.col("q") % 4)))).otherwise("-"), F.col("hx"), F.lit(510)),
-        word(5, text(s(3 + F.col("c")), "t10"), F.col("hx") + 1, F.lit(610)),
-    )
-    lines = [(1, "H", 1500, 441), (2, "Ferraillage", 40, 500), (3, "selon", 60, 505), (4, "x", 80, 515), (5, "ferraillages", 40, 600), (6, "Selon", 60, 605), (7, "Y", 80, 615)]
-    shared = F.array(*(F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(t).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, t, x, y in lines))
-    all_words = F.when(F.col("c") == 1, F.concat(own, shared)).otherwise(own)
-    return c.select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.lit(10.0).alias("eps"), F.explode(all_words).alias("w")).select("doc", "page", "eps", "w.*")
+    s, t = lambda v: v.cast("string"), lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
+    q, n = F.col("q"), F.col("c")
+    own = [t("S", s(n)), F.when(q % 5 > 0, t(s(20 + q), "x", s(30 + q))).otherwise("-"), s(10 + q % 40), F.when(F.col("l_linestatus") == "O", t(s(2 + n), "HA", s(8 + 2 * (q % 4)))).otherwise("-"), t(s(3 + n), "t10")]
+    places = [(0, 0), (3, 40), (-2, 440), (0, 510), (1, 610)]  # to the right of the header, and below it or the page's edge
+    lines = [("H", 1500, 441), ("Ferraillage", 40, 500), ("selon", 60, 505), ("x", 80, 515), ("ferraillages", 40, 600), ("Selon", 60, 605), ("Y", 80, 615)]
+    # one expression for all words of a line, so that it is small enough to be compiled
+    shared = F.when(n == 1, F.array(*(F.lit(v[0]) for v in lines))).otherwise(F.array().cast("array<string>"))
+    each = c.select("l_orderkey", "c", "hx", "hy", F.posexplode(F.concat(F.array(*own), shared)).alias("i", "text"))
+    right, down = (F.array(*(F.lit(float(v)) for v in vs))[F.col("i")] for vs in zip(*places, *(v[1:] for v in lines), strict=True))
+    mine, i = F.col("i") < len(own), F.col("i").cast("bigint")
+    ident = F.when(mine, n * 100 + i + 1).otherwise(i - len(own) + 1)
+    return each.select(F.lit(0).alias("doc"), F.col("l_orderkey").alias("page"), F.lit(10.0).alias("eps"), ident.alias("id"), "text", (F.when(mine, F.col("hx")).otherwise(0) + right).alias("x"), (F.when(F.col("i") < 2, F.col("hy")).otherwise(0) + down).alias("y"))
 
 
 _METRES = "case when {0} > 10 then round(({0}) / 100.0, 4)::double else ({0})::double end"

@@ -100,3 +100,15 @@ def test_nearest_anchors_are_those_of_all_pairs(spark):
     got = boxes.nearest_anchors(spark.createDataFrame(rows, "page int, id int, x bigint, y bigint"), spark.createDataFrame(named, "page int, kind string, at bigint, name string"), ["page"], {"letter": "x", "number": "y"})
     near = lambda page, kind, c: min(((abs(at - c), at, name) for p, k, at, name in named if (p, k) == (page, kind)), default=(0, 0, None))[2]
     assert {r["id"]: (r["letter"], r["number"]) for r in got.collect()} == {i: (near(p, "letter", x), near(p, "number", y)) for p, i, x, y in rows}
+
+
+def test_words_of_tables_are_shuffled_once(spark):
+    found = placing.borderless_tables(words(spark, [(1, 1, "S1", 1.0, 1.0), (1, 2, "S2", 90.0, 1.0), (1, 3, "90x90", 1.0, 31.0)]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    # bars: of several lines for one axis the last counts, of several notes on it the first; axes are read beside the line
+    rows = [(1, 1, "S1", 100.0, 100.0), (1, 2, "S2", 200.0, 100.0), (1, 3, "FERRAILLAGE", 9.0, 300.0), (1, 4, "Selon", 20.0, 305.0), (1, 5, "Y", 40.0, 310.0), (1, 6, "x", 45.0, 320.0), (1, 7, "ferraillages", 9.0, 400.0), (1, 8, "selon", 20.0, 405.0), (1, 9, "y", 40.0, 415.0)]
+    rows += [(1, 10, "3ha10", 101.0, 301.0), (1, 11, "4T12", 99.0, 402.0), (1, 12, "5T14", 99.0, 401.0), (1, 13, "6T8", 200.0, 290.0), (1, 14, "7T8", 200.0, 450.0), (1, 15, "8T8", 205.0, 296.0)]
+    got = [tuple(r)[2:] for r in placing.borderless_tables(words(spark, rows)).collect()]
+    assert sorted(got) == [("S1", None, None, None, None, "4T12"), ("S2", None, None, None, None, "8T8")]
+    assert placing.borderless_tables(words(spark, rows).selectExpr("doc", "null page", "id", "text", "x", "y", "x1", "y1", "eps")).collect() == []
