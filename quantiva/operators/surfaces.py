@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boxes import overlap_join
+from .boxes import overlaps
+from .staging import stage
 
 LEAST_SHARE, LEAST_ZONE = 0.15, 0.5  # of the smaller box; square metres
 CELL = 256
@@ -50,17 +51,17 @@ def room_surfaces(rooms: DataFrame, regions: DataFrame, sheets: DataFrame) -> Da
 
     ``rooms``: sheet, room (whole number), name, region (null: measured by its box), explicit (m², null: none written) and
     the box x0, y0, x1, y1 in pixels; ``regions``: sheet, region, area_px; ``sheets``: sheet, scale (pixels a metre).
+    Rooms with what is known of them are written once, since boxes, names and zones each read them.
     The source is the first of ``dimensions``, ``region`` (its only name) and ``box``; ``none`` has no area.
     """
     scale2 = F.col("scale") * F.col("scale")
-    r = rooms.join(sheets, "sheet").join(regions, ["sheet", "region"], "left")
-    alone = rooms.filter("region is not null").groupBy("sheet", "region").agg(F.count("*").alias("names"))
-    r = r.join(alone, ["sheet", "region"], "left")
+    named = rooms.withColumn("names", F.when(F.col("region").isNotNull(), F.count("*").over(Window.partitionBy("sheet", "region"))))
+    r = named.join(regions, ["sheet", "region"], "left").join(sheets, "sheet")
     box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / scale2
     segmented = F.round(F.when(F.col("names") == 1, F.col("area_px") / scale2).when(F.col("region").isNull(), box), 2)
-    r = r.withColumns({"segmented": segmented, "box": box})
+    r = stage(r.withColumns({"segmented": segmented, "box": box}), "rooms")
     measured = r.filter("segmented > 0 and x0 is not null").select("sheet", F.col("room").cast("bigint").alias("room"), "region", "segmented", "box", "scale", *(F.col(c).cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    met = overlap_join(measured, measured, ["sheet"], CELL).filter("room < r_room and (region is null or r_region is null)")
+    met = overlaps(measured, ["sheet"], CELL).filter("room < r_room and (region is null or r_region is null)")
     pair = F.struct(F.col("room").alias("a"), F.col("r_room").alias("b"), F.col("segmented").alias("area_a"), F.col("r_segmented").alias("area_b"), F.col("box").alias("box_a"), F.col("r_box").alias("box_b"), (F.col("shared") / scale2).alias("shared"))
     removed = _left(met.groupBy("sheet").agg(F.array_sort(F.collect_list(pair)).alias("pairs")), rooms.schema["sheet"].dataType.simpleString())
     done = r.join(removed, ["sheet", "room"], "left")

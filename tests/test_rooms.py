@@ -284,3 +284,20 @@ def test_room_names_of_a_sheet(spark):
     got = {r["text"]: r for r in room_names.room_names(words, sheets).collect()}
     assert set(got) == {"MASTER BATH 2", "WALK-IN CLOSET"} and got["MASTER BATH 2"]["w"] == 68.0 and got["MASTER BATH 2"]["conf"] == 0.8
     assert [r["sheet"] for r in room_names.room_names(words, sheets.filter("sheet = 1")).filter("text = 'SALON'").collect()] == [2]  # without an envelope: anywhere
+
+
+def test_overlaps_are_those_of_the_join_and_rooms_are_read_once(spark):
+    import random
+
+    from quantiva.operators import boxes, surfaces
+
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2, None]), i, x, y, x + rng.randrange(40), y + rng.randrange(40)) for i in range(150) for x, y in [(rng.randrange(-60, 90), rng.randrange(90))]]
+    df = spark.createDataFrame(rows, "sheet int, id int, x0 int, y0 int, x1 int, y1 int")
+    pairs = lambda d: sorted(map(tuple, d.filter("id <> r_id").select("sheet", "id", "r_id", "shared").collect()))
+    assert pairs(boxes.overlaps(df, ["sheet"], 16)) == pairs(boxes.overlap_join(df, df, ["sheet"], 16)) != []
+    # names, boxes and zones read one written table, not what the rooms are made of
+    rooms = spark.createDataFrame([(1, 1, "a", None, None, 0, 0, 20, 20), (1, 2, "b", None, None, 15, 0, 40, 20)], "sheet int, room int, name string, region int, explicit double, x0 int, y0 int, x1 int, y1 int")
+    found = surfaces.room_surfaces(rooms, spark.createDataFrame([], "sheet int, region int, area_px double"), spark.createDataFrame([(1, 2.0)], "sheet int, scale double"))
+    assert "LocalTableScan" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Scan ExistingRDD" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a", "box", 75.0, 25.0), (1, 2, "b", "box", 125.0, 0.0)]
