@@ -102,12 +102,13 @@ def links(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Edges ``u, v`` between different fingerprints (``fp``, no two alike) that connect all at MOST_BITS bits or fewer."""
     filed = cells(fps, segments)
     shared = filed.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1")
-    met = materialize(filed.join(shared, "cell"), "simhash-cells")
+    # merged: the planner sizes places as if each fingerprint had one, and would send them all to the driver
+    met = materialize(filed.join(shared.hint("merge"), "cell"), "simhash-cells")
     few = met.filter(F.col("members") <= CROWD)
     a, b = few.alias("a"), few.alias("b")
     once = ((F.col("a.role") == F.col("b.role")) & F.col("a.role").isin(0, 1) & (F.col("a.fp") < F.col("b.fp"))) | ((F.col("b.role") == 1) & F.col("a.role").isin(0, 2))
     differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    pairs = a.join(b, F.col("a.cell") == F.col("b.cell")).filter(once & (differ <= MOST_BITS)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    pairs = a.join(b.hint("merge"), F.col("a.cell") == F.col("b.cell")).filter(once & (differ <= MOST_BITS)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     out = materialize(pairs.unionByName(crowded(met.filter(F.col("members") > CROWD).select("fp").distinct())), "simhash-links")
     discard(met)
     return out

@@ -75,6 +75,20 @@ def test_grid_join_loses_no_link(spark, monkeypatch, segments, crowd):
     assert classes(want, edges) == want
 
 
+def test_places_are_not_broadcast(spark, monkeypatch):
+    """The planner doesn't know that a fingerprint has some thirty places, so their joins are by merging."""
+    plans, written = {}, simhash.materialize
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    df = spark.createDataFrame([(f,) for f in (0, 1, 3, 1 << 40)], "fp bigint")
+    assert classes([0, 1, 3, 1 << 40], [(r["u"], r["v"]) for r in simhash.links(df).collect()]) == {0: 0, 1: 0, 3: 0, 1 << 40: 0}
+    assert {"simhash-cells", "simhash-links"} == set(plans) and not [tag for tag, p in plans.items() if "Broadcast" in p]
+
+
 def test_segments_must_fit(spark):
     with pytest.raises(ValueError):
         simhash.cells(spark.range(1).selectExpr("id fp"), 12)
