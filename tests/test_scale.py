@@ -20,6 +20,23 @@ def test_votes_for_walls_are_not_broadcast(spark):
     assert "Broadcast" not in plan(walls.dotted_walls(dotted_marks(spark, SMALL)))
 
 
+def test_votes_for_walls_stay_in_the_task_of_their_sheet(spark, monkeypatch):
+    """Votes are no rows where sheets fit in a task; there and where they are rows the walls are the same."""
+    from quantiva.operators import walls
+    from quantiva.plans.room_queries import dotted_marks
+
+    marks = dotted_marks(spark, SMALL).withColumn("id", F.concat(F.lit("m"), F.format_string("%09d", "id"))).localCheckpoint()
+    odd = spark.createDataFrame([(10**6, f"o{i}", x, 5.0, 2.0, 3.0, None) for i, x in enumerate([float("inf"), float("nan"), 1e300, None, *(8.0 * i for i in range(9)), 64.0])], "sheet bigint, id string, x double, y double, w double, h double, t double")
+    rows = lambda at: monkeypatch.setattr(walls, "ONE_PIECE", at) or walls.dotted_walls(marks.unionByName(odd))
+    held = rows(2048)
+    assert "Generate" not in plan(held) and plan(held).count("Exchange hashpartitioning(sheet") == 3  # marks, what is on lines, walls
+    want = sorted(held.collect())
+    assert [({r["first"], r["last"]}, r["support"]) for r in want if r["sheet"] == 10**6] == [({"o4", "o12"}, 10)]  # o13 lies on o12
+    monkeypatch.setattr(walls, "AT_ONCE", 1000)
+    assert sorted(rows(2048).collect()) == want
+    assert sorted(rows(150).collect()) == want and {n > 150 for n, in marks.groupBy("sheet").count().select("count").collect()} == {True, False}
+
+
 def test_long_lists_are_numbered_in_parts(spark):
     from quantiva.operators import ordered
     from quantiva.plans import registry
