@@ -1,14 +1,13 @@
 """Pages of beams and of columns: labels with the sections, bars and stirrups that are written near them.
 
-Words are rows (doc, page, id, text, x, y; ``id`` is the reading order). What is near a label is found by joins on
-grid cells, in which each word stands once and each label once for every cell it reaches, the nearest by an aggregate;
-a reference that stands on a page several times takes what its labels find, the first in reading order before the others.
+Words are rows (doc, page, id, text, x, y; ``id`` is the reading order). What is near a label is found on grid cells, in
+which each note stands once and each label once for every cell it reaches: for columns by a join, for beams by windows
+over the cells, after one shuffle by pages. The nearest is found by an aggregate; a reference that stands on a page several
+times takes what its labels find, the first in reading order before the others.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,24 +51,13 @@ def _reaching(places: DataFrame, size: int, zone: tuple[int, int, int, int]) ->
     return places.withColumn("cx", span("x", left, right)).withColumn("cy", span("y", above, below))
 
 
-def _d2() -> Column:
-    return (F.col("w_x") - F.col("x")) ** 2 + (F.col("w_y") - F.col("y")) ** 2
-
-
 def _group(text: str, pattern: str, i: int = 1) -> Column:
     return F.regexp_extract(text, pattern, i)
 
 
-def _spacings(words: DataFrame) -> DataFrame:
-    """Words that state a spacing, in metres; of a stepped one the first step."""
-    cm = F.when(F.col("t").rlike(STEPS), _group("t", STEPS)).when(F.col("t").rlike(SPACING), F.regexp_replace(_group("t", SPACING), ",", "."))
-    return words.filter(F.col("t").rlike(f"{STEPS}|{SPACING}")).withColumn("e", F.round(cm.try_cast("double") / 100, 6)).filter("e is not null")
-
-
-def _listed(bars: Column) -> Column:
-    """Bars sorted by reading order as text 4T12+2T10, each kind once."""
-    said = F.transform(F.array_sort(bars), lambda b: F.concat(b["nb"].cast("string"), F.lit("T"), b["phi"].cast("string")))
-    return F.array_join(F.array_distinct(said), "+")
+def _spacing() -> Column:
+    """The spacing that a word ``t`` states, in centimetres as written; of a stepped one the first step."""
+    return F.when(F.col("t").rlike(STEPS), _group("t", STEPS)).when(F.col("t").rlike(SPACING), F.regexp_replace(_group("t", SPACING), ",", "."))
 
 
 def beam_pages(words: DataFrame) -> DataFrame:
@@ -80,54 +68,68 @@ def beam_pages(words: DataFrame) -> DataFrame:
     upper ones if above or marked as such. Stirrups are the nearest to a label; their spacing is the first note near them.
     Bars and stirrups at a drop of the beam don't count. What isn't found is null; bars empty.
     """
-    w = words.withColumn("t", F.coalesce(F.col("text"), F.lit(""))).select(*PAGE, "id", "t", "x", "y")
-    own = F.upper(_group("t", BEAM_SECTION))
-    side = lambda a, b: F.nullif(F.concat(_group("t", BEAM_SECTION, a), _group("t", BEAM_SECTION, b)), F.lit(""))
-    carried = F.col("t").rlike(BEAM_SECTION)
-    plain = F.filter(F.split(F.upper("t"), "/"), lambda p: p.rlike(f"(?i)^(?:{BEAM})$"))
-    named = w.filter(F.col("t").rlike(BEAM_SECTION) | F.col("t").rlike(ANY_BEAM)).select("*", F.when(carried, F.array(own)).otherwise(plain).alias("refs"), side(2, 4).alias("b0"), side(3, 5).alias("h0"))
-    labels = named.select(*PAGE, "id", "x", "y", "b0", "h0", F.posexplode("refs").alias("k", "ref"))
-    key = [*PAGE, "ref"]
-
-    # a word is in one cell; the labels and drops that may reach it are brought there
-    cell, size, square = [*PAGE, "cx", "cy"], CELL * BARS_REACH, (-BARS_REACH, BARS_REACH, -BARS_REACH, BARS_REACH)
-    said = F.split(F.regexp_replace("t", NOTE, "$1;$2;$3;$4;$5;$6"), ";")
-    noted = w.filter(F.col("t").rlike(NOTE)).select(*PAGE, "id", "x", "y", F.explode(F.array(said)).alias("said"))  # a generator's result isn't worked out again by filters on it
-    has = lambda i: F.col("said")[i] != ""
-    number = lambda i: F.nullif(F.col("said")[i], F.lit("")).try_cast("int")  # noqa: E731; a cast that fails is slow
-    kind = F.when(has(0), "section").when(has(5), "ring").when(has(2), "top").otherwise("bars")
-    notes = noted.select(*PAGE, "id", "x", "y", kind.alias("kind"), F.coalesce(number(0), number(3), number(5)).alias("n"), F.coalesce(number(1), number(4)).alias("m")).filter("n is not null and (m is not null or kind = 'ring')")
+    # what a word says is told once, as texts: a generator's result isn't worked out again by what follows it
+    t = F.col("t")
+    carried = F.when(t.rlike(BEAM_SECTION), F.regexp_replace("t", BEAM_SECTION + r"[\s\S]*", "$1;$2$4;$3$5"))
+    plain = F.when(~t.rlike(BEAM_SECTION) & t.rlike(ANY_BEAM), t)
+    note = F.when(t.rlike(NOTE) & F.col("doc").isNotNull() & F.col("page").isNotNull(), F.regexp_replace("t", NOTE, "$1;$2;$3;$4;$5;$6"))
+    boat = F.when(F.lower("t") == "bateau", t)
+    w = words.withColumn("t", F.coalesce(F.col("text"), F.lit(""))).select(*PAGE, "id", "x", "y", F.explode(F.array(F.array(carried, plain, note, boat, _spacing()))).alias("said"))
+    said = {c: F.col("said")[i] for i, c in enumerate(("carried", "plain", "note", "boat", "e"))}
+    w = w.filter(F.coalesce(*said.values()).isNotNull()).select(*PAGE, "id", "x", "y", F.split(said["carried"], ";").alias("carried"), said["plain"].alias("plain"), F.split(said["note"], ";").alias("note"), said["boat"].isNotNull().alias("boat"), said["e"].alias("e"))
+    has = lambda i: F.col("note")[i] != ""
+    number = lambda i: F.nullif(F.col("note")[i], F.lit("")).try_cast("int")  # noqa: E731; a cast that fails is slow
+    kind = F.when(has(0), "section").when(has(5), "ring").when(has(2), "top").when(has(3), "bars")
+    names = F.when(F.col("carried").isNotNull(), F.array(F.upper(F.col("carried")[0]))).when(F.col("plain").isNotNull(), F.split(F.upper("plain"), "/"))
+    side = lambda i: F.nullif(F.col("carried")[i], F.lit(""))
+    metres = F.round(F.col("e").try_cast("double") / 100, 6)
+    # pages are dealt out once, by a number of their own, and stay where they are
+    at = ["deal", *PAGE]
+    w = w.select(F.xxhash64(*PAGE).alias("deal"), *PAGE, "id", "x", "y", names.alias("names"), side(1).alias("b0"), side(2).alias("h0"), kind.alias("kind"), F.coalesce(number(0), number(3), number(5)).alias("n"), F.coalesce(number(1), number(4)).alias("m"), "boat", metres.alias("e")).repartition("deal")
+
+    # a note is in one cell, what may reach it is brought there
+    size, (rx, ry) = CELL * BARS_REACH, SPACING_REACH
+    zones = ((F.col("names").isNotNull(), (-BARS_REACH, BARS_REACH, -BARS_REACH, BARS_REACH)), (F.col("boat"), BOAT), (F.col("e").isNotNull(), (-rx, rx, -ry, ry)))
+    left, right, above, below = (F.when(zones[0][0], zones[0][1][i]).when(zones[1][0], zones[1][1][i]).when(zones[2][0], zones[2][1][i]).otherwise(0) for i in range(4))
+    span = lambda c, a, b: F.explode_outer(F.sequence(F.floor((F.col(c) + a - 1) / size), F.floor((F.col(c) + b + 1) / size)))
+    w = w.withColumn("cx", span("x", left, right)).withColumn("cy", span("y", above, below))
+    w = w.select("*", F.posexplode_outer("names").alias("k", "name")).withColumn("ref", F.when(F.col("name").rlike(f"(?i)^(?:{BEAM})$"), F.col("name")))
+    told = {"labels": (F.col("ref").isNotNull(), ("id", "k", "ref", "x", "y")), "boats": (F.col("boat"), ("x", "y")), "spacings": (F.col("e").isNotNull(), ("id", "x", "y", "e"))}
+    w = w.withColumns({c: F.when(when, F.struct(*cs)) for c, (when, cs) in told.items()})
+    cell = Window.partitionBy(*at, "cx", "cy")
+    w = w.withColumns({c: F.collect_list(c).over(cell) for c in told})
+    home = F.coalesce((F.col("cx") == F.floor(F.col("x") / size)) & (F.col("cy") == F.floor(F.col("y") / size)), F.lit(True))
+    w = w.filter(home & F.expr("ref is not null or n is not null and (m is not null or kind = 'ring')"))
+
+    # notes with the labels in reach: of bars the nearest, of sections and stirrups all; a label finds itself
+    wide, high = SECTION_REACH
+    dx, dy, is_ = (lambda o: F.col("x") - o["x"]), (lambda o: F.col("y") - o["y"]), (lambda *k: F.col("kind").isin(*k))
+    d2 = lambda o: dx(o) ** 2 + dy(o) ** 2
     left, right, above, below = BOAT
-    boats = _reaching(w.filter(F.lower("t") == "bateau").select(*PAGE, "x", "y"), size, BOAT).withColumnsRenamed({"x": "bx", "y": "by"})
-    at_boat = (F.col("w_y") > F.col("by") + above) & (F.col("w_y") < F.col("by") + below) & (F.col("w_x") > F.col("bx") + left) & (F.col("w_x") < F.col("bx") + right)
-    placed = _placed(notes, size)
-    same = reduce(lambda a, b: a & b, (placed[c] == boats[c] for c in cell))
-    dry = placed.join(boats, same & (F.col("w_kind") != "section") & at_boat, "left_anti")
-    near = dry.join(_reaching(labels.select(*key, "id", "k", "x", "y"), size, square), cell).withColumn("d", _d2())
+    wet = F.when(is_("bars", "top", "ring") & (F.size("boats") > 0), F.exists("boats", lambda o: (dy(o) > above) & (dy(o) < below) & (dx(o) > left) & (dx(o) < right)))
+    nearest = F.when(is_("bars", "top") & (F.size("labels") > 1), F.array_min(F.transform("labels", lambda o: F.struct(d2(o).alias("d"), o["id"].alias("id"), o["k"].alias("k"), o["ref"].alias("ref")))))
+    spaced = F.when(is_("ring"), F.array_min(F.transform(F.filter("spacings", lambda o: (F.abs(dx(o)) < rx) & (F.abs(dy(o)) < ry)), lambda o: F.struct(o["id"], o["e"].alias("e"))))["e"])
+    note = [c for c in w.columns if c in (*at, "id", "k", "ref", "x", "y", "kind", "n", "m", "b0", "h0")]
+    met = w.select(*note, F.coalesce(wet, F.lit(False)).alias("wet"), nearest.alias("nearest"), spaced.alias("spacing"), "labels").select(*note, "wet", "nearest", "spacing", F.explode("labels").alias("o"))
+    o, itself = F.col("o"), F.col("ref").isNotNull() & (F.col("o.id") == F.col("id")) & (F.col("o.k") == F.col("k")) & (F.col("o.ref") == F.col("ref"))
+    over = (dy(o) < 0) & (F.abs(dx(o)) < wide) & (F.abs(dy(o)) < high)
+    within = ~F.col("wet") & (d2(o) <= BARS_REACH**2)
+    best = F.col("nearest").isNull() | (F.col("nearest.id") == F.col("o.id")) & (F.col("nearest.k") == F.col("o.k")) & (F.col("nearest.ref") == F.col("o.ref"))
+    finds = F.when(itself, "itself").when(is_("section"), F.when(over, "section")).when(is_("ring"), F.when(within, "ring")).when(is_("bars", "top"), F.when(within & best, "bars"))
+    met = met.withColumns({"finds": finds, "d": d2(o)}).filter("finds is not null")
 
-    wide, high = SECTION_REACH
-    over = (F.col("w_kind") == "section") & (F.col("w_y") < F.col("y")) & (F.abs(F.col("w_x") - F.col("x")) < wide) & (F.abs(F.col("w_y") - F.col("y")) < high)
-    within = F.col("d") <= BARS_REACH**2
     # the first label that finds something, with the nearest it finds
-    first_nearest = lambda when, *v: F.min(F.when(when, F.struct("id", "k", "d", "w_id", *v)))
-    met = near.filter(over | ((F.col("w_kind") == "ring") & within)).groupBy(*key).agg(first_nearest(over, "w_n", "w_m").alias("near"), first_nearest(F.col("w_kind") == "ring", "w_n", "w_x", "w_y").alias("ring"))
-    to = near.filter(F.col("w_kind").isin("bars", "top") & within).groupBy(*cell, "w_id", "w_kind", "w_y", "w_n", "w_m").agg(F.min(F.struct("d", "id", "k", "ref")).alias("m"))
-    bar = F.struct("w_id", F.col("w_n").alias("nb"), F.col("w_m").alias("phi"), F.when(F.col("w_kind") == "bars", F.col("w_y")).alias("y"))
-    bars = to.groupBy(*PAGE, F.col("m.ref").alias("ref")).agg(F.collect_list(bar).alias("all_bars"))
-
-    ring = met.filter("ring is not null").select(*key, F.col("ring.w_x").alias("x"), F.col("ring.w_y").alias("y"))
-    rx, ry = SPACING_REACH
-    at_ring = _placed(_spacings(w).select(*PAGE, "id", "x", "y", "e"), CELL * rx).join(_reaching(ring, CELL * rx, (-rx, rx, -ry, ry)), cell).filter((F.abs(F.col("w_x") - F.col("x")) < rx) & (F.abs(F.col("w_y") - F.col("y")) < ry))
-    spaced = at_ring.groupBy(*key).agg(F.min(F.struct("w_id", "w_e")).alias("e")).select(*key, F.col("e.w_e").alias("spacing"))
-
-    own = labels.groupBy(*key).agg(F.min(F.struct("id", "k", "y"))["y"].alias("first_y"), F.min(F.when(F.col("b0").isNotNull(), F.struct("id", "k", "b0", "h0"))).alias("stated"))
-    out = reduce(lambda a, part: a.join(part, key, "left"), (met, bars, spaced), own)
-    below_first = lambda b: F.coalesce(b["y"] > F.col("first_y"), F.lit(False))
-    listed = lambda keep: F.coalesce(_listed(F.filter("all_bars", keep)), F.lit(""))
-    b, h = (F.coalesce(f"stated.{own_}", F.col(f"near.{near_}").cast("string")) for own_, near_ in (("b0", "w_n"), ("h0", "w_m")))
+    found = lambda kind, *v: F.when(F.col("finds") == kind, F.struct(F.col("o.id").alias("o_id"), F.col("o.k").alias("o_k"), *v))
+    bar = F.struct("id", "n", "m", F.when(is_("bars"), F.col("y")).alias("y"), F.concat(F.col("n").cast("string"), F.lit("T"), F.col("m").cast("string")).alias("said"))
+    met = met.select(*at, F.col("o.ref").alias("ref"), found("itself", "y").alias("own"), F.when(F.col("b0").isNotNull(), found("itself", "b0", "h0")).alias("stated"), found("section", "d", "id", "n", "m").alias("near"), found("ring", "d", "id", "n", "x", "y", "spacing").alias("ring"), F.when(F.col("finds") == "bars", bar).alias("bar"))
+    out = met.groupBy(*at, "ref").agg(*(F.min(c).alias(c) for c in ("own", "stated", "near", "ring")), F.sort_array(F.collect_list("bar")).alias("bars"))
+    below_first = lambda b: F.coalesce(b["y"] > F.col("own.y"), F.lit(False))
+    listed = lambda keep: F.array_join(F.array_distinct(F.transform(F.filter("bars", keep), lambda b: b["said"])), "+")
+    b, h = (F.coalesce(f"stated.{own_}", F.col(f"near.{near_}").cast("string")) for own_, near_ in (("b0", "n"), ("h0", "m")))
     source = F.when(F.col("stated").isNotNull(), "label").when(F.col("near").isNotNull(), "heuristic")
-    phi = F.col("ring.w_n")
-    return out.select(*key, _metres(b).alias("b"), _metres(h).alias("h"), source.alias("source"), listed(below_first).alias("lower"), listed(lambda b: ~below_first(b)).alias("upper"), phi.alias("phi"), F.when(phi.isNotNull(), F.coalesce("spacing", F.lit(0.0))).alias("spacing"))
+    phi = F.col("ring.n")
+    lower, upper = (F.when(F.size("bars") > 0, listed(keep)).otherwise("") for keep in (below_first, lambda b: ~below_first(b)))
+    return out.select(*PAGE, "ref", _metres(b).alias("b"), _metres(h).alias("h"), source.alias("source"), lower.alias("lower"), upper.alias("upper"), phi.alias("phi"), F.when(phi.isNotNull(), F.coalesce("ring.spacing", F.lit(0.0))).alias("spacing"))
 
 
 def column_pages(words: DataFrame) -> DataFrame:

@@ -60,6 +60,62 @@ def test_beams_of_a_page(spark):
     assert got == [("N1", 0.3, 0.5, "heuristic", "4T12", "3T8", 6, 0.12)]
 
 
+def test_beams_of_random_pages_are_those_one_by_one(spark):
+    """Words are told apart and shuffled once, no two tables of them are joined; the rules are those of all pairs."""
+    import random
+
+    from quantiva.operators import detail_pages
+
+    rng, rows, want = random.Random(11), [], {}
+    for page in range(25):
+        labels, notes, boats, steps = [], [], [], []
+        for i in range(rng.choice([3, 40, 90])):
+            x, y = (None if rng.random() < 0.03 else float(rng.randrange(-900, top)) for top in (600, -300))
+            a, b = rng.randrange(6, 60), rng.randrange(1, 9)
+            kind, text, *said = rng.choice([("label", f"n{b}", [f"N{b}"], None), ("label", f"bn{b}/LG{a}", [f"BN{b}", f"LG{a}"], None), ("label", f"N{b}-({a}x40)", [f"N{b}"], (a, 40)), ("section", f"({a + 10}x50)", a + 10, 50), ("bars", f"{b}ha{a}", b, a), ("top", f"CHAP. {b}T{a}", b, a), ("ring", f"Cad T{a}", a, None), ("boat", "Bateau"), ("step", f"esp = {a},5", (a + 0.5) / 100), ("step", f"e=({a}x9)", a / 100), ("none", rng.choice([None, "x", "e=", "9"]))])
+            rows.append((7, page, i, text, x, y))
+            if kind == "label":
+                labels += [(i, k, ref, x, y, said[1]) for k, ref in enumerate(said[0])]
+            elif None not in (x, y):
+                {"boat": boats, "step": steps}.get(kind, notes).append((i, kind, x, y, *said))
+        placed = [v for v in labels if None not in v[3:5]]
+        near, ring, bars = {}, {}, {}
+        for i, kind, x, y, *nm in (v for v in notes if v[1] != "none"):
+            wet = any(-20 < y - v[3] < 60 and -60 < x - v[2] < 320 for v in boats)
+            d = {v[:3]: (x - v[3]) ** 2 + (y - v[4]) ** 2 for v in placed}
+            if kind == "section":
+                for v in placed:
+                    if y < v[4] and abs(x - v[3]) < 160 and v[4] - y < 80:
+                        near.setdefault(v[2], []).append((*v[:2], d[v[:3]], i, *nm))
+            elif not wet and kind == "ring":
+                for v, far in d.items():
+                    if far <= 240**2:
+                        ring.setdefault(v[2], []).append((*v[:2], far, i, nm[0], x, y))
+            elif not wet and d and min(d.values()) <= 240**2:
+                far, v = min((far, v) for v, far in d.items())
+                bars.setdefault(v[2], []).append((i, f"{nm[0]}T{nm[1]}", y if kind == "bars" else None))
+        for ref in {v[2] for v in labels}:
+            own = sorted((v for v in labels if v[2] == ref), key=lambda v: v[:2])
+            stated = next((v[5] for v in own if v[5]), None)
+            b, h = stated or (min(near[ref])[4:] if ref in near else (None, None))
+            metres = lambda v: None if v is None else round(v / 100, 4) if v > 10 else float(v)
+            lower = lambda v: v[2] is not None and own[0][4] is not None and v[2] > own[0][4]  # noqa: B023, E731
+            text = lambda keep: "+".join(dict.fromkeys(v[1] for v in sorted(bars.get(ref, [])) if lower(v) == keep))  # noqa: B023, E731
+            phi = spacing = None
+            if ref in ring:
+                *_, phi, x, y = min(ring[ref])
+                spacing = min(((v[0], round(v[4], 6)) for v in steps if abs(v[2] - x) < 100 and abs(v[3] - y) < 60), default=(0, 0.0))[1]
+            want[page, ref] = (metres(b), metres(h), "label" if stated else "heuristic" if ref in near else None, text(True), text(False), phi, spacing)
+    df = spark.createDataFrame(rows, "doc int, page int, id int, text string, x double, y double")
+    pages = detail_pages.beam_pages(df)
+    got = {(r["page"], r["ref"]): tuple(r)[3:] for r in pages.collect()}
+    assert got == want and len(want) > 150 and pages.count() == len(want) and sum(v[6] not in (None, 0) for v in want.values()) > 3
+    plan = pages._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[2] or pages._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    nowhere = [tuple(r)[2:] for r in detail_pages.beam_pages(spark.createDataFrame([(None, 1, "N1", 0.0, 0.0), (None, 2, "4HA12", 0.0, 9.0)], "page int, id int, text string, x double, y double").selectExpr("1 doc", "*")).collect()]
+    assert nowhere == [("N1", None, None, None, "", "", None, None)]  # words of no page are not near each other
+
+
 def test_labels_are_those_of_the_plain_rules(spark):
     # one pattern tells labels apart, as the pattern of all prefixes and the rules of each did one after the other
     import itertools
